@@ -72,7 +72,9 @@ def protected_requests(df: DataFrame, path_col: str = "path", paths=PROTECTED_PA
 def slim_packets(packets: DataFrame) -> DataFrame:
     """Full packet record -> the three converter columns (text timestamp,
     source address, length).  Input: the raw fields of ``parse_packet_lines``."""
-    return packets.select(F.col("Timestamp").alias("timestamp"), F.col("SrcIP").alias("src_ip"),
+    raw = {"Timestamp", "SrcIP", "DstIP", "Proto", "SrcPort", "DstPort", "Length", "Flags", "line", "kind"}
+    keep = [c for c in packets.columns if c not in raw]
+    return packets.select(*keep, F.col("Timestamp").alias("timestamp"), F.col("SrcIP").alias("src_ip"),
                           F.col("Length").alias("pkt_len"))
 
 
@@ -85,7 +87,8 @@ def clean_packets(df: DataFrame, since: dt.datetime | None = None) -> DataFrame:
     """
     ts = parse_timestamp("timestamp") if _is_string(df, "timestamp") else F.col("timestamp").cast("timestamp")
     length = F.col("pkt_len").try_cast("long")
-    out = df.select(ts.alias("timestamp"), F.col("src_ip"), length.alias("pkt_len"))
+    keep = [c for c in df.columns if c not in ("timestamp", "src_ip", "pkt_len")]
+    out = df.select(*keep, ts.alias("timestamp"), F.col("src_ip"), length.alias("pkt_len"))
     if since is not None:
         out = filter_since(out, since)
     return out.where(F.col("src_ip").isNotNull() & (F.col("pkt_len") >= 0) & F.col("timestamp").isNotNull())

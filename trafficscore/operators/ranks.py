@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, bucket_index, buckets_for,
-                                           materialize, shuffle_partitions, size_checked_join)
+                                           materialize, salts_for, shuffle_partitions,
+                                           size_checked_join)
 
 # A table this small is ranked with the plain window (one task, bounded).
 WINDOW_MAX_ROWS = 200_000
@@ -60,55 +61,84 @@ def _prefix_less(hist: DataFrame, v: str, n_distinct: int, local_max_distinct: i
             .drop("_b", "_off"))
 
 
-def rank_table(df: DataFrame, v: str, local_max_distinct: int = LOCAL_MAX_DISTINCT,
-               n_buckets: int | None = None):
-    """One row per distinct non-null value of ``v`` with ``_peers`` (rows with
-    that value) and ``_less`` (rows with a smaller non-null value), plus the
-    driver-side scalars ``(n_rows, n_null, n_distinct)``."""
-    hist = materialize(_histogram(df, v))
-    stats = hist.agg(F.coalesce(F.sum("_peers"), F.lit(0)).alias("n"),
-                     F.count(F.lit(1)).alias("d")).first()
-    n_nonnull, n_distinct = int(stats["n"]), int(stats["d"])
-    n_rows = df.count()
-    table = _prefix_less(hist, v, n_distinct, local_max_distinct, n_buckets)
-    return table, n_rows, n_rows - n_nonnull, n_distinct
+class RankTable:
+    """Histogram of one column with prefix counts, and its driver scalars.
+
+    ``table``: one row per distinct non-null value with ``_peers`` (rows with
+    that value) and ``_less`` (rows with a smaller non-null value).
+    """
+
+    def __init__(self, df: DataFrame, v: str, n_rows: int | None = None,
+                 local_max_distinct: int = LOCAL_MAX_DISTINCT, n_buckets: int | None = None):
+        hist = materialize(_histogram(df, v))
+        stats = hist.agg(F.coalesce(F.sum("_peers"), F.lit(0)).alias("n"),
+                         F.count(F.lit(1)).alias("d")).first()
+        self.v = v
+        self.n_nonnull, self.n_distinct = int(stats["n"]), int(stats["d"])
+        self.n_rows = df.count() if n_rows is None else n_rows
+        self.n_null = self.n_rows - self.n_nonnull
+        self.table = _prefix_less(hist, v, self.n_distinct, local_max_distinct, n_buckets)
+
+    def hot(self, partitions: int) -> DataFrame:
+        """Values shared by more rows than an average partition (salted when
+        the rank table is joined back by a shuffle)."""
+        per_part = max(1, self.n_rows // max(1, partitions))
+        return (self.table.where(F.col("_peers") > per_part)
+                .select(self.v, salts_for(F.col("_peers"), self.n_rows, partitions).alias("_salts")))
+
+    def join_back(self, df: DataFrame, value_col, broadcast_max_rows: int) -> DataFrame:
+        """Attach ``value_col`` (an expression over the table) to every row of
+        ``df`` by its value; NULL values get NULL."""
+        ranks = self.table.select(self.v, value_col.alias("_rk"))
+        return size_checked_join(df, ranks, [self.v], how="left", broadcast_max_rows=broadcast_max_rows,
+                                 n_small=self.n_distinct, n_big=self.n_rows,
+                                 hot=self.hot(shuffle_partitions(df)))
 
 
 def percent_rank_column(df: DataFrame, v: str, out: str, method: str = "auto",
                         local_max_distinct: int = LOCAL_MAX_DISTINCT,
                         broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                         window_max_rows: int = WINDOW_MAX_ROWS,
-                        n_buckets: int | None = None) -> DataFrame:
+                        n_buckets: int | None = None, source: DataFrame | None = None,
+                        n_rows: int | None = None) -> DataFrame:
     """``out`` = ``percent_rank()`` over ``v`` ascending (NULLs first, rank 0),
-    equal to Spark's window function for every input."""
+    equal to Spark's window function for every input.
+
+    ``source`` (default ``df``) is the table the ranks are computed from;
+    pass the materialized base when ``df`` already carries joined columns.
+    """
     if method == "auto":
         method = "window" if df.count() <= window_max_rows else "histogram"
     if method == "window":
         return df.withColumn(out, F.percent_rank().over(Window.orderBy(F.col(v).asc())))
     if method != "histogram":
         raise ValueError(f"unknown rank method {method!r}")
-    table, n_rows, n_null, n_distinct = rank_table(df, v, local_max_distinct, n_buckets)
-    denom = float(max(n_rows - 1, 1))
-    ranks = table.select(v, ((F.col("_less") + F.lit(n_null)).cast("double") / F.lit(denom)).alias(out))
-    joined = size_checked_join(df, ranks, [v], how="left", broadcast_max_rows=broadcast_max_rows,
-                               n_small=n_distinct)
-    return joined.withColumn(out, F.when(F.col(v).isNull(), F.lit(0.0)).otherwise(F.col(out)))
+    rt = RankTable(source if source is not None else df, v, n_rows, local_max_distinct, n_buckets)
+    pr = (F.col("_less") + F.lit(rt.n_null)).cast("double") / F.lit(float(max(rt.n_rows - 1, 1)))
+    joined = rt.join_back(df, pr, broadcast_max_rows)
+    return (joined.withColumn(out, F.when(F.col(v).isNull(), F.lit(0.0)).otherwise(F.col("_rk")))
+            .drop("_rk"))
 
 
 def add_percent_ranks(df: DataFrame, specs: dict, method: str = "auto", materialize_input: str = "persist",
                       **kw) -> DataFrame:
     """Several global percent ranks, e.g. ``{"r_rank": "recency_raw", ...}``.
 
-    With the histogram path the input is materialized once so each rank reads
-    the table instead of recomputing its lineage.
+    With the histogram path the input is materialized once; every rank table
+    is computed from it, then the ranks are joined on one after the other.
     """
     if method == "auto":
         method = "window" if df.count() <= kw.get("window_max_rows", WINDOW_MAX_ROWS) else "histogram"
-    if method == "histogram":
-        df = materialize(df, materialize_input)
+    if method == "window":
+        for out, v in specs.items():
+            df = df.withColumn(out, F.percent_rank().over(Window.orderBy(F.col(v).asc())))
+        return df
+    base = materialize(df, materialize_input)
+    n_rows = base.count()
+    out_df = base
     for out, v in specs.items():
-        df = percent_rank_column(df, v, out, method=method, **kw)
-    return df
+        out_df = percent_rank_column(out_df, v, out, method="histogram", source=base, n_rows=n_rows, **kw)
+    return out_df
 
 
 def average_percentile(df: DataFrame, v: str, out: str | None = None, method: str = "histogram",
@@ -129,10 +159,7 @@ def average_percentile(df: DataFrame, v: str, out: str | None = None, method: st
         avg_rank = (F.rank().over(w_ord) - 1) + (F.count(F.lit(1)).over(Window.partitionBy(v)) + 1) / 2.0
         pct = avg_rank / F.count(v).over(w_all) * 100.0
         return df.withColumn(out, F.when(F.col(v).isNull(), F.lit(None).cast("double")).otherwise(pct))
-    table, n_rows, n_null, n_distinct = rank_table(df, v, local_max_distinct, n_buckets)
-    n_nonnull = max(n_rows - n_null, 1)
-    pct = ((F.col("_less") + (F.col("_peers") + 1) / 2.0) / F.lit(float(n_nonnull)) * 100.0)
-    ranks = table.select(v, pct.alias("_pct"))
-    joined = size_checked_join(df, ranks, [v], how="left", broadcast_max_rows=broadcast_max_rows,
-                               n_small=n_distinct)
-    return joined.withColumn(out, F.col("_pct")).drop("_pct")
+    rt = RankTable(df, v, None, local_max_distinct, n_buckets)
+    pct = (F.col("_less") + (F.col("_peers") + 1) / 2.0) / F.lit(float(max(rt.n_nonnull, 1))) * 100.0
+    joined = rt.join_back(df, pct, broadcast_max_rows)
+    return joined.withColumn(out, F.col("_rk")).drop("_rk")

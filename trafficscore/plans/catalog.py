@@ -98,6 +98,155 @@ def q_decide_requests(spark, sf):
     return out.select("request_id", "client_ip", "request_count", "over_limit", "suspicious", "decision")
 
 
+# ---- text logs: conforming and parsing ------------------------------------
+
+def q_conform_access_log(spark, sf):
+    out = clean.conform_access_log(V.access_log_text(spark, sf))
+    return out.select("request_id", X.to_ntz("timestamp").alias("timestamp"), "src_port",
+                      "http_body_length", "user_agent", "referer")
+
+
+def q_parse_timestamp(spark, sf):
+    e = V.table(spark, sf, "events")
+    ts = F.col("ts").cast("timestamp")
+    k = F.pmod(F.col("event_id"), F.lit(4))
+    text = (F.when(F.pmod(F.col("event_id"), F.lit(101)) == 0, F.lit("not-a-time"))
+            .when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+            .when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+            .when(k == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
+            .otherwise(X.format_packet_ts(ts)))
+    return e.select("event_id", X.to_ntz(X.parse_timestamp(text)).alias("parsed"))
+
+
+def _lines(spark, sf):
+    return V.packet_lines(spark, sf)
+
+
+def _packets(spark, sf):
+    return S.read_packet_tsv(_lines(spark, sf))
+
+
+def _clean_packets(spark, sf, since=None):
+    ok = S.parse_packet_lines(_lines(spark, sf)).where(F.col("kind") == "ok")
+    return clean.clean_packets(clean.slim_packets(ok), since=since)
+
+
+def q_packet_tsv_parse(spark, sf):
+    p = _packets(spark, sf)
+    return p.select("line_id", X.to_ntz("timestamp").alias("timestamp"), "src_ip", "dst_ip", "proto",
+                    "src_port", "dst_port", "length", "flags")
+
+
+def q_packet_rejects(spark, sf):
+    return S.rejected_lines(_lines(spark, sf)).select("line_id", "reason", "n_fields")
+
+
+def q_slim_packets(spark, sf):
+    ok = S.parse_packet_lines(_lines(spark, sf)).where(F.col("kind") == "ok")
+    return clean.slim_packets(ok).select("line_id", "timestamp", "src_ip", "pkt_len")
+
+
+def q_clean_packets(spark, sf):
+    return _clean_packets(spark, sf).select("line_id", X.to_ntz("timestamp").alias("timestamp"),
+                                            "src_ip", "pkt_len")
+
+
+def q_filter_since(spark, sf):
+    out = clean.filter_since(_clean_packets(spark, sf), HWM)
+    return out.select("line_id", X.to_ntz("timestamp").alias("timestamp"), "src_ip", "pkt_len")
+
+
+def q_filter_destination(spark, sf):
+    out = clean.filter_destination(_packets(spark, sf), V.PACKET_DST, 80)
+    return out.select("line_id", "src_ip", "dst_ip", "dst_port", "length")
+
+
+def q_union_logs(spark, sf):
+    a = _access(spark, sf).select(F.col("request_id").alias("record_id"), "timestamp", "client_ip",
+                                  "http_body_length", "path", F.lit("access").alias("source"))
+    p = _clean_packets(spark, sf).select(F.col("line_id").alias("record_id"), "timestamp",
+                                         F.col("src_ip").alias("client_ip"), "pkt_len",
+                                         F.lit("packet").alias("source"))
+    u = S.union_logs([a, p])
+    return u.select("record_id", "source", X.to_ntz("timestamp").alias("timestamp"), "client_ip",
+                    _round("http_body_length", 4), "path", "pkt_len")
+
+
+# ---- scalar functions ------------------------------------------------------
+
+def q_tcp_flags_string(spark, sf):
+    e = V.table(spark, sf, "events")
+    mask = F.pmod(F.col("event_id"), F.lit(256))
+    return e.select("event_id", mask.alias("mask"), X.tcp_flags_string(mask).alias("flags"))
+
+
+def q_ipv4_to_string(spark, sf):
+    e = V.table(spark, sf, "events")
+    ip = F.pmod(F.col("user_id") * F.lit(2654435761) + F.col("event_id"), F.lit(4294967296))
+    return e.select("event_id", ip.alias("ip_int"), X.ipv4_to_string(ip).alias("ip"))
+
+
+def q_format_packet_ts(spark, sf):
+    e = V.table(spark, sf, "events")
+    return e.select("event_id", X.format_packet_ts(F.col("ts").cast("timestamp")).alias("ts_text"))
+
+
+def q_normalize_flow_fields(spark, sf):
+    out = clean.normalize_flow_fields(V.decoded_packets(spark, sf), flag_mask_col="flag_mask")
+    return out.select("packet_id", "proto", "src_port", "dst_port", "flags")
+
+
+# ---- packet-path RFM, ranks, scores ----------------------------------------
+
+def q_traffic_totals(spark, sf):
+    return rfm.traffic_totals(_packets(spark, sf), "src_ip")
+
+
+def _raw(spark, sf, since=None, until=None, now=V.EVENTS_NOW):
+    logs = _clean_packets(spark, sf, since=since)
+    if until is not None:
+        logs = logs.where(F.col("timestamp") <= F.lit(until).cast("timestamp"))
+    return rfm.rfm_raw_packets(logs, now)
+
+
+def q_rfm_raw_packets(spark, sf):
+    r = _raw(spark, sf)
+    return r.select("src_ip", X.to_ntz("last_seen").alias("last_seen"), "frequency_raw", "monetary_raw",
+                    "recency_raw")
+
+
+_RANKS = {"r_rank": "recency_raw", "f_rank": "frequency_raw", "m_rank": "monetary_raw"}
+
+
+def q_percent_ranks(spark, sf):
+    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, method="window")
+    return out.select("src_ip", *[_round(c, 9) for c in _RANKS])
+
+
+def q_percent_ranks_histogram(spark, sf):
+    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, method="histogram", local_max_distinct=0,
+                                  n_buckets=4, broadcast_max_rows=0)
+    return out.select("src_ip", *[_round(c, 9) for c in _RANKS])
+
+
+def q_score_rfm(spark, sf):
+    return score.score_rfm(_raw(spark, sf), last_updated=V.EVENTS_NOW)
+
+
+def q_flag_by_composite(spark, sf):
+    return score.flag_by_composite(score.score_rfm(_raw(spark, sf), last_updated=V.EVENTS_NOW))
+
+
+def q_incremental_scores(spark, sf):
+    return score.score_rfm(_raw(spark, sf, since=HWM), last_updated=V.EVENTS_NOW)
+
+
+def q_merge_scores(spark, sf):
+    old = score.score_rfm(_raw(spark, sf, until=HWM, now=HWM), last_updated=HWM)
+    new = score.score_rfm(_raw(spark, sf, since=HWM), last_updated=V.EVENTS_NOW)
+    return score.merge_scores(old, new)
+
+
 QUERIES = {
     "compute_rfm": q_compute_rfm,
     "compute_rfm_no_monetary": q_compute_rfm_no_monetary,
@@ -109,4 +258,25 @@ QUERIES = {
     "lookup_rfm": q_lookup_rfm,
     "rate_limit": q_rate_limit,
     "decide_requests": q_decide_requests,
+    "conform_access_log": q_conform_access_log,
+    "parse_timestamp": q_parse_timestamp,
+    "packet_tsv_parse": q_packet_tsv_parse,
+    "packet_rejects": q_packet_rejects,
+    "slim_packets": q_slim_packets,
+    "clean_packets": q_clean_packets,
+    "filter_since": q_filter_since,
+    "filter_destination": q_filter_destination,
+    "union_logs": q_union_logs,
+    "tcp_flags_string": q_tcp_flags_string,
+    "ipv4_to_string": q_ipv4_to_string,
+    "format_packet_ts": q_format_packet_ts,
+    "normalize_flow_fields": q_normalize_flow_fields,
+    "traffic_totals": q_traffic_totals,
+    "rfm_raw_packets": q_rfm_raw_packets,
+    "percent_ranks": q_percent_ranks,
+    "percent_ranks_histogram": q_percent_ranks_histogram,
+    "score_rfm": q_score_rfm,
+    "flag_by_composite": q_flag_by_composite,
+    "incremental_scores": q_incremental_scores,
+    "merge_scores": q_merge_scores,
 }

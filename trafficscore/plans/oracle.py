@@ -133,3 +133,187 @@ SQL["decide_requests"] = _with(
 SELECT request_id, client_ip, request_count, over_limit, suspicious,
        CASE WHEN over_limit AND suspicious THEN 'challenge' ELSE 'allow' END AS decision
 FROM judged"""
+
+
+# ---- text logs ---------------------------------------------------------------
+
+ACCESS_TEXT = """access_text AS (
+  SELECT request_id,
+         CASE WHEN request_id % 101 = 0 THEN 'invalid-timestamp'
+              WHEN request_id % 2 = 0 THEN strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f')
+              ELSE strftime("timestamp", '%Y-%m-%d %H:%M:%S') END AS "timestamp",
+         client_ip,
+         CASE WHEN request_id % 107 = 0 THEN NULL ELSE src_port END AS src_port,
+         method, path,
+         CASE WHEN request_id % 103 = 0 THEN NULL
+              ELSE CAST(CAST(round(http_body_length * 100) AS BIGINT) AS VARCHAR) END AS http_body_length,
+         CASE WHEN request_id % 109 = 0 THEN NULL ELSE 'agent/1' END AS user_agent,
+         CAST(NULL AS VARCHAR) AS referer
+  FROM access_log)"""
+
+SQL["conform_access_log"] = _with(ACCESS_LOG, ACCESS_TEXT) + """
+SELECT request_id, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp", coalesce(src_port, 'N/A') AS src_port,
+       coalesce(TRY_CAST(http_body_length AS BIGINT), 0) AS http_body_length,
+       coalesce(user_agent, '') AS user_agent, coalesce(referer, '') AS referer
+FROM access_text"""
+
+SQL["parse_timestamp"] = """
+SELECT event_id, TRY_CAST(CASE WHEN event_id % 101 = 0 THEN 'not-a-time'
+                               WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
+                               WHEN event_id % 4 = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+                               WHEN event_id % 4 = 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+                               ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS TIMESTAMP) AS parsed
+FROM events"""
+
+
+def _flags_sql(m: str) -> str:
+    bits = (("U", 32), ("A", 16), ("P", 8), ("R", 4), ("S", 2), ("F", 1))
+    return "(" + " || ".join(f"CASE WHEN ({m} & {b}) != 0 THEN '{c}' ELSE '-' END" for c, b in bits) + ")"
+
+
+PACKET_LINES = f"""pk AS (
+  SELECT event_id, ts, user_id, value,
+         CASE WHEN event_type = 'error' THEN 17 WHEN event_type = 'signup' THEN 1 ELSE 6 END AS proto
+  FROM events),
+pk2 AS (
+  SELECT event_id, proto,
+         concat_ws(chr(9), strftime(ts, '%Y-%m-%d %H:%M:%S.%f'),
+                   CASE WHEN event_id % {V.EMPTY_IP_MOD} = 0 THEN ''
+                        ELSE '10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) END,
+                   '{V.PACKET_DST}', CAST(proto AS VARCHAR),
+                   CAST(CASE WHEN proto IN (6, 17) THEN 1024 + event_id % 60000 ELSE 0 END AS VARCHAR),
+                   CAST(CASE WHEN proto = 6 THEN 80 WHEN proto = 17 THEN 53 ELSE 0 END AS VARCHAR),
+                   CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS seven,
+         CASE WHEN proto = 6 THEN {_flags_sql('(event_id % 64)')} ELSE '-' END AS flags
+  FROM pk),
+packet_lines AS (
+  SELECT event_id AS line_id,
+         CASE WHEN event_id % {V.COMMENT_MOD} = 0 THEN '# marker ' || CAST(event_id AS VARCHAR)
+              WHEN event_id % {V.MALFORMED_MOD} = 0 THEN seven
+              ELSE seven || chr(9) || flags END AS value
+  FROM pk2),
+stripped AS (
+  SELECT line_id, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS line FROM packet_lines),
+classified AS (
+  SELECT line_id, line, string_split(line, chr(9)) AS parts,
+         CASE WHEN line = '' OR starts_with(line, '#') OR starts_with(line, 'Timestamp') THEN 'skip'
+              WHEN len(string_split(line, chr(9))) != 8 THEN 'malformed'
+              WHEN string_split(line, chr(9))[1] = '' OR string_split(line, chr(9))[2] = ''
+                   OR string_split(line, chr(9))[7] = '' THEN 'missing'
+              ELSE 'ok' END AS kind
+  FROM stripped),
+ok AS (SELECT * FROM classified WHERE kind = 'ok'),
+slim AS (SELECT line_id, parts[1] AS "timestamp", parts[2] AS src_ip, parts[7] AS pkt_len FROM ok),
+clean AS (
+  SELECT line_id, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp", src_ip,
+         TRY_CAST(pkt_len AS BIGINT) AS pkt_len
+  FROM slim
+  WHERE src_ip IS NOT NULL AND TRY_CAST(pkt_len AS BIGINT) >= 0 AND TRY_CAST("timestamp" AS TIMESTAMP) IS NOT NULL),
+packets AS (
+  SELECT line_id, TRY_CAST(parts[1] AS TIMESTAMP) AS "timestamp", parts[2] AS src_ip, parts[3] AS dst_ip,
+         TRY_CAST(parts[4] AS INTEGER) AS proto, TRY_CAST(parts[5] AS INTEGER) AS src_port,
+         TRY_CAST(parts[6] AS INTEGER) AS dst_port, TRY_CAST(parts[7] AS BIGINT) AS length, parts[8] AS flags
+  FROM ok)"""
+
+SQL["packet_tsv_parse"] = _with(PACKET_LINES) + """
+SELECT line_id, "timestamp", src_ip, dst_ip, proto, src_port, dst_port, length, flags FROM packets"""
+
+SQL["packet_rejects"] = _with(PACKET_LINES) + """
+SELECT line_id, kind AS reason, CAST(len(parts) AS INTEGER) AS n_fields
+FROM classified WHERE kind IN ('malformed', 'missing')"""
+
+SQL["slim_packets"] = _with(PACKET_LINES) + "SELECT line_id, \"timestamp\", src_ip, pkt_len FROM slim"
+
+SQL["clean_packets"] = _with(PACKET_LINES) + "SELECT line_id, \"timestamp\", src_ip, pkt_len FROM clean"
+
+SQL["filter_since"] = _with(PACKET_LINES) + f"""
+SELECT line_id, "timestamp", src_ip, pkt_len FROM clean WHERE "timestamp" > TIMESTAMP '{C.HWM}'"""
+
+SQL["filter_destination"] = _with(PACKET_LINES) + f"""
+SELECT line_id, src_ip, dst_ip, dst_port, length FROM packets WHERE dst_ip = '{V.PACKET_DST}' AND dst_port = 80"""
+
+SQL["union_logs"] = _with(ACCESS_LOG, ACCESS, PACKET_LINES) + """
+SELECT request_id AS record_id, 'access' AS source, "timestamp", client_ip,
+       round(http_body_length, 4) AS http_body_length, path, CAST(NULL AS BIGINT) AS pkt_len FROM access
+UNION ALL
+SELECT line_id, 'packet', "timestamp", src_ip, NULL, NULL, pkt_len FROM clean"""
+
+# ---- scalar functions -------------------------------------------------------
+
+SQL["tcp_flags_string"] = f"""
+SELECT event_id, event_id % 256 AS mask, {_flags_sql('(event_id % 256)')} AS flags FROM events"""
+
+SQL["ipv4_to_string"] = """
+SELECT event_id, ip AS ip_int,
+       concat_ws('.', CAST((ip >> 24) & 255 AS VARCHAR), CAST((ip >> 16) & 255 AS VARCHAR),
+                 CAST((ip >> 8) & 255 AS VARCHAR), CAST(ip & 255 AS VARCHAR)) AS ip
+FROM (SELECT event_id, (user_id * 2654435761 + event_id) % 4294967296 AS ip FROM events)"""
+
+SQL["format_packet_ts"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts_text FROM events"
+
+SQL["normalize_flow_fields"] = f"""
+SELECT packet_id, proto,
+       CASE WHEN proto IN (6, 17) THEN src_port ELSE 0 END AS src_port,
+       CASE WHEN proto IN (6, 17) THEN dst_port ELSE 0 END AS dst_port,
+       CASE WHEN proto = 6 THEN {_flags_sql('flag_mask')} ELSE '-' END AS flags
+FROM (SELECT event_id AS packet_id,
+             CASE WHEN event_type = 'error' THEN 17 WHEN event_type = 'signup' THEN 1 ELSE 6 END AS proto,
+             CAST(1024 + event_id % 60000 AS INTEGER) AS src_port, 443 AS dst_port,
+             CAST(event_id % 64 AS INTEGER) AS flag_mask
+      FROM events)"""
+
+# ---- packet-path RFM, ranks, scores -------------------------------------------
+
+SQL["traffic_totals"] = _with(PACKET_LINES) + """
+SELECT src_ip, CAST(count(*) AS BIGINT) AS packets, CAST(coalesce(sum(length), 0) AS BIGINT) AS bytes
+FROM packets GROUP BY src_ip"""
+
+
+def _raw_cte(name="raw", now=V.EVENTS_NOW, where=""):
+    return f"""{name} AS (
+  SELECT src_ip, max("timestamp") AS last_seen, CAST(count(*) AS BIGINT) AS frequency_raw,
+         CAST(sum(pkt_len) AS BIGINT) AS monetary_raw,
+         CAST(epoch(TIMESTAMP '{now}') AS BIGINT) - CAST(floor(epoch_us(max("timestamp")) / 1000000) AS BIGINT)
+           AS recency_raw
+  FROM clean WHERE true {where} GROUP BY src_ip)"""
+
+
+SQL["rfm_raw_packets"] = _with(PACKET_LINES, _raw_cte()) + """
+SELECT src_ip, last_seen, frequency_raw, monetary_raw, recency_raw FROM raw"""
+
+_PR = """round(percent_rank() OVER (ORDER BY recency_raw), 9) AS r_rank,
+       round(percent_rank() OVER (ORDER BY frequency_raw), 9) AS f_rank,
+       round(percent_rank() OVER (ORDER BY monetary_raw), 9) AS m_rank"""
+
+SQL["percent_ranks"] = _with(PACKET_LINES, _raw_cte()) + f"SELECT src_ip, {_PR} FROM raw"
+SQL["percent_ranks_histogram"] = SQL["percent_ranks"]
+
+
+def _scored(src="raw", last_updated=V.EVENTS_NOW, name="scored"):
+    return f"""{name}_ranked AS (
+  SELECT src_ip, percent_rank() OVER (ORDER BY recency_raw) AS r_rank,
+         percent_rank() OVER (ORDER BY frequency_raw) AS f_rank,
+         percent_rank() OVER (ORDER BY monetary_raw) AS m_rank FROM {src}),
+{name}_s AS (
+  SELECT src_ip,
+         least(5, CAST(ceil((1.0::DOUBLE - r_rank) * 5.0::DOUBLE) AS INTEGER)) AS r_score,
+         least(5, CAST(ceil(f_rank * 5.0::DOUBLE) AS INTEGER)) AS f_score,
+         least(5, CAST(ceil(m_rank * 5.0::DOUBLE) AS INTEGER)) AS m_score FROM {name}_ranked),
+{name} AS (
+  SELECT src_ip, r_score, f_score, m_score, CAST(r_score * 100 + f_score * 10 + m_score AS FLOAT) AS composite_score,
+         '{last_updated}' AS last_updated FROM {name}_s)"""
+
+
+SQL["score_rfm"] = _with(PACKET_LINES, _raw_cte(), _scored()) + "SELECT * FROM scored"
+SQL["flag_by_composite"] = _with(PACKET_LINES, _raw_cte(), _scored()) + \
+    "SELECT * FROM scored WHERE composite_score > 400.0"
+SQL["incremental_scores"] = _with(PACKET_LINES, _raw_cte(where=f"""AND "timestamp" > TIMESTAMP '{C.HWM}'"""),
+                                  _scored()) + "SELECT * FROM scored"
+SQL["merge_scores"] = _with(
+    PACKET_LINES,
+    _raw_cte("raw_old", now=C.HWM, where=f"""AND "timestamp" <= TIMESTAMP '{C.HWM}'"""),
+    _scored("raw_old", last_updated=C.HWM, name="old"),
+    _raw_cte("raw_new", where=f"""AND "timestamp" > TIMESTAMP '{C.HWM}'"""),
+    _scored("raw_new", name="new")) + """
+SELECT * FROM old WHERE src_ip NOT IN (SELECT src_ip FROM new)
+UNION ALL SELECT * FROM new"""

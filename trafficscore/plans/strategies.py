@@ -45,6 +45,13 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def salts_for(count_col, n_big: int, partitions: int):
+    """Salt buckets for a key with ``count_col`` rows: enough to bring it to
+    an average partition's size, at most ``partitions``."""
+    per_part = max(1, n_big // max(1, partitions))
+    return F.least(F.lit(partitions), F.ceil(count_col / F.lit(per_part)).cast("int"))
+
+
 def hot_keys(big: DataFrame, keys: list[str], n_big: int, partitions: int) -> DataFrame:
     """Keys holding more rows than an average shuffle partition, with the
     number of salt buckets that brings each back to about that size.
@@ -56,14 +63,14 @@ def hot_keys(big: DataFrame, keys: list[str], n_big: int, partitions: int) -> Da
     per_part = max(1, n_big // max(1, partitions))
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return (counts.where(F.col("_n") > per_part)
-            .select(*keys, F.least(F.lit(partitions),
-                                   F.ceil(F.col("_n") / F.lit(per_part)).cast("int")).alias("_salts")))
+            .select(*keys, salts_for(F.col("_n"), n_big, partitions).alias("_salts")))
 
 
 def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
                       broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                       salt_row_cols: list[str] | None = None,
-                      n_small: int | None = None) -> DataFrame:
+                      n_small: int | None = None, n_big: int | None = None,
+                      hot: DataFrame | None = None) -> DataFrame:
     """``big JOIN small USING keys`` where ``small`` has at most one row per key.
 
     ``small`` is counted first (``n_small`` may be passed when known).  Up to
@@ -72,7 +79,8 @@ def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
     get a salt in ``[0, s)`` from a hash of the row (``salt_row_cols``,
     default all columns) and their ``small`` row is replicated ``s`` times;
     all other keys use salt 0.  Every big row still meets exactly its key's
-    small row, so results are unchanged.
+    small row, so results are unchanged.  ``hot`` (keys, ``_salts``) may be
+    passed when the caller already knows the per-key counts.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if how not in ("left", "inner"):
@@ -82,9 +90,9 @@ def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
     if n_small <= broadcast_max_rows:
         return big.join(F.broadcast(small), on=keys, how=how)
 
-    parts = shuffle_partitions(big)
-    n_big = big.count()
-    hot = hot_keys(big, keys, n_big, parts)
+    if hot is None:
+        parts = shuffle_partitions(big)
+        hot = hot_keys(big, keys, big.count() if n_big is None else n_big, parts)
     row_cols = salt_row_cols or big.columns
     salted_big = (big.join(F.broadcast(hot), on=keys, how="left")
                   .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))

@@ -89,3 +89,36 @@ def customer_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("client_id"),
                     F.col("o_orderdate").cast("timestamp").alias("timestamp"),
                     F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_cents"))
+
+
+def access_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access log as raw CSV text with dirt: every 101st timestamp is
+    not a time, every 103rd length, 107th port and 109th agent are absent;
+    even ids write ISO ``T`` with microseconds, odd ids whole seconds."""
+    a = access_log(spark, sf_dir)
+    rid = F.col("request_id")
+    ts = (F.when(F.pmod(rid, F.lit(101)) == 0, F.lit("invalid-timestamp"))
+          .when(F.pmod(rid, F.lit(2)) == 0, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+          .otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")))
+    return a.select(
+        "request_id", ts.alias("timestamp"), "client_ip",
+        F.when(F.pmod(rid, F.lit(107)) == 0, F.lit(None)).otherwise(F.col("src_port")).alias("src_port"),
+        "method", "path",
+        F.when(F.pmod(rid, F.lit(103)) == 0, F.lit(None))
+        .otherwise(F.round(F.col("http_body_length") * 100).cast("long").cast("string")).alias("http_body_length"),
+        F.when(F.pmod(rid, F.lit(109)) == 0, F.lit(None)).otherwise(F.lit("agent/1")).alias("user_agent"),
+        F.lit(None).cast("string").alias("referer"),
+    )
+
+
+def decoded_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded packet headers before normalization: raw ports and flag byte
+    present for every protocol (error -> UDP, signup -> ICMP, else TCP)."""
+    e = table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    proto = (F.when(F.col("event_type") == "error", F.lit(17))
+             .when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(6)))
+    return e.select(eid.alias("packet_id"), proto.alias("proto"),
+                    (F.lit(1024) + F.pmod(eid, F.lit(60000))).cast("int").alias("src_port"),
+                    F.lit(443).alias("dst_port"), F.pmod(eid, F.lit(64)).cast("int").alias("flag_mask"),
+                    F.lit("").alias("flags"))

@@ -97,7 +97,9 @@ def read_packet_tsv(lines: DataFrame, line_col: str = "value") -> DataFrame:
     ``try_cast`` and the timestamp the packet pattern, so bad values are NULL.
     """
     p = parse_packet_lines(lines, line_col).where(F.col("kind") == "ok")
+    passthrough = [c for c in lines.columns if c != line_col]
     return p.select(
+        *passthrough,
         parse_timestamp(F.col("Timestamp"), patterns=(PACKET_TS_PATTERN,)).alias("timestamp"),
         F.col("SrcIP").alias("src_ip"),
         F.col("DstIP").alias("dst_ip"),
@@ -116,7 +118,8 @@ def rejected_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     count or store them (e.g. with ``observe`` or a side sink).
     """
     p = parse_packet_lines(lines, line_col).where(F.col("kind").isin("malformed", "missing"))
-    return p.select("line", F.col("kind").alias("reason"),
+    passthrough = [c for c in lines.columns if c != line_col]
+    return p.select(*passthrough, "line", F.col("kind").alias("reason"),
                     F.size(F.split(F.col("line"), "\t", -1)).alias("n_fields"))
 
 
