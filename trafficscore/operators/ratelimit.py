@@ -58,29 +58,80 @@ def fold_run(ts: np.ndarray, ws: int, cnt: int, window_us: int):
     return out_ws, out_cnt, ws, cnt
 
 
-def _fold_batches(key_col: str, window_us: int, limit: int, init=None):
-    """``mapInPandas`` function over batches sorted by (key, ts, tie).
+def repair_run(ts: np.ndarray, spec_ws: np.ndarray, spec_cnt: np.ndarray, ws: int, cnt: int,
+               window_us: int, merged: bool = False):
+    """Re-fold a time slice whose speculative fold assumed a fresh start.
+
+    Starting from the true incoming state, the fold runs until it opens a
+    window on a request where the speculative fold also opened one (count 1);
+    from there both folds are identical and the speculative values are kept.
+    Returns window starts, counts, the state and whether the folds merged.
+    """
+    n = len(ts)
+    out_ws, out_cnt = spec_ws.copy(), spec_cnt.copy()
+    i = 0
+    while i < n and not merged:
+        if ts[i] - ws > window_us:
+            if spec_cnt[i] == 1:
+                merged = True
+                break
+            ws, cnt = int(ts[i]), 0
+        j = max(int(np.searchsorted(ts, ws + window_us, side="right")), i + 1)
+        out_ws[i:j] = ws
+        out_cnt[i:j] = np.arange(cnt + 1, cnt + 1 + (j - i), dtype=np.int64)
+        cnt += j - i
+        i = j
+    if merged:
+        ws, cnt = int(out_ws[-1]), int(out_cnt[-1])
+    return out_ws, out_cnt, ws, cnt, merged
+
+
+def _run_starts(pdf: pd.DataFrame, run_cols) -> np.ndarray:
+    n = len(pdf)
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for c in run_cols:
+        v = pdf[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(change)
+
+
+def _fold_batches(run_cols, window_us: int, limit: int, repair: bool = False):
+    """``mapInPandas`` function over batches sorted by (run columns, ts, tie).
 
-    ``init`` optionally maps a partition's first rows to an incoming state;
-    by default every client starts at window start 0, count 0.
+    A run is one client (or one time slice of a hot client).  Normal mode
+    starts every run at window start 0, count 0.  Repair mode starts a run
+    from its ``_in_ws``/``_in_cnt`` columns (NULL = fresh start: the values
+    are kept) and re-folds only until it merges with ``_ws``/``request_count``.
     """
     def run(batches):
-        cur_key, ws, cnt, have = None, 0, 0, False
+        cur, ws, cnt, merged = None, 0, 0, False
         for pdf in batches:
             n = len(pdf)
             if n == 0:
                 continue
-            keys = pdf[key_col].to_numpy()
             ts = pdf[_TS].to_numpy(dtype=np.int64)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n > 1 else np.array([0])
-            bounds = np.r_[starts, n]
+            bounds = np.r_[_run_starts(pdf, run_cols), n]
             ws_out = np.empty(n, dtype=np.int64)
             cnt_out = np.empty(n, dtype=np.int64)
+            if repair:
+                spec_ws = pdf[_WS].to_numpy(dtype=np.int64)
+                spec_cnt = pdf["request_count"].to_numpy(dtype=np.int64)
+                in_ws = pdf["_in_ws"].to_numpy(dtype=np.float64)
+                in_cnt = pdf["_in_cnt"].to_numpy(dtype=np.float64)
             for s, e in zip(bounds[:-1], bounds[1:]):
-                k = keys[s]
-                if not (have and k == cur_key):
-                    cur_key, ws, cnt, have = k, 0, 0, True
-                w, c, ws, cnt = fold_run(ts[s:e], ws, cnt, window_us)
+                k = tuple(pdf[c].iat[s] for c in run_cols)
+                if k != cur:
+                    cur, merged = k, False
+                    if repair and not np.isnan(in_ws[s]):
+                        ws, cnt = int(in_ws[s]), int(in_cnt[s])
+                    else:
+                        ws, cnt, merged = 0, 0, repair   # fresh start: nothing to repair
+                if repair:
+                    w, c, ws, cnt, merged = repair_run(ts[s:e], spec_ws[s:e], spec_cnt[s:e], ws, cnt,
+                                                       window_us, merged)
+                else:
+                    w, c, ws, cnt = fold_run(ts[s:e], ws, cnt, window_us)
                 ws_out[s:e] = w
                 cnt_out[s:e] = c
             yield pdf.assign(**{_WS: ws_out, "request_count": cnt_out, "over_limit": cnt_out > limit})
@@ -96,7 +147,7 @@ def _with_outputs(schema: StructType) -> StructType:
 def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
                      tie_col: str | None = None, window_seconds: float = WINDOW_SECONDS,
                      limit: int = MAX_REQUESTS, partitions: int | None = None,
-                     split_hot_clients: bool = False, hot_rows: int | None = None) -> DataFrame:
+                     split_hot_clients: bool = True, hot_rows: int | None = None) -> DataFrame:
     """Add ``window_start`` (timestamp), ``request_count`` and ``over_limit``.
 
     Requests are ordered by time, then by ``tie_col`` (e.g. a request id) so
@@ -112,6 +163,6 @@ def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "t
     else:
         parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         sorted_df = base.repartition(parts, key_col).sortWithinPartitions(*order)
-        out = sorted_df.mapInPandas(_fold_batches(key_col, window_us, limit), _with_outputs(base.schema))
+        out = sorted_df.mapInPandas(_fold_batches([key_col], window_us, limit), _with_outputs(base.schema))
     return (out.withColumn("window_start", F.timestamp_micros(F.col(_WS)))
             .drop(_TS, _WS))

@@ -1,0 +1,113 @@
+"""Exact, parallel anchored limiter when a few clients own most requests.
+
+A client with more rows than an average shuffle partition (at most
+``partitions`` such clients exist, so the table of them is small and
+broadcast) is cut into time slices, each folded by its own task:
+
+1. *speculative pass*: every (client, slice) run is folded as if the client
+   started fresh at the slice; the result is checkpointed to the shared
+   checkpoint folder (reliable, lineage cut);
+2. *repair rounds*: the exit state (window start, count) of each slice -
+   one row per slice, a bounded table - becomes the incoming state of the
+   next slice; each slice is re-folded from it only until its fold opens a
+   window where the speculative fold did (from there both agree).  When no
+   slice's incoming state changes between two rounds the result is exact.
+   Each round fixes at least one more slice, and normally one round
+   suffices because folds re-align within the first windows of a slice.
+
+Other clients keep the single-run fold (slice 0), so nothing changes for
+them.  No row is dropped or sampled; the hot client is split, not capped.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from trafficscore.operators.ratelimit import _TS, _WS, _fold_batches, _with_outputs
+from trafficscore.plans.strategies import materialize, shuffle_partitions, size_checked_join
+
+_SLICE = "_slice"
+_HOT = "_hot"
+
+
+def _exits(df: DataFrame, key_col: str, order: list[str]) -> DataFrame:
+    """Last (window start, count) of every slice of every hot client."""
+    last = F.max_by(F.struct(F.col(_WS).alias("ws"), F.col("request_count").alias("cnt")),
+                    F.struct(*[F.col(c) for c in order[1:]]))
+    return df.where(F.col(_HOT)).groupBy(key_col, _SLICE).agg(last.alias("e"))
+
+
+def _incoming(exits: DataFrame, key_col: str) -> DataFrame:
+    """State entering each slice = exit of the previous non-empty slice."""
+    w = Window.partitionBy(key_col).orderBy(_SLICE)
+    return exits.select(key_col, _SLICE, F.lag(F.col("e.ws")).over(w).alias("_in_ws"),
+                        F.lag(F.col("e.cnt")).over(w).alias("_in_cnt"))
+
+
+def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us: int, limit: int,
+                     partitions: int | None = None, hot_rows: int | None = None,
+                     max_rounds: int = 64) -> DataFrame:
+    spark = base.sparkSession
+    parts = partitions or shuffle_partitions(base)
+    stats = materialize(base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"),
+                                                  F.min(_TS).alias("_tmin"), F.max(_TS).alias("_tmax")))
+    n_total = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    per_slice = hot_rows or max(1, math.ceil(n_total / parts))
+    n_slices = F.ceil(F.col("_n") / F.lit(per_slice))
+    width = F.greatest(F.lit(window_us), F.ceil((F.col("_tmax") - F.col("_tmin") + 1) / n_slices)).cast("long")
+    hot = stats.where(F.col("_n") > per_slice).select(key_col, "_tmin", width.alias("_width"))
+    n_hot = hot.count()
+    schema = _with_outputs(base.schema)
+
+    if n_hot == 0:
+        sorted_df = base.repartition(parts, key_col).sortWithinPartitions(*order)
+        return sorted_df.mapInPandas(_fold_batches([key_col], window_us, limit), schema)
+
+    rows = size_checked_join(base, hot, [key_col], how="left", n_small=n_hot)
+    rows = (rows.withColumn(_HOT, F.col("_width").isNotNull())
+            .withColumn(_SLICE, F.when(F.col(_HOT), F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")))
+                        .otherwise(F.lit(0)).cast("long"))
+            .drop("_tmin", "_width"))
+    run_cols = [key_col, _SLICE]
+    sort_cols = run_cols + order[1:]
+    spec_schema = _with_outputs(rows.schema)
+    spec = (rows.repartition(parts, key_col, _SLICE).sortWithinPartitions(*sort_cols)
+            .mapInPandas(_fold_batches(run_cols, window_us, limit), spec_schema))
+    spec = materialize(spec, "checkpoint")
+
+    cold_out = spec.where(~F.col(_HOT))
+    hot_spec = spec.where(F.col(_HOT))
+    incoming = materialize(_incoming(_exits(hot_spec, key_col, order), key_col), "checkpoint")
+    repair_schema = spec_schema
+    result = hot_spec
+    for _ in range(max_rounds):
+        n_in = incoming.count()
+        fed = size_checked_join(hot_spec, incoming, run_cols, how="left", n_small=n_in)
+        fed = fed.sortWithinPartitions(*sort_cols)
+        result = materialize(fed.mapInPandas(_fold_batches(run_cols, window_us, limit, repair=True),
+                                             _with_in(repair_schema)).drop("_in_ws", "_in_cnt"),
+                             "checkpoint")
+        nxt = materialize(_incoming(_exits(result, key_col, order), key_col), "checkpoint")
+        changed = (nxt.alias("n").join(incoming.alias("o"), run_cols, "full_outer")
+                   .where(~(F.col("n._in_ws").eqNullSafe(F.col("o._in_ws"))
+                            & F.col("n._in_cnt").eqNullSafe(F.col("o._in_cnt")))).limit(1).count())
+        incoming = nxt
+        if changed == 0:
+            break
+    else:
+        # still moving after max_rounds: finish the hot clients with one
+        # sequential fold per client (exact, slower)
+        seq = (hot_spec.drop(_WS, "request_count", "over_limit")
+               .repartition(parts, key_col).sortWithinPartitions(*order)
+               .mapInPandas(_fold_batches([key_col], window_us, limit), spec_schema))
+        result = seq
+    cols = [c for c in schema.fieldNames()]
+    return cold_out.select(*cols).unionByName(result.select(*cols))
+
+
+def _with_in(schema):
+    from pyspark.sql.types import LongType, StructField, StructType
+    return StructType(list(schema.fields) + [StructField("_in_ws", LongType()), StructField("_in_cnt", LongType())])
