@@ -72,7 +72,8 @@ def protected_requests(df: DataFrame, path_col: str = "path", paths=PROTECTED_PA
 def slim_packets(packets: DataFrame) -> DataFrame:
     """Full packet record -> the three converter columns (text timestamp,
     source address, length).  Input: the raw fields of ``parse_packet_lines``."""
-    raw = {"Timestamp", "SrcIP", "DstIP", "Proto", "SrcPort", "DstPort", "Length", "Flags", "line", "kind"}
+    raw = {"Timestamp", "SrcIP", "DstIP", "Proto", "SrcPort", "DstPort", "Length", "Flags", "line", "kind",
+           "n_fields"}
     keep = [c for c in packets.columns if c not in raw]
     return packets.select(*keep, F.col("Timestamp").alias("timestamp"), F.col("SrcIP").alias("src_ip"),
                           F.col("Length").alias("pkt_len"))

@@ -74,20 +74,27 @@ def parse_packet_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     the stripped line does not have exactly 8 tab-separated fields (a trailing
     empty field is lost by the strip, so such a line is malformed too),
     ``missing`` when timestamp, source address or length is empty, else ``ok``.
+
+    The split is produced by a one-row ``inline`` so that it is evaluated
+    once per line: a later ``where(kind == ...)`` is not pushed below the
+    generator, whereas through a plain projection Catalyst would inline the
+    split into every reference of the filter.
     """
-    line = strip_whitespace(F.col(line_col))
-    parts = F.split(F.col("line"), "\t", -1)
-    df = lines.withColumn("line", line).withColumn("_parts", parts)
-    fields = [F.when(F.size("_parts") == len(PACKET_TSV_COLUMNS), F.col("_parts")[i]).alias(name)
-              for i, name in enumerate(PACKET_TSV_COLUMNS)]
-    kind = (F.when((F.col("line") == "") | F.col("line").startswith("#")
-                   | F.col("line").startswith("Timestamp"), F.lit("skip"))
-            .when(F.size("_parts") != len(PACKET_TSV_COLUMNS), F.lit("malformed"))
-            .when((F.col("_parts")[0] == "") | (F.col("_parts")[1] == "")
-                  | (F.col("_parts")[6] == ""), F.lit("missing"))
-            .otherwise(F.lit("ok")))
     keep = [c for c in lines.columns if c != line_col]
-    return df.select(*keep, "line", kind.alias("kind"), *fields)
+    parts = F.split(strip_whitespace(F.col(line_col)), "\t", -1)
+    split_once = lines.select(*keep, F.inline(F.array(F.struct(parts.alias("_parts")))))
+    p = F.col("_parts")
+    n, first = F.size(p), p[0]
+    # a line starts with '#' or 'Timestamp' exactly when its first field does
+    kind = (F.when(((n == 1) & (first == "")) | first.startswith("#") | first.startswith("Timestamp"),
+                   F.lit("skip"))
+            .when(n != len(PACKET_TSV_COLUMNS), F.lit("malformed"))
+            .when((p[0] == "") | (p[1] == "") | (p[6] == ""), F.lit("missing"))
+            .otherwise(F.lit("ok")))
+    fields = [F.when(n == len(PACKET_TSV_COLUMNS), p[i]).alias(name)
+              for i, name in enumerate(PACKET_TSV_COLUMNS)]
+    return split_once.select(*keep, F.array_join(p, "\t").alias("line"), kind.alias("kind"), *fields,
+                             n.alias("n_fields"))
 
 
 def read_packet_tsv(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -119,8 +126,7 @@ def rejected_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """
     p = parse_packet_lines(lines, line_col).where(F.col("kind").isin("malformed", "missing"))
     passthrough = [c for c in lines.columns if c != line_col]
-    return p.select(*passthrough, "line", F.col("kind").alias("reason"),
-                    F.size(F.split(F.col("line"), "\t", -1)).alias("n_fields"))
+    return p.select(*passthrough, "line", F.col("kind").alias("reason"), "n_fields")
 
 
 def read_rfm_table(spark: SparkSession, path, fmt: str = "csv", schema=RFM_RAW_SCHEMA) -> DataFrame:
