@@ -247,6 +247,74 @@ def q_merge_scores(spark, sf):
     return score.merge_scores(old, new)
 
 
+# ---- streaming forms (drained with availableNow, compared with batch) ------
+
+def q_stream_packet_tsv(spark, sf):
+    from trafficscore.streaming.packets import stream_packet_tsv
+    from trafficscore.streaming.runner import drain, scratch_paths
+    out, ck = scratch_paths(spark, "packet_tsv")
+    lines = V.packet_lines_from(V.stream_table(spark, sf, "events"))
+    drain(stream_packet_tsv(lines, out, ck, trigger={"availableNow": True}, keep_cols=("line_id",)))
+    return (spark.read.schema("line_id long, timestamp string, src_ip string, pkt_len string, rotation string")
+            .option("header", "true").csv(out).select("line_id", "timestamp", "src_ip", "pkt_len"))
+
+
+def q_stream_rfm_raw(spark, sf):
+    from trafficscore.streaming.rfm import stream_rfm_raw, write_rfm_stream
+    from trafficscore.streaming.runner import drain, scratch_paths
+    out, ck = scratch_paths(spark, "rfm_raw")
+    logs = clean.exclude_static(V.access_log_from(V.stream_table(spark, sf, "events")))
+    drain(write_rfm_stream(stream_rfm_raw(logs), out, ck, now=V.EVENTS_NOW, trigger={"availableNow": True}))
+    r = spark.read.parquet(out)
+    return r.select("client_ip", _round("recency_days", 9), "frequency", _round("monetary", 4))
+
+
+def _events_with_flush(spark, sf):
+    """Events as a stream plus one derived far-future row (event id -1) that
+    moves the watermark past every real event when the stream is drained."""
+    from trafficscore.streaming.runner import scratch_paths
+    flush_dir, _ = scratch_paths(spark, "flush")
+    ev = V.table(spark, sf, "events")
+    (ev.agg(F.max("ts").alias("m"))
+     .select(F.lit(-1).cast("long").alias("event_id"), (F.col("m") + F.expr("INTERVAL 3650 DAYS")).alias("ts"),
+             F.lit(-1).cast("long").alias("user_id"), F.lit("view").alias("event_type"),
+             F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"))
+     .write.parquet(flush_dir))
+    schema = ev.schema
+    flush = spark.readStream.schema(schema).parquet(flush_dir)
+    return V.stream_table(spark, sf, "events").unionByName(flush)
+
+
+def _limited_stream(spark, sf, protected_only=False):
+    from trafficscore.streaming.ratelimit import rate_limit_stream
+    acc = V.access_log_from(_events_with_flush(spark, sf))
+    if protected_only:
+        acc = clean.protected_requests(acc)
+    return rate_limit_stream(acc, tie_col="request_id", window_seconds=LIMIT_WINDOW_S, limit=LIMIT_N,
+                             mode="event_time", delay="1 day")
+
+
+def q_stream_rate_limit(spark, sf):
+    from trafficscore.streaming.runner import drain, scratch_paths
+    out, ck = scratch_paths(spark, "rate_limit")
+    q = (_limited_stream(spark, sf).writeStream.format("parquet").option("checkpointLocation", ck)
+         .trigger(availableNow=True).start(out))
+    drain(q)
+    r = spark.read.parquet(out).where(F.col("request_id") >= 0)
+    return r.select("request_id", "client_ip", X.to_ntz("window_start").alias("window_start"),
+                    "request_count", "over_limit")
+
+
+def q_stream_decide(spark, sf):
+    from trafficscore.streaming.decide import decide_stream
+    from trafficscore.streaming.runner import drain, scratch_paths
+    out, ck = scratch_paths(spark, "decide")
+    drain(decide_stream(_limited_stream(spark, sf, protected_only=True), lambda: _lookup_table(spark, sf),
+                        out, ck, verdict_kw=VERDICT_KW, trigger={"availableNow": True}))
+    r = spark.read.parquet(out).where(F.col("request_id") >= 0)
+    return r.select("request_id", "client_ip", "request_count", "over_limit", "suspicious", "decision")
+
+
 QUERIES = {
     "compute_rfm": q_compute_rfm,
     "compute_rfm_no_monetary": q_compute_rfm_no_monetary,
@@ -279,4 +347,8 @@ QUERIES = {
     "flag_by_composite": q_flag_by_composite,
     "incremental_scores": q_incremental_scores,
     "merge_scores": q_merge_scores,
+    "stream_packet_tsv": q_stream_packet_tsv,
+    "stream_rfm_raw": q_stream_rfm_raw,
+    "stream_rate_limit": q_stream_rate_limit,
+    "stream_decide": q_stream_decide,
 }

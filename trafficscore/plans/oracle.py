@@ -317,3 +317,9 @@ SQL["merge_scores"] = _with(
     _scored("raw_new", name="new")) + """
 SELECT * FROM old WHERE src_ip NOT IN (SELECT src_ip FROM new)
 UNION ALL SELECT * FROM new"""
+
+# ---- streaming forms: same results as their batch twins -------------------------
+SQL["stream_packet_tsv"] = SQL["slim_packets"]
+SQL["stream_rfm_raw"] = SQL["compute_rfm"]
+SQL["stream_rate_limit"] = SQL["rate_limit"]
+SQL["stream_decide"] = SQL["decide_requests"]

@@ -28,6 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A driver table as a file stream (the glob keeps the base path a
+    directory while matching only this table's file)."""
+    ensure_utc(spark)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def client_ip(user_id: str = "user_id") -> F.Column:
     """user id column -> ``10.0.<id div 256>.<id mod 256>``."""
     return F.concat(F.lit("10.0."), F.expr(f"`{user_id}` div 256").cast("string"),
@@ -40,7 +51,11 @@ def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     view/click -> the protected route, error -> a static asset, else ``/``.
     ``http_body_length`` is the event value; ``request_id`` the event id.
     """
-    e = table(spark, sf_dir, "events")
+    return access_log_from(table(spark, sf_dir, "events"))
+
+
+def access_log_from(e: DataFrame) -> DataFrame:
+    """``access_log`` over any events DataFrame (batch or stream)."""
     path = (F.when(F.col("event_type").isin("view", "click"), F.lit("/sensitive-data"))
             .when(F.col("event_type") == "error", F.lit("/static/x"))
             .otherwise(F.lit("/")))
@@ -64,7 +79,11 @@ def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     some lines are damaged on purpose: ``event_id % 97 == 0`` drops the last
     field, ``% 89`` is a comment line, ``% 83`` has an empty source address.
     """
-    e = table(spark, sf_dir, "events")
+    return packet_lines_from(table(spark, sf_dir, "events"))
+
+
+def packet_lines_from(e: DataFrame) -> DataFrame:
+    """``packet_lines`` over any events DataFrame (batch or stream)."""
     eid = F.col("event_id")
     proto = (F.when(F.col("event_type") == "error", F.lit(17))
              .when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(6)))
