@@ -53,7 +53,8 @@ def conform_access_log(df: DataFrame, on_bad_ts: str = "null") -> DataFrame:
 
 def exclude_static(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Drop requests for static assets (paths starting with ``/static``)."""
-    return df.where(~F.coalesce(F.col(path_col).startswith("/static"), F.lit(False)))
+    # written as IS NULL OR NOT STARTSWITH so the file scan can take it as a pushed filter
+    return df.where(F.col(path_col).isNull() | ~F.col(path_col).startswith("/static"))
 
 
 def protected_requests(df: DataFrame, path_col: str = "path", paths=PROTECTED_PATHS,

@@ -75,7 +75,10 @@ class RankTable:
                          F.count(F.lit(1)).alias("d")).first()
         self.v = v
         self.n_nonnull, self.n_distinct = int(stats["n"]), int(stats["d"])
-        self.n_rows = df.count() if n_rows is None else n_rows
+        if n_rows is None:
+            # NULLs are not in the histogram; count them in one pass of df
+            n_rows = self.n_nonnull + df.where(F.col(v).isNull()).count()
+        self.n_rows = n_rows
         self.n_null = self.n_rows - self.n_nonnull
         self.table = _prefix_less(hist, v, self.n_distinct, local_max_distinct, n_buckets)
 
@@ -159,6 +162,7 @@ def average_percentile(df: DataFrame, v: str, out: str | None = None, method: st
         avg_rank = (F.rank().over(w_ord) - 1) + (F.count(F.lit(1)).over(Window.partitionBy(v)) + 1) / 2.0
         pct = avg_rank / F.count(v).over(w_all) * 100.0
         return df.withColumn(out, F.when(F.col(v).isNull(), F.lit(None).cast("double")).otherwise(pct))
+    df = materialize(df)   # read by the histogram and by the join back
     rt = RankTable(df, v, None, local_max_distinct, n_buckets)
     pct = (F.col("_less") + (F.col("_peers") + 1) / 2.0) / F.lit(float(max(rt.n_nonnull, 1))) * 100.0
     joined = rt.join_back(df, pct, broadcast_max_rows)
