@@ -105,3 +105,39 @@ def test_decide_requests_loopback_and_no_monetary(spark):
     out2 = {r.request_id: r for r in rules.decide_requests(log, no_m, tie_col="request_id").collect()}
     assert out2[110].decision == "allow"         # lookup cannot produce m -> allow
     assert out2[11].decision == "challenge"      # loopback override still applies
+
+
+def test_verified_clients_and_empty_ip(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=i), ip, "/sensitive-data") for ip in ("6.6.6.6", "7.7.7.7", "")
+            for i in range(12)]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    log = spark.createDataFrame(rows, "request_id long, timestamp timestamp, client_ip string, path string")
+    verified = spark.createDataFrame([("7.7.7.7",)], "client_ip string")
+    table = spark.createDataFrame([("6.6.6.6", 0.5, 60.0, 5.0), ("", 0.5, 60.0, 5.0)],
+                                  "client_ip string, recency_days double, frequency double, monetary double")
+    out = rules.decide_requests(log, table, tie_col="request_id", verified=verified,
+                                unknown_policy="suspicious").collect()
+    assert {r.client_ip for r in out} == {"6.6.6.6", ""}          # verified client bypasses the check
+    by_ip = {}
+    for r in out:
+        by_ip.setdefault(r.client_ip, set()).add(r.decision)
+    assert by_ip["6.6.6.6"] == {"allow", "challenge"} and by_ip[""] == {"allow"}
+
+
+def test_check_scores_table(spark):
+    from trafficscore.operators.score import check_scores_table
+    df = spark.createDataFrame([("a", 1, 1, 1, 111.0, "t"), ("a", 2, 2, 2, 222.0, "t"), ("b", None, 1, 1, None, "t")],
+                               "src_ip string, r_score int, f_score int, m_score int, composite_score float, "
+                               "last_updated string")
+    got = sorted((r.src_ip, r.reason) for r in check_scores_table(df).collect())
+    assert got == [("a", "duplicate key"), ("b", "null value")]
+
+
+def test_source_timezone(spark):
+    import datetime as dt
+    from trafficscore.operators.clean import clean_packets
+    df = spark.createDataFrame([("2024-01-01 12:00:00", "1.1.1.1", "5")], "timestamp string, src_ip string, pkt_len string")
+    r = clean_packets(df, source_tz="Europe/Berlin").first()
+    assert r.timestamp == dt.datetime(2024, 1, 1, 11, 0, 0)

@@ -29,15 +29,23 @@ def _is_string(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, StringType)
 
 
-def conform_access_log(df: DataFrame, on_bad_ts: str = "null") -> DataFrame:
+def localize(ts, source_tz: str | None):
+    """Wall-clock times written in ``source_tz`` -> UTC (the session zone)."""
+    return ts if not source_tz else F.to_utc_timestamp(ts, source_tz)
+
+
+def conform_access_log(df: DataFrame, on_bad_ts: str = "null", source_tz: str | None = None) -> DataFrame:
     """Typed access log with the defaults of absent fields.
 
     ``timestamp`` text is parsed (NULL when unparseable unless
-    ``on_bad_ts="error"``); ``http_body_length`` becomes a number with 0 for
-    absent; ``src_port`` stays text with ``N/A``; agent/referer default ''.
+    ``on_bad_ts="error"``) and, when the log was written in local time,
+    moved from ``source_tz`` to UTC; ``http_body_length`` becomes a number
+    with 0 for absent; ``src_port`` stays text with ``N/A``; agent/referer
+    default ''.
     """
     ts = parse_timestamp("timestamp", on_bad=on_bad_ts) if _is_string(df, "timestamp") \
         else F.col("timestamp").cast("timestamp")
+    ts = localize(ts, source_tz)
     length = F.col("http_body_length")
     if _is_string(df, "http_body_length"):
         length = length.try_cast("long")
@@ -80,14 +88,15 @@ def slim_packets(packets: DataFrame) -> DataFrame:
                           F.col("Length").alias("pkt_len"))
 
 
-def clean_packets(df: DataFrame, since: dt.datetime | None = None) -> DataFrame:
+def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: str | None = None) -> DataFrame:
     """Slim packet rows -> (timestamp, src_ip, pkt_len long) with hygiene rules.
 
     Keeps rows with a parseable timestamp, a source address and a length that
     is a non-negative integer; ``since`` adds the strict ``timestamp > since``
-    filter of the incremental job.
+    filter of the incremental job; ``source_tz`` reads local capture times.
     """
     ts = parse_timestamp("timestamp") if _is_string(df, "timestamp") else F.col("timestamp").cast("timestamp")
+    ts = localize(ts, source_tz)
     length = F.col("pkt_len").try_cast("long")
     keep = [c for c in df.columns if c not in ("timestamp", "src_ip", "pkt_len")]
     out = df.select(*keep, ts.alias("timestamp"), F.col("src_ip"), length.alias("pkt_len"))

@@ -129,8 +129,10 @@ def decide_requests(access_log: DataFrame, lookup_table: DataFrame, key_col: str
     looked = lookup_rfm(over, lookup_table, key_col=key_col, broadcast_max_rows=broadcast_max_rows)
     judged = suspicion_verdict(looked, unknown_policy=unknown_policy, **(verdict_kw or {}))
     no_monetary = "monetary" not in lookup_table.columns
-    suspicious = F.when(F.col(key_col) == LOOPBACK, F.lit(True)) \
-        .otherwise(F.lit(False) if no_monetary else F.col("suspicious"))
+    key = F.col(key_col)
+    suspicious = (F.when(key.isNull() | (key == ""), F.lit(False))   # no address: nothing to check
+                  .when(key == LOOPBACK, F.lit(True))
+                  .otherwise(F.lit(False) if no_monetary else F.col("suspicious")))
     judged = judged.withColumn("suspicious", suspicious)
     under = (limited.where(~F.col("over_limit"))
              .withColumns({"recency_days": F.lit(None).cast("double"), "frequency": F.lit(None).cast("double"),

@@ -59,3 +59,15 @@ def merge_scores(old: DataFrame, new: DataFrame, key_col: str = "src_ip") -> Dat
     Both sides hold one row per key, so the anti join's shuffle is balanced.
     """
     return old.join(new.select(key_col), on=key_col, how="left_anti").unionByName(new)
+
+
+def check_scores_table(scores: DataFrame, key_col: str = "src_ip") -> DataFrame:
+    """Rows breaking the scored table's constraints (primary key and
+    not-null scores), with the reason; empty when the table is valid.
+    The duplicate test is a grouped count (partial aggregation)."""
+    required = ("r_score", "f_score", "m_score", "last_updated")
+    nulls = scores.where(F.col(key_col).isNull() | F.greatest(*[F.col(c).isNull() for c in required]))
+    nulls = nulls.select(F.col(key_col), F.lit("null value").alias("reason"))
+    dups = (scores.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > 1).select(key_col, F.lit("duplicate key").alias("reason")))
+    return nulls.unionByName(dups)

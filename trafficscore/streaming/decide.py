@@ -19,7 +19,9 @@ def judge_batch(limited: DataFrame, table: DataFrame, key_col: str = "client_ip"
     judged = suspicion_verdict(lookup_rfm(over, table, key_col=key_col), unknown_policy=unknown_policy,
                                **(verdict_kw or {}))
     no_m = "monetary" not in table.columns
-    judged = judged.withColumn("suspicious", F.when(F.col(key_col) == LOOPBACK, F.lit(True))
+    key = F.col(key_col)
+    judged = judged.withColumn("suspicious", F.when(key.isNull() | (key == ""), F.lit(False))
+                               .when(key == LOOPBACK, F.lit(True))
                                .otherwise(F.lit(False) if no_m else F.col("suspicious")))
     under = limited.where(~F.col("over_limit")).withColumns(
         {c: F.lit(None).cast("double") for c in ("recency_days", "frequency", "monetary")}
