@@ -8,9 +8,10 @@ smaller value, so the distributed path works on the *histogram* of values:
    value shared by a third of the rows costs one row per map task);
 2. ``less(v)`` = rows with a smaller value - a prefix sum over the distinct
    values.  Few distinct values (counted, bounded) use one small window;
-   many use range buckets from ``approxQuantile``: per-bucket totals (at most
-   a few thousand rows, broadcast) give each bucket's offset, and a window
-   partitioned by bucket adds the running sum inside it;
+   many use value buckets cut by ``percentile_approx`` (computed in the same
+   job as the counts): per-bucket totals (at most ``MAX_BUCKETS`` rows,
+   broadcast) give each bucket's offset, and a window partitioned by bucket
+   adds the running sum inside it;
 3. the rank table (one row per value) is joined back on the value with a
    size-checked broadcast or a salted shuffle join.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, bucket_index, buckets_for,
+from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, bucket_index,
                                            materialize, salts_for, shuffle_partitions,
                                            size_checked_join)
 
@@ -32,6 +33,9 @@ from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, bucket_index, buc
 WINDOW_MAX_ROWS = 200_000
 # Distinct values this few get their prefix sums from one small window.
 LOCAL_MAX_DISTINCT = 1_000_000
+# Value buckets of the distributed prefix sum (the bucket test is a
+# comparison tree of this many leaves, kept small for code generation).
+MAX_BUCKETS = 256
 
 
 def _histogram(df: DataFrame, v: str) -> DataFrame:
@@ -39,16 +43,13 @@ def _histogram(df: DataFrame, v: str) -> DataFrame:
 
 
 def _prefix_less(hist: DataFrame, v: str, n_distinct: int, local_max_distinct: int,
-                 n_buckets: int | None) -> DataFrame:
+                 bounds: list | None) -> DataFrame:
     """Add ``_less``: rows (of the histogram's table) with a smaller value."""
     before = Window.orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-    if n_distinct <= local_max_distinct:
+    if n_distinct <= local_max_distinct or not bounds:
         # bounded: at most local_max_distinct rows in one window task
         return hist.withColumn("_less", F.coalesce(F.sum("_peers").over(before), F.lit(0)))
-    parts = shuffle_partitions(hist)
-    nb = n_buckets or buckets_for(n_distinct, parts)
-    probs = [i / nb for i in range(1, nb)]
-    bounds = sorted(set(hist.approxQuantile(v, probs, 1.0 / (4 * nb))))
+    bounds = sorted(set(bounds))
     hb = hist.withColumn("_b", bucket_index(F.col(v), bounds))
     # one row per bucket: the proven-small side of a broadcast join
     offsets = (hb.groupBy("_b").agg(F.sum("_peers").alias("_bt"))
@@ -71,16 +72,21 @@ class RankTable:
     def __init__(self, df: DataFrame, v: str, n_rows: int | None = None,
                  local_max_distinct: int = LOCAL_MAX_DISTINCT, n_buckets: int | None = None):
         hist = materialize(_histogram(df, v))
-        stats = hist.agg(F.coalesce(F.sum("_peers"), F.lit(0)).alias("n"),
-                         F.count(F.lit(1)).alias("d")).first()
+        # one job: sizes and, for the bucketed path, the value bounds (a
+        # mergeable quantile sketch, computed map-side like any aggregate)
+        nb = n_buckets or min(MAX_BUCKETS, 4 * shuffle_partitions(df))
+        stats = hist.agg(F.coalesce(F.sum("_peers"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d"),
+                         F.percentile_approx(F.col(v).cast("double"), [i / nb for i in range(1, max(nb, 2))],
+                                             max(10_000, 4 * nb)).alias("b")).first()
         self.v = v
         self.n_nonnull, self.n_distinct = int(stats["n"]), int(stats["d"])
+        bounds = list(stats["b"] or [])
         if n_rows is None:
             # NULLs are not in the histogram; count them in one pass of df
             n_rows = self.n_nonnull + df.where(F.col(v).isNull()).count()
         self.n_rows = n_rows
         self.n_null = self.n_rows - self.n_nonnull
-        self.table = _prefix_less(hist, v, self.n_distinct, local_max_distinct, n_buckets)
+        self.table = _prefix_less(hist, v, self.n_distinct, local_max_distinct, bounds)
 
     def hot(self, partitions: int) -> DataFrame:
         """Values shared by more rows than an average partition (salted when

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficscore.operators.ratelimit import _TS, _WS, _fold_batches, _with_outputs
-from trafficscore.plans.strategies import materialize, shuffle_partitions, size_checked_join
+from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, materialize, shuffle_partitions,
+                                           size_checked_join)
 
 _SLICE = "_slice"
 _HOT = "_hot"
@@ -66,20 +67,23 @@ def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us:
         sorted_df = base.repartition(parts, key_col).sortWithinPartitions(*order)
         return sorted_df.mapInPandas(_fold_batches([key_col], window_us, limit), schema)
 
-    rows = size_checked_join(base, hot, [key_col], how="left", n_small=n_hot)
-    rows = (rows.withColumn(_HOT, F.col("_width").isNotNull())
-            .withColumn(_SLICE, F.when(F.col(_HOT), F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")))
-                        .otherwise(F.lit(0)).cast("long"))
+    # the hot table has at most ~partitions rows (counted): broadcast it to
+    # split the input map-side into cold clients (plain fold, never written
+    # out) and hot clients (sliced, checkpointed speculative pass)
+    hot_b = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
+    cold_out = (base.join(hot_b, on=key_col, how="left_anti")
+                .repartition(parts, key_col).sortWithinPartitions(*order)
+                .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
+    rows = (base.join(hot_b, on=key_col, how="inner")
+            .withColumn(_HOT, F.lit(True))
+            .withColumn(_SLICE, F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")).cast("long"))
             .drop("_tmin", "_width"))
     run_cols = [key_col, _SLICE]
     sort_cols = run_cols + order[1:]
     spec_schema = _with_outputs(rows.schema)
     spec = (rows.repartition(parts, key_col, _SLICE).sortWithinPartitions(*sort_cols)
             .mapInPandas(_fold_batches(run_cols, window_us, limit), spec_schema))
-    spec = materialize(spec, "checkpoint")
-
-    cold_out = spec.where(~F.col(_HOT))
-    hot_spec = spec.where(F.col(_HOT))
+    hot_spec = materialize(spec, "checkpoint")
     incoming = materialize(_incoming(_exits(hot_spec, key_col, order), key_col), "checkpoint")
     repair_schema = spec_schema
     result = hot_spec

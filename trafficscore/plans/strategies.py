@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -114,8 +113,3 @@ def bucket_index(value, bounds: list[float]):
         mid = (lo + hi) // 2
         return F.when(value < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
     return build(0, len(bounds))
-
-
-def buckets_for(n_values: int, partitions: int, values_per_bucket: int = 1_000_000) -> int:
-    """Bucket count for a distributed prefix sum over ``n_values`` values."""
-    return max(2, min(4 * partitions, math.ceil(n_values / values_per_bucket)))

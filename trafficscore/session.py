@@ -47,14 +47,17 @@ def ensure_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (tests, a laptop)
-    a fresh scratch folder is created and registered, so ``checkpoint()`` and
-    written intermediate tables have a reliable home.
+    The cluster's setting always wins.  Only when it is unset and the master
+    is local (tests, a laptop) a fresh scratch folder is created and
+    registered; on a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared (distributed) folder; "
+                               "a machine-local folder does not survive executor loss")
         d = tempfile.mkdtemp(prefix="trafficscore-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
