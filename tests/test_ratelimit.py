@@ -60,6 +60,7 @@ def test_new_window_after_expiry_exact(spark):
 
 
 @pytest.mark.parametrize("kw", [dict(split_hot_clients=False), dict(split_hot_clients=True),
+                                dict(split_hot_clients=True, min_hot_rows=0),
                                 dict(split_hot_clients=True, hot_rows=50)])
 def test_matches_brute_force(spark, kw):
     rnd = random.Random(3)
@@ -107,3 +108,13 @@ def test_fixture_counts(spark, sf, expected):
     out = rate_limit_batch(V.access_log(spark, sf), tie_col="request_id", window_seconds=86_400, limit=3)
     agg = out.agg(F.sum(F.col("over_limit").cast("int")).alias("o"), F.count("*").alias("n")).first()
     assert (agg.o, agg.n) == expected
+
+
+def test_dense_hot_client_needs_sequential_tail(spark):
+    """Evenly spaced requests: the window phase of a slice that starts fresh
+    never re-aligns, so only the sequential tail makes the result exact."""
+    rows = [("flood", i * 7_000_000, i) for i in range(1200)] + [("x", i * 61_000_000, 5000 + i) for i in range(30)]
+    want = brute(rows, 60_000_000, 5)
+    got = _run(spark, rows, limit=5, hot_rows=150)
+    assert {k: (v.request_count, v.over_limit) for k, v in got.items()} == \
+        {k: (c, o) for k, (_, c, o) in want.items()}

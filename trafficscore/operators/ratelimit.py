@@ -147,19 +147,23 @@ def _with_outputs(schema: StructType) -> StructType:
 def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
                      tie_col: str | None = None, window_seconds: float = WINDOW_SECONDS,
                      limit: int = MAX_REQUESTS, partitions: int | None = None,
-                     split_hot_clients: bool = True, hot_rows: int | None = None) -> DataFrame:
+                     split_hot_clients: bool = True, hot_rows: int | None = None,
+                     min_hot_rows: int | None = None) -> DataFrame:
     """Add ``window_start`` (timestamp), ``request_count`` and ``over_limit``.
 
     Requests are ordered by time, then by ``tie_col`` (e.g. a request id) so
     equal timestamps fold deterministically.  Rows with a NULL timestamp are
-    not requests and are dropped.
+    not requests and are dropped.  Clients with more rows than an average
+    partition and at least ``min_hot_rows`` are sliced (``hot_rows`` sets the
+    slice size directly); see ``ratelimit_split``.
     """
     window_us = int(round(window_seconds * 1_000_000))
     base = df.where(F.col(ts_col).isNotNull()).withColumn(_TS, epoch_micros(ts_col))
     order = [key_col, _TS] + ([tie_col] if tie_col else [])
     if split_hot_clients:
         from trafficscore.operators.ratelimit_split import rate_limit_split
-        out = rate_limit_split(base, key_col, order, window_us, limit, partitions, hot_rows)
+        kw = {} if min_hot_rows is None else {"min_hot_rows": min_hot_rows}
+        out = rate_limit_split(base, key_col, order, window_us, limit, partitions, hot_rows, **kw)
     else:
         parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         sorted_df = base.repartition(parts, key_col).sortWithinPartitions(*order)

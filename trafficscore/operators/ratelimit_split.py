@@ -1,117 +1,167 @@
-"""Exact, parallel anchored limiter when a few clients own most requests.
-
-A client with more rows than an average shuffle partition (at most
-``partitions`` such clients exist, so the table of them is small and
-broadcast) is cut into time slices, each folded by its own task:
-
-1. *speculative pass*: every (client, slice) run is folded as if the client
-   started fresh at the slice; the result is checkpointed to the shared
-   checkpoint folder (reliable, lineage cut);
-2. *repair rounds*: the exit state (window start, count) of each slice -
-   one row per slice, a bounded table - becomes the incoming state of the
-   next slice; each slice is re-folded from it only until its fold opens a
-   window where the speculative fold did (from there both agree).  When no
-   slice's incoming state changes between two rounds the result is exact.
-   Each round fixes at least one more slice, and normally one round
-   suffices because folds re-align within the first windows of a slice.
-
-Other clients keep the single-run fold (slice 0), so nothing changes for
-them.  No row is dropped or sampled; the hot client is split, not capped.
+"""Exact anchored limiter when a few clients own a large share of the rows.
+
+A client is *hot* when it has more rows than an average shuffle partition
+and at least ``min_hot_rows`` (so a single task would have to sort and fold
+an outsized run).  At most ``partitions`` clients can be hot, so the table of
+them is small, counted and broadcast.  Cold clients take the plain fold.
+
+A hot client is cut into time slices that are sorted and folded by separate
+tasks:
+
+1. *speculative pass* (parallel): every (client, slice) run is folded as if
+   the client started fresh at the slice.  The result is written as a
+   table partitioned by slice under ``spark.checkpoint.dir`` (shared
+   storage, lineage cut);
+2. *repair round* (parallel): each slice is re-folded from the exit state
+   (window start, count) of the previous slice, only until its fold opens a
+   window where the speculative fold did - from there both agree.  Bursty
+   traffic (gaps longer than the window) re-aligns at the first gap, so this
+   one round usually makes every slice exact;
+3. *sequential tail*: a slice whose incoming state still differs from the
+   final exit of its predecessor is re-folded, always the first such slice
+   of each client per round (its incoming state is final by then).  Dense
+   traffic whose window phase never re-aligns needs this; each round reads
+   only the slices it repairs (partition pruning), so the total work stays
+   one pass over the hot rows.
+
+Slice summaries (one row per slice, bounded by the slice count) are kept
+on the driver to schedule the rounds; rows never leave the executors.
+Nothing is dropped, capped or sampled.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trafficscore.operators.ratelimit import _TS, _WS, _fold_batches, _with_outputs
-from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, materialize, shuffle_partitions,
-                                           size_checked_join)
+from trafficscore.plans.strategies import BROADCAST_MAX_ROWS, shuffle_partitions
+from trafficscore.session import checkpoint_dir
 
 _SLICE = "_slice"
-_HOT = "_hot"
+_VER = "_version"
+# A client below this many rows is never sliced: one task sorts and folds it.
+MIN_HOT_ROWS = 5_000_000
 
 
-def _exits(df: DataFrame, key_col: str, order: list[str]) -> DataFrame:
-    """Last (window start, count) of every slice of every hot client."""
-    last = F.max_by(F.struct(F.col(_WS).alias("ws"), F.col("request_count").alias("cnt")),
-                    F.struct(*[F.col(c) for c in order[1:]]))
-    return df.where(F.col(_HOT)).groupBy(key_col, _SLICE).agg(last.alias("e"))
+def _with_in(schema: StructType) -> StructType:
+    return StructType(list(schema.fields) + [StructField("_in_ws", LongType()), StructField("_in_cnt", LongType())])
 
 
-def _incoming(exits: DataFrame, key_col: str) -> DataFrame:
-    """State entering each slice = exit of the previous non-empty slice."""
-    w = Window.partitionBy(key_col).orderBy(_SLICE)
-    return exits.select(key_col, _SLICE, F.lag(F.col("e.ws")).over(w).alias("_in_ws"),
-                        F.lag(F.col("e.cnt")).over(w).alias("_in_cnt"))
+def _exits(df: DataFrame, key_col: str, order: list[str]) -> dict:
+    """{(client, slice): (ws, cnt)} - last state of every slice in ``df``."""
+    last = F.max_by(F.struct(F.col(_WS).alias("ws"), F.col("request_count").alias("cnt")),
+                    F.struct(*[F.col(c) for c in order[1:]]))
+    rows = df.groupBy(key_col, _SLICE).agg(last.alias("e")).collect()
+    return {(r[key_col], r[_SLICE]): (r["e"]["ws"], r["e"]["cnt"]) for r in rows}
 
 
 def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us: int, limit: int,
                      partitions: int | None = None, hot_rows: int | None = None,
-                     max_rounds: int = 64) -> DataFrame:
+                     min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     spark = base.sparkSession
     parts = partitions or shuffle_partitions(base)
-    stats = materialize(base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"),
-                                                  F.min(_TS).alias("_tmin"), F.max(_TS).alias("_tmax")))
-    n_total = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    per_slice = hot_rows or max(1, math.ceil(n_total / parts))
+    # per-client sizes and time span: one pre-aggregated pass, kept for reuse
+    stats = base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"), F.min(_TS).alias("_tmin"),
+                                      F.max(_TS).alias("_tmax")).persist()
+    schema = _with_outputs(base.schema)
+    per_slice = hot_rows
+    if per_slice is None:
+        n_total = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        per_slice = max(math.ceil(n_total / parts), min_hot_rows)
     n_slices = F.ceil(F.col("_n") / F.lit(per_slice))
     width = F.greatest(F.lit(window_us), F.ceil((F.col("_tmax") - F.col("_tmin") + 1) / n_slices)).cast("long")
     hot = stats.where(F.col("_n") > per_slice).select(key_col, "_tmin", width.alias("_width"))
+    hot = hot.persist()
     n_hot = hot.count()
-    schema = _with_outputs(base.schema)
-
+    stats.unpersist()
     if n_hot == 0:
-        sorted_df = base.repartition(parts, key_col).sortWithinPartitions(*order)
-        return sorted_df.mapInPandas(_fold_batches([key_col], window_us, limit), schema)
+        hot.unpersist()
+        return (base.repartition(parts, key_col).sortWithinPartitions(*order)
+                .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
 
-    # the hot table has at most ~partitions rows (counted): broadcast it to
-    # split the input map-side into cold clients (plain fold, never written
-    # out) and hot clients (sliced, checkpointed speculative pass)
     hot_b = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
     cold_out = (base.join(hot_b, on=key_col, how="left_anti")
                 .repartition(parts, key_col).sortWithinPartitions(*order)
                 .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
     rows = (base.join(hot_b, on=key_col, how="inner")
-            .withColumn(_HOT, F.lit(True))
             .withColumn(_SLICE, F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")).cast("long"))
             .drop("_tmin", "_width"))
     run_cols = [key_col, _SLICE]
     sort_cols = run_cols + order[1:]
     spec_schema = _with_outputs(rows.schema)
-    spec = (rows.repartition(parts, key_col, _SLICE).sortWithinPartitions(*sort_cols)
-            .mapInPandas(_fold_batches(run_cols, window_us, limit), spec_schema))
-    hot_spec = materialize(spec, "checkpoint")
-    incoming = materialize(_incoming(_exits(hot_spec, key_col, order), key_col), "checkpoint")
-    repair_schema = spec_schema
-    result = hot_spec
-    for _ in range(max_rounds):
-        n_in = incoming.count()
-        fed = size_checked_join(hot_spec, incoming, run_cols, how="left", n_small=n_in)
-        fed = fed.sortWithinPartitions(*sort_cols)
-        result = materialize(fed.mapInPandas(_fold_batches(run_cols, window_us, limit, repair=True),
-                                             _with_in(repair_schema)).drop("_in_ws", "_in_cnt"),
-                             "checkpoint")
-        nxt = materialize(_incoming(_exits(result, key_col, order), key_col), "checkpoint")
-        changed = (nxt.alias("n").join(incoming.alias("o"), run_cols, "full_outer")
-                   .where(~(F.col("n._in_ws").eqNullSafe(F.col("o._in_ws"))
-                            & F.col("n._in_cnt").eqNullSafe(F.col("o._in_cnt")))).limit(1).count())
-        incoming = nxt
-        if changed == 0:
-            break
-    else:
-        # still moving after max_rounds: finish the hot clients with one
-        # sequential fold per client (exact, slower)
-        seq = (hot_spec.drop(_WS, "request_count", "over_limit")
-               .repartition(parts, key_col).sortWithinPartitions(*order)
-               .mapInPandas(_fold_batches([key_col], window_us, limit), spec_schema))
-        result = seq
-    cols = [c for c in schema.fieldNames()]
-    return cold_out.select(*cols).unionByName(result.select(*cols))
-
-
-def _with_in(schema):
-    from pyspark.sql.types import LongType, StructField, StructType
-    return StructType(list(schema.fields) + [StructField("_in_ws", LongType()), StructField("_in_cnt", LongType())])
+    fold_fresh = _fold_batches(run_cols, window_us, limit)
+    fold_repair = _fold_batches(run_cols, window_us, limit, repair=True)
+
+    # 1. speculative pass, written partitioned by slice on shared storage
+    home = f"{checkpoint_dir(spark).rstrip('/')}/ratelimit-{uuid.uuid4().hex}"
+    (rows.repartition(parts, key_col, _SLICE).sortWithinPartitions(*sort_cols)
+     .mapInPandas(fold_fresh, spec_schema).withColumn(_VER, F.lit(0))
+     .write.partitionBy(_SLICE).parquet(f"{home}/v0"))
+    spec = spark.read.parquet(f"{home}/v0")
+    key_type = base.schema[key_col].dataType
+
+    exits = _exits(spec, key_col, order)                 # bounded: one entry per slice
+    slices: dict = {}
+    for k, s in exits:
+        slices.setdefault(k, []).append(s)
+    for k in slices:
+        slices[k].sort()
+    assumed = {ks: None for ks in exits}                 # incoming state each result assumed
+    version = {ks: 0 for ks in exits}
+    tables = [f"{home}/v0"]
+
+    def refold(todo: dict, round_no: int) -> None:
+        """Re-fold the (client, slice) runs in ``todo`` from their incoming
+        state; reads only those slices, writes them as version ``round_no``."""
+        feed = spark.createDataFrame([(k, s, ws, c) for (k, s), (ws, c) in todo.items()],
+                                     StructType([StructField(key_col, key_type), StructField(_SLICE, LongType()),
+                                                 StructField("_in_ws", LongType()),
+                                                 StructField("_in_cnt", LongType())]))
+        src = spark.read.parquet(tables[0]).where(F.col(_SLICE).isin(sorted({s for _, s in todo})))
+        out = (src.drop(_VER).join(F.broadcast(feed), on=run_cols, how="inner")
+               .repartition(parts, key_col, _SLICE).sortWithinPartitions(*sort_cols)
+               .mapInPandas(fold_repair, _with_in(spec_schema)).drop("_in_ws", "_in_cnt")
+               .withColumn(_VER, F.lit(round_no)))
+        path = f"{home}/v{round_no}"
+        out.write.partitionBy(_SLICE).parquet(path)
+        tables.append(path)
+        new_exits = _exits(spark.read.parquet(path), key_col, order)
+        for ks in todo:
+            assumed[ks] = todo[ks]
+            version[ks] = round_no
+            exits[ks] = new_exits[ks]
+
+    def inconsistent(first_only: bool) -> dict:
+        todo = {}
+        for k, ss in slices.items():
+            for prev, s in zip(ss, ss[1:]):
+                want = exits[(k, prev)]
+                if assumed[(k, s)] != want:
+                    todo[(k, s)] = want
+                    if first_only:
+                        break
+        return todo
+
+    # 2. one parallel repair round over every slice, 3. sequential tail
+    round_no = 1
+    todo = inconsistent(first_only=False)
+    while todo:
+        refold(todo, round_no)
+        round_no += 1
+        todo = inconsistent(first_only=True)
+
+    final = spark.createDataFrame([(k, s, v) for (k, s), v in version.items()],
+                                  StructType([StructField(key_col, key_type), StructField(_SLICE, LongType()),
+                                              StructField(_VER, LongType())]))
+    hot_out = None
+    for i, path in enumerate(tables):
+        part = spark.read.parquet(path).join(F.broadcast(final.where(F.col(_VER) == i)), on=run_cols + [_VER])
+        hot_out = part if hot_out is None else hot_out.unionByName(part)
+    hot.unpersist()
+    cols = schema.fieldNames()
+    return cold_out.select(*cols).unionByName(hot_out.select(*cols))

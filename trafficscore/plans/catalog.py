@@ -92,6 +92,23 @@ def q_rate_limit(spark, sf):
                       "request_count", "over_limit")
 
 
+SUBNET_WINDOW_S, SUBNET_N = 3_600, 20
+
+
+def q_rate_limit_subnet(spark, sf):
+    """The limiter keyed by /24 network instead of address.  Few networks
+    carry all traffic (at sf0.01 a single one holds every row), so this runs
+    the sliced fold with boundary repair for hot keys."""
+    acc = V.access_log(spark, sf).withColumn(
+        "subnet", F.concat(F.regexp_extract("client_ip", r"^(\d+\.\d+\.\d+)\.", 1), F.lit(".0/24")))
+    # slices of 2,000 rows: the hot-network path runs at every scale and
+    # whatever the session's partition count
+    out = rate_limit_batch(acc, key_col="subnet", tie_col="request_id", window_seconds=SUBNET_WINDOW_S,
+                           limit=SUBNET_N, hot_rows=2_000)
+    return out.select("request_id", "subnet", X.to_ntz("window_start").alias("window_start"),
+                      "request_count", "over_limit")
+
+
 def q_decide_requests(spark, sf):
     out = rules.decide_requests(V.access_log(spark, sf), _lookup_table(spark, sf), tie_col="request_id",
                                 window_seconds=LIMIT_WINDOW_S, limit=LIMIT_N, verdict_kw=VERDICT_KW)
@@ -325,6 +342,7 @@ QUERIES = {
     "suspicion_verdict": q_suspicion_verdict,
     "lookup_rfm": q_lookup_rfm,
     "rate_limit": q_rate_limit,
+    "rate_limit_subnet": q_rate_limit_subnet,
     "decide_requests": q_decide_requests,
     "conform_access_log": q_conform_access_log,
     "parse_timestamp": q_parse_timestamp,

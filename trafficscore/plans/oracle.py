@@ -118,6 +118,13 @@ SQL["rate_limit"] = _with(ACCESS_LOG, _limiter("access_log", C.LIMIT_WINDOW_S),
 SELECT request_id, client_ip, make_timestamp(ws) AS window_start, cnt AS request_count,
        cnt > {C.LIMIT_N} AS over_limit FROM fold"""
 
+SQL["rate_limit_subnet"] = "WITH RECURSIVE " + ACCESS_LOG + f""",
+subnets AS (SELECT request_id, "timestamp", regexp_extract(client_ip, '^(\\d+\\.\\d+\\.\\d+)\\.', 1) || '.0/24' AS client_ip
+            FROM access_log),
+{_limiter("subnets", C.SUBNET_WINDOW_S)}
+SELECT request_id, client_ip AS subnet, make_timestamp(ws) AS window_start, cnt AS request_count,
+       cnt > {C.SUBNET_N} AS over_limit FROM fold"""
+
 _unknown = _verdict("-1", "-1", "-1")
 SQL["decide_requests"] = _with(
     ACCESS_LOG, ACCESS, _rfm_cte("rfm_all", "access", V.EVENTS_NOW), LOOKUP,
