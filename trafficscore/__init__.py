@@ -6,6 +6,6 @@ request decision built from them -- all as DataFrame plans, batch and
 Structured Streaming.
 """
 
-from trafficscore.session import build_session, checkpoint_dir, ensure_utc
+from trafficscore.session import build_session, checkpoint_dir, ensure_utc, ship_package
 
-__all__ = ["build_session", "checkpoint_dir", "ensure_utc"]
+__all__ = ["build_session", "checkpoint_dir", "ensure_utc", "ship_package"]

@@ -39,7 +39,9 @@ MAX_BUCKETS = 256
 
 
 def _histogram(df: DataFrame, v: str) -> DataFrame:
-    return df.where(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias("_peers"))
+    """Rows per value; the NULL group is kept so NULLs are counted in the
+    same pass (it is dropped before prefix sums and joins)."""
+    return df.groupBy(v).agg(F.count(F.lit(1)).alias("_peers"))
 
 
 def _prefix_less(hist: DataFrame, v: str, n_distinct: int, local_max_distinct: int,
@@ -71,21 +73,22 @@ class RankTable:
 
     def __init__(self, df: DataFrame, v: str, n_rows: int | None = None,
                  local_max_distinct: int = LOCAL_MAX_DISTINCT, n_buckets: int | None = None):
-        hist = materialize(_histogram(df, v))
-        # one job: sizes and, for the bucketed path, the value bounds (a
-        # mergeable quantile sketch, computed map-side like any aggregate)
+        full = materialize(_histogram(df, v))
+        # one job: sizes, NULL count and, for the bucketed path, the value
+        # bounds (a mergeable quantile sketch, computed like any aggregate)
         nb = n_buckets or min(MAX_BUCKETS, 4 * shuffle_partitions(df))
-        stats = hist.agg(F.coalesce(F.sum("_peers"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d"),
+        known = F.col(v).isNotNull()
+        stats = full.agg(F.coalesce(F.sum(F.when(known, F.col("_peers"))), F.lit(0)).alias("n"),
+                         F.coalesce(F.sum(F.when(~known, F.col("_peers"))), F.lit(0)).alias("nulls"),
+                         F.count(v).alias("d"),
                          F.percentile_approx(F.col(v).cast("double"), [i / nb for i in range(1, max(nb, 2))],
                                              max(10_000, 4 * nb)).alias("b")).first()
         self.v = v
         self.n_nonnull, self.n_distinct = int(stats["n"]), int(stats["d"])
         bounds = list(stats["b"] or [])
-        if n_rows is None:
-            # NULLs are not in the histogram; count them in one pass of df
-            n_rows = self.n_nonnull + df.where(F.col(v).isNull()).count()
-        self.n_rows = n_rows
+        self.n_rows = self.n_nonnull + int(stats["nulls"]) if n_rows is None else n_rows
         self.n_null = self.n_rows - self.n_nonnull
+        hist = full.where(known)
         self.table = _prefix_less(hist, v, self.n_distinct, local_max_distinct, bounds)
 
     def hot(self, partitions: int) -> DataFrame:

@@ -157,6 +157,8 @@ def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "t
     partition and at least ``min_hot_rows`` are sliced (``hot_rows`` sets the
     slice size directly); see ``ratelimit_split``.
     """
+    from trafficscore.session import ship_package
+    ship_package(df.sparkSession)
     window_us = int(round(window_seconds * 1_000_000))
     base = df.where(F.col(ts_col).isNotNull()).withColumn(_TS, epoch_micros(ts_col))
     order = [key_col, _TS] + ([tie_col] if tie_col else [])

@@ -3,7 +3,8 @@
 A client is *hot* when it has more rows than an average shuffle partition
 and at least ``min_hot_rows`` (so a single task would have to sort and fold
 an outsized run).  At most ``partitions`` clients can be hot, so the table of
-them is small, counted and broadcast.  Cold clients take the plain fold.
+them is small and broadcast; it is found in the same aggregation pass that
+counts the rows.  Cold clients take the plain fold.
 
 A hot client is cut into time slices that are sorted and folded by separate
 tasks:
@@ -65,25 +66,29 @@ def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us:
                      min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     spark = base.sparkSession
     parts = partitions or shuffle_partitions(base)
-    # per-client sizes and time span: one pre-aggregated pass, kept for reuse
+    # one pre-aggregated pass: total rows and the clients big enough to be
+    # hot candidates (at most total / threshold of them, so the list is bounded)
+    floor_rows = hot_rows if hot_rows is not None else min_hot_rows
     stats = base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"), F.min(_TS).alias("_tmin"),
-                                      F.max(_TS).alias("_tmax")).persist()
+                                      F.max(_TS).alias("_tmax"))
+    cand = F.when(F.col("_n") > floor_rows, F.struct(key_col, "_n", "_tmin", "_tmax"))
+    summary = stats.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.collect_list(cand).alias("c")).first()
     schema = _with_outputs(base.schema)
-    per_slice = hot_rows
-    if per_slice is None:
-        n_total = stats.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        per_slice = max(math.ceil(n_total / parts), min_hot_rows)
-    n_slices = F.ceil(F.col("_n") / F.lit(per_slice))
-    width = F.greatest(F.lit(window_us), F.ceil((F.col("_tmax") - F.col("_tmin") + 1) / n_slices)).cast("long")
-    hot = stats.where(F.col("_n") > per_slice).select(key_col, "_tmin", width.alias("_width"))
-    hot = hot.persist()
-    n_hot = hot.count()
-    stats.unpersist()
+    per_slice = hot_rows if hot_rows is not None else max(math.ceil(summary["n"] / parts), min_hot_rows)
+    hot_rows_list = []
+    for c in summary["c"]:
+        if c["_n"] > per_slice:
+            n_slices = math.ceil(c["_n"] / per_slice)
+            width = max(window_us, math.ceil((c["_tmax"] - c["_tmin"] + 1) / n_slices))
+            hot_rows_list.append((c[key_col], int(c["_tmin"]), int(width)))
+    n_hot = len(hot_rows_list)
     if n_hot == 0:
-        hot.unpersist()
         return (base.repartition(parts, key_col).sortWithinPartitions(*order)
                 .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
-
+    key_type = base.schema[key_col].dataType
+    hot = spark.createDataFrame(hot_rows_list, StructType([StructField(key_col, key_type),
+                                                           StructField("_tmin", LongType()),
+                                                           StructField("_width", LongType())]))
     hot_b = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
     cold_out = (base.join(hot_b, on=key_col, how="left_anti")
                 .repartition(parts, key_col).sortWithinPartitions(*order)
@@ -103,7 +108,6 @@ def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us:
      .mapInPandas(fold_fresh, spec_schema).withColumn(_VER, F.lit(0))
      .write.partitionBy(_SLICE).parquet(f"{home}/v0"))
     spec = spark.read.parquet(f"{home}/v0")
-    key_type = base.schema[key_col].dataType
 
     exits = _exits(spec, key_col, order)                 # bounded: one entry per slice
     slices: dict = {}
@@ -162,6 +166,5 @@ def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us:
     for i, path in enumerate(tables):
         part = spark.read.parquet(path).join(F.broadcast(final.where(F.col(_VER) == i)), on=run_cols + [_VER])
         hot_out = part if hot_out is None else hot_out.unionByName(part)
-    hot.unpersist()
     cols = schema.fieldNames()
     return cold_out.select(*cols).unionByName(hot_out.select(*cols))

@@ -89,6 +89,8 @@ def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str
                       delay: str = "10 minutes") -> DataFrame:
     """Streaming limiter.  Output (append mode): ``key, <tie_col>, timestamp,
     window_start, request_count, over_limit`` per request."""
+    from trafficscore.session import ship_package
+    ship_package(stream.sparkSession)
     window_us = int(round(window_seconds * 1_000_000))
     tie = F.col(tie_col).cast("long") if tie_col else F.lit(0).cast("long")
     s = stream.where(F.col(ts_col).isNotNull())
