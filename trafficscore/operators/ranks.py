@@ -89,7 +89,8 @@ class RankTable:
         self.n_rows = self.n_nonnull + int(stats["nulls"]) if n_rows is None else n_rows
         self.n_null = self.n_rows - self.n_nonnull
         hist = full.where(known)
-        self.table = _prefix_less(hist, v, self.n_distinct, local_max_distinct, bounds)
+        # read up to three times by the join back (hot values, both join sides)
+        self.table = materialize(_prefix_less(hist, v, self.n_distinct, local_max_distinct, bounds))
 
     def hot(self, partitions: int) -> DataFrame:
         """Values shared by more rows than an average partition (salted when

@@ -91,7 +91,7 @@ def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
 
     if hot is None:
         parts = shuffle_partitions(big)
-        hot = hot_keys(big, keys, big.count() if n_big is None else n_big, parts)
+        hot = materialize(hot_keys(big, keys, big.count() if n_big is None else n_big, parts))
     row_cols = salt_row_cols or big.columns
     salted_big = (big.join(F.broadcast(hot), on=keys, how="left")
                   .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
