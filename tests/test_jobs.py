@@ -89,3 +89,18 @@ def test_merge_scores(spark):
     new = spark.createDataFrame([("b", 9), ("c", 3)], "src_ip string, r_score int")
     got = {r.src_ip: r.r_score for r in score.merge_scores(old, new).collect()}
     assert got == {"a": 1, "b": 9, "c": 3}
+
+
+def test_released_after_drops_cached_tables(spark):
+    from trafficscore.plans.strategies import materialize, released_after
+    with released_after():
+        df = materialize(spark.range(100))
+        df.count()
+        assert df.is_cached
+    assert not df.is_cached
+
+
+def test_empty_log_folder(spark, scratch):
+    empty = os.path.join(scratch, "none")
+    os.makedirs(empty)
+    assert jobs.refresh_rfm(spark, empty, os.path.join(scratch, "out"), now=NOW) == 0

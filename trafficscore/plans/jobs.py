@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trafficscore.operators.clean import clean_packets, conform_access_log, exclude_static
 from trafficscore.operators.rfm import compute_rfm, rfm_raw_packets
 from trafficscore.operators.score import score_rfm
-from trafficscore.plans.strategies import materialize
+from trafficscore.plans.strategies import materialize, released_after
 from trafficscore.schemas import ACCESS_ROLES, ColumnRoles
 from trafficscore.session import ensure_utc
 from trafficscore.sources.hwm import load_high_water_mark, save_high_water_mark
@@ -48,8 +48,9 @@ def refresh_rfm(spark: SparkSession, log_path: str | DataFrame, output_path: str
     now = now or _utcnow()
     rfm = compute_rfm(logs, now, ts_col=roles.ts_col, key_col=roles.key_col, monetary_col=roles.monetary_col)
     obs = Observation("rfm_rows")
-    write_rfm_table(rfm.observe(obs, F.count(F.lit(1)).alias("rows")), output_path, fmt=fmt,
-                    single_file=single_file)
+    with released_after():
+        write_rfm_table(rfm.observe(obs, F.count(F.lit(1)).alias("rows")), output_path, fmt=fmt,
+                        single_file=single_file)
     rows = obs.get["rows"]
     log.info("RFM table saved (%d rows)", rows)
     return rows
@@ -68,21 +69,22 @@ def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir:
     it is lost).  Returns the snapshot path, or None when nothing was new.
     """
     ensure_utc(spark)
+    if hwm not in ("run_time", "event_max"):
+        raise ValueError("hwm must be 'run_time' or 'event_max'")
     since = load_high_water_mark(spark, hwm_path)
     raw = read_packet_csv(spark, log_path) if isinstance(log_path, str) else log_path
-    logs = materialize(clean_packets(raw, since=since))
-    if logs.isEmpty():
-        log.info("no new rows since %s", since.isoformat())
-        return None
-    now = now or _utcnow()
-    scores = score_rfm(rfm_raw_packets(logs, now), last_updated=now.isoformat(), rank_method=rank_method)
-    path = write_scores_snapshot(scores, output_dir, now, single_file=single_file, fmt=fmt)
-    if hwm == "event_max":
-        us = logs.agg(F.unix_micros(F.max(F.col("timestamp").cast("timestamp")))).first()[0]
-        mark = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=us)
-    elif hwm == "run_time":
-        mark = now
-    else:
-        raise ValueError("hwm must be 'run_time' or 'event_max'")
+    with released_after():
+        logs = materialize(clean_packets(raw, since=since))
+        if logs.isEmpty():
+            log.info("no new rows since %s", since.isoformat())
+            return None
+        now = now or _utcnow()
+        scores = score_rfm(rfm_raw_packets(logs, now), last_updated=now.isoformat(), rank_method=rank_method)
+        path = write_scores_snapshot(scores, output_dir, now, single_file=single_file, fmt=fmt)
+        if hwm == "event_max":
+            us = logs.agg(F.unix_micros(F.max(F.col("timestamp").cast("timestamp")))).first()[0]
+            mark = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(microseconds=us)
+        else:
+            mark = now
     save_high_water_mark(spark, hwm_path, mark)
     return path

@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -22,6 +24,24 @@ from trafficscore.session import checkpoint_dir
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def released_after():
+    """Unpersist every table ``materialize`` persisted inside the block.
+
+    Jobs and micro-batches wrap their action in it, so a long-running
+    stream does not accumulate cached tables batch after batch.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            df.unpersist()
+
+
 def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     """Keep ``df`` for reuse by several actions.
 
@@ -31,7 +51,10 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     ``none``: no-op.
     """
     if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if _SCOPES:
+            _SCOPES[-1].append(out)
+        return out
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)

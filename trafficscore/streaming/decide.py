@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trafficscore.operators.rules import LOOPBACK, lookup_rfm, suspicion_verdict
+from trafficscore.plans.strategies import released_after
 
 
 def judge_batch(limited: DataFrame, table: DataFrame, key_col: str = "client_ip", verdict_kw: dict | None = None,
@@ -40,9 +41,10 @@ def decide_stream(limited: DataFrame, table_loader: Callable[[], DataFrame], out
     (dynamic partition overwrite), so a batch replayed after a failure does
     not duplicate rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (judge_batch(batch, table_loader(), key_col, verdict_kw).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
-         .partitionBy("batch_id").save(output_path))
+        with released_after():      # tables cached for this batch are dropped after it
+            (judge_batch(batch, table_loader(), key_col, verdict_kw).withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+             .partitionBy("batch_id").save(output_path))
 
     return (limited.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
             .trigger(**(trigger or {"processingTime": "1 second"})).start())
