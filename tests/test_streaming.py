@@ -107,9 +107,27 @@ def test_packet_converter_stream(spark, scratch):
     V.packet_lines(spark, SF001).select("value").coalesce(2).write.text(src)
     lines = spark.readStream.format("text").load(src)
     out = os.path.join(scratch, "csv")
-    drain(stream_packet_tsv(lines, out, os.path.join(scratch, "ck"), trigger={"availableNow": True}))
+    q = stream_packet_tsv(lines, out, os.path.join(scratch, "ck"), trigger={"availableNow": True})
+    drain(q)
+    seen = {}
+    for p in q.recentProgress:
+        for k, v in (p.observedMetrics.get("packet_lines") or {}).asDict().items():
+            seen[k] = seen.get(k, 0) + (v or 0)
     back = spark.read.option("header", "true").csv(out)
+    assert seen["ok"] == back.count() and seen["malformed"] > 0 and seen["missing"] > 0 and seen["skip"] > 0
     assert back.columns == ["timestamp", "src_ip", "pkt_len", "rotation"]
     from trafficscore.sources.logs import read_packet_tsv
     assert back.count() == read_packet_tsv(spark.read.text(src)).count()
     assert back.where(~F.col("rotation").startswith("netlog_")).count() == 0
+
+
+def test_access_log_stream_sink(spark, scratch):
+    from trafficscore.streaming.packets import stream_access_log
+    folder = os.path.join(scratch, "in")
+    _write_files(spark, folder)
+    out = os.path.join(scratch, "log")
+    drain(stream_access_log(_stream(spark, folder, per_trigger=3), out, os.path.join(scratch, "ck"),
+                            trigger={"availableNow": True}))
+    back = spark.read.option("header", "true").csv(out)
+    assert back.columns == ["request_id", "timestamp", "client_ip", "path"]
+    assert back.count() == 1001          # every request plus the flush row

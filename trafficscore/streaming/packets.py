@@ -27,8 +27,15 @@ def read_packet_tsv_stream(spark: SparkSession, input_dir: str, max_files_per_tr
 
 def slim_packet_stream(lines: DataFrame, line_col: str = "value", start_ts: dt.datetime | str | None = None) -> DataFrame:
     """Good lines only, narrowed to ``timestamp, src_ip, pkt_len`` (text, as
-    the converter writes them) plus the rotation bucket of each packet."""
-    ok = parse_packet_lines(lines, line_col).where(F.col("kind") == "ok")
+    the converter writes them) plus the rotation bucket of each packet.
+
+    Per micro-batch line counts by kind (ok / malformed / missing / skip)
+    are reported as observed metrics ``packet_lines`` in the query progress,
+    in place of a log line per rejected line."""
+    parsed = parse_packet_lines(lines, line_col).observe(
+        "packet_lines", *[F.sum((F.col("kind") == k).cast("long")).alias(k)
+                          for k in ("ok", "malformed", "missing", "skip")])
+    ok = parsed.where(F.col("kind") == "ok")
     slim = slim_packets(ok)
     ts = parse_timestamp(F.col("timestamp"), patterns=(PACKET_TS_PATTERN,))
     if start_ts is not None:
@@ -52,4 +59,12 @@ def stream_packet_tsv(lines: DataFrame, output_path: str, checkpoint: str, trigg
     return w.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start(output_path)
 
 
-__all__ = ["read_packet_tsv_stream", "slim_packet_stream", "stream_packet_tsv", "rotation_bucket_expr"]
+__all__ = ["read_packet_tsv_stream", "slim_packet_stream", "stream_packet_tsv", "rotation_bucket_expr",
+           "stream_access_log"]
+
+
+def stream_access_log(requests: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append request rows to the access-log folder as CSV with a header
+    (the file sink commits each micro-batch exactly once)."""
+    return (requests.writeStream.format("csv").option("header", "true").option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"processingTime": "1 second"})).start(path))
