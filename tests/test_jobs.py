@@ -3,7 +3,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from trafficscore.functions import scalars as X
 from trafficscore.operators import clean, score
 from trafficscore.plans import jobs, views as V
 from trafficscore.sources import hwm as H, logs as S, sinks as K

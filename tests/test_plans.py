@@ -3,7 +3,6 @@ bounds and no unpartitioned window on the distributed rank path."""
 
 import os
 
-from pyspark.sql import functions as F
 
 from trafficscore.operators import clean, rfm, rules
 from trafficscore.plans import views as V

@@ -1,13 +1,11 @@
 import datetime as dt
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from trafficscore.operators.ratelimit import rate_limit_batch
-from trafficscore.operators import clean, rfm, rules
+from trafficscore.operators import rfm
 from trafficscore.plans import views as V
-from trafficscore.streaming.decide import decide_stream
 from trafficscore.streaming.packets import stream_packet_tsv
 from trafficscore.streaming.ratelimit import rate_limit_stream
 from trafficscore.streaming.rfm import stream_rfm_raw, write_rfm_stream
@@ -77,7 +75,6 @@ def test_event_time_holds_back_until_watermark(spark, scratch):
     """Without the flush row the newest day of data stays buffered."""
     folder = os.path.join(scratch, "in")
     acc = _write_files(spark, folder, reverse=False)
-    import shutil
     lim = rate_limit_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1)
                             .option("pathGlobFilter", "*.parquet").parquet(os.path.join(folder, "f*")),
                             tie_col="request_id", window_seconds=86_400, limit=3, delay="1 day")
