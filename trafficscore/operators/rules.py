@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trafficscore.functions.scalars import nan_to_null
 from trafficscore.operators.clean import PROTECTED_PATHS, protected_requests
 from trafficscore.operators.ranks import average_percentile
-from trafficscore.plans.strategies import BROADCAST_MAX_ROWS, materialize, size_checked_join
+from trafficscore.plans.strategies import BROADCAST_MAX_ROWS, size_checked_join
 
 # Client labels of the classification rule.
 LABEL_FLOOD = "DDoS - Flood Attack"
@@ -108,6 +108,36 @@ def lookup_rfm(requests: DataFrame, table: DataFrame, key_col: str = "client_ip"
                           for c in ("recency_days", "frequency", "monetary")}).drop("_found")
 
 
+def judge_limited(limited: DataFrame, lookup_table: DataFrame, key_col: str = "client_ip",
+                  unknown_policy: str = "compat", verdict_kw: dict | None = None,
+                  broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Verdict and decision for rate-limited requests, in one pass.
+
+    Only over-limit requests from a real, non-loopback address are looked
+    up: the join key is NULL for every other row, so those rows never match
+    (no lookup, no skew - a NULL key is spread like any hot key when the
+    join shuffles).  Loopback is always suspicious; no address never is.
+    """
+    key = F.col(key_col)
+    over = F.col("over_limit")
+    no_address = key.isNull() | (key == "")
+    keyed = limited.withColumn("_lookup", F.when(over & ~no_address & (key != LOOPBACK), key))
+    table = lookup_table.withColumnRenamed(key_col, "_lookup")
+    looked = lookup_rfm(keyed, table, key_col="_lookup", broadcast_max_rows=broadcast_max_rows)
+    judged = suspicion_verdict(looked, unknown_policy=unknown_policy, **(verdict_kw or {}))
+    no_monetary = "monetary" not in lookup_table.columns
+    suspicious = (F.when(~over | no_address, F.lit(False))
+                  .when(key == LOOPBACK, F.lit(True))
+                  .otherwise(F.lit(False) if no_monetary else F.col("suspicious")))
+    looked_up = over & ~no_address & (key != LOOPBACK)
+    out = judged.withColumns({
+        "suspicious": suspicious,
+        **{c: F.when(looked_up, F.col(c)) for c in ("recency_days", "frequency", "monetary")},
+    }).drop("_lookup")
+    return out.withColumn("decision", F.when(over & F.col("suspicious"), F.lit("challenge"))
+                          .otherwise(F.lit("allow")))
+
+
 def decide_requests(access_log: DataFrame, lookup_table: DataFrame, key_col: str = "client_ip",
                     ts_col: str = "timestamp", tie_col: str | None = None, window_seconds: float = 60,
                     limit: int = 10, paths=PROTECTED_PATHS, verified: DataFrame | None = None,
@@ -123,20 +153,7 @@ def decide_requests(access_log: DataFrame, lookup_table: DataFrame, key_col: str
     from trafficscore.operators.ratelimit import rate_limit_batch
 
     req = protected_requests(access_log, paths=paths, verified=verified, key_col=key_col)
-    limited = materialize(rate_limit_batch(req, key_col=key_col, ts_col=ts_col, tie_col=tie_col,
-                                           window_seconds=window_seconds, limit=limit, **limiter_kw))
-    over = limited.where(F.col("over_limit"))
-    looked = lookup_rfm(over, lookup_table, key_col=key_col, broadcast_max_rows=broadcast_max_rows)
-    judged = suspicion_verdict(looked, unknown_policy=unknown_policy, **(verdict_kw or {}))
-    no_monetary = "monetary" not in lookup_table.columns
-    key = F.col(key_col)
-    suspicious = (F.when(key.isNull() | (key == ""), F.lit(False))   # no address: nothing to check
-                  .when(key == LOOPBACK, F.lit(True))
-                  .otherwise(F.lit(False) if no_monetary else F.col("suspicious")))
-    judged = judged.withColumn("suspicious", suspicious)
-    under = (limited.where(~F.col("over_limit"))
-             .withColumns({"recency_days": F.lit(None).cast("double"), "frequency": F.lit(None).cast("double"),
-                           "monetary": F.lit(None).cast("double"), "suspicious": F.lit(False)}))
-    out = judged.unionByName(under)
-    return out.withColumn("decision", F.when(F.col("over_limit") & F.col("suspicious"), F.lit("challenge"))
-                          .otherwise(F.lit("allow")))
+    limited = rate_limit_batch(req, key_col=key_col, ts_col=ts_col, tie_col=tie_col,
+                               window_seconds=window_seconds, limit=limit, **limiter_kw)
+    return judge_limited(limited, lookup_table, key_col=key_col, unknown_policy=unknown_policy,
+                         verdict_kw=verdict_kw, broadcast_max_rows=broadcast_max_rows)

@@ -8,28 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trafficscore.operators.rules import LOOPBACK, lookup_rfm, suspicion_verdict
+from trafficscore.operators.rules import judge_limited
 from trafficscore.plans.strategies import released_after
 
 
 def judge_batch(limited: DataFrame, table: DataFrame, key_col: str = "client_ip", verdict_kw: dict | None = None,
                 unknown_policy: str = "compat") -> DataFrame:
-    """Decision for one micro-batch of limiter output: only over-limit rows
-    are looked up (size-checked broadcast of the table), as in batch."""
-    over = limited.where(F.col("over_limit"))
-    judged = suspicion_verdict(lookup_rfm(over, table, key_col=key_col), unknown_policy=unknown_policy,
-                               **(verdict_kw or {}))
-    no_m = "monetary" not in table.columns
-    key = F.col(key_col)
-    judged = judged.withColumn("suspicious", F.when(key.isNull() | (key == ""), F.lit(False))
-                               .when(key == LOOPBACK, F.lit(True))
-                               .otherwise(F.lit(False) if no_m else F.col("suspicious")))
-    under = limited.where(~F.col("over_limit")).withColumns(
-        {c: F.lit(None).cast("double") for c in ("recency_days", "frequency", "monetary")}
-    ).withColumn("suspicious", F.lit(False))
-    out = judged.unionByName(under)
-    return out.withColumn("decision", F.when(F.col("over_limit") & F.col("suspicious"), F.lit("challenge"))
-                          .otherwise(F.lit("allow")))
+    """Decision for one micro-batch of limiter output (same rules and the
+    same one-pass lookup of over-limit rows as in batch)."""
+    return judge_limited(limited, table, key_col=key_col, unknown_policy=unknown_policy, verdict_kw=verdict_kw)
 
 
 def decide_stream(limited: DataFrame, table_loader: Callable[[], DataFrame], output_path: str, checkpoint: str,
