@@ -118,3 +118,16 @@ def test_dense_hot_client_needs_sequential_tail(spark):
     got = _run(spark, rows, limit=5, hot_rows=150)
     assert {k: (v.request_count, v.over_limit) for k, v in got.items()} == \
         {k: (c, o) for k, (_, c, o) in want.items()}
+
+
+def test_transfer_table_units():
+    import numpy as np
+    from trafficscore.operators.ratelimit_split import transfer_table
+    ev = np.array([100, 130, 170, 200, 260], dtype=np.int64)      # one slice, window 60
+    xs, ys = transfer_table(ev, np.array([80, 95, 95]), 60, next_start=300)
+    got = dict(zip(xs.tolist(), ys.tolist()))
+    # from none: windows open at 100, 170, 260 -> hands over 260
+    # from 80: 100,130 inside; opens 170, 260; from 95: 100..130 inside (<=155); 170; 260
+    assert got == {0: 260, 80: 260, 95: 260}
+    xs, ys = transfer_table(ev, np.array([90]), 60, next_start=1000)
+    assert dict(zip(xs.tolist(), ys.tolist())) == {0: 0, 90: 0}       # expired before the next slice

@@ -1,64 +1,174 @@
-"""Exact anchored limiter when a few clients own a large share of the rows.
+"""Exact, parallel anchored limiter when a few clients own a large share of the rows.
 
 A client is *hot* when it has more rows than an average shuffle partition
-and at least ``min_hot_rows`` (so a single task would have to sort and fold
-an outsized run).  At most ``partitions`` clients can be hot, so the table of
-them is small and broadcast; it is found in the same aggregation pass that
-counts the rows.  Cold clients take the plain fold.
-
-A hot client is cut into time slices that are sorted and folded by separate
-tasks:
-
-1. *speculative pass* (parallel): every (client, slice) run is folded as if
-   the client started fresh at the slice.  The result is written as a
-   table partitioned by slice under ``spark.checkpoint.dir`` (shared
-   storage, lineage cut);
-2. *repair round* (parallel): each slice is re-folded from the exit state
-   (window start, count) of the previous slice, only until its fold opens a
-   window where the speculative fold did - from there both agree.  Bursty
-   traffic (gaps longer than the window) re-aligns at the first gap, so this
-   one round usually makes every slice exact;
-3. *sequential tail*: a slice whose incoming state still differs from the
-   final exit of its predecessor is re-folded, always the first such slice
-   of each client per round (its incoming state is final by then).  Dense
-   traffic whose window phase never re-aligns needs this; each round reads
-   only the slices it repairs (partition pruning), so the total work stays
-   one pass over the hot rows.
-
-Slice summaries (one row per slice, bounded by the slice count) are kept
-on the driver to schedule the rounds; rows never leave the executors.
-Nothing is dropped, capped or sampled.
+and at least ``min_hot_rows``.  At most ``partitions`` clients can be hot; they
+are found in the same aggregation pass that counts the rows, and their table
+is broadcast.  Cold clients keep the plain fold.
+
+A hot client's requests are cut into time slices at least one window wide.
+The only thing a slice inherits from the past is the start ``x`` of the open
+window (0 = none): a window that opened more than one window before the slice
+cannot reach into it, so ``x`` is 0 or one of the previous slice's requests in
+its last window.  Hence:
+
+1. *transfer tables* (parallel): every slice is folded once for each possible
+   incoming start - 0 and each request of the previous slice's last window
+   (those rows are duplicated into the slice with one ``explode``) - giving
+   ``F_c: x -> y``, the window start it hands to the next slice.  The chains of
+   all candidates advance together with vectorised ``searchsorted``;
+2. *pointer doubling* over slices: the tables are composed in
+   ``log2(slices)`` rounds of joins (``J_{r+1} = J_r o J_r``), then the known
+   starts are propagated from the first slice (start 0) in as many rounds,
+   which yields the true incoming start of every slice;
+3. *final fold* (parallel): each slice is folded from its true start; the
+   duplicated tail rows of the previous slice at or after that start are
+   folded first (without output) so the carried request count is exact.
+
+Work: a constant number of passes over the hot rows plus log-depth joins over
+the candidate tables, whose size is the number of requests in the last window
+of each slice.  Per-slice summaries (bounded by the slice count) reach the
+driver; rows never do.  Nothing is dropped, capped or sampled.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from trafficscore.operators.ratelimit import _TS, _WS, _fold_batches, _with_outputs
-from trafficscore.plans.strategies import BROADCAST_MAX_ROWS, shuffle_partitions
-from trafficscore.session import checkpoint_dir
+from trafficscore.operators.ratelimit import _TS, _WS, _fold_batches, _with_outputs, fold_run
+from trafficscore.plans.strategies import BROADCAST_MAX_ROWS, materialize, shuffle_partitions, size_checked_join
 
-_SLICE = "_slice"
-_VER = "_version"
+_RUN = "_run"          # slice whose run a row belongs to
+_EVENT = "_event"      # True: a request of this slice; False: tail copy from the previous slice
 # A client below this many rows is never sliced: one task sorts and folds it.
 MIN_HOT_ROWS = 5_000_000
 
 
-def _with_in(schema: StructType) -> StructType:
-    return StructType(list(schema.fields) + [StructField("_in_ws", LongType()), StructField("_in_cnt", LongType())])
+def transfer_table(ev: np.ndarray, cand: np.ndarray, window_us: int, next_start: int):
+    """Outgoing window start of one slice for incoming starts 0 and ``cand``.
+
+    ``ev``: the slice's request times (sorted).  Returns ``(xs, ys)``; a start
+    that has expired before ``next_start`` (next slice) is reported as 0.
+    """
+    xs = np.concatenate([[0], np.unique(cand)]).astype(np.int64)
+    n = len(ev)
+    nxt = np.searchsorted(ev, ev + window_us, side="right")      # next window's first request
+    pos = np.searchsorted(ev, xs + window_us, side="right")      # first window opened in the slice
+    has = pos < n
+    p = pos[has]
+    while len(p):
+        nx = nxt[p]
+        move = nx < n
+        if not move.any():
+            break
+        p = np.where(move, nx, p)
+    ys = xs.copy()
+    ys[has] = ev[p]
+    ys[ys + window_us < next_start] = 0
+    return xs, ys
+
+
+def _runs(pdf: pd.DataFrame, key_col: str):
+    keys = pdf[key_col].to_numpy()
+    runs = pdf[_RUN].to_numpy()
+    change = np.r_[True, (keys[1:] != keys[:-1]) | (runs[1:] != runs[:-1])]
+    bounds = np.r_[np.flatnonzero(change), len(pdf)]
+    return keys, runs, bounds
+
+
+def _transfer(key_col: str, window_us: int):
+    """mapInPandas over rows sorted by (key, run, ts, tie): one transfer table
+    per run.  A run is at most one slice plus its inherited tail, so it is
+    gathered across Arrow batches before being evaluated."""
+    def flush(key, run, seg):
+        ts = seg[_TS].to_numpy(np.int64)
+        is_event = seg[_EVENT].to_numpy(bool)
+        if not is_event.any():
+            return None
+        xs, ys = transfer_table(ts[is_event], ts[~is_event], window_us, int(seg["_next_start"].iat[0]))
+        return pd.DataFrame({key_col: [key] * len(xs), _RUN: np.full(len(xs), run, dtype=np.int64),
+                             "x": xs, "y": ys})
+
+    def fn(batches):
+        cur, parts = None, []
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            keys, runs, bounds = _runs(pdf, key_col)
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                k = (keys[s], int(runs[s]))
+                if k != cur and parts:
+                    out = flush(cur[0], cur[1], pd.concat(parts))
+                    if out is not None:
+                        yield out
+                    parts = []
+                cur = k
+                parts.append(pdf.iloc[s:e][[_TS, _EVENT, "_next_start"]])
+        if parts:
+            out = flush(cur[0], cur[1], pd.concat(parts))
+            if out is not None:
+                yield out
+    return fn
+
+
+def _final_fold(key_col: str, window_us: int, limit: int):
+    """mapInPandas over rows sorted by (key, run, ts, tie) carrying ``_in_ws``:
+    inherited tail rows at or after the true start are folded first (no
+    output), then the slice's own requests (output)."""
+    def fn(batches):
+        cur, ws, cnt = None, 0, 0
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            keys, runs, bounds = _runs(pdf, key_col)
+            ts = pdf[_TS].to_numpy(np.int64)
+            is_event = pdf[_EVENT].to_numpy(bool)
+            in_ws = pdf["_in_ws"].to_numpy(np.int64)
+            ws_out = np.zeros(len(pdf), dtype=np.int64)
+            cnt_out = np.zeros(len(pdf), dtype=np.int64)
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                k = (keys[s], int(runs[s]))
+                if k != cur:
+                    cur, ws, cnt = k, int(in_ws[s]), 0
+                tail = np.flatnonzero(~is_event[s:e]) + s
+                if ws != 0 and len(tail):
+                    keep = tail[ts[tail] >= ws]
+                    if len(keep):
+                        _, _, ws, cnt = fold_run(ts[keep], ws, cnt, window_us)
+                own = np.flatnonzero(is_event[s:e]) + s
+                if len(own):
+                    w, c, ws, cnt = fold_run(ts[own], ws, cnt, window_us)
+                    ws_out[own], cnt_out[own] = w, c
+            out = pdf.assign(**{_WS: ws_out, "request_count": cnt_out, "over_limit": cnt_out > limit})
+            yield out[is_event].drop(columns=[_RUN, _EVENT, "_in_ws"])
+    return fn
+
+
+def _hot_clients(base: DataFrame, key_col: str, parts: int, window_us: int, hot_rows, min_hot_rows):
+    """[(key, tmin, width)] of hot clients from one aggregation pass, which
+    collects only clients above the smallest possible hot size (at most
+    total / that size of them)."""
+    floor_rows = hot_rows if hot_rows is not None else min_hot_rows
+    stats = base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"), F.min(_TS).alias("_tmin"),
+                                      F.max(_TS).alias("_tmax"))
+    cand = F.when(F.col("_n") > floor_rows, F.struct(key_col, "_n", "_tmin", "_tmax"))
+    summary = stats.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.collect_list(cand).alias("c")).first()
+    per_slice = hot_rows if hot_rows is not None else max(math.ceil(summary["n"] / parts), min_hot_rows)
+    out = []
+    for c in summary["c"]:
+        if c["_n"] > per_slice:
+            width = max(window_us, math.ceil((c["_tmax"] - c["_tmin"] + 1) / math.ceil(c["_n"] / per_slice)))
+            out.append((c[key_col], int(c["_tmin"]), int(width)))
+    return out
 
 
-def _exits(df: DataFrame, key_col: str, order: list[str]) -> dict:
-    """{(client, slice): (ws, cnt)} - last state of every slice in ``df``."""
-    last = F.max_by(F.struct(F.col(_WS).alias("ws"), F.col("request_count").alias("cnt")),
-                    F.struct(*[F.col(c) for c in order[1:]]))
-    rows = df.groupBy(key_col, _SLICE).agg(last.alias("e")).collect()
-    return {(r[key_col], r[_SLICE]): (r["e"]["ws"], r["e"]["cnt"]) for r in rows}
+def _bcast(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_MAX_ROWS else df
 
 
 def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us: int, limit: int,
@@ -66,105 +176,77 @@ def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us:
                      min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     spark = base.sparkSession
     parts = partitions or shuffle_partitions(base)
-    # one pre-aggregated pass: total rows and the clients big enough to be
-    # hot candidates (at most total / threshold of them, so the list is bounded)
-    floor_rows = hot_rows if hot_rows is not None else min_hot_rows
-    stats = base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"), F.min(_TS).alias("_tmin"),
-                                      F.max(_TS).alias("_tmax"))
-    cand = F.when(F.col("_n") > floor_rows, F.struct(key_col, "_n", "_tmin", "_tmax"))
-    summary = stats.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.collect_list(cand).alias("c")).first()
     schema = _with_outputs(base.schema)
-    per_slice = hot_rows if hot_rows is not None else max(math.ceil(summary["n"] / parts), min_hot_rows)
-    hot_rows_list = []
-    for c in summary["c"]:
-        if c["_n"] > per_slice:
-            n_slices = math.ceil(c["_n"] / per_slice)
-            width = max(window_us, math.ceil((c["_tmax"] - c["_tmin"] + 1) / n_slices))
-            hot_rows_list.append((c[key_col], int(c["_tmin"]), int(width)))
-    n_hot = len(hot_rows_list)
-    if n_hot == 0:
+    hot_list = _hot_clients(base, key_col, parts, window_us, hot_rows, min_hot_rows)
+    if not hot_list:
         return (base.repartition(parts, key_col).sortWithinPartitions(*order)
                 .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
-    key_type = base.schema[key_col].dataType
-    hot = spark.createDataFrame(hot_rows_list, StructType([StructField(key_col, key_type),
-                                                           StructField("_tmin", LongType()),
-                                                           StructField("_width", LongType())]))
-    hot_b = F.broadcast(hot) if n_hot <= BROADCAST_MAX_ROWS else hot
-    cold_out = (base.join(hot_b, on=key_col, how="left_anti")
+
+    key_field = StructField(key_col, base.schema[key_col].dataType)
+    hot = _bcast(spark.createDataFrame(hot_list, StructType([key_field, StructField("_tmin", LongType()),
+                                                             StructField("_width", LongType())])), len(hot_list))
+    cold_out = (base.join(hot, on=key_col, how="left_anti")
                 .repartition(parts, key_col).sortWithinPartitions(*order)
                 .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
-    rows = (base.join(hot_b, on=key_col, how="inner")
-            .withColumn(_SLICE, F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")).cast("long"))
-            .drop("_tmin", "_width"))
-    run_cols = [key_col, _SLICE]
-    sort_cols = run_cols + order[1:]
-    spec_schema = _with_outputs(rows.schema)
-    fold_fresh = _fold_batches(run_cols, window_us, limit)
-    fold_repair = _fold_batches(run_cols, window_us, limit, repair=True)
-
-    # 1. speculative pass, written partitioned by slice on shared storage
-    home = f"{checkpoint_dir(spark).rstrip('/')}/ratelimit-{uuid.uuid4().hex}"
-    (rows.repartition(parts, key_col, _SLICE).sortWithinPartitions(*sort_cols)
-     .mapInPandas(fold_fresh, spec_schema).withColumn(_VER, F.lit(0))
-     .write.partitionBy(_SLICE).parquet(f"{home}/v0"))
-    spec = spark.read.parquet(f"{home}/v0")
-
-    exits = _exits(spec, key_col, order)                 # bounded: one entry per slice
-    slices: dict = {}
-    for k, s in exits:
-        slices.setdefault(k, []).append(s)
-    for k in slices:
-        slices[k].sort()
-    assumed = {ks: None for ks in exits}                 # incoming state each result assumed
-    version = {ks: 0 for ks in exits}
-    tables = [f"{home}/v0"]
-
-    def refold(todo: dict, round_no: int) -> None:
-        """Re-fold the (client, slice) runs in ``todo`` from their incoming
-        state; reads only those slices, writes them as version ``round_no``."""
-        feed = spark.createDataFrame([(k, s, ws, c) for (k, s), (ws, c) in todo.items()],
-                                     StructType([StructField(key_col, key_type), StructField(_SLICE, LongType()),
-                                                 StructField("_in_ws", LongType()),
-                                                 StructField("_in_cnt", LongType())]))
-        src = spark.read.parquet(tables[0]).where(F.col(_SLICE).isin(sorted({s for _, s in todo})))
-        out = (src.drop(_VER).join(F.broadcast(feed), on=run_cols, how="inner")
-               .repartition(parts, key_col, _SLICE).sortWithinPartitions(*sort_cols)
-               .mapInPandas(fold_repair, _with_in(spec_schema)).drop("_in_ws", "_in_cnt")
-               .withColumn(_VER, F.lit(round_no)))
-        path = f"{home}/v{round_no}"
-        out.write.partitionBy(_SLICE).parquet(path)
-        tables.append(path)
-        new_exits = _exits(spark.read.parquet(path), key_col, order)
-        for ks in todo:
-            assumed[ks] = todo[ks]
-            version[ks] = round_no
-            exits[ks] = new_exits[ks]
-
-    def inconsistent(first_only: bool) -> dict:
-        todo = {}
-        for k, ss in slices.items():
-            for prev, s in zip(ss, ss[1:]):
-                want = exits[(k, prev)]
-                if assumed[(k, s)] != want:
-                    todo[(k, s)] = want
-                    if first_only:
-                        break
-        return todo
-
-    # 2. one parallel repair round over every slice, 3. sequential tail
-    round_no = 1
-    todo = inconsistent(first_only=False)
-    while todo:
-        refold(todo, round_no)
-        round_no += 1
-        todo = inconsistent(first_only=True)
-
-    final = spark.createDataFrame([(k, s, v) for (k, s), v in version.items()],
-                                  StructType([StructField(key_col, key_type), StructField(_SLICE, LongType()),
-                                              StructField(_VER, LongType())]))
-    hot_out = None
-    for i, path in enumerate(tables):
-        part = spark.read.parquet(path).join(F.broadcast(final.where(F.col(_VER) == i)), on=run_cols + [_VER])
-        hot_out = part if hot_out is None else hot_out.unionByName(part)
+
+    # hot rows with their slice, written once to the checkpoint folder
+    sliced = materialize(
+        base.join(hot, on=key_col, how="inner")
+        .withColumn("_slice", F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")).cast("long")),
+        "checkpoint")
+
+    # slice summary (one row per non-empty slice): dense index, start of the next slice
+    per_key: dict = {}
+    for r in sliced.select(key_col, "_slice", "_tmin", "_width").distinct().collect():
+        per_key.setdefault(r[key_col], []).append((int(r["_slice"]), int(r["_tmin"]), int(r["_width"])))
+    info = []
+    for k, lst in per_key.items():
+        lst.sort()
+        for i, (c, tmin, width) in enumerate(lst):
+            following = lst[i + 1][0] if i + 1 < len(lst) else c + 1
+            info.append((k, c, i, tmin + following * width))
+    info_df = _bcast(spark.createDataFrame(info, StructType([
+        key_field, StructField(_RUN, LongType()), StructField("_i", LongType()),
+        StructField("_next_start", LongType())])), len(info))
+
+    # every row is a request of its slice; rows in the last window of a slice
+    # are also a tail copy for the next slice
+    slice_end = F.col("_tmin") + (F.col("_slice") + 1) * F.col("_width")
+    runs = (F.when(F.col(_TS) >= slice_end - F.lit(window_us), F.array(F.col("_slice"), F.col("_slice") + 1))
+            .otherwise(F.array(F.col("_slice"))))
+    dup = (sliced.withColumn(_RUN, F.explode(runs)).withColumn(_EVENT, F.col(_RUN) == F.col("_slice"))
+           .drop("_tmin", "_width", "_slice"))
+    sort_cols = [key_col, _RUN] + order[1:]
+
+    # 1. transfer tables: (slice index, incoming start) -> start entering the next slice
+    t_schema = StructType([key_field, StructField(_RUN, LongType()), StructField("x", LongType()),
+                           StructField("y", LongType())])
+    transfer = (dup.select(key_col, _RUN, _EVENT, *order[1:]).join(info_df, on=[key_col, _RUN], how="inner")
+                .repartition(parts, key_col, _RUN).sortWithinPartitions(*sort_cols)
+                .mapInPandas(_transfer(key_col, window_us), t_schema))
+    tables = [materialize(transfer.join(info_df.select(key_col, _RUN, "_i"), on=[key_col, _RUN])
+                          .select(key_col, "_i", "x", "y"), "checkpoint")]
+
+    # 2. pointer doubling: tables[r] maps (i, x) to the start entering slice i + 2**r
+    max_slices = max(len(v) for v in per_key.values())
+    rounds = math.ceil(math.log2(max_slices)) if max_slices > 1 else 0
+    for r in range(1, rounds):
+        step = 2 ** (r - 1)
+        b = tables[-1].select(key_col, (F.col("_i") - step).alias("_i"), F.col("x").alias("y"),
+                              F.col("y").alias("_y2"))
+        tables.append(materialize(size_checked_join(tables[-1], b, [key_col, "_i", "y"], how="inner")
+                                  .select(key_col, "_i", "x", F.col("_y2").alias("y")), "checkpoint"))
+    known = spark.createDataFrame([(k, 0, 0) for k in per_key], StructType([
+        key_field, StructField("_i", LongType()), StructField("x", LongType())]))
+    for r in range(rounds):
+        reached = (tables[r].join(F.broadcast(known), on=[key_col, "_i", "x"], how="inner")
+                   .select(key_col, (F.col("_i") + 2 ** r).alias("_i"), F.col("y").alias("x")))
+        known = materialize(known.unionByName(reached), "checkpoint")     # one row per slice at most
+    starts = known.join(info_df, on=[key_col, "_i"]).select(key_col, _RUN, F.col("x").alias("_in_ws"))
+
+    # 3. final fold of every slice from its true start
+    hot_out = (dup.join(_bcast(starts, len(info)), on=[key_col, _RUN], how="inner")
+               .repartition(parts, key_col, _RUN).sortWithinPartitions(*sort_cols)
+               .mapInPandas(_final_fold(key_col, window_us, limit), schema))
     cols = schema.fieldNames()
     return cold_out.select(*cols).unionByName(hot_out.select(*cols))
