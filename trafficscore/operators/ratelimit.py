@@ -14,8 +14,9 @@ constant per client however many requests it has.  Inside a batch the fold
 jumps window by window with ``searchsorted`` instead of looping per row.
 
 A client with a very large share of all rows would make its task long, so
-``split_hot_clients`` cuts such clients into time slices processed in
-parallel and repairs the slice boundaries exactly (see ``_rate_limit_split``).
+``split_hot_clients`` cuts such clients into time slices folded in parallel,
+with the window state at every slice boundary found exactly by composing
+per-slice transfer tables (see ``ratelimit_split``).
 """
 
 from __future__ import annotations
@@ -58,34 +59,6 @@ def fold_run(ts: np.ndarray, ws: int, cnt: int, window_us: int):
     return out_ws, out_cnt, ws, cnt
 
 
-def repair_run(ts: np.ndarray, spec_ws: np.ndarray, spec_cnt: np.ndarray, ws: int, cnt: int,
-               window_us: int, merged: bool = False):
-    """Re-fold a time slice whose speculative fold assumed a fresh start.
-
-    Starting from the true incoming state, the fold runs until it opens a
-    window on a request where the speculative fold also opened one (count 1);
-    from there both folds are identical and the speculative values are kept.
-    Returns window starts, counts, the state and whether the folds merged.
-    """
-    n = len(ts)
-    out_ws, out_cnt = spec_ws.copy(), spec_cnt.copy()
-    i = 0
-    while i < n and not merged:
-        if ts[i] - ws > window_us:
-            if spec_cnt[i] == 1:
-                merged = True
-                break
-            ws, cnt = int(ts[i]), 0
-        j = max(int(np.searchsorted(ts, ws + window_us, side="right")), i + 1)
-        out_ws[i:j] = ws
-        out_cnt[i:j] = np.arange(cnt + 1, cnt + 1 + (j - i), dtype=np.int64)
-        cnt += j - i
-        i = j
-    if merged:
-        ws, cnt = int(out_ws[-1]), int(out_cnt[-1])
-    return out_ws, out_cnt, ws, cnt, merged
-
-
 def _run_starts(pdf: pd.DataFrame, run_cols) -> np.ndarray:
     n = len(pdf)
     change = np.zeros(n, dtype=bool)
@@ -96,16 +69,14 @@ def _run_starts(pdf: pd.DataFrame, run_cols) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _fold_batches(run_cols, window_us: int, limit: int, repair: bool = False):
+def _fold_batches(run_cols, window_us: int, limit: int):
     """``mapInPandas`` function over batches sorted by (run columns, ts, tie).
 
-    A run is one client (or one time slice of a hot client).  Normal mode
-    starts every run at window start 0, count 0.  Repair mode starts a run
-    from its ``_in_ws``/``_in_cnt`` columns (NULL = fresh start: the values
-    are kept) and re-folds only until it merges with ``_ws``/``request_count``.
+    A run is one client; it starts at window start 0, count 0 and its state
+    is carried across Arrow batches.
     """
     def run(batches):
-        cur, ws, cnt, merged = None, 0, 0, False
+        cur, ws, cnt = None, 0, 0
         for pdf in batches:
             n = len(pdf)
             if n == 0:
@@ -114,24 +85,11 @@ def _fold_batches(run_cols, window_us: int, limit: int, repair: bool = False):
             bounds = np.r_[_run_starts(pdf, run_cols), n]
             ws_out = np.empty(n, dtype=np.int64)
             cnt_out = np.empty(n, dtype=np.int64)
-            if repair:
-                spec_ws = pdf[_WS].to_numpy(dtype=np.int64)
-                spec_cnt = pdf["request_count"].to_numpy(dtype=np.int64)
-                in_ws = pdf["_in_ws"].to_numpy(dtype=np.float64)
-                in_cnt = pdf["_in_cnt"].to_numpy(dtype=np.float64)
             for s, e in zip(bounds[:-1], bounds[1:]):
                 k = tuple(pdf[c].iat[s] for c in run_cols)
                 if k != cur:
-                    cur, merged = k, False
-                    if repair and not np.isnan(in_ws[s]):
-                        ws, cnt = int(in_ws[s]), int(in_cnt[s])
-                    else:
-                        ws, cnt, merged = 0, 0, repair   # fresh start: nothing to repair
-                if repair:
-                    w, c, ws, cnt, merged = repair_run(ts[s:e], spec_ws[s:e], spec_cnt[s:e], ws, cnt,
-                                                       window_us, merged)
-                else:
-                    w, c, ws, cnt = fold_run(ts[s:e], ws, cnt, window_us)
+                    cur, ws, cnt = k, 0, 0
+                w, c, ws, cnt = fold_run(ts[s:e], ws, cnt, window_us)
                 ws_out[s:e] = w
                 cnt_out[s:e] = c
             yield pdf.assign(**{_WS: ws_out, "request_count": cnt_out, "over_limit": cnt_out > limit})

@@ -98,7 +98,7 @@ SUBNET_WINDOW_S, SUBNET_N = 3_600, 20
 def q_rate_limit_subnet(spark, sf):
     """The limiter keyed by /24 network instead of address.  Few networks
     carry all traffic (at sf0.01 a single one holds every row), so this runs
-    the sliced fold with boundary repair for hot keys."""
+    the sliced parallel fold for hot keys."""
     acc = V.access_log(spark, sf).withColumn(
         "subnet", F.concat(F.regexp_extract("client_ip", r"^(\d+\.\d+\.\d+)\.", 1), F.lit(".0/24")))
     # slices of 2,000 rows: the hot-network path runs at every scale and
