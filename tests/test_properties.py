@@ -54,3 +54,20 @@ def test_histogram_rank_equals_window(spark, vals, buckets, salted):
         df, "v", "pr", method="histogram", local_max_distinct=0, n_buckets=buckets,
         broadcast_max_rows=0 if salted else 10**6).collect()}
     assert got == pytest.approx(want)
+
+
+coarse = st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 40).map(lambda s: s * 15_000_000)),
+                  min_size=1, max_size=150)
+
+
+@SETTINGS
+@given(reqs=coarse, limit=st.integers(1, 4), slice_rows=st.sampled_from([3, 5, 11]))
+def test_limiter_ties_and_window_edges(spark, reqs, limit, slice_rows):
+    """Timestamps on a 15 s grid with a 60 s window: many equal times,
+    requests exactly one window apart, slice boundaries on window edges."""
+    rows = [(k, us, i) for i, (k, us) in enumerate(reqs)]
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(microseconds=us), i) for k, us, i in rows],
+                               "client_ip string, timestamp timestamp, rid long")
+    out = rate_limit_batch(df, tie_col="rid", window_seconds=60, limit=limit, hot_rows=slice_rows)
+    got = {r.rid: (r.request_count, r.over_limit) for r in out.collect()}
+    assert got == brute(rows, 60_000_000, limit)
