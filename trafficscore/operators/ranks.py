@@ -141,16 +141,18 @@ def add_percent_ranks(df: DataFrame, specs: dict, method: str = "auto", material
     is computed from it, then the ranks are joined on one after the other.
     """
     if method == "auto":
+        # the input is read again by either path: keep it, then count it
+        df = materialize(df, materialize_input)
         method = "window" if df.count() <= kw.get("window_max_rows", WINDOW_MAX_ROWS) else "histogram"
     if method == "window":
         for out, v in specs.items():
             df = df.withColumn(out, F.percent_rank().over(Window.orderBy(F.col(v).asc())))
         return df
-    base = materialize(df, materialize_input)
-    n_rows = base.count()
+    base = materialize(df, materialize_input) if not df.is_cached else df
     out_df = base
     for out, v in specs.items():
-        out_df = percent_rank_column(out_df, v, out, method="histogram", source=base, n_rows=n_rows, **kw)
+        # each rank table also yields the row count (NULL group included)
+        out_df = percent_rank_column(out_df, v, out, method="histogram", source=base, **kw)
     return out_df
 
 
