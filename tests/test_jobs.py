@@ -103,3 +103,16 @@ def test_empty_log_folder(spark, scratch):
     empty = os.path.join(scratch, "none")
     os.makedirs(empty)
     assert jobs.refresh_rfm(spark, empty, os.path.join(scratch, "out"), now=NOW) == 0
+
+
+def test_config_from_env_and_job(spark, scratch):
+    from trafficscore.config import JobConfig, from_env
+    cfg = from_env({"IP_COLUMN": "client_ip", "INTERVAL_SECONDS": "60", "MONETARY_COLUMN": ""})
+    assert cfg.interval_seconds == 60 and cfg.monetary_col is None and cfg.output_file == "rfm_scores.csv"
+    assert JobConfig().composite_threshold == 400.0 and JobConfig().last_run_file == "last_run.txt"
+    logs = os.path.join(scratch, "network_logs")
+    _write_access_csv(spark, logs)
+    out = os.path.join(scratch, "rfm.csv")
+    n = jobs.refresh_from_config(spark, cfg.with_(network_log_dir=logs, output_file=out), now=NOW)
+    back = S.read_rfm_table(spark, out)
+    assert n == back.count() and "monetary" not in [c for c in spark.read.option("header", "true").csv(out).columns]

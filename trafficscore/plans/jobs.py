@@ -88,3 +88,18 @@ def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir:
             mark = now
     save_high_water_mark(spark, hwm_path, mark)
     return path
+
+
+def refresh_from_config(spark: SparkSession, cfg=None, now: dt.datetime | None = None) -> int:
+    """``refresh_rfm`` with the deployment's settings (``config.from_env()``)."""
+    from trafficscore.config import from_env
+    cfg = cfg or from_env()
+    roles = ColumnRoles(ts_col=cfg.ts_col, key_col=cfg.ip_col, monetary_col=cfg.monetary_col)
+    return refresh_rfm(spark, cfg.network_log_dir, cfg.output_file, now=now, roles=roles)
+
+
+def incremental_from_config(spark: SparkSession, cfg=None, now: dt.datetime | None = None) -> str | None:
+    """``run_incremental`` with the deployment's settings (``config.from_env()``)."""
+    from trafficscore.config import from_env
+    cfg = cfg or from_env()
+    return run_incremental(spark, cfg.log_data_path, cfg.rfm_output_dir, cfg.last_run_file, now=now)
