@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from trafficscore.session import checkpoint_dir
 
 # Default bound for broadcasting a counted side (rows).  A lookup row here is
-# a few tens of bytes, so 2M rows stays well below typical broadcast limits.
-BROADCAST_MAX_ROWS = 2_000_000
+# a few tens of bytes, so 1M rows (~60 MB) stays well below broadcast limits.
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 _SCOPES: list[list[DataFrame]] = []
