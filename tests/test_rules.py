@@ -140,3 +140,17 @@ def test_source_timezone(spark):
     df = spark.createDataFrame([("2024-01-01 12:00:00", "1.1.1.1", "5")], "timestamp string, src_ip string, pkt_len string")
     r = clean_packets(df, source_tz="Europe/Berlin").first()
     assert r.timestamp == dt.datetime(2024, 1, 1, 11, 0, 0)
+
+
+def test_point_lookup_and_verdict(spark):
+    rfm = spark.createDataFrame([("1.1.1.1", 0.5, 10, 5.0), ("2.2.2.2", 0.1, 20, 7.0), ("2.2.2.2", 0.2, 30, 9.0)],
+                                "client_ip string, recency_days double, frequency long, monetary double")
+    assert rules.lookup_point(rfm, "1.1.1.1").first().asDict() == {"client_ip": "1.1.1.1", "recency_days": 0.5,
+                                                                  "frequency": 10.0, "monetary": 5.0}
+    assert rules.lookup_point(rfm, "2.2.2.2").first().recency_days == -1.0      # not exactly one row
+    assert rules.lookup_point(rfm, "9.9.9.9").first().frequency == -1.0
+    t = rules.build_lookup_table(rfm)
+    assert rules.verdict_for(t, "1.1.1.1").first().suspicious is False          # f = 33.3 <= 50
+    assert rules.verdict_for(t, "9.9.9.9").first().suspicious is False          # unknown, compat
+    assert rules.verdict_for(t, "9.9.9.9", unknown_policy="suspicious").first().suspicious is True
+    assert rules.verdict_for(t, "").first().suspicious is False

@@ -108,6 +108,29 @@ def lookup_rfm(requests: DataFrame, table: DataFrame, key_col: str = "client_ip"
                           for c in ("recency_days", "frequency", "monetary")}).drop("_found")
 
 
+def lookup_point(table: DataFrame, ip: str, key_col: str = "client_ip") -> DataFrame:
+    """One-row lookup of a single address (the lookup service's query):
+    (recency_days, frequency, monetary) of ``ip``, or -1 in all three when
+    the table does not hold exactly one row for it.  ``table`` is a raw RFM
+    table or one from ``build_lookup_table``; the equality filter is pushed
+    to the scan."""
+    one = table.where(F.col(key_col) == F.lit(ip))
+    cols = [c for c in ("recency_days", "frequency", "monetary") if c in table.columns]
+    agg = one.agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in cols])
+    return agg.select(F.lit(ip).alias(key_col), *[
+        F.when(F.col("_n") == 1, F.col(c).cast("double")).otherwise(F.lit(float(UNKNOWN))).alias(c)
+        for c in cols])
+
+
+def verdict_for(lookup_table: DataFrame, ip: str, key_col: str = "client_ip",
+                unknown_policy: str = "compat", **verdict_kw) -> DataFrame:
+    """Suspicious flag of one address (empty address -> False)."""
+    if not ip:
+        return lookup_table.sparkSession.createDataFrame([(ip, False)], f"{key_col} string, suspicious boolean")
+    v = suspicion_verdict(lookup_point(lookup_table, ip, key_col), unknown_policy=unknown_policy, **verdict_kw)
+    return v.select(key_col, "suspicious")
+
+
 def judge_limited(limited: DataFrame, lookup_table: DataFrame, key_col: str = "client_ip",
                   unknown_policy: str = "compat", verdict_kw: dict | None = None,
                   broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

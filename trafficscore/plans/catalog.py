@@ -85,6 +85,16 @@ def q_lookup_rfm(spark, sf):
                       _round("monetary", 4))
 
 
+POINT_IP = "10.0.0.7"
+
+
+def q_lookup_point(spark, sf):
+    out = rules.verdict_for(_lookup_table(spark, sf), POINT_IP, **VERDICT_KW)
+    looked = rules.lookup_point(_lookup_table(spark, sf), POINT_IP)
+    return looked.join(out, "client_ip").select("client_ip", _round("recency_days", 9), _round("frequency", 9),
+                                                _round("monetary", 4), "suspicious")
+
+
 def q_rate_limit(spark, sf):
     out = rate_limit_batch(V.access_log(spark, sf), tie_col="request_id",
                            window_seconds=LIMIT_WINDOW_S, limit=LIMIT_N)
@@ -341,6 +351,7 @@ QUERIES = {
     "average_percentile": q_average_percentile,
     "suspicion_verdict": q_suspicion_verdict,
     "lookup_rfm": q_lookup_rfm,
+    "lookup_point": q_lookup_point,
     "rate_limit": q_rate_limit,
     "rate_limit_subnet": q_rate_limit_subnet,
     "decide_requests": q_decide_requests,

@@ -114,6 +114,14 @@ SELECT q.request_id, q.client_ip,
 FROM access_log q LEFT JOIN lookup l ON q.client_ip = l.client_ip
 WHERE q.path IN ('/sensitive-data', '/sensitive-data/')"""
 
+SQL["lookup_point"] = _with(ACCESS_LOG, ACCESS, _rfm_cte("rfm_all", "access", V.EVENTS_NOW), LOOKUP) + f"""
+, one AS (SELECT count(*) AS n, any_value(recency_days) AS r, any_value(frequency) AS f, any_value(monetary) AS m
+          FROM lookup WHERE client_ip = '{C.POINT_IP}'),
+vals AS (SELECT CASE WHEN n = 1 THEN r ELSE -1 END AS recency_days, CASE WHEN n = 1 THEN f ELSE -1 END AS frequency,
+                CASE WHEN n = 1 THEN m ELSE -1 END AS monetary FROM one)
+SELECT '{C.POINT_IP}' AS client_ip, round(recency_days, 9) AS recency_days, round(frequency, 9) AS frequency,
+       round(monetary, 4) AS monetary, {_verdict()} AS suspicious FROM vals"""
+
 SQL["rate_limit"] = _with(ACCESS_LOG, _limiter("access_log", C.LIMIT_WINDOW_S), recursive=True) + f"""
 SELECT request_id, client_ip, make_timestamp(ws) AS window_start, cnt AS request_count,
        cnt > {C.LIMIT_N} AS over_limit FROM fold"""
