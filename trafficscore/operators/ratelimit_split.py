@@ -47,6 +47,9 @@ _RUN = "_run"          # slice whose run a row belongs to
 _EVENT = "_event"      # True: a request of this slice; False: tail copy from the previous slice
 # A client below this many rows is never sliced: one task sorts and folds it.
 MIN_HOT_ROWS = 5_000_000
+# Rows per slice of a hot client: a slice (plus its inherited tail) is
+# gathered by one task to build its transfer table.
+MAX_SLICE_ROWS = 10_000_000
 
 
 def transfer_table(ev: np.ndarray, cand: np.ndarray, window_us: int, next_start: int):
@@ -85,32 +88,35 @@ def _transfer(key_col: str, window_us: int):
     """mapInPandas over rows sorted by (key, run, ts, tie): one transfer table
     per run.  A run is at most one slice plus its inherited tail, so it is
     gathered across Arrow batches before being evaluated."""
-    def flush(key, run, seg):
-        ts = seg[_TS].to_numpy(np.int64)
-        is_event = seg[_EVENT].to_numpy(bool)
+    def flush(key, run, seg, next_start):
+        ts = np.concatenate([t for t, _ in seg])
+        is_event = np.concatenate([e for _, e in seg])
         if not is_event.any():
             return None
-        xs, ys = transfer_table(ts[is_event], ts[~is_event], window_us, int(seg["_next_start"].iat[0]))
+        xs, ys = transfer_table(ts[is_event], ts[~is_event], window_us, next_start)
         return pd.DataFrame({key_col: [key] * len(xs), _RUN: np.full(len(xs), run, dtype=np.int64),
                              "x": xs, "y": ys})
 
     def fn(batches):
-        cur, parts = None, []
+        cur, parts, nstart = None, [], 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             keys, runs, bounds = _runs(pdf, key_col)
+            ts = pdf[_TS].to_numpy(np.int64)
+            ev = pdf[_EVENT].to_numpy(bool)
+            ns = pdf["_next_start"].to_numpy(np.int64)
             for s, e in zip(bounds[:-1], bounds[1:]):
                 k = (keys[s], int(runs[s]))
                 if k != cur and parts:
-                    out = flush(cur[0], cur[1], pd.concat(parts))
+                    out = flush(cur[0], cur[1], parts, nstart)
                     if out is not None:
                         yield out
                     parts = []
-                cur = k
-                parts.append(pdf.iloc[s:e][[_TS, _EVENT, "_next_start"]])
+                cur, nstart = k, int(ns[s])
+                parts.append((ts[s:e], ev[s:e]))     # only times and flags are kept
         if parts:
-            out = flush(cur[0], cur[1], pd.concat(parts))
+            out = flush(cur[0], cur[1], parts, nstart)
             if out is not None:
                 yield out
     return fn
@@ -149,19 +155,23 @@ def _final_fold(key_col: str, window_us: int, limit: int):
     return fn
 
 
-def _hot_clients(base: DataFrame, key_col: str, parts: int, window_us: int, hot_rows, min_hot_rows):
+def _hot_clients(base: DataFrame, key_col: str, parts: int, window_us: int, hot_rows, min_hot_rows,
+                 max_slice_rows: int = MAX_SLICE_ROWS):
     """[(key, tmin, width)] of hot clients from one aggregation pass, which
     collects only clients above the smallest possible hot size (at most
-    total / that size of them)."""
+    total / that size of them).  Slices hold about ``max_slice_rows`` rows
+    (``hot_rows`` sets threshold and slice size at once) and are never
+    narrower than one window."""
     floor_rows = hot_rows if hot_rows is not None else min_hot_rows
     stats = base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n"), F.min(_TS).alias("_tmin"),
                                       F.max(_TS).alias("_tmax"))
     cand = F.when(F.col("_n") > floor_rows, F.struct(key_col, "_n", "_tmin", "_tmax"))
     summary = stats.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.collect_list(cand).alias("c")).first()
-    per_slice = hot_rows if hot_rows is not None else max(math.ceil(summary["n"] / parts), min_hot_rows)
+    threshold = hot_rows if hot_rows is not None else max(math.ceil(summary["n"] / parts), min_hot_rows)
+    per_slice = hot_rows if hot_rows is not None else min(threshold, max_slice_rows)
     out = []
     for c in summary["c"]:
-        if c["_n"] > per_slice:
+        if c["_n"] > threshold:
             width = max(window_us, math.ceil((c["_tmax"] - c["_tmin"] + 1) / math.ceil(c["_n"] / per_slice)))
             out.append((c[key_col], int(c["_tmin"]), int(width)))
     return out
@@ -173,11 +183,11 @@ def _bcast(df: DataFrame, n: int) -> DataFrame:
 
 def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us: int, limit: int,
                      partitions: int | None = None, hot_rows: int | None = None,
-                     min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                     min_hot_rows: int = MIN_HOT_ROWS, max_slice_rows: int = MAX_SLICE_ROWS) -> DataFrame:
     spark = base.sparkSession
     parts = partitions or shuffle_partitions(base)
     schema = _with_outputs(base.schema)
-    hot_list = _hot_clients(base, key_col, parts, window_us, hot_rows, min_hot_rows)
+    hot_list = _hot_clients(base, key_col, parts, window_us, hot_rows, min_hot_rows, max_slice_rows)
     if not hot_list:
         return (base.repartition(parts, key_col).sortWithinPartitions(*order)
                 .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
