@@ -88,6 +88,16 @@ def slim_packets(packets: DataFrame) -> DataFrame:
                           F.col("Length").alias("pkt_len"))
 
 
+def conform_packets(df: DataFrame, source_tz: str | None = None) -> DataFrame:
+    """Slim packet rows typed: ``timestamp`` parsed (NULL when unparseable),
+    ``src_ip`` kept, ``pkt_len`` as a long (NULL when not an integer).
+    Other columns pass through."""
+    ts = parse_timestamp("timestamp") if _is_string(df, "timestamp") else F.col("timestamp").cast("timestamp")
+    keep = [c for c in df.columns if c not in ("timestamp", "src_ip", "pkt_len")]
+    return df.select(*keep, localize(ts, source_tz).alias("timestamp"), F.col("src_ip"),
+                     F.col("pkt_len").try_cast("long").alias("pkt_len"))
+
+
 def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: str | None = None) -> DataFrame:
     """Slim packet rows -> (timestamp, src_ip, pkt_len long) with hygiene rules.
 
@@ -95,11 +105,7 @@ def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: st
     is a non-negative integer; ``since`` adds the strict ``timestamp > since``
     filter of the incremental job; ``source_tz`` reads local capture times.
     """
-    ts = parse_timestamp("timestamp") if _is_string(df, "timestamp") else F.col("timestamp").cast("timestamp")
-    ts = localize(ts, source_tz)
-    length = F.col("pkt_len").try_cast("long")
-    keep = [c for c in df.columns if c not in ("timestamp", "src_ip", "pkt_len")]
-    out = df.select(*keep, ts.alias("timestamp"), F.col("src_ip"), length.alias("pkt_len"))
+    out = conform_packets(df, source_tz)
     if since is not None:
         out = filter_since(out, since)
     return out.where(F.col("src_ip").isNotNull() & (F.col("pkt_len") >= 0) & F.col("timestamp").isNotNull())
