@@ -71,3 +71,73 @@ def test_limiter_ties_and_window_edges(spark, reqs, limit, slice_rows):
     out = rate_limit_batch(df, tie_col="rid", window_seconds=60, limit=limit, hot_rows=slice_rows)
     got = {r.rid: (r.request_count, r.over_limit) for r in out.collect()}
     assert got == brute(rows, 60_000_000, limit)
+
+
+# ---- packet-line classification vs. the line-by-line rules ------------------
+
+def classify_line(line: str) -> str:
+    s = line.strip(" \t\n\r\x0b\x0c")
+    if not s or s.startswith("#") or s.startswith("Timestamp"):
+        return "skip"
+    parts = s.split("\t")
+    if len(parts) != 8:
+        return "malformed"
+    if not parts[0] or not parts[1] or not parts[6]:
+        return "missing"
+    return "ok"
+
+
+field = st.sampled_from(["", "x", "10.0.0.1", "2024-01-01 00:00:00.000001", "60", "#", "Timestamp", " a "])
+lines = st.one_of(
+    st.lists(field, min_size=1, max_size=10).map("\t".join),
+    st.tuples(st.sampled_from(["", " ", "\t", "  \t"]), st.lists(field, min_size=1, max_size=9).map("\t".join),
+              st.sampled_from(["", " ", "\t", "\n", " \t "])).map("".join),
+)
+
+
+@SETTINGS
+@given(ls=st.lists(lines, min_size=1, max_size=40))
+def test_packet_line_kinds_match_rules(spark, ls):
+    from trafficscore.sources.logs import parse_packet_lines
+    df = spark.createDataFrame(list(enumerate(ls)), "id int, value string")
+    got = {r.id: r.kind for r in parse_packet_lines(df).collect()}
+    assert got == {i: classify_line(x) for i, x in enumerate(ls)}
+
+
+# ---- threshold rules vs. their plain statement ---------------------------------
+
+def classify_py(r, f, m):
+    lt = lambda a, b: a is not None and a == a and a < b      # noqa: E731  (NULL/NaN fail every test)
+    gt = lambda a, b: a is not None and a == a and a > b      # noqa: E731
+    le = lambda a, b: a is not None and a == a and a <= b     # noqa: E731
+    if lt(r, 1 / 1440) and gt(f, 100):
+        return "flood" if lt(m, 100) else "amp" if gt(m, 1200) else "susp"
+    return "legit" if le(f, 100) else "unc"
+
+
+def verdict_py(r, f, m):
+    lt = lambda a, b: a is not None and a == a and a < b      # noqa: E731
+    gt = lambda a, b: a is not None and a == a and a > b      # noqa: E731
+    le = lambda a, b: a is not None and a == a and a <= b     # noqa: E731
+    if lt(r, 1) and gt(f, 50):
+        return lt(m, 100) or gt(m, 1200)
+    if le(f, 50):
+        return False
+    return True
+
+
+num = st.one_of(st.none(), st.just(float("nan")), st.sampled_from([0.0, 1 / 1440, 1.0, 50.0, 100.0, 1200.0, -1.0]),
+                st.floats(-10, 2000, allow_nan=False))
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(num, num, num), min_size=1, max_size=40))
+def test_rules_match_plain_statement(spark, rows):
+    from trafficscore.operators import rules
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                               "id int, recency_days double, frequency double, monetary double")
+    names = {rules.LABEL_FLOOD: "flood", rules.LABEL_AMPLIFICATION: "amp", rules.LABEL_SUSPICIOUS: "susp",
+             rules.LABEL_LEGITIMATE: "legit", rules.LABEL_UNCERTAIN: "unc"}
+    got = {r.id: (names[r.label], r.suspicious)
+           for r in rules.suspicion_verdict(rules.classify_clients(df)).collect()}
+    assert got == {i: (classify_py(*r), verdict_py(*r)) for i, r in enumerate(rows)}
