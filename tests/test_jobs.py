@@ -116,3 +116,16 @@ def test_config_from_env_and_job(spark, scratch):
     n = jobs.refresh_from_config(spark, cfg.with_(network_log_dir=logs, output_file=out), now=NOW)
     back = S.read_rfm_table(spark, out)
     assert n == back.count() and "monetary" not in [c for c in spark.read.option("header", "true").csv(out).columns]
+
+
+def test_decide_job_end_to_end(spark, scratch):
+    logs = os.path.join(scratch, "network_logs")
+    src = _write_access_csv(spark, logs)
+    table = os.path.join(scratch, "rfm_scores")
+    jobs.refresh_rfm(spark, logs, table, now=NOW)
+    out = os.path.join(scratch, "decisions")
+    n = jobs.decide_job(spark, logs, table, out, window_seconds=86_400, limit=3,
+                        verdict_kw=dict(max_recency_days=1, freq_pct=50, low_monetary=1800, high_monetary=3000))
+    back = spark.read.parquet(out)
+    assert back.count() == src.where(F.col("path") == "/sensitive-data").count()
+    assert n == back.where(F.col("decision") == "challenge").count()

@@ -103,3 +103,29 @@ def incremental_from_config(spark: SparkSession, cfg=None, now: dt.datetime | No
     from trafficscore.config import from_env
     cfg = cfg or from_env()
     return run_incremental(spark, cfg.log_data_path, cfg.rfm_output_dir, cfg.last_run_file, now=now)
+
+
+def decide_job(spark: SparkSession, log_path: str | DataFrame, rfm_path: str | DataFrame, output_path: str,
+               window_seconds: float = 60, limit: int = 10, tie_col: str | None = None,
+               verified: DataFrame | None = None, unknown_policy: str = "compat", verdict_kw: dict | None = None,
+               fmt: str = "parquet") -> int:
+    """Offline decision run: access-log files + RFM table file -> allow /
+    challenge per protected request, written to ``output_path``.
+
+    Returns the number of challenged requests (observed while writing).
+    """
+    from trafficscore.operators.rules import build_lookup_table, decide_requests
+    from trafficscore.sources.logs import read_rfm_table
+
+    ensure_utc(spark)
+    raw = read_access_log(spark, log_path) if isinstance(log_path, str) else log_path
+    logs = exclude_static(conform_access_log(raw)) if "path" in raw.columns else raw
+    rfm = read_rfm_table(spark, rfm_path) if isinstance(rfm_path, str) else rfm_path
+    with released_after():
+        table = build_lookup_table(rfm)
+        out = decide_requests(logs, table, tie_col=tie_col, window_seconds=window_seconds, limit=limit,
+                              verified=verified, unknown_policy=unknown_policy, verdict_kw=verdict_kw)
+        obs = Observation("decisions")
+        (out.observe(obs, F.sum((F.col("decision") == "challenge").cast("long")).alias("challenged"))
+         .write.mode("overwrite").format(fmt).save(output_path))
+        return int(obs.get["challenged"] or 0)
