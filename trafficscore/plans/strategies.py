@@ -108,6 +108,7 @@ def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
     if how not in ("left", "inner"):
         raise ValueError("size_checked_join supports 'left' and 'inner'")
     if n_small is None:
+        small = materialize(small)      # the count fills the cache the join then reads
         n_small = small.count()
     if n_small <= broadcast_max_rows:
         return big.join(F.broadcast(small), on=keys, how=how)
