@@ -49,7 +49,7 @@ def _batch(acc):
 def test_event_time_out_of_order_equals_batch(spark, scratch):
     acc = _write_files(spark, os.path.join(scratch, "in"), reverse=True)
     lim = rate_limit_stream(_stream(spark, os.path.join(scratch, "in")), tie_col="request_id",
-                            window_seconds=86_400, limit=3, delay="40 days")
+                            window_seconds=86_400, limit=3, mode="event_time", delay="40 days")
     out = os.path.join(scratch, "out")
     drain(lim.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck"))
           .trigger(availableNow=True).start(out))
@@ -77,7 +77,8 @@ def test_event_time_holds_back_until_watermark(spark, scratch):
     acc = _write_files(spark, folder, reverse=False)
     lim = rate_limit_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1)
                             .option("pathGlobFilter", "*.parquet").parquet(os.path.join(folder, "f*")),
-                            tie_col="request_id", window_seconds=86_400, limit=3, delay="1 day")
+                            tie_col="request_id", window_seconds=86_400, limit=3, mode="event_time",
+                            delay="1 day")
     out = os.path.join(scratch, "out")
     drain(lim.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck"))
           .trigger(availableNow=True).start(out))
@@ -128,3 +129,30 @@ def test_access_log_stream_sink(spark, scratch):
     back = spark.read.option("header", "true").csv(out)
     assert back.columns == ["request_id", "timestamp", "client_ip", "path"]
     assert back.count() == 1001          # every request plus the flush row
+
+
+def test_event_time_reports_rows_later_than_the_watermark(spark, scratch):
+    from trafficscore.streaming.ratelimit import rows_dropped_by_watermark
+    folder = os.path.join(scratch, "in")
+    t0 = dt.datetime(2024, 1, 10)
+    # the late-row filter uses the watermark of the previous batch, so a
+    # middle batch moves it before the late file arrives
+    for i, rows in enumerate([[(1, t0, "a"), (2, t0 + dt.timedelta(days=2), "a")],
+                              [(5, t0 + dt.timedelta(days=2, minutes=1), "a")],
+                              [(3, t0 - dt.timedelta(days=1), "a"), (4, t0 + dt.timedelta(hours=1), "a")]]):
+        d = os.path.join(folder, f"f{i}")
+        spark.createDataFrame([(r, t, c, "/") for r, t, c in rows], SCHEMA).coalesce(1).write.parquet(d)
+        for f in os.listdir(d):
+            os.utime(os.path.join(d, f), (1_700_000_000 + i, 1_700_000_000 + i))
+    lim = rate_limit_stream(_stream(spark, folder), tie_col="request_id", window_seconds=60, limit=10,
+                            mode="event_time", delay="1 hour")
+    q = (lim.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck"))
+         .trigger(availableNow=True).start(os.path.join(scratch, "out")))
+    drain(q)
+    assert rows_dropped_by_watermark(q) == 2
+    # arrival mode keeps every row
+    lim2 = rate_limit_stream(_stream(spark, folder), tie_col="request_id", window_seconds=60, limit=10)
+    out2 = os.path.join(scratch, "out2")
+    drain(lim2.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck2"))
+          .trigger(availableNow=True).start(out2))
+    assert spark.read.parquet(out2).count() == 5

@@ -1,18 +1,22 @@
 """Anchored per-client rate limiter over a stream, with keyed state.
 
-``mode="event_time"`` (default): rows are ordered by their own timestamps,
-not by arrival, so files delivered out of order give the same counts as the
-batch limiter.  Per client the state holds the open window ``(ws, cnt)``
-and a buffer of not-yet-final requests ``(us, tie)``; each call adds the new
-rows to the buffer and folds, in (time, tie) order, the rows at or below
-the watermark.  The buffer holds at most the watermark delay of a client's
-traffic.  An event-time timeout at the earliest buffered row releases it
-when the watermark passes even if the client sends nothing more.  A drained
-(``availableNow``) run keeps the last delay of data buffered until newer
-data moves the watermark.
-
-``mode="arrival"``: no buffer; every micro-batch is folded as it comes
-(rows of one batch in time order) - the request-time behaviour.
+``mode="arrival"`` (default): every micro-batch is folded as it comes (rows
+of one batch in time order), with ``(window_start, count)`` per client in the
+state store - the request-time behaviour of the original limiter.  No row
+is ever dropped and state per client is constant.
+
+``mode="event_time"``: rows are ordered by their own timestamps, not by
+arrival, so files delivered out of order give the same counts as the batch
+limiter.  Per client the state holds the open window and a buffer of
+not-yet-final requests ``(us, tie)``; each call adds the new rows and folds,
+in (time, tie) order, the rows at or below the watermark.  An event-time
+timeout at the earliest buffered row releases it when the watermark passes.
+Spark's stateful operator discards input rows that arrive later than the
+watermark before they reach the fold (reported as
+``numRowsDroppedByWatermark``, see ``rows_dropped_by_watermark``), so the
+delay must cover the disorder of the source; the buffer holds one delay of
+each client's traffic.  A drained (``availableNow``) run keeps the last
+delay of data buffered until newer data moves the watermark.
 
 State whose window has expired and whose buffer is empty is removed: an
 expired window behaves exactly like no window, so eviction changes nothing.
@@ -85,7 +89,7 @@ def _make_func(key_name: str, window_us: int, limit: int, event_time: bool):
 
 def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
                       tie_col: str | None = None, window_seconds: float = WINDOW_SECONDS,
-                      limit: int = MAX_REQUESTS, mode: str = "event_time",
+                      limit: int = MAX_REQUESTS, mode: str = "arrival",
                       delay: str = "10 minutes") -> DataFrame:
     """Streaming limiter.  Output (append mode): ``key, <tie_col>, timestamp,
     window_start, request_count, over_limit`` per request."""
@@ -109,3 +113,9 @@ def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str
     return out.select(key_col, F.col("_tie").alias(tie_col or "tie"),
                       F.timestamp_micros("_ts_us").alias(ts_col), F.timestamp_micros("_ws_us").alias("window_start"),
                       "request_count", "over_limit")
+
+
+def rows_dropped_by_watermark(query) -> int:
+    """Input rows the stateful operators of ``query`` discarded as later than
+    the watermark, summed over the progress reports kept by Spark."""
+    return sum(op.numRowsDroppedByWatermark or 0 for p in query.recentProgress for op in p.stateOperators)
