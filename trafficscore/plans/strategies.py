@@ -74,16 +74,20 @@ def salts_for(count_col, n_big: int, partitions: int):
     return F.least(F.lit(partitions), F.ceil(count_col / F.lit(per_part)).cast("int"))
 
 
-def hot_keys(big: DataFrame, keys: list[str], n_big: int, partitions: int) -> DataFrame:
+def hot_keys(big: DataFrame, keys: list[str], n_big: int | None, partitions: int) -> DataFrame:
     """Keys holding more rows than an average shuffle partition, with the
     number of salt buckets that brings each back to about that size.
 
     At most ``partitions`` keys can exceed ``n_big / partitions`` rows, so the
     result has a proven bound and may be broadcast.  The per-key counts are
-    pre-aggregated map-side before the shuffle.
+    pre-aggregated map-side before the shuffle; when ``n_big`` is unknown it
+    is their sum (same pass).
     """
-    per_part = max(1, n_big // max(1, partitions))
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if n_big is None:
+        counts = materialize(counts)
+        n_big = int(counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    per_part = max(1, n_big // max(1, partitions))
     return (counts.where(F.col("_n") > per_part)
             .select(*keys, salts_for(F.col("_n"), n_big, partitions).alias("_salts")))
 
@@ -115,7 +119,7 @@ def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
 
     if hot is None:
         parts = shuffle_partitions(big)
-        hot = materialize(hot_keys(big, keys, big.count() if n_big is None else n_big, parts))
+        hot = materialize(hot_keys(big, keys, n_big, parts))
     row_cols = salt_row_cols or big.columns
     salted_big = (big.join(F.broadcast(hot), on=keys, how="left")
                   .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
