@@ -62,6 +62,18 @@ def main():
     b = rate_limit_batch(acc, min_hot_rows=100_000, **kw).select("request_id", "request_count").alias("b")
     out["limiter_results_differ"] = a.join(b, "request_id").where(
         F.col("a.request_count") != F.col("b.request_count")).count()
+    # skewed lookup join (a third of the requests carry one key), shuffle path
+    from trafficscore.operators import rfm, rules
+    from trafficscore.plans.strategies import size_checked_join
+    table = rules.build_lookup_table(rfm.compute_rfm(acc, V.EVENTS_NOW)).select(
+        "client_ip", "recency_days", "frequency", "monetary")
+    table.count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    out["join_plain_shuffle_s"] = timed(acc.join(table, "client_ip", "left"))
+    out["join_salted_s"] = timed(size_checked_join(acc, table, ["client_ip"], how="left", broadcast_max_rows=0))
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    out["join_plain_aqe_skew_s"] = timed(acc.join(table, "client_ip", "left"))
     print(json.dumps(out))
 
 
