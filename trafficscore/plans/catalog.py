@@ -89,8 +89,9 @@ POINT_IP = "10.0.0.7"
 
 
 def q_lookup_point(spark, sf):
-    out = rules.verdict_for(_lookup_table(spark, sf), POINT_IP, **VERDICT_KW)
-    looked = rules.lookup_point(_lookup_table(spark, sf), POINT_IP)
+    table = _lookup_table(spark, sf)
+    out = rules.verdict_for(table, POINT_IP, **VERDICT_KW)
+    looked = rules.lookup_point(table, POINT_IP)
     return looked.join(out, "client_ip").select("client_ip", _round("recency_days", 9), _round("frequency", 9),
                                                 _round("monetary", 4), "suspicious")
 
