@@ -131,3 +131,15 @@ def test_transfer_table_units():
     assert got == {0: 260, 80: 260, 95: 260}
     xs, ys = transfer_table(ev, np.array([90]), 60, next_start=1000)
     assert dict(zip(xs.tolist(), ys.tolist())) == {0: 0, 90: 0}       # expired before the next slice
+
+
+def test_equal_times_without_tie_column_are_deterministic(spark):
+    same = T0 + dt.timedelta(seconds=5)
+    df = spark.createDataFrame([("a", same, f"r{i}") for i in range(12)], "client_ip string, timestamp timestamp, x string")
+    runs = []
+    for parts in (1, 3, 8):
+        out = rate_limit_batch(df.repartition(parts), limit=10)
+        assert out.columns == ["client_ip", "timestamp", "x", "request_count", "over_limit", "window_start"]
+        runs.append(sorted((r.x, r.request_count) for r in out.collect()))
+    assert runs[0] == runs[1] == runs[2]
+    assert sorted(c for _, c in runs[0]) == list(range(1, 13))

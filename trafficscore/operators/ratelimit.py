@@ -109,8 +109,8 @@ def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "t
                      min_hot_rows: int | None = None) -> DataFrame:
     """Add ``window_start`` (timestamp), ``request_count`` and ``over_limit``.
 
-    Requests are ordered by time, then by ``tie_col`` (e.g. a request id) so
-    equal timestamps fold deterministically.  Rows with a NULL timestamp are
+    Requests are ordered by time, then by ``tie_col`` (e.g. a request id; by
+    default a hash of the row) so equal timestamps fold deterministically.  Rows with a NULL timestamp are
     not requests and are dropped.  Clients with more rows than an average
     partition and at least ``min_hot_rows`` are sliced (``hot_rows`` sets the
     slice size directly); see ``ratelimit_split``.
@@ -119,7 +119,13 @@ def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "t
     ship_package(df.sparkSession)
     window_us = int(round(window_seconds * 1_000_000))
     base = df.where(F.col(ts_col).isNotNull()).withColumn(_TS, epoch_micros(ts_col))
-    order = [key_col, _TS] + ([tie_col] if tie_col else [])
+    if tie_col is None:
+        # equal times still fold in one fixed order, so a recomputed partition
+        # (lost executor) reproduces the same counts
+        base = base.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
+        order = [key_col, _TS, "_tie"]
+    else:
+        order = [key_col, _TS, tie_col]
     if split_hot_clients:
         from trafficscore.operators.ratelimit_split import rate_limit_split
         kw = {} if min_hot_rows is None else {"min_hot_rows": min_hot_rows}
@@ -129,4 +135,4 @@ def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "t
         sorted_df = base.repartition(parts, key_col).sortWithinPartitions(*order)
         out = sorted_df.mapInPandas(_fold_batches([key_col], window_us, limit), _with_outputs(base.schema))
     return (out.withColumn("window_start", F.timestamp_micros(F.col(_WS)))
-            .drop(_TS, _WS))
+            .drop(_TS, _WS, *(["_tie"] if tie_col is None else [])))

@@ -96,7 +96,8 @@ def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str
     from trafficscore.session import ship_package
     ship_package(stream.sparkSession)
     window_us = int(round(window_seconds * 1_000_000))
-    tie = F.col(tie_col).cast("long") if tie_col else F.lit(0).cast("long")
+    # without a tie column, a hash of the row orders equal times deterministically
+    tie = F.col(tie_col).cast("long") if tie_col else F.xxhash64(*[F.col(c) for c in stream.columns])
     s = stream.where(F.col(ts_col).isNotNull())
     if mode == "event_time":
         s = s.withWatermark(ts_col, delay)
