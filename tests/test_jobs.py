@@ -129,3 +129,15 @@ def test_decide_job_end_to_end(spark, scratch):
     back = spark.read.parquet(out)
     assert back.count() == src.where(F.col("path") == "/sensitive-data").count()
     assert n == back.where(F.col("decision") == "challenge").count()
+
+
+def test_read_logs_formats(spark, scratch):
+    from trafficscore.schemas import RFM_RAW_SCHEMA
+    rfm_df = spark.createDataFrame([("1.1.1.1", 0.5, 3, 10.0), ("2.2.2.2", 1.5, 7, 0.0)], RFM_RAW_SCHEMA)
+    for fmt in ("parquet", "json", "orc", "csv"):
+        path = os.path.join(scratch, f"rfm_{fmt}")
+        K.write_rfm_table(rfm_df, path, fmt=fmt)
+        back = S.read_logs(spark, path, fmt=fmt, schema=RFM_RAW_SCHEMA if fmt in ("csv", "json") else None)
+        assert sorted(tuple(r) for r in back.select(*RFM_RAW_SCHEMA.fieldNames()).collect()) == \
+            sorted(tuple(r) for r in rfm_df.collect()), fmt
+    assert S.read_rfm_table(spark, os.path.join(scratch, "rfm_parquet"), fmt="parquet").count() == 2
