@@ -81,3 +81,13 @@ def test_distributed_plan_has_no_single_partition_window(spark):
     # the value-level prefix sum is partitioned by bucket; only the bucket
     # offsets (at most a few thousand rows) use an unpartitioned window
     assert "hashpartitioning(_b" in plan
+
+
+def test_max_bucket_count_is_exact(spark):
+    """The largest bucket tree (256 leaves) compiles and ranks exactly."""
+    from pyspark.sql import functions as F
+    from trafficscore.operators.ranks import MAX_BUCKETS
+    df = spark.range(60_000).select("id", F.pmod(F.col("id") * 7919, F.lit(40_009)).alias("v"))
+    h = ranks.percent_rank_column(df, "v", "pr", method="histogram", local_max_distinct=0, n_buckets=MAX_BUCKETS)
+    w = ranks.percent_rank_column(df, "v", "pw", method="window").select("id", "pw")
+    assert h.join(w, "id").where(F.abs(F.col("pr") - F.col("pw")) > 1e-12).count() == 0
