@@ -69,12 +69,17 @@ def protected_requests(df: DataFrame, path_col: str = "path", paths=PROTECTED_PA
                        verified: DataFrame | None = None, key_col: str = "client_ip") -> DataFrame:
     """Requests to the protected route, minus clients already verified.
 
-    ``verified`` (one column ``key_col``) is removed with a left anti join;
-    AQE turns it into a broadcast join when its runtime size is small.
+    ``verified`` (one column ``key_col``) is removed with a left anti join:
+    broadcast when the distinct verified clients are within the counted
+    bound, else a shuffle anti join (AQE splits a hot client's partition).
     """
+    from trafficscore.plans.strategies import BROADCAST_MAX_ROWS, materialize
+
     out = df.where(F.col(path_col).isin(list(paths)))
     if verified is not None:
-        out = out.join(verified.select(key_col).distinct(), on=key_col, how="left_anti")
+        keys = materialize(verified.select(key_col).distinct())
+        side = F.broadcast(keys) if keys.count() <= BROADCAST_MAX_ROWS else keys
+        out = out.join(side, on=key_col, how="left_anti")
     return out
 
 
