@@ -156,3 +156,19 @@ def test_event_time_reports_rows_later_than_the_watermark(spark, scratch):
     drain(lim2.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck2"))
           .trigger(availableNow=True).start(out2))
     assert spark.read.parquet(out2).count() == 5
+
+
+def test_converter_start_time(spark, scratch):
+    """A file source has no 'start at the end'; start_ts skips older packets."""
+    src = os.path.join(scratch, "tsv")
+    V.packet_lines(spark, SF001).select("value").coalesce(1).write.text(src)
+    out = os.path.join(scratch, "csv")
+    start = "2024-01-20 00:00:00"
+    drain(stream_packet_tsv(spark.readStream.format("text").load(src), out, os.path.join(scratch, "ck"),
+                            trigger={"availableNow": True}, start_ts=start))
+    back = spark.read.option("header", "true").csv(out)
+    assert back.count() > 0
+    assert back.where(F.col("timestamp").cast("timestamp") < F.lit(start).cast("timestamp")).count() == 0
+    from trafficscore.sources.logs import read_packet_tsv
+    want = read_packet_tsv(spark.read.text(src)).where(F.col("timestamp") >= F.lit(start).cast("timestamp")).count()
+    assert back.count() == want
