@@ -247,7 +247,8 @@ _RANKS = {"r_rank": "recency_raw", "f_rank": "frequency_raw", "m_rank": "monetar
 
 
 def q_percent_ranks(spark, sf):
-    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, method="window")
+    # auto: one-task window only when the counted table is small, else distributed
+    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, method="auto")
     return out.select("src_ip", *[_round(c, 9) for c in _RANKS])
 
 
