@@ -141,3 +141,60 @@ def test_rules_match_plain_statement(spark, rows):
     got = {r.id: (names[r.label], r.suspicious)
            for r in rules.suspicion_verdict(rules.classify_clients(df)).collect()}
     assert got == {i: (classify_py(*r), verdict_py(*r)) for i, r in enumerate(rows)}
+
+
+# ---- the whole decision against a plain Python pipeline ------------------------
+
+def decide_py(requests, table_rows, window_us, limit):
+    """requests: (rid, ip, us, path); table_rows: (ip, r, freq, m)."""
+    import pandas as pd
+    t = pd.DataFrame(table_rows, columns=["ip", "r", "f", "m"])
+    if len(t):
+        t["f"] = t["f"].rank(method="average", pct=True) * 100
+    state, out = {}, {}
+    for rid, ip, rel, path in sorted(requests, key=lambda q: (q[2], q[0])):
+        if path != "/sensitive-data":
+            continue
+        us = rel + T0_US                       # epoch micros, as the fold sees them
+        ws, c = state.get(ip, (0, 0))
+        ws, c = (us, 1) if us - ws > window_us else (ws, c + 1)
+        state[ip] = (ws, c)
+        if c <= limit or not ip:
+            out[rid] = "allow"
+            continue
+        if ip == "127.0.0.1":
+            out[rid] = "challenge"
+            continue
+        rows = t[t["ip"] == ip]
+        r, f, m = (rows.iloc[0]["r"], rows.iloc[0]["f"], rows.iloc[0]["m"]) if len(rows) == 1 else (-1, -1, -1)
+        if r < 1 and f > 50:
+            s = m < 100 or m > 1200
+        elif f <= 50:
+            s = False
+        else:
+            s = True
+        out[rid] = "challenge" if s else "allow"
+    return out
+
+
+ips = st.sampled_from(["1.1.1.1", "2.2.2.2", "3.3.3.3", "127.0.0.1", ""])
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=list(HealthCheck))
+@given(reqs=st.lists(st.tuples(ips, st.integers(0, 30).map(lambda s: s * 1_000_000),
+                               st.sampled_from(["/sensitive-data", "/", "/static/x"])), min_size=1, max_size=80),
+       table=st.lists(st.tuples(st.sampled_from(["1.1.1.1", "2.2.2.2", "9.9.9.9"]), st.sampled_from([0.5, 1.0, 2.0]),
+                                st.integers(1, 100), st.sampled_from([0.0, 99.0, 100.0, 1200.0, 1201.0])),
+                      min_size=1, max_size=8),
+       limit=st.integers(1, 4))
+def test_decision_matches_plain_pipeline(spark, reqs, table, limit):
+    from trafficscore.operators import rules
+    requests = [(i, ip, us, path) for i, (ip, us, path) in enumerate(reqs)]
+    log = spark.createDataFrame([(i, ip, T0 + dt.timedelta(microseconds=us), path) for i, ip, us, path in requests],
+                                "request_id long, client_ip string, timestamp timestamp, path string")
+    rfm = spark.createDataFrame([(ip, float(r), f, float(m)) for ip, r, f, m in table],
+                                "client_ip string, recency_days double, frequency long, monetary double")
+    out = rules.decide_requests(log, rules.build_lookup_table(rfm), tie_col="request_id", window_seconds=10,
+                                limit=limit)
+    got = {r.request_id: r.decision for r in out.collect()}
+    assert got == decide_py(requests, table, 10_000_000, limit)
