@@ -110,9 +110,10 @@ def test_fixture_counts(spark, sf, expected):
     assert (agg.o, agg.n) == expected
 
 
-def test_dense_hot_client_needs_sequential_tail(spark):
-    """Evenly spaced requests: the window phase of a slice that starts fresh
-    never re-aligns, so only the sequential tail makes the result exact."""
+def test_dense_hot_client(spark):
+    """Evenly spaced requests: the window phase of a slice that started fresh
+    would never re-align with the true one, so every slice boundary must get
+    its exact incoming window start (transfer tables + pointer doubling)."""
     rows = [("flood", i * 7_000_000, i) for i in range(1200)] + [("x", i * 61_000_000, 5000 + i) for i in range(30)]
     want = brute(rows, 60_000_000, 5)
     got = _run(spark, rows, limit=5, hot_rows=150)
