@@ -199,11 +199,12 @@ def rate_limit_split(base: DataFrame, key_col: str, order: list[str], window_us:
                 .repartition(parts, key_col).sortWithinPartitions(*order)
                 .mapInPandas(_fold_batches([key_col], window_us, limit), schema))
 
-    # hot rows with their slice, written once to the checkpoint folder
+    # hot rows with their slice, kept for the three passes that read them
+    # (short lineage: scan + broadcast join; the doubling loop below cuts its
+    # growing lineage with checkpoints instead)
     sliced = materialize(
         base.join(hot, on=key_col, how="inner")
-        .withColumn("_slice", F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")).cast("long")),
-        "checkpoint")
+        .withColumn("_slice", F.floor((F.col(_TS) - F.col("_tmin")) / F.col("_width")).cast("long")))
 
     # slice summary (one row per non-empty slice): dense index, start of the next slice
     per_key: dict = {}
