@@ -141,3 +141,22 @@ def test_read_logs_formats(spark, scratch):
         assert sorted(tuple(r) for r in back.select(*RFM_RAW_SCHEMA.fieldNames()).collect()) == \
             sorted(tuple(r) for r in rfm_df.collect()), fmt
     assert S.read_rfm_table(spark, os.path.join(scratch, "rfm_parquet"), fmt="parquet").count() == 2
+
+
+def test_incremental_over_landed_parquet(spark, scratch):
+    from trafficscore.sources.sinks import land_logs
+    ok = S.parse_packet_lines(V.packet_lines(spark, SF001)).where(F.col("kind") == "ok")
+    slim = clean.slim_packets(ok).select("timestamp", "src_ip", "pkt_len")
+    landed = os.path.join(scratch, "landed")
+    land_logs(clean.clean_packets(slim), landed)
+    csv = os.path.join(scratch, "csv")
+    slim.write.option("header", "true").csv(csv)
+    mark_a, mark_b = os.path.join(scratch, "ma"), os.path.join(scratch, "mb")
+    since = dt.datetime(2024, 1, 20, tzinfo=dt.timezone.utc)
+    H.save_high_water_mark(spark, mark_a, since)
+    H.save_high_water_mark(spark, mark_b, since)
+    pa = jobs.run_incremental(spark, landed, os.path.join(scratch, "oa"), mark_a, now=NOW, fmt_in="parquet")
+    pb = jobs.run_incremental(spark, csv, os.path.join(scratch, "ob"), mark_b, now=NOW)
+    a = sorted(tuple(r) for r in spark.read.option("header", "true").csv(pa).collect())
+    b = sorted(tuple(r) for r in spark.read.option("header", "true").csv(pb).collect())
+    assert a == b and len(a) > 0

@@ -62,3 +62,15 @@ def test_distributed_rank_has_no_global_window_on_rows(spark, scratch):
     # the only unpartitioned window is over the bucket totals (<= MAX_BUCKETS rows)
     assert "hashpartitioning(_b" in plan
     assert "percent_rank" not in plan
+
+
+def test_landed_logs_prune_days(spark, scratch):
+    from trafficscore.sources.sinks import land_logs
+    path = os.path.join(scratch, "landed")
+    land_logs(V.access_log(spark, SF001), path)
+    log = spark.read.parquet(path)
+    q = clean.filter_since(log, "2024-01-25 12:00:00", partition_col="date")
+    plan = _plan(q)
+    assert "PartitionFilters: [isnotnull(date" in plan and "(date" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    want = clean.filter_since(V.access_log(spark, SF001), "2024-01-25 12:00:00").count()
+    assert q.count() == want > 0

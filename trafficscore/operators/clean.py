@@ -103,7 +103,8 @@ def conform_packets(df: DataFrame, source_tz: str | None = None) -> DataFrame:
                      F.col("pkt_len").try_cast("long").alias("pkt_len"))
 
 
-def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: str | None = None) -> DataFrame:
+def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: str | None = None,
+                  partition_col: str | None = None) -> DataFrame:
     """Slim packet rows -> (timestamp, src_ip, pkt_len long) with hygiene rules.
 
     Keeps rows with a parseable timestamp, a source address and a length that
@@ -112,19 +113,25 @@ def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: st
     """
     out = conform_packets(df, source_tz)
     if since is not None:
-        out = filter_since(out, since)
+        out = filter_since(out, since, partition_col=partition_col)
     return out.where(F.col("src_ip").isNotNull() & (F.col("pkt_len") >= 0) & F.col("timestamp").isNotNull())
 
 
-def filter_since(df: DataFrame, since, ts_col: str = "timestamp") -> DataFrame:
+def filter_since(df: DataFrame, since, ts_col: str = "timestamp", partition_col: str | None = None) -> DataFrame:
     """Rows strictly newer than ``since`` (a datetime or timestamp text).
 
-    A naive datetime is taken as UTC wall clock, like the logs.
+    A naive datetime is taken as UTC wall clock, like the logs.  For a table
+    partitioned by UTC date (``sinks.land_logs``), pass ``partition_col``: the
+    matching date bound is added so whole older days are pruned (Spark
+    cannot derive a partition filter from the timestamp predicate itself).
     """
     if isinstance(since, dt.datetime) and since.tzinfo is not None:
         since = since.astimezone(dt.timezone.utc).replace(tzinfo=None)
     lit = F.lit(since.isoformat(sep=" ") if isinstance(since, dt.datetime) else since)
-    return df.where(F.col(ts_col).cast("timestamp") > lit.cast("timestamp"))
+    out = df.where(F.col(ts_col).cast("timestamp") > lit.cast("timestamp"))
+    if partition_col and partition_col in df.columns:
+        out = out.where(F.col(partition_col) >= F.to_date(lit.cast("timestamp")))
+    return out
 
 
 def filter_destination(df: DataFrame, host: str, port: int | None = None,

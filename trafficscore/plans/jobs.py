@@ -58,7 +58,7 @@ def refresh_rfm(spark: SparkSession, log_path: str | DataFrame, output_path: str
 
 def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir: str, hwm_path: str,
                     now: dt.datetime | None = None, hwm: str = "run_time", rank_method: str = "auto",
-                    single_file: bool = False, fmt: str = "csv") -> str | None:
+                    single_file: bool = False, fmt: str = "csv", fmt_in: str = "csv") -> str | None:
     """Score only packet rows newer than the high-water mark.
 
     Scores use the new rows alone (never merged with history; see
@@ -72,9 +72,14 @@ def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir:
     if hwm not in ("run_time", "event_max"):
         raise ValueError("hwm must be 'run_time' or 'event_max'")
     since = load_high_water_mark(spark, hwm_path)
-    raw = read_packet_csv(spark, log_path) if isinstance(log_path, str) else log_path
+    if isinstance(log_path, str):
+        # Parquet landed by date (sinks.land_logs) lets the mark prune whole days
+        raw = spark.read.parquet(log_path) if fmt_in == "parquet" else read_packet_csv(spark, log_path)
+    else:
+        raw = log_path
     with released_after():
-        logs = materialize(clean_packets(raw, since=since))
+        logs = materialize(clean_packets(raw, since=since,
+                                         partition_col="date" if "date" in raw.columns and fmt_in == "parquet" else None))
         if logs.isEmpty():
             log.info("no new rows since %s", since.isoformat())
             return None

@@ -85,3 +85,12 @@ def sink_rotating_csv(df: DataFrame, path: str, ts_col: str = "timestamp", rotat
 def append_access_log(df: DataFrame, path: str) -> None:
     """Append request rows to the access-log folder (each file has a header)."""
     df.write.mode("append").option("header", "true").csv(path)
+
+
+def land_logs(df: DataFrame, path: str, ts_col: str = "timestamp", partition_col: str = "date",
+              mode: str = "append") -> None:
+    """Land log rows as Parquet partitioned by UTC date of ``ts_col``, so
+    time-bounded reads (``filter_since(..., partition_col=)``) prune whole
+    days instead of scanning every file."""
+    (df.withColumn(partition_col, F.to_date(F.col(ts_col).cast("timestamp")))
+     .write.mode(mode).partitionBy(partition_col).parquet(path))
