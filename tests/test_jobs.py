@@ -160,3 +160,16 @@ def test_incremental_over_landed_parquet(spark, scratch):
     a = sorted(tuple(r) for r in spark.read.option("header", "true").csv(pa).collect())
     b = sorted(tuple(r) for r in spark.read.option("header", "true").csv(pb).collect())
     assert a == b and len(a) > 0
+
+
+def test_refresh_over_landed_parquet(spark, scratch):
+    from trafficscore.sources.sinks import land_logs
+    logs = os.path.join(scratch, "network_logs")
+    src = _write_access_csv(spark, logs)
+    landed = os.path.join(scratch, "landed")
+    land_logs(src, landed)
+    a = jobs.refresh_rfm(spark, logs, os.path.join(scratch, "a"), now=NOW)
+    b = jobs.refresh_rfm(spark, landed, os.path.join(scratch, "b"), now=NOW, fmt_in="parquet")
+    ra = sorted(tuple(r) for r in S.read_rfm_table(spark, os.path.join(scratch, "a")).collect())
+    rb = sorted(tuple(r) for r in S.read_rfm_table(spark, os.path.join(scratch, "b")).collect())
+    assert a == b and [(x[0], x[2]) for x in ra] == [(x[0], x[2]) for x in rb]

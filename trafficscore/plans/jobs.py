@@ -30,16 +30,24 @@ def _utcnow() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc)
 
 
+def _read_access(spark: SparkSession, log_path, fmt_in: str) -> DataFrame:
+    """Access log from CSV files, from Parquet landed by ``land_logs``, or a
+    DataFrame given as is."""
+    if not isinstance(log_path, str):
+        return log_path
+    return spark.read.parquet(log_path) if fmt_in == "parquet" else read_access_log(spark, log_path)
+
+
 def refresh_rfm(spark: SparkSession, log_path: str | DataFrame, output_path: str, now: dt.datetime | None = None,
                 roles: ColumnRoles = ACCESS_ROLES, fmt: str = "csv", on_bad_ts: str = "null",
-                single_file: bool = False) -> int:
+                single_file: bool = False, fmt_in: str = "csv") -> int:
     """Recompute the raw RFM table from the whole access log and overwrite it.
 
     Returns the number of clients written (counted while writing, through an
     ``Observation``, not by a second pass).  Empty input -> nothing written.
     """
     ensure_utc(spark)
-    raw = read_access_log(spark, log_path) if isinstance(log_path, str) else log_path
+    raw = _read_access(spark, log_path, fmt_in)
     require_columns(raw, [roles.ts_col])
     logs = exclude_static(conform_access_log(raw, on_bad_ts=on_bad_ts)) if "path" in raw.columns else raw
     if logs.isEmpty():
@@ -113,7 +121,7 @@ def incremental_from_config(spark: SparkSession, cfg=None, now: dt.datetime | No
 def decide_job(spark: SparkSession, log_path: str | DataFrame, rfm_path: str | DataFrame, output_path: str,
                window_seconds: float = 60, limit: int = 10, tie_col: str | None = None,
                verified: DataFrame | None = None, unknown_policy: str = "compat", verdict_kw: dict | None = None,
-               fmt: str = "parquet") -> int:
+               fmt: str = "parquet", fmt_in: str = "csv") -> int:
     """Offline decision run: access-log files + RFM table file -> allow /
     challenge per protected request, written to ``output_path``.
 
@@ -123,7 +131,7 @@ def decide_job(spark: SparkSession, log_path: str | DataFrame, rfm_path: str | D
     from trafficscore.sources.logs import read_rfm_table
 
     ensure_utc(spark)
-    raw = read_access_log(spark, log_path) if isinstance(log_path, str) else log_path
+    raw = _read_access(spark, log_path, fmt_in)
     logs = exclude_static(conform_access_log(raw)) if "path" in raw.columns else raw
     rfm = read_rfm_table(spark, rfm_path) if isinstance(rfm_path, str) else rfm_path
     with released_after():
