@@ -172,3 +172,18 @@ def test_converter_start_time(spark, scratch):
     from trafficscore.sources.logs import read_packet_tsv
     want = read_packet_tsv(spark.read.text(src)).where(F.col("timestamp") >= F.lit(start).cast("timestamp")).count()
     assert back.count() == want
+
+
+def test_stream_landing_is_pruned_by_the_mark(spark, scratch):
+    from trafficscore.operators.clean import filter_since
+    from trafficscore.streaming.packets import stream_land_logs
+    folder = os.path.join(scratch, "in")
+    acc = _write_files(spark, folder)
+    landed = os.path.join(scratch, "landed")
+    drain(stream_land_logs(_stream(spark, folder, per_trigger=3), landed, os.path.join(scratch, "ck"),
+                           trigger={"availableNow": True}))
+    back = spark.read.parquet(landed)
+    assert back.count() == acc.count() + 1                     # every request plus the flush row
+    q = filter_since(back, "2024-01-25 00:00:00", partition_col="date")
+    assert "PartitionFilters: [isnotnull(date" in q._jdf.queryExecution().executedPlan().toString()
+    assert q.count() == filter_since(acc, "2024-01-25 00:00:00").count() + 1

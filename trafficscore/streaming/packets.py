@@ -60,7 +60,7 @@ def stream_packet_tsv(lines: DataFrame, output_path: str, checkpoint: str, trigg
 
 
 __all__ = ["read_packet_tsv_stream", "slim_packet_stream", "stream_packet_tsv", "rotation_bucket_expr",
-           "stream_access_log"]
+           "stream_access_log", "stream_land_logs"]
 
 
 def stream_access_log(requests: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -68,3 +68,13 @@ def stream_access_log(requests: DataFrame, path: str, checkpoint: str, trigger:
     (the file sink commits each micro-batch exactly once)."""
     return (requests.writeStream.format("csv").option("header", "true").option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(**(trigger or {"processingTime": "1 second"})).start(path))
+
+
+def stream_land_logs(logs: DataFrame, path: str, checkpoint: str, ts_col: str = "timestamp",
+                     partition_col: str = "date", trigger: dict | None = None) -> StreamingQuery:
+    """Continuously land log rows as Parquet partitioned by UTC date (the
+    layout ``filter_since(partition_col=...)`` prunes), exactly once per
+    micro-batch through the file sink."""
+    out = logs.withColumn(partition_col, F.to_date(F.col(ts_col).cast("timestamp")))
+    return (out.writeStream.format("parquet").option("checkpointLocation", checkpoint).partitionBy(partition_col)
+            .outputMode("append").trigger(**(trigger or {"processingTime": "1 minute"})).start(path))
