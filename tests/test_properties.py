@@ -198,3 +198,27 @@ def test_decision_matches_plain_pipeline(spark, reqs, table, limit):
                                 limit=limit)
     got = {r.request_id: r.decision for r in out.collect()}
     assert got == decide_py(requests, table, 10_000_000, limit)
+
+
+# ---- transfer table of one slice vs. direct simulation -------------------------
+
+def simulate_exit(ev, x, window, next_start):
+    ws = x
+    for t in ev:
+        if t - ws > window:
+            ws = t
+    return 0 if ws + window < next_start else ws
+
+
+@settings(max_examples=200, deadline=None)
+@given(ev=st.lists(st.integers(1000, 1600), min_size=1, max_size=40),
+       cands=st.lists(st.integers(900, 999), max_size=10),
+       window=st.sampled_from([10, 37, 60, 150]), gap=st.integers(1, 400))
+def test_transfer_table_matches_simulation(ev, cands, window, gap):
+    import numpy as np
+    from trafficscore.operators.ratelimit_split import transfer_table
+    ev = np.array(sorted(ev), dtype=np.int64)
+    next_start = int(ev[-1]) + gap
+    xs, ys = transfer_table(ev, np.array(cands, dtype=np.int64), window, next_start)
+    for x, y in zip(xs.tolist(), ys.tolist()):
+        assert y == simulate_exit(ev.tolist(), x, window, next_start), (x, y)
