@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import threading
 from contextlib import contextmanager
 
 
@@ -24,7 +25,13 @@ from trafficscore.session import checkpoint_dir
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-_SCOPES: list[list[DataFrame]] = []
+_LOCAL = threading.local()     # per thread: foreachBatch runs on each stream's own thread
+
+
+def _scopes() -> list:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
 
 
 @contextmanager
@@ -34,11 +41,12 @@ def released_after():
     Jobs and micro-batches wrap their action in it, so a long-running
     stream does not accumulate cached tables batch after batch.
     """
-    _SCOPES.append([])
+    scopes = _scopes()
+    scopes.append([])
     try:
         yield
     finally:
-        for df in _SCOPES.pop():
+        for df in scopes.pop():
             df.unpersist()
 
 
@@ -52,8 +60,9 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     """
     if how == "persist":
         out = df.persist(StorageLevel.MEMORY_AND_DISK)
-        if _SCOPES:
-            _SCOPES[-1].append(out)
+        scopes = _scopes()
+        if scopes:
+            scopes[-1].append(out)
         return out
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
