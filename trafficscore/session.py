@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -68,6 +69,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -80,12 +82,13 @@ def ship_package(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
-        return
-    pkg = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp(prefix="trafficscore-pkg-")) / "trafficscore.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in pkg.rglob("*.py"):
-            z.write(f, f.relative_to(pkg.parent).as_posix())
-    sc.addPyFile(str(out))
-    _SHIPPED.add(app)
+    with _SHIP_LOCK:            # streams call this from their own threads
+        if app in _SHIPPED:
+            return
+        pkg = Path(__file__).resolve().parent
+        out = Path(tempfile.mkdtemp(prefix="trafficscore-pkg-")) / "trafficscore.zip"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in pkg.rglob("*.py"):
+                z.write(f, f.relative_to(pkg.parent).as_posix())
+        sc.addPyFile(str(out))
+        _SHIPPED.add(app)
