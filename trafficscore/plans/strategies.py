@@ -3,6 +3,7 @@
 * ``materialize`` - reuse one computed table across several actions, either
   with ``persist`` (recomputed from lineage if an executor is lost) or with a
   reliable ``checkpoint`` in the cluster's shared checkpoint folder.
+* ``released_after`` - drop the tables a job or micro-batch cached.
 * ``size_checked_join`` - broadcast the small side only after counting it;
   beyond the bound, a shuffle join whose hot keys on the big side are salted
   so a key holding a large share of the rows is split over many tasks.
@@ -13,7 +14,6 @@ from __future__ import annotations
 import threading
 from contextlib import contextmanager
 
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,6 @@ from trafficscore.session import checkpoint_dir
 # a few tens of bytes, so 1M rows (~60 MB) stays well below broadcast limits.
 BROADCAST_MAX_ROWS = 1_000_000
 
-
 _LOCAL = threading.local()     # per thread: foreachBatch runs on each stream's own thread
 
 
