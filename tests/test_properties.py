@@ -222,3 +222,20 @@ def test_transfer_table_matches_simulation(ev, cands, window, gap):
     xs, ys = transfer_table(ev, np.array(cands, dtype=np.int64), window, next_start)
     for x, y in zip(xs.tolist(), ys.tolist()):
         assert y == simulate_exit(ev.tolist(), x, window, next_start), (x, y)
+
+
+# ---- salted join = plain join -------------------------------------------------
+
+@SETTINGS
+@given(big=st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["hot", "a", "b", "c", "zz"])),
+                              st.integers(0, 5)), min_size=1, max_size=150),
+       hot_share=st.integers(0, 200), how=st.sampled_from(["left", "inner"]))
+def test_salted_join_equals_plain_join(spark, big, hot_share, how):
+    from trafficscore.plans.strategies import size_checked_join
+    rows = [(i, k, v) for i, (k, v) in enumerate(big)] + [(1000 + j, "hot", j % 3) for j in range(hot_share)]
+    left = spark.createDataFrame(rows, "id int, k string, v int")
+    right = spark.createDataFrame([("hot", 1.5), ("a", 2.5), ("c", None), ("nope", 9.0)], "k string, w double")
+    want = sorted(tuple(r) for r in left.join(right, "k", how).select("id", "k", "v", "w").collect())
+    got = sorted(tuple(r) for r in size_checked_join(left, right, ["k"], how=how, broadcast_max_rows=0)
+                 .select("id", "k", "v", "w").collect())
+    assert got == want
