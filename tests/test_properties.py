@@ -239,3 +239,43 @@ def test_salted_join_equals_plain_join(spark, big, hot_share, how):
     got = sorted(tuple(r) for r in size_checked_join(left, right, ["k"], how=how, broadcast_max_rows=0)
                  .select("id", "k", "v", "w").collect())
     assert got == want
+
+
+# ---- average percentile and RFM vs. pandas ---------------------------------------
+
+@SETTINGS
+@given(vals=st.lists(st.one_of(st.none(), st.integers(0, 6), st.integers(0, 500)), min_size=1, max_size=80),
+       salted=st.booleans())
+def test_average_percentile_equals_pandas(spark, vals, salted):
+    import pandas as pd
+    from trafficscore.operators.ranks import average_percentile
+    df = spark.createDataFrame(list(enumerate(vals)), "id int, v long")
+    got = {r.id: r.p for r in average_percentile(df, "v", "p", local_max_distinct=0, n_buckets=3,
+                                                 broadcast_max_rows=0 if salted else 10**6).collect()}
+    want = pd.Series(vals, dtype="float64").rank(method="average", pct=True) * 100
+    for i, w in enumerate(want):
+        assert (got[i] is None) if pd.isna(w) else got[i] == pytest.approx(w)
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["a", "b", "c"])),
+                               st.one_of(st.none(), st.integers(0, 10_000)),
+                               st.one_of(st.none(), st.integers(0, 50))), min_size=1, max_size=60))
+def test_compute_rfm_equals_pandas(spark, rows):
+    import pandas as pd
+    from trafficscore.operators.rfm import compute_rfm
+    now = dt.datetime(2024, 2, 1)
+    data = [(k, None if s is None else T0 + dt.timedelta(seconds=s), None if m is None else float(m))
+            for k, s, m in rows]
+    df = spark.createDataFrame(data, "client_ip string, timestamp timestamp, http_body_length double")
+    got = {r.client_ip: (r.recency_days, r.frequency, r.monetary) for r in compute_rfm(df, now).collect()}
+    pdf = pd.DataFrame(data, columns=["client_ip", "timestamp", "http_body_length"])
+    pdf["timestamp"] = pd.to_datetime(pdf["timestamp"])
+    g = pdf.groupby("client_ip")                     # NULL keys dropped, as pandas does
+    rec = (pd.Timestamp(now) - g["timestamp"].max()).dt.total_seconds() / 86_400
+    freq, mon = g["timestamp"].count(), g["http_body_length"].sum()
+    assert set(got) == set(freq.index)
+    for k in got:
+        r, f, m = got[k]
+        assert f == freq[k] and m == pytest.approx(mon[k])
+        assert (r is None and pd.isna(rec[k])) or r == pytest.approx(rec[k])
