@@ -279,3 +279,23 @@ def test_compute_rfm_equals_pandas(spark, rows):
         r, f, m = got[k]
         assert f == freq[k] and m == pytest.approx(mon[k])
         assert (r is None and pd.isna(rec[k])) or r == pytest.approx(rec[k])
+
+
+# ---- scalar functions vs. Python ---------------------------------------------------
+
+@SETTINGS
+@given(vals=st.lists(st.tuples(st.integers(0, 255), st.integers(0, 2**32 - 1), st.floats(0, 1)), min_size=1,
+                     max_size=50))
+def test_scalars_equal_python(spark, vals):
+    import ipaddress
+    import math
+    from trafficscore.functions import scalars as X
+    df = spark.createDataFrame(list(enumerate(vals)), "id int, t struct<m:int, ip:long, r:double>").select(
+        "id", "t.*")
+    out = df.select("id", X.tcp_flags_string("m").alias("f"), X.ipv4_to_string("ip").alias("s"),
+                    X.score_column("r", True).alias("hi"), X.score_column("r", False).alias("lo")).collect()
+    for row in out:
+        m, ip, r = vals[row.id]
+        assert row.f == "".join(c if m & b else "-" for c, b in X.TCP_FLAG_BITS)
+        assert row.s == str(ipaddress.IPv4Address(ip))
+        assert row.hi == min(5, math.ceil(r * 5.0)) and row.lo == min(5, math.ceil((1.0 - r) * 5.0))
