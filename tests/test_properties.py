@@ -299,3 +299,24 @@ def test_scalars_equal_python(spark, vals):
         assert row.f == "".join(c if m & b else "-" for c, b in X.TCP_FLAG_BITS)
         assert row.s == str(ipaddress.IPv4Address(ip))
         assert row.hi == min(5, math.ceil(r * 5.0)) and row.lo == min(5, math.ceil((1.0 - r) * 5.0))
+
+
+@SETTINGS
+@given(items=st.lists(st.tuples(st.datetimes(min_value=dt.datetime(2000, 1, 1), max_value=dt.datetime(2030, 1, 1)),
+                                st.sampled_from(["iso_us", "iso_s", "space_s", "space_us", "junk"])),
+                      min_size=1, max_size=40))
+def test_parse_timestamp_formats(spark, items):
+    from trafficscore.functions.scalars import parse_timestamp
+    texts, want = [], []
+    for d, kind in items:
+        if kind == "junk":
+            texts.append("not a time " + d.isoformat()[:4])
+            want.append(None)
+            continue
+        fmt = {"iso_us": "%Y-%m-%dT%H:%M:%S.%f", "iso_s": "%Y-%m-%dT%H:%M:%S", "space_s": "%Y-%m-%d %H:%M:%S",
+               "space_us": "%Y-%m-%d %H:%M:%S.%f"}[kind]
+        texts.append(d.strftime(fmt))
+        want.append(d if kind.endswith("_us") else d.replace(microsecond=0))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.p for r in df.select("id", parse_timestamp("t").cast("timestamp_ntz").alias("p")).collect()}
+    assert [got[i] for i in range(len(texts))] == want
