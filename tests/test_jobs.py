@@ -173,3 +173,17 @@ def test_refresh_over_landed_parquet(spark, scratch):
     ra = sorted(tuple(r) for r in S.read_rfm_table(spark, os.path.join(scratch, "a")).collect())
     rb = sorted(tuple(r) for r in S.read_rfm_table(spark, os.path.join(scratch, "b")).collect())
     assert a == b and [(x[0], x[2]) for x in ra] == [(x[0], x[2]) for x in rb]
+
+
+def test_command_line(spark, scratch, monkeypatch, capsys):
+    from trafficscore.__main__ import main
+    logs = os.path.join(scratch, "network_logs")
+    _write_access_csv(spark, logs)
+    out = os.path.join(scratch, "rfm.csv")
+    monkeypatch.setenv("NETWORK_LOG_DIR", logs)
+    monkeypatch.setenv("OUTPUT_FILE", out)
+    assert main(["refresh"]) == 0
+    assert "RFM table saved" in capsys.readouterr().out
+    dec = os.path.join(scratch, "dec")
+    assert main(["decide", logs, out, dec, "--window", "86400", "--limit", "3"]) == 0
+    assert spark.read.parquet(dec).count() > 0
