@@ -110,10 +110,11 @@ def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "t
     """Add ``window_start`` (timestamp), ``request_count`` and ``over_limit``.
 
     Requests are ordered by time, then by ``tie_col`` (e.g. a request id; by
-    default a hash of the row) so equal timestamps fold deterministically.  Rows with a NULL timestamp are
-    not requests and are dropped.  Clients with more rows than an average
-    partition and at least ``min_hot_rows`` are sliced (``hot_rows`` sets the
-    slice size directly); see ``ratelimit_split``.
+    default a hash of the row) so equal timestamps fold deterministically.
+    Rows with a NULL timestamp are not requests and are dropped.  Clients
+    with more rows than an average partition and at least ``min_hot_rows``
+    are sliced (``hot_rows`` sets the slice size directly); see
+    ``ratelimit_split``.
     """
     from trafficscore.session import ship_package
     ship_package(df.sparkSession)
