@@ -144,3 +144,15 @@ def test_equal_times_without_tie_column_are_deterministic(spark):
         runs.append(sorted((r.x, r.request_count) for r in out.collect()))
     assert runs[0] == runs[1] == runs[2]
     assert sorted(c for _, c in runs[0]) == list(range(1, 13))
+
+
+def test_null_client_key_with_hot_split(spark):
+    """Requests without a client key form one group (like a dictionary key
+    None); a hot NULL group stays on the plain fold and is still exact."""
+    rows = [(None, i * 3_000_000, i) for i in range(60)] + [("a", i * 2_000_000, 100 + i) for i in range(80)]
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(microseconds=us), rid) for k, us, rid in rows],
+                               "client_ip string, timestamp timestamp, rid long")
+    out = rate_limit_batch(df, tie_col="rid", window_seconds=60, limit=10, hot_rows=20)
+    got = {r.rid: (r.request_count, r.over_limit) for r in out.collect()}
+    want = brute(rows, 60_000_000, 10)
+    assert got == {k: (c, o) for k, (_, c, o) in want.items()}
