@@ -156,3 +156,12 @@ def test_null_client_key_with_hot_split(spark):
     got = {r.rid: (r.request_count, r.over_limit) for r in out.collect()}
     want = brute(rows, 60_000_000, 10)
     assert got == {k: (c, o) for k, (_, c, o) in want.items()}
+
+
+def test_numeric_client_key_with_hot_split(spark):
+    rows = [(7, i * 1_000_000, i) for i in range(150)] + [(8, i * 40_000_000, 500 + i) for i in range(20)]
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(microseconds=us), rid) for k, us, rid in rows],
+                               "user_id bigint, timestamp timestamp, rid long")
+    out = rate_limit_batch(df, key_col="user_id", tie_col="rid", window_seconds=60, limit=10, hot_rows=25)
+    got = {r.rid: (r.request_count, r.over_limit) for r in out.collect()}
+    assert got == {k: (c, o) for k, (_, c, o) in brute(rows, 60_000_000, 10).items()}
