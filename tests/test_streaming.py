@@ -103,7 +103,8 @@ def test_running_rfm_equals_batch(spark, scratch):
 def test_packet_converter_stream(spark, scratch):
     src = os.path.join(scratch, "tsv")
     V.packet_lines(spark, SF001).select("value").coalesce(2).write.text(src)
-    lines = spark.readStream.format("text").load(src)
+    from trafficscore.streaming.packets import read_packet_tsv_stream
+    lines = read_packet_tsv_stream(spark, src, max_files_per_trigger=1)
     out = os.path.join(scratch, "csv")
     q = stream_packet_tsv(lines, out, os.path.join(scratch, "ck"), trigger={"availableNow": True})
     drain(q)
