@@ -48,7 +48,7 @@ def main():
     sf_label = sf.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "median_query_seconds_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf_label, "cpus": cpus,
-                      "spark": spark.version,
+                      "spark": spark.version, "driver_memory": spark.conf.get("spark.driver.memory", "default"),
                       "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))}))
     spark.stop()
 
