@@ -5,17 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficscore.llm import bpe
+from trafficscore.llm import bpe, simhash, syncmers
 from trafficscore.llm.common import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-syncmer fingerprints of every whole text and of its edited text."""
+    return syncmers.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text."""
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
                        public_tokenizers.PATTERN)
 
 
-QUERIES = {"op6_bpe": op6_bpe}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit SimHash fingerprints and the components of those at most two bits apart."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_syncmers": op2_syncmers, "op6_bpe": op6_bpe, "op10_simhash": op10_simhash}
 SQL: dict[str, str] = {}
