@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficscore.llm import bpe, simhash, syncmers
+from trafficscore.llm import bpe, pages, quality, secrets, simhash, syncmers
 from trafficscore.llm.common import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -16,16 +16,31 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: fixed patterns and the randomness battery."""
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text."""
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
                        public_tokenizers.PATTERN)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learnt from the labels that aren't held out."""
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without its site's template."""
+    return pages.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit SimHash fingerprints and the components of those at most two bits apart."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_syncmers": op2_syncmers, "op6_bpe": op6_bpe, "op10_simhash": op10_simhash}
+QUERIES = {f.__name__: f for f in (op2_syncmers, op4_secrets, op6_bpe, op8_quality, op9_pages, op10_simhash)}
 SQL: dict[str, str] = {}
