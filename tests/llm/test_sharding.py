@@ -1,0 +1,66 @@
+"""Balanced label propagation: exact balance, few cut links, gapless slots."""
+
+import zlib
+from collections import Counter
+
+from trafficscore.llm import queries, sharding
+
+
+def check(rows, got):
+    assert sorted((r.doc_id is None, r.doc_id, r.size, r.text_crc32) for r in got) == sorted(
+        (i is None, i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    counts = Counter(r.shard for r in got)
+    sizes = [counts.get(s, 0) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and set(counts) <= set(range(8))
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+    assert {r.law for r in got} <= {"rows"} and all(r.grown_shard is None for r in got)
+
+
+def test_query_over_the_whole_table(spark, read):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in read("documents", sf).collect()]
+    got = queries.op3_sharding(spark, sf).collect()
+    check(rows, got)
+    text = dict(rows)
+    shards = {}
+    for r in got:
+        shards.setdefault(text[r.doc_id], set()).add(r.shard)
+    groups = [t for t, n in Counter(text.values()).items() if n > 1]
+    assert sum(len(shards[t]) == 1 for t in groups) > 0.85 * len(groups)
+
+
+def test_large_group_fills_a_shard(documents):
+    rows = [(i, "copy") for i in range(150)] + [(1000 + i, f"own text {i}") for i in range(250)]
+    got = sharding.documents(documents(rows)).collect()
+    check(rows, got)
+    most = Counter(r.shard for r in got if r.doc_id < 150).most_common(1)[0][1]
+    assert most >= 45                      # a shard holds 50
+
+
+def test_odd_rows(documents, odd_texts):
+    rows = [*enumerate(odd_texts), (3, "a"), (3, "a"), (None, None)]
+    check(rows, sharding.documents(documents(rows)).collect())
+    check(rows[:3], sharding.documents(documents(rows[:3])).collect())
+    assert sharding.documents(documents([])).collect() == []
+
+
+def test_links_of_a_ring_of_cliques(spark):
+    edges = []
+    for c in range(12):
+        edges += [(c * 6 + i, c * 6 + j, 3) for i in range(6) for j in range(i)]
+        edges.append((c * 6, (c * 6 + 6) % 72, 1))
+    nodes = spark.range(400)
+    links = spark.createDataFrame(edges, "a long, b long, weight long")
+    placed = sharding.propagate(nodes, links, 4, 10).cache()
+    assert placed.groupBy("shard").count().selectExpr("max(count) - min(count) as d").first().d == 0
+    assert sharding.cut_links(placed, links) < 0.45 * len(edges)        # chance: three quarters
+
+
+def test_quotas_balance():
+    moved, filled = sharding.quotas({(0, 1): 10, (1, 0): 4, (2, 0): 5, (1, 2): 7}, {0: 2, 1: 3, 2: 100}, 3)
+    for s in range(3):
+        out = sum(n for t in (moved, filled) for (i, _), n in t.items() if i == s)
+        into = sum(n for t in (moved, filled) for (_, j), n in t.items() if j == s)
+        assert out == into
+    assert moved[0, 1] == 7 and moved[1, 2] == 7

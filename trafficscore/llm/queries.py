@@ -5,17 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficscore.llm import bpe, pages, quality, secrets, simhash, syncmers
+from trafficscore.llm import bpe, decontam, pages, quality, secrets, sharding, simhash, suffixes, syncmers
 from trafficscore.llm.common import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that whole documents hold, with up to a fifth of their words edited."""
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-syncmer fingerprints of every whole text and of its edited text."""
     return syncmers.edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of equal counts, equal texts together."""
+    return sharding.documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text: fixed patterns and the randomness battery."""
     return secrets.report(read_table(spark, sf_dir, "documents"))
@@ -27,6 +37,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts without the 50-byte strings that a smaller doc_id's text has too."""
+    return suffixes.report(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text, learnt from the labels that aren't held out."""
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
@@ -42,5 +57,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_syncmers, op4_secrets, op6_bpe, op8_quality, op9_pages, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_syncmers, op3_sharding, op4_secrets, op6_bpe, op7_suffixes, op8_quality, op9_pages, op10_simhash)}
 SQL: dict[str, str] = {}
