@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficscore.llm import bpe, decontam, pages, quality, secrets, sharding, simhash, suffixes, syncmers
+from trafficscore.llm import bpe, decontam, pages, pii, quality, secrets, sharding, simhash, suffixes, syncmers
 from trafficscore.llm.common import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: checked patterns and boosted candidates."""
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every whole text."""
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
@@ -57,5 +62,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_syncmers, op3_sharding, op4_secrets, op6_bpe, op7_suffixes, op8_quality, op9_pages, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_syncmers, op3_sharding, op4_secrets, op5_pii, op6_bpe, op7_suffixes, op8_quality, op9_pages, op10_simhash)}
 SQL: dict[str, str] = {}
