@@ -36,8 +36,9 @@ NONE = 0x7FFFFFFF                # "this pair has no rank"
 SHELF = 6                        # the index is kept by shelves of 2**SHELF neighbouring ranks
 STEP = 40_000                    # positions taken from the index at a time
 LONG = 128                       # bytes; longer words are merged alone, by a heap
-BLOCK_WORDS = 300_000            # words replayed together; bounds the memory of the index
-WORDS_KEPT = 600_000             # distinct words whose ids a worker keeps between chunks
+CHUNK = 6 << 20                  # bytes of text, or of ids, that a worker takes at a time
+BLOCK_WORDS = 100_000            # words replayed together; bounds the memory of the index
+WORDS_KEPT = 250_000             # distinct words whose ids a worker keeps between chunks
 _LOADED: dict = {}
 
 
@@ -47,7 +48,11 @@ class Ranks:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bytes_of = {i: t for t, i in self.rank.items()}
+        by_id = {i: t for t, i in self.rank.items()}
+        self.token_bytes = np.frombuffer(b"".join(by_id[i] for i in sorted(by_id)), dtype=np.uint8)
+        self.token_size = np.zeros(max(by_id) + 1, dtype=np.int64)
+        self.token_size[list(by_id)] = [len(t) for t in by_id.values()]
+        self.token_start = np.cumsum(self.token_size) - self.token_size
         self.of_byte = np.array([self.rank[bytes([i])] for i in range(256)], dtype=np.int64)
         self.pair = {}
         for token, r in self.rank.items():
@@ -206,7 +211,7 @@ class Encoder:
             self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
         self.done = len(self.number)
         starts = np.cumsum(self.sizes) - self.sizes
-        ids = [ragged_take(self.flat, starts, self.sizes, w) for w in words]
+        ids = [ragged_take(self.flat, starts, self.sizes, w).astype(np.int32) for w in words]
         return np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64), np.array([len(i) for i in ids])
 
 
@@ -229,7 +234,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out:
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), _list_array(flat, sizes)],
                                           names=[*names, out])
 
-    return map_arrow(df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`")), run, schema)
+    return map_arrow(df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`")), run, schema, CHUNK)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -238,13 +243,15 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: st
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` binary"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        of = load_ranks(path, pattern).bytes_of.__getitem__
-        at = batch.schema.get_field_index(ids_col)
-        decoded = [b"".join(map(of, ids or ())) for ids in batch.column(at).to_pylist()]
+        ranks = load_ranks(path, pattern)
+        ids = batch.column(batch.schema.get_field_index(ids_col)).fill_null([])
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths())
+        decoded = [ragged_take(ranks.token_bytes, ranks.token_start, ranks.token_size, part).tobytes()
+                   for part in np.split(flat, ends[:-1])]
         return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(decoded, pa.binary())],
                                           names=[*(f.name for f in kept), out])
 
-    return map_arrow(df.select(*[F.col(f"`{f.name}`") for f in kept]), run, schema)
+    return map_arrow(df.select(*[F.col(f"`{f.name}`") for f in kept]), run, schema, CHUNK)
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
