@@ -12,8 +12,8 @@ def _df(spark, values, col="v", typ="long"):
 
 
 @pytest.mark.parametrize("method,kw", [("window", {}), ("histogram", {}),
-                                       ("histogram", dict(local_max_distinct=0, n_buckets=3)),
-                                       ("histogram", dict(local_max_distinct=0, n_buckets=3,
+                                       ("histogram", dict(n_buckets=3)),
+                                       ("histogram", dict(n_buckets=3,
                                                           broadcast_max_rows=0))])
 def test_tie_fixture(spark, method, kw):
     out = ranks.percent_rank_column(_df(spark, FREQS), "v", "pr", method=method, **kw)
@@ -50,11 +50,11 @@ def test_histogram_equals_window_random(spark):
     rnd.shuffle(vals)
     df = _df(spark, vals, typ="double")
     want = {r.id: r.pr for r in ranks.percent_rank_column(df, "v", "pr", method="window").collect()}
-    for kw in ({}, dict(local_max_distinct=0, n_buckets=7), dict(local_max_distinct=0, broadcast_max_rows=0)):
+    for kw in ({}, dict(n_buckets=7), dict(broadcast_max_rows=0)):
         got = {r.id: r.pr for r in ranks.percent_rank_column(df, "v", "pr", method="histogram", **kw).collect()}
         assert got == pytest.approx(want)
     wa = {r.id: r.p for r in ranks.average_percentile(df, "v", "p", method="window").collect()}
-    for kw in ({}, dict(local_max_distinct=0, n_buckets=5, broadcast_max_rows=0)):
+    for kw in ({}, dict(n_buckets=5, broadcast_max_rows=0)):
         ga = {r.id: r.p for r in ranks.average_percentile(df, "v", "p", **kw).collect()}
         assert ga.keys() == wa.keys()
         for k in wa:
@@ -75,19 +75,18 @@ def test_pandas_average_rank_agrees(spark):
 
 def test_distributed_plan_has_no_single_partition_window(spark):
     df = _df(spark, list(range(1000)))
-    out = ranks.percent_rank_column(df, "v", "pr", method="histogram", local_max_distinct=0, n_buckets=4,
+    out = ranks.percent_rank_column(df, "v", "pr", method="histogram", n_buckets=4,
                                     broadcast_max_rows=0)
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the value-level prefix sum is partitioned by bucket; only the bucket
     # offsets (at most a few thousand rows) use an unpartitioned window
-    assert "hashpartitioning(_b" in plan
+    assert "hashpartitioning(_c" in plan
 
 
-def test_max_bucket_count_is_exact(spark):
-    """The largest bucket tree (256 leaves) compiles and ranks exactly."""
+def test_many_buckets_are_exact(spark):
+    """Many buckets rank exactly."""
     from pyspark.sql import functions as F
-    from trafficscore.operators.ranks import MAX_BUCKETS
     df = spark.range(60_000).select("id", F.pmod(F.col("id") * 7919, F.lit(40_009)).alias("v"))
-    h = ranks.percent_rank_column(df, "v", "pr", method="histogram", local_max_distinct=0, n_buckets=MAX_BUCKETS)
+    h = ranks.percent_rank_column(df, "v", "pr", method="histogram", n_buckets=256)
     w = ranks.percent_rank_column(df, "v", "pw", method="window").select("id", "pw")
     assert h.join(w, "id").where(F.abs(F.col("pr") - F.col("pw")) > 1e-12).count() == 0

@@ -121,17 +121,41 @@ def test_dense_hot_client(spark):
         {k: (c, o) for k, (_, c, o) in want.items()}
 
 
-def test_transfer_table_units():
-    import numpy as np
-    from trafficscore.operators.ratelimit_split import transfer_table
-    ev = np.array([100, 130, 170, 200, 260], dtype=np.int64)      # one slice, window 60
-    xs, ys = transfer_table(ev, np.array([80, 95, 95]), 60, next_start=300)
-    got = dict(zip(xs.tolist(), ys.tolist()))
-    # from none: windows open at 100, 170, 260 -> hands over 260
-    # from 80: 100,130 inside; opens 170, 260; from 95: 100..130 inside (<=155); 170; 260
-    assert got == {0: 260, 80: 260, 95: 260}
-    xs, ys = transfer_table(ev, np.array([90]), 60, next_start=1000)
-    assert dict(zip(xs.tolist(), ys.tolist())) == {0: 0, 90: 0}       # expired before the next slice
+def test_nullable_numeric_keys_keep_every_digit(spark):
+    """Keys above 2**53 that differ by one, NULL keys, and a passed-through long."""
+    big = 2**53
+    rows = [(None, 0, 1), (None, 5, 2), (big, 0, 3), (big + 1, 1, 4), (big, 30, 5), (None, 70, 6), (None, 140, 7)]
+    for kw in ({}, {"hot_rows": 1}, {"hot_rows": 0}, {"split_hot_clients": False}):
+        df = spark.createDataFrame([(k, T0 + dt.timedelta(seconds=s), i, big + 1) for k, s, i in rows],
+                                   "user_id bigint, timestamp timestamp, rid long, extra bigint")
+        out = rate_limit_batch(df, key_col="user_id", tie_col="rid", window_seconds=60, limit=1, **kw)
+        got = {r.rid: (r.user_id, r.request_count, r.extra) for r in out.collect()}
+        assert got == {1: (None, 1, big + 1), 2: (None, 2, big + 1), 3: (big, 1, big + 1), 4: (big + 1, 1, big + 1),
+                       5: (big, 2, big + 1), 6: (None, 1, big + 1), 7: (None, 1, big + 1)}, kw
+
+
+def test_far_future_and_past_clocks(spark):
+    rows = spark.sql("""SELECT * FROM VALUES ('a', timestamp'9999-12-31 23:59:59', 1L), ('a', timestamp'2024-01-01', 2L),
+                        ('a', timestamp'0001-01-01', 3L) AS t(client_ip, timestamp, rid)""")
+    for kw in ({}, {"hot_rows": 1}):
+        out = rate_limit_batch(rows, tie_col="rid", **kw).select("rid", "request_count")
+        assert {(r.rid, r.request_count) for r in out.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_idle_client_then_a_flood(spark):
+    year = 365 * 86_400 * 1_000_000
+    rows = [("bot", 0, 0)] + [("bot", year + 7_000 * i, 1 + i) for i in range(4000)]
+    want = brute(rows, 1_000_000, 10)
+    for kw in ({}, {"hot_rows": 100}):
+        got = _run(spark, rows, window_s=1, **kw)
+        assert {k: (v.request_count, v.over_limit) for k, v in got.items()} == {k: (c, o) for k, (_, c, o) in want.items()}
+
+
+def test_only_keys_and_times_reach_python(spark):
+    df = spark.createDataFrame([("a", T0, 1, "agent")], "client_ip string, timestamp timestamp, rid long, user_agent string")
+    plan = rate_limit_batch(df, tie_col="rid")._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("MapInArrow")
+    assert "user_agent" not in plan[at:plan.index("\n", at)] and "rid" not in plan[at:plan.index("\n", at)]
 
 
 def test_equal_times_without_tie_column_are_deterministic(spark):
@@ -148,7 +172,7 @@ def test_equal_times_without_tie_column_are_deterministic(spark):
 
 def test_null_client_key_with_hot_split(spark):
     """Requests without a client key form one group (like a dictionary key
-    None); a hot NULL group stays on the plain fold and is still exact."""
+    None); a hot NULL group is split like any other."""
     rows = [(None, i * 3_000_000, i) for i in range(60)] + [("a", i * 2_000_000, 100 + i) for i in range(80)]
     df = spark.createDataFrame([(k, T0 + dt.timedelta(microseconds=us), rid) for k, us, rid in rows],
                                "client_ip string, timestamp timestamp, rid long")

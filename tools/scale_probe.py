@@ -53,8 +53,7 @@ def main():
     rows = acc.count()
     out = {"rows": rows, "copies": k}
     out["rank_window_s"] = timed(percent_rank_column(acc, "http_body_length", "pr", method="window"))
-    out["rank_histogram_s"] = timed(percent_rank_column(acc, "http_body_length", "pr", method="histogram",
-                                                        local_max_distinct=0))
+    out["rank_histogram_s"] = timed(percent_rank_column(acc, "http_body_length", "pr", method="histogram"))
     kw = dict(tie_col="request_id", window_seconds=60, limit=10)
     out["limiter_single_fold_s"] = timed(rate_limit_batch(acc, split_hot_clients=False, **kw))
     out["limiter_split_s"] = timed(rate_limit_batch(acc, min_hot_rows=100_000, **kw))

@@ -2,162 +2,129 @@
 
 ``F.percent_rank().over(Window.orderBy(v))`` has no partition key, so Spark
 moves every row into one task.  A rank only depends on how many rows have a
-smaller value, so the distributed path works on the *histogram* of values:
+smaller value, so ranks are computed from the *histograms* of the ranked columns, all
+columns in the same pass:
 
-1. ``groupBy(v).count()`` (partial aggregation: ties collapse map-side, a
-   value shared by a third of the rows costs one row per map task);
+1. rows are stacked as (column, value) and counted per distinct value (partial
+   aggregation: ties collapse map-side, a value shared by a third of the rows
+   costs one row per map task);
 2. ``less(v)`` = rows with a smaller value - a prefix sum over the distinct
-   values.  Few distinct values (counted, bounded) use one small window;
-   many use value buckets cut by ``percentile_approx`` (computed in the same
-   job as the counts): per-bucket totals (at most ``MAX_BUCKETS`` rows,
-   broadcast) give each bucket's offset, and a window partitioned by bucket
-   adds the running sum inside it;
-3. the rank table (one row per value) is joined back on the value with a
-   size-checked broadcast or a salted shuffle join.
-
-``method="window"`` keeps the plain window (the reference's plan; right for
-small tables and used as the test oracle).  ``"auto"`` counts the rows and
-takes the window only when the table is small enough for one task.
+   values.  One small job per call gives each column's counts and the bounds of value
+   buckets (``percentile_approx``; as many as the cluster has partitions, more
+   if a bucket would hold over ``BUCKET_VALUES`` values).  Per-bucket totals
+   (one row per column and bucket, broadcast) give each bucket's offset, and a window
+   partitioned by column and bucket adds the running sum inside it;
+3. the rank tables (one row per value) are joined back on the value with a
+   size-checked join.
+
+There is one path at every size.  ``method="window"`` spells out the plain
+window, as the oracle of the tests.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, bucket_index,
-                                           materialize, salts_for, shuffle_partitions,
+from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, bucket_index, materialize, shuffle_partitions,
                                            size_checked_join)
 
-# A table this small is ranked with the plain window (one task, bounded).
-WINDOW_MAX_ROWS = 200_000
-# Distinct values this few get their prefix sums from one small window.
-LOCAL_MAX_DISTINCT = 1_000_000
-# Value buckets of the distributed prefix sum (the bucket test is a
-# comparison tree of this many leaves, kept small for code generation).
-MAX_BUCKETS = 256
-
-
-def _histogram(df: DataFrame, v: str) -> DataFrame:
-    """Rows per value; the NULL group is kept so NULLs are counted in the
-    same pass (it is dropped before prefix sums and joins)."""
-    return df.groupBy(v).agg(F.count(F.lit(1)).alias("_peers"))
-
-
-def _prefix_less(hist: DataFrame, v: str, n_distinct: int, local_max_distinct: int,
-                 bounds: list | None) -> DataFrame:
-    """Add ``_less``: rows (of the histogram's table) with a smaller value."""
-    before = Window.orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-    if n_distinct <= local_max_distinct or not bounds:
-        # bounded: at most local_max_distinct rows in one window task
-        return hist.withColumn("_less", F.coalesce(F.sum("_peers").over(before), F.lit(0)))
-    bounds = sorted(set(bounds))
-    hb = hist.withColumn("_b", bucket_index(F.col(v), bounds))
-    # one row per bucket: the proven-small side of a broadcast join
-    offsets = (hb.groupBy("_b").agg(F.sum("_peers").alias("_bt"))
-               .withColumn("_off", F.coalesce(F.sum("_bt").over(
-                   Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .select("_b", "_off"))
-    inside = Window.partitionBy("_b").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-    return (hb.join(F.broadcast(offsets), "_b")
-            .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_peers").over(inside), F.lit(0)))
-            .drop("_b", "_off"))
-
+# Distinct values that one bucket's window is meant to hold.
+BUCKET_VALUES = 200_000
 
-class RankTable:
-    """Histogram of one column with prefix counts, and its driver scalars.
 
-    ``table``: one row per distinct non-null value with ``_peers`` (rows with
-    that value) and ``_less`` (rows with a smaller non-null value).
-    """
+class RankTables:
+    """Histograms of several columns with prefix counts.
 
-    def __init__(self, df: DataFrame, v: str, n_rows: int | None = None,
-                 local_max_distinct: int = LOCAL_MAX_DISTINCT, n_buckets: int | None = None):
-        full = materialize(_histogram(df, v))
-        # one job: sizes, NULL count and, for the bucketed path, the value
-        # bounds (a mergeable quantile sketch, computed like any aggregate)
-        nb = n_buckets or min(MAX_BUCKETS, 4 * shuffle_partitions(df))
-        known = F.col(v).isNotNull()
-        stats = full.agg(F.coalesce(F.sum(F.when(known, F.col("_peers"))), F.lit(0)).alias("n"),
-                         F.coalesce(F.sum(F.when(~known, F.col("_peers"))), F.lit(0)).alias("nulls"),
-                         F.count(v).alias("d"),
-                         F.percentile_approx(F.col(v).cast("double"), [i / nb for i in range(1, max(nb, 2))],
-                                             max(10_000, 4 * nb)).alias("b")).first()
-        self.v = v
-        self.n_nonnull, self.n_distinct = int(stats["n"]), int(stats["d"])
-        bounds = list(stats["b"] or [])
-        self.n_rows = self.n_nonnull + int(stats["nulls"]) if n_rows is None else n_rows
-        self.n_null = self.n_rows - self.n_nonnull
-        hist = full.where(known)
-        # read up to three times by the join back (hot values, both join sides)
-        self.table = materialize(_prefix_less(hist, v, self.n_distinct, local_max_distinct, bounds))
-
-    def hot(self, partitions: int) -> DataFrame:
-        """Values shared by more rows than an average partition (salted when
-        the rank table is joined back by a shuffle)."""
-        per_part = max(1, self.n_rows // max(1, partitions))
-        return (self.table.where(F.col("_peers") > per_part)
-                .select(self.v, salts_for(F.col("_peers"), self.n_rows, partitions).alias("_salts")))
-
-    def join_back(self, df: DataFrame, value_col, broadcast_max_rows: int) -> DataFrame:
-        """Attach ``value_col`` (an expression over the table) to every row of
-        ``df`` by its value; NULL values get NULL."""
-        ranks = self.table.select(self.v, value_col.alias("_rk"))
-        return size_checked_join(df, ranks, [self.v], how="left", broadcast_max_rows=broadcast_max_rows,
-                                 n_small=self.n_distinct, n_big=self.n_rows,
-                                 hot=self.hot(shuffle_partitions(df)))
-
-
-def percent_rank_column(df: DataFrame, v: str, out: str, method: str = "auto",
-                        local_max_distinct: int = LOCAL_MAX_DISTINCT,
-                        broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                        window_max_rows: int = WINDOW_MAX_ROWS,
-                        n_buckets: int | None = None, source: DataFrame | None = None,
-                        n_rows: int | None = None) -> DataFrame:
-    """``out`` = ``percent_rank()`` over ``v`` ascending (NULLs first, rank 0),
-    equal to Spark's window function for every input.
-
-    ``source`` (default ``df``) is the table the ranks are computed from;
-    pass the materialized base when ``df`` already carries joined columns.
+    ``table``: one row per column and distinct non-null value, with ``_peers`` (rows
+    with that value) and ``_less`` (rows with a smaller non-null value).
     """
-    if method == "auto":
-        method = "window" if df.count() <= window_max_rows else "histogram"
-    if method == "window":
-        return df.withColumn(out, F.percent_rank().over(Window.orderBy(F.col(v).asc())))
-    if method != "histogram":
-        raise ValueError(f"unknown rank method {method!r}")
-    rt = RankTable(source if source is not None else df, v, n_rows, local_max_distinct, n_buckets)
-    pr = (F.col("_less") + F.lit(rt.n_null)).cast("double") / F.lit(float(max(rt.n_rows - 1, 1)))
-    joined = rt.join_back(df, pr, broadcast_max_rows)
-    return (joined.withColumn(out, F.when(F.col(v).isNull(), F.lit(0.0)).otherwise(F.col("_rk")))
-            .drop("_rk"))
-
 
-def add_percent_ranks(df: DataFrame, specs: dict, method: str = "auto", materialize_input: str = "persist",
-                      **kw) -> DataFrame:
-    """Several global percent ranks, e.g. ``{"r_rank": "recency_raw", ...}``.
+    def __init__(self, df: DataFrame, columns: list[str], n_buckets: int | None = None):
+        self.columns = list(dict.fromkeys(columns))
+        names = [f"_v{i}" for i in range(len(self.columns))]
+
+        def entry(i: int) -> Column:
+            # every column keeps its own type: only its own slot is filled
+            slots = [(F.col(c) if i == j else F.lit(None).cast(df.schema[c].dataType)).alias(names[j])
+                     for j, c in enumerate(self.columns)]
+            return F.struct(F.lit(i).alias("_c"), F.col(self.columns[i]).isNotNull().alias("_known"), *slots)
+
+        stacked = df.select(F.inline(F.array(*map(entry, range(len(self.columns))))))
+        hist = materialize(stacked.groupBy("_c", "_known", *names).agg(F.count(F.lit(1)).alias("_peers")))
+        parts = shuffle_partitions(df)
+        value = F.coalesce(*[F.col(n).cast("double") for n in names])
+        # one job: counts, and a sketch of the values that yields the bucket bounds
+        cuts = n_buckets or max(parts, 1)
+        stats = {r["_c"]: r for r in hist.groupBy("_c").agg(
+            F.coalesce(F.sum(F.when(F.col("_known"), F.col("_peers"))), F.lit(0)).alias("n"),
+            F.coalesce(F.sum(F.when(~F.col("_known"), F.col("_peers"))), F.lit(0)).alias("nulls"),
+            F.count(F.when(F.col("_known"), F.lit(1))).alias("d"),
+            F.percentile_approx(value, [i / cuts for i in range(1, max(cuts, 2))], max(10_000, 4 * cuts)).alias("b")).collect()}
+        more = max([r["d"] for r in stats.values()], default=0) // BUCKET_VALUES
+        if n_buckets is None and more > cuts:
+            sketch = F.percentile_approx(value, [i / more for i in range(1, more)], 4 * more).alias("b")
+            bounds = {r["_c"]: r["b"] for r in hist.groupBy("_c").agg(sketch).collect()}
+        else:
+            bounds = {c: r["b"] for c, r in stats.items()}
+        self.n_nonnull = {c: int(stats[i]["n"]) if i in stats else 0 for i, c in enumerate(self.columns)}
+        self.n_null = {c: int(stats[i]["nulls"]) if i in stats else 0 for i, c in enumerate(self.columns)}
+        self.n_distinct = {c: int(stats[i]["d"]) if i in stats else 0 for i, c in enumerate(self.columns)}
+        bucket = F.lit(0)
+        for i in range(len(self.columns)):
+            own = sorted({float(b) for b in bounds.get(i) or []})
+            bucket = F.when(F.col("_c") == i, bucket_index(value, own)).otherwise(bucket)
+        known = hist.where("_known").withColumn("_b", bucket)
+        before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        # one row per column and bucket: the proven-small side of a broadcast join
+        offsets = (known.groupBy("_c", "_b").agg(F.sum("_peers").alias("_bt"))
+                   .select("_c", "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off")))
+        inside = Window.partitionBy("_c", "_b").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+        self.table = materialize(
+            known.join(F.broadcast(offsets), ["_c", "_b"])
+            .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_peers").over(inside), F.lit(0)))
+            .select("_c", *names, "_peers", "_less"))
 
-    With the histogram path the input is materialized once; every rank table
-    is computed from it, then the ranks are joined on one after the other.
-    """
-    if method == "auto":
-        # the input is read again by either path: keep it, then count it
-        df = materialize(df, materialize_input)
-        method = "window" if df.count() <= kw.get("window_max_rows", WINDOW_MAX_ROWS) else "histogram"
+    def join_back(self, df: DataFrame, column: str, value_col: Column, out: str, broadcast_max_rows: int) -> DataFrame:
+        """Attach ``value_col`` (an expression over the table) to every row of
+        ``df`` by the column's value; NULL values get NULL."""
+        i = self.columns.index(column)
+        ranks = (self.table.where(F.col("_c") == i).select(F.col(f"_v{i}").alias(column), value_col.alias(out)))
+        kind = df.schema[column].dataType.simpleString()
+        # numbers take 32 bytes a row in a hash table at most; other values are measured
+        n = self.n_distinct[column]
+        size = None if kind in ("string", "binary") else (n, 32 * n)
+        return size_checked_join(df, ranks, [column], how="left", broadcast_max_rows=broadcast_max_rows, size=size)
+
+
+def add_percent_ranks(df: DataFrame, specs: dict, method: str = "histogram", materialize_input: str = "persist",
+                      n_buckets: int | None = None, broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Several global percent ranks, e.g. ``{"r_rank": "recency_raw", ...}``:
+    ``percent_rank()`` over each column ascending (NULLs first, rank 0), equal
+    to Spark's window function for every input."""
     if method == "window":
         for out, v in specs.items():
             df = df.withColumn(out, F.percent_rank().over(Window.orderBy(F.col(v).asc())))
         return df
+    if method != "histogram":
+        raise ValueError(f"unknown rank method {method!r}")
     base = materialize(df, materialize_input) if not df.is_cached else df
-    out_df = base
+    tables = RankTables(base, list(specs.values()), n_buckets)
+    joined = base
     for out, v in specs.items():
-        # each rank table also yields the row count (NULL group included)
-        out_df = percent_rank_column(out_df, v, out, method="histogram", source=base, **kw)
-    return out_df
+        n = tables.n_nonnull[v] + tables.n_null[v]
+        rank = (F.col("_less") + F.lit(tables.n_null[v])).cast("double") / F.lit(float(max(n - 1, 1)))
+        joined = tables.join_back(joined, v, rank, out, broadcast_max_rows)
+    return joined.withColumns({out: F.when(F.col(v).isNull(), F.lit(0.0)).otherwise(F.col(out))
+                               for out, v in specs.items()})
+
+
+def percent_rank_column(df: DataFrame, v: str, out: str, method: str = "histogram", **kw) -> DataFrame:
+    """``out`` = ``percent_rank()`` over ``v``; see ``add_percent_ranks``."""
+    return add_percent_ranks(df, {out: v}, method=method, **kw)
 
 
 def average_percentile(df: DataFrame, v: str, out: str | None = None, method: str = "histogram",
-                       local_max_distinct: int = LOCAL_MAX_DISTINCT,
                        broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                        n_buckets: int | None = None) -> DataFrame:
     """Average-rank percentile of ``v`` in percent (ties share the mean of
@@ -175,7 +142,7 @@ def average_percentile(df: DataFrame, v: str, out: str | None = None, method: st
         pct = avg_rank / F.count(v).over(w_all) * 100.0
         return df.withColumn(out, F.when(F.col(v).isNull(), F.lit(None).cast("double")).otherwise(pct))
     df = materialize(df)   # read by the histogram and by the join back
-    rt = RankTable(df, v, None, local_max_distinct, n_buckets)
-    pct = (F.col("_less") + (F.col("_peers") + 1) / 2.0) / F.lit(float(max(rt.n_nonnull, 1))) * 100.0
-    joined = rt.join_back(df, pct, broadcast_max_rows)
-    return joined.withColumn(out, F.col("_rk")).drop("_rk")
+    tables = RankTables(df, [v], n_buckets)
+    pct = (F.col("_less") + (F.col("_peers") + 1) / 2.0) / F.lit(float(max(tables.n_nonnull[v], 1))) * 100.0
+    joined = tables.join_back(df, v, pct, "_pct", broadcast_max_rows)
+    return joined.withColumn(out, F.col("_pct")).drop("_pct")

@@ -4,36 +4,53 @@ Semantics: per client, a window opens at the first request and at the first
 request more than ``window`` seconds after the current window's start (a
 request exactly ``window`` seconds later still belongs to it).  The request
 that opens a window counts 1; a request is over the limit when its count
-exceeds ``limit``.  The window start depends on the whole history of the
-client, so this is an ordered fold, not a window frame.
-
-Plan: hash-partition by client, sort inside partitions by (client, time,
-tie), then one ``mapInPandas`` pass streams the sorted Arrow batches,
-carrying only ``(client, window_start, count)`` between batches - memory is
-constant per client however many requests it has.  Inside a batch the fold
-jumps window by window with ``searchsorted`` instead of looping per row.
-
-A client with a very large share of all rows would make its task long, so
-``split_hot_clients`` cuts such clients into time slices folded in parallel,
-with the window state at every slice boundary found exactly by composing
-per-slice transfer tables (see ``ratelimit_split``).
+exceeds ``limit``.
+
+The start of a window depends on the whole history of the client, but a gap
+longer than the window always opens one.  So:
+
+1. *sessions* (JVM): rows are partitioned by client and ordered by time; ``lag``
+   cuts a client's requests at gaps longer than the window.  All requests of a
+   session up to one window after its first belong to the window of that first
+   request: start and count are plain window functions.  Most clients need no more.
+2. *long sessions*: of the requests beyond that, only the distinct (client, session,
+   time) triples go to Python, sorted; a ``mapInArrow`` pass jumps from window
+   start to window start with ``searchsorted`` and emits the starts.  Its state is one
+   number per session, carried over Arrow batches.
+3. starts are joined back to the requests by client and time bucket (a window
+   touches two buckets of its own width), and counts are row numbers per window.
+
+*Hot* clients (more rows than an average partition, at least ``min_hot_rows``;
+at most as many as there are partitions) skip step 1: their distinct times go straight to
+step 2 and their rows are spread over tasks by time bucket in step 3, so no
+task holds a client's rows; only distinct times are read in one sequence, at
+constant memory.  A NULL client key is a client like any other.
+
+Only key, time and tie columns take part; all other columns stay in the JVM.
+Python sees the key and epoch microseconds as Arrow values, so numeric keys
+keep every digit and far-off clocks are harmless.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trafficscore.functions.scalars import epoch_micros
+from trafficscore.plans.strategies import shuffle_partitions
 
 # Limiter window (seconds) and request limit.
 WINDOW_SECONDS = 60
 MAX_REQUESTS = 10
+# A client below this many rows is never hot: one task sorts its requests.
+MIN_HOT_ROWS = 5_000_000
 
 _TS = "_ts_us"
+_S0 = "_session"
 _WS = "_ws_us"
 
 
@@ -59,81 +76,140 @@ def fold_run(ts: np.ndarray, ws: int, cnt: int, window_us: int):
     return out_ws, out_cnt, ws, cnt
 
 
-def _run_starts(pdf: pd.DataFrame, run_cols) -> np.ndarray:
-    n = len(pdf)
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    for c in run_cols:
-        v = pdf[c].to_numpy()
-        change[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(change)
+def _changes(keys: pa.Array) -> np.ndarray:
+    """True where a value differs from the one before (NULL equals NULL)."""
+    out = np.ones(len(keys), dtype=bool)
+    if len(keys) > 1:
+        a, b = keys.slice(1), keys.slice(0, len(keys) - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        out[1:] = pc.or_(differ, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+    return out
 
 
-def _fold_batches(run_cols, window_us: int, limit: int):
-    """``mapInPandas`` function over batches sorted by (run columns, ts, tie).
-
-    A run is one client; it starts at window start 0, count 0 and its state
-    is carried across Arrow batches.
-    """
+def _start_batches(window_us: int):
+    """``mapInArrow`` function over batches (key, session, ts) sorted by all
+    three: the window starts after the session's first one."""
     def run(batches):
-        cur, ws, cnt = None, 0, 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
+        last, ws = None, 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ts = pdf[_TS].to_numpy(dtype=np.int64)
-            bounds = np.r_[_run_starts(pdf, run_cols), n]
-            ws_out = np.empty(n, dtype=np.int64)
-            cnt_out = np.empty(n, dtype=np.int64)
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                k = tuple(pdf[c].iat[s] for c in run_cols)
-                if k != cur:
-                    cur, ws, cnt = k, 0, 0
-                w, c, ws, cnt = fold_run(ts[s:e], ws, cnt, window_us)
-                ws_out[s:e] = w
-                cnt_out[s:e] = c
-            yield pdf.assign(**{_WS: ws_out, "request_count": cnt_out, "over_limit": cnt_out > limit})
+            keys = batch.column(0)
+            sessions, ts = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            head = _changes(keys)
+            head[1:] |= sessions[1:] != sessions[:-1]
+            cuts = np.append(np.flatnonzero(head), len(ts))
+            rows, starts = [], []
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own = (keys[a].as_py(), int(sessions[a]))
+                if a or own != last:
+                    ws = own[1]
+                i, part = a, ts[a:b]
+                while True:
+                    i = a + int(np.searchsorted(part, ws + window_us, side="right"))
+                    if i >= b:
+                        break
+                    ws = int(ts[i])
+                    rows.append(a)
+                    starts.append(ws)
+                last = own
+            if rows:
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([keys.take(at), pa.array(starts, pa.int64())],
+                                                 names=[batch.schema.names[0], _WS])
     return run
 
 
-def _with_outputs(schema: StructType) -> StructType:
-    return StructType(list(schema.fields) + [StructField(_WS, LongType()),
-                                             StructField("request_count", LongType()),
-                                             StructField("over_limit", BooleanType())])
+def _same(a: str, b: str):
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _hot_clients(base: DataFrame, key_col: str, parts: int, hot_rows: int | None, min_hot_rows: int):
+    """One-column table of hot clients, or None: at most ``parts`` rows, whose
+    number is bounded by the threshold itself."""
+    total = base.count()
+    threshold = hot_rows if hot_rows is not None else max(-(-total // parts), min_hot_rows)
+    if total <= threshold:
+        return None
+    # at most total / threshold clients can have more rows than the threshold
+    found = (base.groupBy(key_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold)
+             .select(F.col(key_col).alias("_hot")).limit(total // max(threshold, 1) + 1).collect())
+    if not found:
+        return None
+    schema = StructType([StructField("_hot", base.schema[key_col].dataType)])
+    return base.sparkSession.createDataFrame(found, schema)
+
+
+def _starts(times: DataFrame, key_col: str, window_us: int, parts: int) -> DataFrame:
+    """(key, window start) of the distinct (key, session, ts) of ``times``."""
+    schema = StructType([times.schema[key_col], StructField(_WS, LongType())])
+    ordered = (times.distinct().repartition(parts, key_col, _S0).sortWithinPartitions(key_col, _S0, _TS))
+    return ordered.mapInArrow(_start_batches(window_us), schema)
+
+
+def _attach(rows: DataFrame, starts: DataFrame, key_col: str, order: list[str], window_us: int) -> DataFrame:
+    """Window start and count of every row: starts are met by client and time
+    bucket, rows are numbered per window."""
+    def bucket(c):
+        return c - F.pmod(c, F.lit(window_us + 1))
+
+    first, last = bucket(F.col(_WS)), bucket(F.col(_WS) + F.lit(window_us))
+    spread = starts.select(F.col(key_col).alias("_k"), _WS,
+                           F.explode(F.array_distinct(F.array(first, last))).alias("_b"))
+    met = (rows.withColumn("_bucket", bucket(F.col(_TS)))
+           .join(spread, _same(key_col, "_k") & (F.col("_bucket") == F.col("_b"))
+                 & F.col(_TS).between(F.col(_WS), F.col(_WS) + F.lit(window_us)))
+           .drop("_k", "_b", "_bucket"))
+    return met.withColumn("request_count", F.row_number().over(
+        Window.partitionBy(key_col, _WS).orderBy(*order)).cast("long"))
 
 
 def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
                      tie_col: str | None = None, window_seconds: float = WINDOW_SECONDS,
                      limit: int = MAX_REQUESTS, partitions: int | None = None,
                      split_hot_clients: bool = True, hot_rows: int | None = None,
-                     min_hot_rows: int | None = None) -> DataFrame:
+                     min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Add ``window_start`` (timestamp), ``request_count`` and ``over_limit``.
 
     Requests are ordered by time, then by ``tie_col`` (e.g. a request id; by
     default a hash of the row) so equal timestamps fold deterministically.
     Rows with a NULL timestamp are not requests and are dropped.  Clients
     with more rows than an average partition and at least ``min_hot_rows``
-    are sliced (``hot_rows`` sets the slice size directly); see
-    ``ratelimit_split``.
+    are hot (``hot_rows`` sets the threshold directly).
     """
     from trafficscore.session import ship_package
     ship_package(df.sparkSession)
     window_us = int(round(window_seconds * 1_000_000))
+    parts = partitions or shuffle_partitions(df)
     base = df.where(F.col(ts_col).isNotNull()).withColumn(_TS, epoch_micros(ts_col))
+    # without a tie column, equal times still come in one fixed order
+    tie = tie_col or "_tie"
     if tie_col is None:
-        # equal times still fold in one fixed order, so a recomputed partition
-        # (lost executor) reproduces the same counts
         base = base.withColumn("_tie", F.xxhash64(*[F.col(c) for c in df.columns]))
-        order = [key_col, _TS, "_tie"]
-    else:
-        order = [key_col, _TS, tie_col]
-    if split_hot_clients:
-        from trafficscore.operators.ratelimit_split import rate_limit_split
-        kw = {} if min_hot_rows is None else {"min_hot_rows": min_hot_rows}
-        out = rate_limit_split(base, key_col, order, window_us, limit, partitions, hot_rows, **kw)
-    else:
-        parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sorted_df = base.repartition(parts, key_col).sortWithinPartitions(*order)
-        out = sorted_df.mapInPandas(_fold_batches([key_col], window_us, limit), _with_outputs(base.schema))
-    return (out.withColumn("window_start", F.timestamp_micros(F.col(_WS)))
+    order = [_TS, tie]
+    hot = _hot_clients(base, key_col, parts, hot_rows, min_hot_rows) if split_hot_clients else None
+    cold = base if hot is None else base.join(F.broadcast(hot), _same(key_col, "_hot"), "left_anti")
+
+    by_client = Window.partitionBy(key_col).orderBy(*order)
+    so_far = by_client.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.col(_TS) - F.lag(_TS).over(by_client)
+    cut = cold.withColumns({"_gap": gap, "_n": F.row_number().over(by_client)})
+    opens = F.col("_gap").isNull() | (F.col("_gap") > F.lit(window_us))
+    cut = cut.withColumns({_S0: F.max(F.when(opens, F.col(_TS))).over(so_far),
+                           "_n0": F.max(F.when(opens, F.col("_n"))).over(so_far)})
+    within = F.col(_TS) - F.col(_S0) <= F.lit(window_us)
+    columns = [*base.columns, _WS, "request_count"]
+    out = (cut.where(within).withColumns({_WS: F.col(_S0), "request_count": (F.col("_n") - F.col("_n0") + 1).cast("long")})
+           .select(*columns))
+    long = cut.where(~within)
+    starts = _starts(long.select(key_col, _S0, _TS), key_col, window_us, parts)
+    out = out.unionByName(_attach(long.select(*base.columns), starts, key_col, order, window_us).select(*columns))
+    if hot is not None:
+        rows = base.join(F.broadcast(hot), _same(key_col, "_hot")).drop("_hot")
+        # one session from before the first request on: its first request opens the first window
+        never = F.lit(-(1 << 62)).cast("long").alias(_S0)
+        starts = _starts(rows.select(key_col, never, _TS), key_col, window_us, parts)
+        out = out.unionByName(_attach(rows, starts, key_col, order, window_us).select(*columns))
+    return (out.withColumns({"over_limit": F.col("request_count") > limit,
+                             "window_start": F.timestamp_micros(F.col(_WS))})
             .drop(_TS, _WS, *(["_tie"] if tie_col is None else [])))

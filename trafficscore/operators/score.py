@@ -20,7 +20,7 @@ COMPOSITE_THRESHOLD = 400.0
 def score_rfm(raw: DataFrame, last_updated: str | dt.datetime | None = None, key_col: str = "src_ip",
               recency_col: str = "recency_raw", frequency_col: str = "frequency_raw",
               monetary_col: str = "monetary_raw", bins: int = RFM_BINS, min_score: int = 0,
-              rank_method: str = "auto", **rank_kw) -> DataFrame:
+              rank_method: str = "histogram", **rank_kw) -> DataFrame:
     """Scored table: ``src_ip, r_score, f_score, m_score, composite_score, last_updated``.
 
     Each measure gets a global percent rank; F and M scores grow with the

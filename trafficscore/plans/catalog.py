@@ -67,7 +67,7 @@ def _lookup_table(spark, sf, method="histogram", **kw):
 
 def q_average_percentile(spark, sf):
     r = rfm.compute_rfm(_access(spark, sf), V.EVENTS_NOW)
-    out = ranks.average_percentile(r, "frequency", out="frequency_pct", local_max_distinct=0, n_buckets=4)
+    out = ranks.average_percentile(r, "frequency", out="frequency_pct")
     return out.select("client_ip", "frequency", _round("frequency_pct", 9))
 
 
@@ -247,14 +247,12 @@ _RANKS = {"r_rank": "recency_raw", "f_rank": "frequency_raw", "m_rank": "monetar
 
 
 def q_percent_ranks(spark, sf):
-    # auto: one-task window only when the counted table is small, else distributed
-    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, method="auto")
+    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS)
     return out.select("src_ip", *[_round(c, 9) for c in _RANKS])
 
 
 def q_percent_ranks_histogram(spark, sf):
-    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, method="histogram", local_max_distinct=0,
-                                  n_buckets=4, broadcast_max_rows=0)
+    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, n_buckets=4, broadcast_max_rows=0)
     return out.select("src_ip", *[_round(c, 9) for c in _RANKS])
 
 

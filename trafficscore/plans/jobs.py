@@ -65,7 +65,7 @@ def refresh_rfm(spark: SparkSession, log_path: str | DataFrame, output_path: str
 
 
 def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir: str, hwm_path: str,
-                    now: dt.datetime | None = None, hwm: str = "run_time", rank_method: str = "auto",
+                    now: dt.datetime | None = None, hwm: str = "run_time", rank_method: str = "histogram",
                     single_file: bool = False, fmt: str = "csv", fmt_in: str = "csv") -> str | None:
     """Score only packet rows newer than the high-water mark.
 

@@ -4,25 +4,32 @@
   with ``persist`` (recomputed from lineage if an executor is lost) or with a
   reliable ``checkpoint`` in the cluster's shared checkpoint folder.
 * ``released_after`` - drop the tables a job or micro-batch cached.
-* ``size_checked_join`` - broadcast the small side only after counting it;
-  beyond the bound, a shuffle join whose hot keys on the big side are salted
-  so a key holding a large share of the rows is split over many tasks.
+* ``size_checked_join`` - broadcast the small side only after measuring it;
+  beyond the bounds, a shuffle join (AQE splits hot keys) that deals rows
+  without a key evenly.
 """
 
 from __future__ import annotations
 
+import math
 import threading
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (BinaryType, BooleanType, DateType, NumericType, StringType, TimestampNTZType,
+                               TimestampType)
 
 from trafficscore.session import checkpoint_dir
 
 # Default bound for broadcasting a counted side (rows).  A lookup row here is
 # a few tens of bytes, so 1M rows (~60 MB) stays well below broadcast limits.
 BROADCAST_MAX_ROWS = 1_000_000
+# ... and in bytes, whatever the rows are like.
+BROADCAST_MAX_BYTES = 128 << 20
+# Values that rows without a join key are spread over.
+SPREAD = 1 << 16
 
 _LOCAL = threading.local()     # per thread: foreachBatch runs on each stream's own thread
 
@@ -75,77 +82,69 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def salts_for(count_col, n_big: int, partitions: int):
-    """Salt buckets for a key with ``count_col`` rows: enough to bring it to
-    an average partition's size, at most ``partitions``."""
-    per_part = max(1, n_big // max(1, partitions))
-    return F.least(F.lit(partitions), F.ceil(count_col / F.lit(per_part)).cast("int"))
-
-
-def hot_keys(big: DataFrame, keys: list[str], n_big: int | None, partitions: int) -> DataFrame:
-    """Keys holding more rows than an average shuffle partition, with the
-    number of salt buckets that brings each back to about that size.
-
-    At most ``partitions`` keys can exceed ``n_big / partitions`` rows, so the
-    result has a proven bound and may be broadcast.  The per-key counts are
-    pre-aggregated map-side before the shuffle; when ``n_big`` is unknown it
-    is their sum (same pass).
-    """
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if n_big is None:
-        counts = materialize(counts)
-        n_big = int(counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
-    per_part = max(1, n_big // max(1, partitions))
-    return (counts.where(F.col("_n") > per_part)
-            .select(*keys, salts_for(F.col("_n"), n_big, partitions).alias("_salts")))
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """(rows, about how many bytes) of a table, from one aggregation: fixed
+    widths of the schema, actual lengths of text and binary columns."""
+    fixed, lengths = 0, []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            lengths.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+            fixed += 16
+        else:
+            fixed += 8 if isinstance(f.dataType, (NumericType, TimestampType, TimestampNTZType, DateType, BooleanType)) else 64
+    text = F.coalesce(F.sum(sum(lengths, F.lit(0)).cast("long")), F.lit(0))
+    row = df.agg(F.count(F.lit(1)).alias("n"), text.alias("b")).first()
+    return int(row["n"]), int(row["n"]) * fixed + int(row["b"])
 
 
 def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
                       broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                      salt_row_cols: list[str] | None = None,
-                      n_small: int | None = None, n_big: int | None = None,
-                      hot: DataFrame | None = None) -> DataFrame:
+                      broadcast_max_bytes: int = BROADCAST_MAX_BYTES,
+                      size: tuple[int, int] | None = None) -> DataFrame:
     """``big JOIN small USING keys`` where ``small`` has at most one row per key.
 
-    ``small`` is counted first (``n_small`` may be passed when known).  Up to
-    ``broadcast_max_rows`` it is broadcast.  Otherwise both sides shuffle on
-    ``keys + salt``: keys of ``big`` with more rows than an average partition
-    get a salt in ``[0, s)`` from a hash of the row (``salt_row_cols``,
-    default all columns) and their ``small`` row is replicated ``s`` times;
-    all other keys use salt 0.  Every big row still meets exactly its key's
-    small row, so results are unchanged.  ``hot`` (keys, ``_salts``) may be
-    passed when the caller already knows the per-key counts.
+    ``small`` is measured first (``size`` may be passed when known).  Within
+    both bounds it is broadcast.  Otherwise both sides are shuffled, and AQE
+    splits a hot key's partition on the big side.  Rows of ``big`` without a
+    key can match nothing; in a left join they get a spread value as one more
+    join column, which no row of ``small`` has, so however many they are, they
+    are dealt evenly.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if how not in ("left", "inner"):
         raise ValueError("size_checked_join supports 'left' and 'inner'")
-    if n_small is None:
-        small = materialize(small)      # the count fills the cache the join then reads
-        n_small = small.count()
-    if n_small <= broadcast_max_rows:
+    if size is None:
+        small = materialize(small)      # measuring fills the cache the join then reads
+        size = table_size(small)
+    if size[0] <= broadcast_max_rows and size[1] <= broadcast_max_bytes:
         return big.join(F.broadcast(small), on=keys, how=how)
-
-    if hot is None:
-        parts = shuffle_partitions(big)
-        hot = materialize(hot_keys(big, keys, n_big, parts))
-    row_cols = salt_row_cols or big.columns
-    salted_big = (big.join(F.broadcast(hot), on=keys, how="left")
-                  .withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0))
-                              .otherwise(F.pmod(F.xxhash64(*row_cols), F.col("_salts")).cast("int")))
-                  .drop("_salts"))
-    salted_small = (small.join(F.broadcast(hot), on=keys, how="left")
-                    .withColumn("_salt", F.explode(F.sequence(F.lit(0),
-                                                              F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-                    .drop("_salts"))
-    return salted_big.join(salted_small, on=keys + ["_salt"], how=how).drop("_salt")
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    if how == "inner":
+        return big.where(~keyless).join(small, on=keys, how=how)
+    spread = F.when(keyless, F.pmod(F.xxhash64(*big.columns), F.lit(SPREAD)) + 1).otherwise(F.lit(0).cast("long"))
+    # always 0, but no literal: that would be folded away from the join's keys
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1).cast("long"))
+    return (big.withColumn("_spread", spread)
+            .join(small.withColumn("_spread", zero), on=[*keys, "_spread"], how=how)
+            .drop("_spread"))
 
 
 def bucket_index(value, bounds: list[float]):
     """Index of the bucket of ``value`` among sorted ``bounds``: the number of
-    bounds <= value, as a balanced tree of comparisons (log depth)."""
-    def build(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(bounds))
+    bounds <= value, looked up among every k-th bound and then among k."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(bounds)))
+    fine = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+
+    def array(values):
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    def below(values):
+        return F.size(F.filter(values, lambda b: b <= value))
+
+    coarse = below(array([f[0] for f in fine]))
+    inner = F.transform(F.array(coarse), lambda c: (c - 1) * step + below(F.array(*map(array, fine))[c - 1]))[0]
+    return F.when((coarse == 0) | value.isNull(), F.lit(0)).otherwise(inner).cast("int")
