@@ -41,6 +41,16 @@ def main():
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(f"local[{cpus}]", app_name="trafficscore-bench", shuffle_partitions=cpus)
+    # a plain scan and count of the same table tells a slow host from slow code
+    events = f"{sf}/events.parquet"
+
+    def calibrate():
+        t = time.perf_counter()
+        spark.read.parquet(events).groupBy("event_type").count().write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t
+
+    calibrate()
+    calibration = round(statistics.median(calibrate() for _ in range(3)), 3)
     times = {}
     for name in names:
         run(spark, name, sf)
@@ -48,7 +58,7 @@ def main():
     sf_label = sf.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "median_query_seconds_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf_label, "cpus": cpus,
-                      "spark": spark.version, "driver_memory": spark.conf.get("spark.driver.memory", "default"),
+                      "calibration_scan_sec": calibration, "spark": spark.version, "driver_memory": spark.conf.get("spark.driver.memory", "default"),
                       "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions"))}))
     spark.stop()
 

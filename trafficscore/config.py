@@ -23,6 +23,7 @@ ENV_DEFAULTS = {
     "RFM_OUTPUT_DIR": "./rfm_outputs",
     "RFM_PATH": "./rfm_scores.csv",
     "RFM_COMPOSITE_THRESHOLD": "400.0",
+    "SOURCE_TZ": "",                        # own setting: zone that naive log times were written in
 }
 # High-water-mark file and score buckets of the incremental job.
 LAST_RUN_FILE = "last_run.txt"
@@ -44,6 +45,7 @@ class JobConfig:
     rfm_bins: int = RFM_BINS
     rfm_path: str = ENV_DEFAULTS["RFM_PATH"]                     # lookup table
     composite_threshold: float = float(ENV_DEFAULTS["RFM_COMPOSITE_THRESHOLD"])
+    source_tz: str | None = None
     extra: dict = field(default_factory=dict)
 
     def with_(self, **kw) -> "JobConfig":
@@ -59,5 +61,5 @@ def from_env(env=None) -> JobConfig:
         interval_seconds=int(g("INTERVAL_SECONDS")), ts_col=g("TIMESTAMP_COLUMN"), ip_col=g("IP_COLUMN"),
         monetary_col=g("MONETARY_COLUMN") or None, date_format=g("DATE_FORMAT") or None,
         log_data_path=g("LOG_DATA_PATH"), rfm_output_dir=g("RFM_OUTPUT_DIR"), rfm_path=g("RFM_PATH"),
-        composite_threshold=float(g("RFM_COMPOSITE_THRESHOLD")),
+        composite_threshold=float(g("RFM_COMPOSITE_THRESHOLD")), source_tz=g("SOURCE_TZ") or None,
     )

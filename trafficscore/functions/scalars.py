@@ -45,6 +45,12 @@ def parse_timestamp(col, patterns=TIMESTAMP_PATTERNS, on_bad: str = "null") -> C
     return parsed
 
 
+def whole_number(col) -> Column:
+    """Text or number -> long, a decimal part cut off; NULL for what is no number."""
+    text = _c(col).cast("string")
+    return F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))
+
+
 def epoch_micros(col) -> Column:
     """Microseconds since the epoch for timestamp or timestamp_ntz columns.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from trafficscore.functions.scalars import parse_timestamp, tcp_flags_string
+from trafficscore.functions.scalars import parse_timestamp, tcp_flags_string, whole_number
 
 # Defaults of absent access-log fields.
 ACCESS_DEFAULTS = {"src_port": "N/A", "http_body_length": 0, "user_agent": "", "referer": ""}
@@ -34,29 +34,27 @@ def localize(ts, source_tz: str | None):
     return ts if not source_tz else F.to_utc_timestamp(ts, source_tz)
 
 
-def conform_access_log(df: DataFrame, on_bad_ts: str = "null", source_tz: str | None = None) -> DataFrame:
+def conform_access_log(df: DataFrame, on_bad_ts: str = "null", source_tz: str | None = None,
+                       ts_col: str = "timestamp", monetary_col: str | None = "http_body_length") -> DataFrame:
     """Typed access log with the defaults of absent fields.
 
     ``timestamp`` text is parsed (NULL when unparseable unless
     ``on_bad_ts="error"``) and, when the log was written in local time,
-    moved from ``source_tz`` to UTC; ``http_body_length`` becomes a number
-    with 0 for absent; ``src_port`` stays text with ``N/A``; agent/referer
+    moved from ``source_tz`` to UTC; the monetary column becomes a number (text
+    keeps its decimals) with 0 for absent; ``src_port`` stays text with ``N/A``; agent/referer
     default ''.
     """
-    ts = parse_timestamp("timestamp", on_bad=on_bad_ts) if _is_string(df, "timestamp") \
-        else F.col("timestamp").cast("timestamp")
-    ts = localize(ts, source_tz)
-    length = F.col("http_body_length")
-    if _is_string(df, "http_body_length"):
-        length = length.try_cast("long")
-    out = {
-        "timestamp": ts,
-        "src_port": F.coalesce(F.col("src_port").cast("string"), F.lit(ACCESS_DEFAULTS["src_port"])),
-        "http_body_length": F.coalesce(length, F.lit(ACCESS_DEFAULTS["http_body_length"])),
-        "user_agent": F.coalesce(F.col("user_agent"), F.lit("")),
-        "referer": F.coalesce(F.col("referer"), F.lit("")),
-    }
-    return df.withColumns({k: v for k, v in out.items() if k in df.columns})
+    ts = parse_timestamp(ts_col, on_bad=on_bad_ts) if _is_string(df, ts_col) else F.col(ts_col).cast("timestamp")
+    out = {ts_col: localize(ts, source_tz)}
+    if monetary_col is not None and monetary_col in df.columns:
+        value = F.col(monetary_col)
+        if _is_string(df, monetary_col):
+            value = value.try_cast("double")
+        out[monetary_col] = F.coalesce(value, F.lit(ACCESS_DEFAULTS["http_body_length"]))
+    if "src_port" in df.columns:
+        out["src_port"] = F.coalesce(F.col("src_port").cast("string"), F.lit(ACCESS_DEFAULTS["src_port"]))
+    out |= {c: F.coalesce(F.col(c), F.lit("")) for c in ("user_agent", "referer") if c in df.columns}
+    return df.withColumns(out)
 
 
 def exclude_static(df: DataFrame, path_col: str = "path") -> DataFrame:
@@ -95,12 +93,12 @@ def slim_packets(packets: DataFrame) -> DataFrame:
 
 def conform_packets(df: DataFrame, source_tz: str | None = None) -> DataFrame:
     """Slim packet rows typed: ``timestamp`` parsed (NULL when unparseable),
-    ``src_ip`` kept, ``pkt_len`` as a long (NULL when not an integer).
+    ``src_ip`` kept, ``pkt_len`` as a long (decimals cut off, NULL when no number).
     Other columns pass through."""
     ts = parse_timestamp("timestamp") if _is_string(df, "timestamp") else F.col("timestamp").cast("timestamp")
     keep = [c for c in df.columns if c not in ("timestamp", "src_ip", "pkt_len")]
     return df.select(*keep, localize(ts, source_tz).alias("timestamp"), F.col("src_ip"),
-                     F.col("pkt_len").try_cast("long").alias("pkt_len"))
+                     whole_number("pkt_len").alias("pkt_len"))
 
 
 def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: str | None = None,
@@ -108,7 +106,7 @@ def clean_packets(df: DataFrame, since: dt.datetime | None = None, source_tz: st
     """Slim packet rows -> (timestamp, src_ip, pkt_len long) with hygiene rules.
 
     Keeps rows with a parseable timestamp, a source address and a length that
-    is a non-negative integer; ``since`` adds the strict ``timestamp > since``
+    is a number of at least 0; ``since`` adds the strict ``timestamp > since``
     filter of the incremental job; ``source_tz`` reads local capture times.
     """
     out = conform_packets(df, source_tz)

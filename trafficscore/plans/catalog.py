@@ -8,6 +8,8 @@ or divisions are rounded the same way on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from trafficscore.functions import scalars as X
 from trafficscore.operators import clean, ranks, rfm, rules, score
 from trafficscore.operators.ratelimit import rate_limit_batch
 from trafficscore.plans import views as V
+from trafficscore.schemas import SCORES_SCHEMA
 from trafficscore.sources import logs as S
 
 # Fixture parameters (chosen so every branch fires on the driver tables; the
@@ -23,7 +26,6 @@ LIMIT_WINDOW_S, LIMIT_N = 86_400, 3
 VERDICT_KW = dict(max_recency_days=1, freq_pct=50, low_monetary=1800, high_monetary=3000)
 CLASSIFY_KW = dict(low_recency=0.3, high_frequency=66, low_monetary=3200, high_monetary=3800)
 HWM = "2024-01-15 00:00:00"
-SNAPSHOT = "2024-01-16 00:00:00"
 
 
 def _round(c, n):
@@ -77,8 +79,9 @@ def q_suspicion_verdict(spark, sf):
 
 
 def q_lookup_rfm(spark, sf):
-    snap = _access(spark, sf).where(F.col("timestamp") < F.lit(SNAPSHOT).cast("timestamp"))
-    table = rules.build_lookup_table(rfm.compute_rfm(snap, SNAPSHOT))
+    """The table lacks some clients and holds others twice; both are unknown."""
+    one = rfm.compute_rfm(_access(spark, sf), V.EVENTS_NOW).where(F.pmod(V.last_octet(), F.lit(11)) != 0)
+    table = rules.build_lookup_table(one.unionByName(one.where(F.pmod(V.last_octet(), F.lit(7)) == 0)))
     req = clean.protected_requests(V.access_log(spark, sf)).select("request_id", "client_ip")
     out = rules.lookup_rfm(req, table)
     return out.select("request_id", "client_ip", _round("recency_days", 9), _round("frequency", 9),
@@ -126,6 +129,17 @@ def q_decide_requests(spark, sf):
     return out.select("request_id", "client_ip", "request_count", "over_limit", "suspicious", "decision")
 
 
+def q_decide_unverified(spark, sf):
+    """Some requests come from the loopback address, and a third of the clients is verified."""
+    log = V.access_log(spark, sf)
+    local = F.when(F.pmod(V.last_octet(), F.lit(10)) == 5, F.lit(rules.LOOPBACK)).otherwise(F.col("client_ip"))
+    log = log.withColumn("client_ip", local)
+    verified = log.where((F.pmod(V.last_octet(), F.lit(3)) == 0) & (F.col("client_ip") != rules.LOOPBACK))
+    out = rules.decide_requests(log, _lookup_table(spark, sf), tie_col="request_id", verified=verified,
+                                window_seconds=LIMIT_WINDOW_S, limit=LIMIT_N, verdict_kw=VERDICT_KW)
+    return out.select("request_id", "client_ip", "request_count", "over_limit", "suspicious", "decision")
+
+
 # ---- text logs: conforming and parsing ------------------------------------
 
 def q_conform_access_log(spark, sf):
@@ -134,8 +148,7 @@ def q_conform_access_log(spark, sf):
                       "http_body_length", "user_agent", "referer")
 
 
-def q_parse_timestamp(spark, sf):
-    e = V.table(spark, sf, "events")
+def _time_texts(e):
     ts = F.col("ts").cast("timestamp")
     k = F.pmod(F.col("event_id"), F.lit(4))
     text = (F.when(F.pmod(F.col("event_id"), F.lit(101)) == 0, F.lit("not-a-time"))
@@ -143,7 +156,18 @@ def q_parse_timestamp(spark, sf):
             .when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
             .when(k == 2, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"))
             .otherwise(X.format_packet_ts(ts)))
-    return e.select("event_id", X.to_ntz(X.parse_timestamp(text)).alias("parsed"))
+    return e.select("event_id", text.alias("text"))
+
+
+def q_parse_timestamp(spark, sf):
+    return _time_texts(V.table(spark, sf, "events")).select(
+        "event_id", X.to_ntz(X.parse_timestamp("text")).alias("parsed"))
+
+
+def q_parse_timestamp_strict(spark, sf):
+    """The strict parse (an error on bad text) over the good texts."""
+    good = _time_texts(V.table(spark, sf, "events").where(F.pmod(F.col("event_id"), F.lit(101)) != 0))
+    return good.select("event_id", X.to_ntz(X.parse_timestamp("text", on_bad="error")).alias("parsed"))
 
 
 def _lines(spark, sf):
@@ -224,6 +248,13 @@ def q_normalize_flow_fields(spark, sf):
     return out.select("packet_id", "proto", "src_port", "dst_port", "flags")
 
 
+def q_ipv4_flow_fields(spark, sf):
+    """Flow fields of IPv4 packets with a whole header only."""
+    out = clean.normalize_flow_fields(V.decoded_packets(spark, sf), flag_mask_col="flag_mask",
+                                      ip_version_col="ip_version", ihl_col="ihl")
+    return out.select("packet_id", "proto", "src_port", "dst_port", "flags")
+
+
 # ---- packet-path RFM, ranks, scores ----------------------------------------
 
 def q_traffic_totals(spark, sf):
@@ -270,8 +301,73 @@ def q_incremental_scores(spark, sf):
 
 def q_merge_scores(spark, sf):
     old = score.score_rfm(_raw(spark, sf, until=HWM, now=HWM), last_updated=HWM)
-    new = score.score_rfm(_raw(spark, sf, since=HWM), last_updated=V.EVENTS_NOW)
-    return score.merge_scores(old, new)
+    # some clients aren't seen again: their old rows stay
+    again = _raw(spark, sf, since=HWM).where(F.pmod(V.last_octet("src_ip"), F.lit(5)) != 0)
+    return score.merge_scores(old, score.score_rfm(again, last_updated=V.EVENTS_NOW))
+
+
+# ---- logs written to files and read back ------------------------------------
+
+def _folder(spark, name):
+    from trafficscore.streaming.runner import scratch_paths
+    return scratch_paths(spark, name)[0]
+
+
+def q_read_access_log_mixed(spark, sf):
+    """Three dialects of access log in one folder: all columns, without length
+    and in another order, without path."""
+    folder = _folder(spark, "access_mixed")
+    a = V.access_log(spark, sf).withColumn("http_body_length", F.col("http_body_length").cast("string"))
+    a = a.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    for k, columns in enumerate((["timestamp", "client_ip", "path", "http_body_length", "request_id"],
+                                 ["request_id", "path", "client_ip", "timestamp"],
+                                 ["http_body_length", "client_ip", "timestamp", "request_id"])):
+        part = a.where(F.pmod(F.col("request_id"), F.lit(3)) == k).select(*columns)
+        part.write.mode("append").option("header", "true").csv(folder)
+    back = clean.conform_access_log(S.read_access_log(
+        spark, folder, columns=("request_id", "timestamp", "client_ip", "http_body_length", "path")))
+    return back.select(F.col("request_id").cast("long").alias("request_id"), X.to_ntz("timestamp").alias("timestamp"),
+                       "client_ip", "http_body_length", "path")
+
+
+def q_read_packet_csv_mixed(spark, sf):
+    """Packet logs in two column orders beside an access log in the same folder."""
+    folder = _folder(spark, "packet_mixed")
+    ok = S.parse_packet_lines(_lines(spark, sf)).where(F.col("kind") == "ok")
+    slim = clean.slim_packets(ok)
+    for k, columns in enumerate((["timestamp", "src_ip", "pkt_len"], ["pkt_len", "timestamp", "src_ip"])):
+        part = slim.where(F.pmod(F.col("line_id"), F.lit(2)) == k).select(*columns)
+        part.write.mode("append").option("header", "true").csv(folder)
+    (V.access_log_text(spark, sf).select("timestamp", "client_ip", "src_port", "http_body_length")
+     .write.mode("append").option("header", "true").csv(folder))
+    back = clean.clean_packets(S.read_packet_csv(spark, folder))
+    return (back.groupBy(X.to_ntz("timestamp").alias("timestamp"), "src_ip", "pkt_len")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_refresh_rfm_job(spark, sf):
+    """The refresh job over access-log files, its table read back."""
+    from trafficscore.plans.jobs import refresh_rfm
+    logs, out = _folder(spark, "refresh_logs"), _folder(spark, "refresh_out")
+    a = V.access_log(spark, sf).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    a.drop("request_id").write.option("header", "true").csv(logs)
+    refresh_rfm(spark, logs, out, now=dt.datetime.fromisoformat(V.EVENTS_NOW))
+    back = S.read_rfm_table(spark, out)
+    return back.select("client_ip", _round("recency_days", 9), "frequency", _round("monetary", 4))
+
+
+def q_run_incremental_job(spark, sf):
+    """Converter output, the incremental job with an unset mark, its snapshot read back."""
+    from trafficscore.plans.jobs import run_incremental
+    from trafficscore.sources.sinks import sink_rotating_csv
+    logs, out = _folder(spark, "incremental_logs"), _folder(spark, "incremental_out")
+    ok = S.parse_packet_lines(_lines(spark, sf)).where(F.col("kind") == "ok")
+    slim = clean.slim_packets(ok).select("timestamp", "src_ip", "pkt_len")
+    sink_rotating_csv(slim.withColumn("at", X.parse_timestamp("timestamp")), logs, ts_col="at")
+    now = dt.datetime.fromisoformat(V.EVENTS_NOW)
+    path = run_incremental(spark, f"{logs}/*.csv", out, f"{out}-mark", now=now)
+    back = spark.read.option("header", "true").schema(SCORES_SCHEMA).csv(path)
+    return back.withColumn("last_updated", F.regexp_replace("last_updated", "T", " "))
 
 
 # ---- streaming forms (drained with availableNow, compared with batch) ------
@@ -376,6 +472,13 @@ QUERIES = {
     "flag_by_composite": q_flag_by_composite,
     "incremental_scores": q_incremental_scores,
     "merge_scores": q_merge_scores,
+    "decide_unverified": q_decide_unverified,
+    "parse_timestamp_strict": q_parse_timestamp_strict,
+    "ipv4_flow_fields": q_ipv4_flow_fields,
+    "read_access_log_mixed": q_read_access_log_mixed,
+    "read_packet_csv_mixed": q_read_packet_csv_mixed,
+    "refresh_rfm_job": q_refresh_rfm_job,
+    "run_incremental_job": q_run_incremental_job,
     "stream_packet_tsv": q_stream_packet_tsv,
     "stream_rfm_raw": q_stream_rfm_raw,
     "stream_rate_limit": q_stream_rate_limit,

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from trafficscore.operators.clean import clean_packets, conform_access_log, exclude_static
 from trafficscore.operators.rfm import compute_rfm, rfm_raw_packets
-from trafficscore.operators.score import score_rfm
+from trafficscore.operators.score import RFM_BINS, score_rfm
 from trafficscore.plans.strategies import materialize, released_after
-from trafficscore.schemas import ACCESS_ROLES, ColumnRoles
+from trafficscore.schemas import ACCESS_LOG_COLUMNS, ACCESS_ROLES, SLIM_PACKET_COLUMNS, ColumnRoles
 from trafficscore.session import ensure_utc
 from trafficscore.sources.hwm import load_high_water_mark, save_high_water_mark
 from trafficscore.sources.logs import read_access_log, read_packet_csv, require_columns
@@ -30,35 +30,46 @@ def _utcnow() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc)
 
 
-def _read_access(spark: SparkSession, log_path, fmt_in: str) -> DataFrame:
+def _read_access(spark: SparkSession, log_path, fmt_in: str, roles: ColumnRoles = ACCESS_ROLES) -> DataFrame:
     """Access log from CSV files, from Parquet landed by ``land_logs``, or a
-    DataFrame given as is."""
+    DataFrame given as is.  As in the original job, an unreadable CSV file is
+    logged and skipped."""
     if not isinstance(log_path, str):
         return log_path
-    return spark.read.parquet(log_path) if fmt_in == "parquet" else read_access_log(spark, log_path)
+    if fmt_in == "parquet":
+        return spark.read.parquet(log_path)
+    own = [c for c in (roles.ts_col, roles.key_col, roles.monetary_col) if c]
+    return read_access_log(spark, log_path, columns=list(dict.fromkeys([*own, *ACCESS_LOG_COLUMNS])),
+                           required=(roles.ts_col, roles.key_col), skip_unreadable=True)
 
 
 def refresh_rfm(spark: SparkSession, log_path: str | DataFrame, output_path: str, now: dt.datetime | None = None,
                 roles: ColumnRoles = ACCESS_ROLES, fmt: str = "csv", on_bad_ts: str = "null",
-                single_file: bool = False, fmt_in: str = "csv") -> int:
+                single_file: bool = False, fmt_in: str = "csv", source_tz: str | None = None) -> int:
     """Recompute the raw RFM table from the whole access log and overwrite it.
 
+    ``source_tz`` is the zone that naive log times were written in (default UTC).
+
     Returns the number of clients written (counted while writing, through an
     ``Observation``, not by a second pass).  Empty input -> nothing written.
     """
     ensure_utc(spark)
-    raw = _read_access(spark, log_path, fmt_in)
-    require_columns(raw, [roles.ts_col])
-    logs = exclude_static(conform_access_log(raw, on_bad_ts=on_bad_ts)) if "path" in raw.columns else raw
+    raw = _read_access(spark, log_path, fmt_in, roles)
+    require_columns(raw, [roles.ts_col, roles.key_col])
+    logs = conform_access_log(raw, on_bad_ts=on_bad_ts, source_tz=source_tz, ts_col=roles.ts_col,
+                              monetary_col=roles.monetary_col)
+    logs = exclude_static(logs) if "path" in logs.columns else logs
     if logs.isEmpty():
         log.info("no data - skipped")
         return 0
     now = now or _utcnow()
-    rfm = compute_rfm(logs, now, ts_col=roles.ts_col, key_col=roles.key_col, monetary_col=roles.monetary_col)
+    monetary = roles.monetary_col if roles.monetary_col in logs.columns else None
+    rfm = compute_rfm(logs, now, ts_col=roles.ts_col, key_col=roles.key_col, monetary_col=monetary)
     obs = Observation("rfm_rows")
     with released_after():
-        write_rfm_table(rfm.observe(obs, F.count(F.lit(1)).alias("rows")), output_path, fmt=fmt,
-                        single_file=single_file)
+        # counted above the sort, whose sampling reads what stands below it once more
+        ordered = rfm.orderBy(roles.key_col).observe(obs, F.count(F.lit(1)).alias("rows"))
+        write_rfm_table(ordered, output_path, fmt=fmt, single_file=single_file, sort=False)
     rows = obs.get["rows"]
     log.info("RFM table saved (%d rows)", rows)
     return rows
@@ -66,7 +77,8 @@ def refresh_rfm(spark: SparkSession, log_path: str | DataFrame, output_path: str
 
 def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir: str, hwm_path: str,
                     now: dt.datetime | None = None, hwm: str = "run_time", rank_method: str = "histogram",
-                    single_file: bool = False, fmt: str = "csv", fmt_in: str = "csv") -> str | None:
+                    single_file: bool = False, fmt: str = "csv", fmt_in: str = "csv",
+                    source_tz: str | None = None, bins: int = RFM_BINS) -> str | None:
     """Score only packet rows newer than the high-water mark.
 
     Scores use the new rows alone (never merged with history; see
@@ -86,13 +98,15 @@ def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir:
     else:
         raw = log_path
     with released_after():
-        logs = materialize(clean_packets(raw, since=since,
+        require_columns(raw, SLIM_PACKET_COLUMNS)
+        logs = materialize(clean_packets(raw, since=since, source_tz=source_tz,
                                          partition_col="date" if "date" in raw.columns and fmt_in == "parquet" else None))
         if logs.isEmpty():
             log.info("no new rows since %s", since.isoformat())
             return None
         now = now or _utcnow()
-        scores = score_rfm(rfm_raw_packets(logs, now), last_updated=now.isoformat(), rank_method=rank_method)
+        scores = score_rfm(rfm_raw_packets(logs, now), last_updated=now.isoformat(),
+                           rank_method=rank_method, bins=bins)
         path = write_scores_snapshot(scores, output_dir, now, single_file=single_file, fmt=fmt)
         if hwm == "event_max":
             us = logs.agg(F.unix_micros(F.max(F.col("timestamp").cast("timestamp")))).first()[0]
@@ -108,20 +122,21 @@ def refresh_from_config(spark: SparkSession, cfg=None, now: dt.datetime | None =
     from trafficscore.config import from_env
     cfg = cfg or from_env()
     roles = ColumnRoles(ts_col=cfg.ts_col, key_col=cfg.ip_col, monetary_col=cfg.monetary_col)
-    return refresh_rfm(spark, cfg.network_log_dir, cfg.output_file, now=now, roles=roles)
+    return refresh_rfm(spark, cfg.network_log_dir, cfg.output_file, now=now, roles=roles, source_tz=cfg.source_tz)
 
 
 def incremental_from_config(spark: SparkSession, cfg=None, now: dt.datetime | None = None) -> str | None:
     """``run_incremental`` with the deployment's settings (``config.from_env()``)."""
     from trafficscore.config import from_env
     cfg = cfg or from_env()
-    return run_incremental(spark, cfg.log_data_path, cfg.rfm_output_dir, cfg.last_run_file, now=now)
+    return run_incremental(spark, cfg.log_data_path, cfg.rfm_output_dir, cfg.last_run_file, now=now,
+                           source_tz=cfg.source_tz, bins=cfg.rfm_bins)
 
 
 def decide_job(spark: SparkSession, log_path: str | DataFrame, rfm_path: str | DataFrame, output_path: str,
                window_seconds: float = 60, limit: int = 10, tie_col: str | None = None,
                verified: DataFrame | None = None, unknown_policy: str = "compat", verdict_kw: dict | None = None,
-               fmt: str = "parquet", fmt_in: str = "csv") -> int:
+               fmt: str = "parquet", fmt_in: str = "csv", source_tz: str | None = None) -> int:
     """Offline decision run: access-log files + RFM table file -> allow /
     challenge per protected request, written to ``output_path``.
 
@@ -132,7 +147,8 @@ def decide_job(spark: SparkSession, log_path: str | DataFrame, rfm_path: str | D
 
     ensure_utc(spark)
     raw = _read_access(spark, log_path, fmt_in)
-    logs = exclude_static(conform_access_log(raw)) if "path" in raw.columns else raw
+    require_columns(raw, ["timestamp", "client_ip", "path"])
+    logs = exclude_static(conform_access_log(raw, source_tz=source_tz))
     rfm = read_rfm_table(spark, rfm_path) if isinstance(rfm_path, str) else rfm_path
     with released_after():
         table = build_lookup_table(rfm)

@@ -49,6 +49,8 @@ LOOKUP = f"""lookup AS (
   SELECT client_ip, recency_days, {_avg_pct('frequency')} AS frequency, monetary FROM rfm_all
   QUALIFY count(*) OVER (PARTITION BY client_ip) = 1)"""
 
+_OCTET = "CAST(split_part(client_ip, '.', 4) AS INTEGER)"
+
 
 def _limiter(src: str, window_s: int, where: str = "") -> str:
     """Recursive fold of the anchored limiter (row by row per client)."""
@@ -104,8 +106,9 @@ SQL["suspicion_verdict"] = _with(ACCESS_LOG, ACCESS, _rfm_cte("rfm_all", "access
 SELECT client_ip, {_verdict()} AS suspicious FROM lookup"""
 
 SQL["lookup_rfm"] = _with(
-    ACCESS_LOG, ACCESS,
-    _rfm_cte("rfm_all", "access", C.SNAPSHOT, where=f"""AND "timestamp" < TIMESTAMP '{C.SNAPSHOT}'"""),
+    ACCESS_LOG, ACCESS, _rfm_cte("rfm_one", "access", V.EVENTS_NOW),
+    f"""rfm_all AS (SELECT * FROM rfm_one WHERE {_OCTET} % 11 <> 0
+                UNION ALL SELECT * FROM rfm_one WHERE {_OCTET} % 11 <> 0 AND {_OCTET} % 7 = 0)""",
     LOOKUP) + """
 SELECT q.request_id, q.client_ip,
        round(coalesce(l.recency_days, -1), 9) AS recency_days,
@@ -150,6 +153,15 @@ SELECT request_id, client_ip, request_count, over_limit, suspicious,
 FROM judged"""
 
 
+# a third of the clients is verified, and clients of last number 5, 15, ... are the loopback address
+LOCAL_LOG = f"""access_local AS (
+  SELECT * REPLACE (CASE WHEN {_OCTET} % 10 = 5 THEN '127.0.0.1' ELSE client_ip END AS client_ip) FROM access_log),
+unverified AS (SELECT * FROM access_local WHERE NOT ({_OCTET} % 3 = 0 AND client_ip <> '127.0.0.1'))"""
+SQL["decide_unverified"] = _with(
+    ACCESS_LOG, ACCESS, _rfm_cte("rfm_all", "access", V.EVENTS_NOW), LOOKUP, LOCAL_LOG,
+    _limiter("unverified", C.LIMIT_WINDOW_S, where="AND path IN ('/sensitive-data', '/sensitive-data/')"),
+    recursive=True) + SQL["decide_requests"][SQL["decide_requests"].index("\n, judged AS"):]
+
 # ---- text logs ---------------------------------------------------------------
 
 ACCESS_TEXT = """access_text AS (
@@ -161,6 +173,7 @@ ACCESS_TEXT = """access_text AS (
          CASE WHEN request_id % 107 = 0 THEN NULL ELSE src_port END AS src_port,
          method, path,
          CASE WHEN request_id % 103 = 0 THEN NULL
+              WHEN request_id % 41 = 0 THEN CAST(request_id % 1000 AS VARCHAR) || '.25'
               ELSE CAST(CAST(round(http_body_length * 100) AS BIGINT) AS VARCHAR) END AS http_body_length,
          CASE WHEN request_id % 109 = 0 THEN NULL ELSE 'agent/1' END AS user_agent,
          CAST(NULL AS VARCHAR) AS referer
@@ -168,7 +181,7 @@ ACCESS_TEXT = """access_text AS (
 
 SQL["conform_access_log"] = _with(ACCESS_LOG, ACCESS_TEXT) + """
 SELECT request_id, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp", coalesce(src_port, 'N/A') AS src_port,
-       coalesce(TRY_CAST(http_body_length AS BIGINT), 0) AS http_body_length,
+       coalesce(TRY_CAST(http_body_length AS DOUBLE), 0) AS http_body_length,
        coalesce(user_agent, '') AS user_agent, coalesce(referer, '') AS referer
 FROM access_text"""
 
@@ -192,13 +205,17 @@ PACKET_LINES = f"""pk AS (
   FROM events),
 pk2 AS (
   SELECT event_id, proto,
-         concat_ws(chr(9), strftime(ts, '%Y-%m-%d %H:%M:%S.%f'),
+         concat_ws(chr(9), CASE WHEN event_id % {V.BAD_TIME_MOD} = 0 THEN 'no-time'
+                                ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END,
                    CASE WHEN event_id % {V.EMPTY_IP_MOD} = 0 THEN ''
                         ELSE '10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) END,
                    '{V.PACKET_DST}', CAST(proto AS VARCHAR),
                    CAST(CASE WHEN proto IN (6, 17) THEN 1024 + event_id % 60000 ELSE 0 END AS VARCHAR),
                    CAST(CASE WHEN proto = 6 THEN 80 WHEN proto = 17 THEN 53 ELSE 0 END AS VARCHAR),
-                   CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS seven,
+                   CASE WHEN event_id % {V.NEGATIVE_MOD} = 0 THEN '-1' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)
+                        WHEN event_id % {V.DECIMAL_MOD} = 0 THEN CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || '.75'
+                        WHEN event_id % {V.NO_NUMBER_MOD} = 0 THEN 'n/a'
+                        ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END) AS seven,
          CASE WHEN proto = 6 THEN {_flags_sql('(event_id % 64)')} ELSE '-' END AS flags
   FROM pk),
 packet_lines AS (
@@ -221,13 +238,13 @@ ok AS (SELECT * FROM classified WHERE kind = 'ok'),
 slim AS (SELECT line_id, parts[1] AS "timestamp", parts[2] AS src_ip, parts[7] AS pkt_len FROM ok),
 clean AS (
   SELECT line_id, TRY_CAST("timestamp" AS TIMESTAMP) AS "timestamp", src_ip,
-         TRY_CAST(pkt_len AS BIGINT) AS pkt_len
+         CAST(trunc(TRY_CAST(pkt_len AS DOUBLE)) AS BIGINT) AS pkt_len
   FROM slim
-  WHERE src_ip IS NOT NULL AND TRY_CAST(pkt_len AS BIGINT) >= 0 AND TRY_CAST("timestamp" AS TIMESTAMP) IS NOT NULL),
+  WHERE src_ip IS NOT NULL AND trunc(TRY_CAST(pkt_len AS DOUBLE)) >= 0 AND TRY_CAST("timestamp" AS TIMESTAMP) IS NOT NULL),
 packets AS (
   SELECT line_id, TRY_CAST(parts[1] AS TIMESTAMP) AS "timestamp", parts[2] AS src_ip, parts[3] AS dst_ip,
          TRY_CAST(parts[4] AS INTEGER) AS proto, TRY_CAST(parts[5] AS INTEGER) AS src_port,
-         TRY_CAST(parts[6] AS INTEGER) AS dst_port, TRY_CAST(parts[7] AS BIGINT) AS length, parts[8] AS flags
+         TRY_CAST(parts[6] AS INTEGER) AS dst_port, CAST(trunc(TRY_CAST(parts[7] AS DOUBLE)) AS BIGINT) AS length, parts[8] AS flags
   FROM ok)"""
 
 SQL["packet_tsv_parse"] = _with(PACKET_LINES) + """
@@ -277,6 +294,11 @@ FROM (SELECT event_id AS packet_id,
              CAST(event_id % 64 AS INTEGER) AS flag_mask
       FROM events)"""
 
+SQL["ipv4_flow_fields"] = SQL["normalize_flow_fields"].replace("FROM events)", """FROM events
+      WHERE event_id % 13 <> 0 AND event_id % 17 <> 0)""")
+
+SQL["parse_timestamp_strict"] = SQL["parse_timestamp"] + " WHERE event_id % 101 <> 0"
+
 # ---- packet-path RFM, ranks, scores -------------------------------------------
 
 SQL["traffic_totals"] = _with(PACKET_LINES) + """
@@ -328,7 +350,7 @@ SQL["merge_scores"] = _with(
     PACKET_LINES,
     _raw_cte("raw_old", now=C.HWM, where=f"""AND "timestamp" <= TIMESTAMP '{C.HWM}'"""),
     _scored("raw_old", last_updated=C.HWM, name="old"),
-    _raw_cte("raw_new", where=f"""AND "timestamp" > TIMESTAMP '{C.HWM}'"""),
+    _raw_cte("raw_new", where=f"""AND "timestamp" > TIMESTAMP '{C.HWM}' AND CAST(split_part(src_ip, '.', 4) AS INTEGER) % 5 <> 0"""),
     _scored("raw_new", name="new")) + """
 SELECT * FROM old WHERE src_ip NOT IN (SELECT src_ip FROM new)
 UNION ALL SELECT * FROM new"""
@@ -336,5 +358,14 @@ UNION ALL SELECT * FROM new"""
 # ---- streaming forms: same results as their batch twins -------------------------
 SQL["stream_packet_tsv"] = SQL["slim_packets"]
 SQL["stream_rfm_raw"] = SQL["compute_rfm"]
+
+# ---- logs written to files, read back, and jobs over them ---------------------
+SQL["read_access_log_mixed"] = _with(ACCESS_LOG) + """
+SELECT request_id, "timestamp", client_ip, CASE WHEN request_id % 3 = 1 THEN 0 ELSE http_body_length END AS http_body_length,
+       CASE WHEN request_id % 3 = 2 THEN NULL ELSE path END AS path FROM access_log"""
+SQL["read_packet_csv_mixed"] = _with(PACKET_LINES) + """
+SELECT "timestamp", src_ip, pkt_len, count(*) AS n FROM clean GROUP BY 1, 2, 3"""
+SQL["refresh_rfm_job"] = SQL["compute_rfm"]
+SQL["run_incremental_job"] = SQL["score_rfm"]
 SQL["stream_rate_limit"] = SQL["rate_limit"]
 SQL["stream_decide"] = SQL["decide_requests"]

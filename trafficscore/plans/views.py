@@ -21,6 +21,8 @@ ORDERS_NOW = "2001-08-02 00:00:00"
 # Fixed values of the packet view: destination, malformed-line moduli.
 PACKET_DST = "10.255.0.1"
 MALFORMED_MOD, COMMENT_MOD, EMPTY_IP_MOD = 97, 89, 83
+# ... and of lines whose fields are bad: no time, negative, decimal or no length.
+BAD_TIME_MOD, NEGATIVE_MOD, DECIMAL_MOD, NO_NUMBER_MOD = 71, 79, 73, 67
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +79,9 @@ def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     error -> UDP, signup -> ICMP, else TCP; length = value in hundredths;
     some lines are damaged on purpose: ``event_id % 97 == 0`` drops the last
-    field, ``% 89`` is a comment line, ``% 83`` has an empty source address.
+    field, ``% 89`` is a comment line, ``% 83`` has an empty source address,
+    ``% 71`` no time, ``% 79`` a negative length, ``% 73`` a decimal one and
+    ``% 67`` one that is no number.
     """
     return packet_lines_from(table(spark, sf_dir, "events"))
 
@@ -92,10 +96,14 @@ def packet_lines_from(e: DataFrame) -> DataFrame:
     dst_port = F.when(proto == 6, F.lit(80)).when(proto == 17, F.lit(53)).otherwise(F.lit(0))
     flags = F.when(proto == 6, tcp_flags_string(F.pmod(eid, F.lit(64)))).otherwise(F.lit("-"))
     src = F.when(F.pmod(eid, F.lit(EMPTY_IP_MOD)) == 0, F.lit("")).otherwise(client_ip("user_id"))
-    length = F.round(F.col("value") * 100).cast("long")
-    seven = F.concat_ws("\t", format_packet_ts(F.col("ts").cast("timestamp")), src, F.lit(PACKET_DST),
-                        proto.cast("string"), src_port.cast("string"), dst_port.cast("string"),
-                        length.cast("string"))
+    length = F.round(F.col("value") * 100).cast("long").cast("string")
+    length = (F.when(F.pmod(eid, F.lit(NEGATIVE_MOD)) == 0, F.concat(F.lit("-1"), length))
+              .when(F.pmod(eid, F.lit(DECIMAL_MOD)) == 0, F.concat(length, F.lit(".75")))
+              .when(F.pmod(eid, F.lit(NO_NUMBER_MOD)) == 0, F.lit("n/a")).otherwise(length))
+    time = F.when(F.pmod(eid, F.lit(BAD_TIME_MOD)) == 0, F.lit("no-time")).otherwise(
+        format_packet_ts(F.col("ts").cast("timestamp")))
+    seven = F.concat_ws("\t", time, src, F.lit(PACKET_DST),
+                        proto.cast("string"), src_port.cast("string"), dst_port.cast("string"), length)
     line = (F.when(F.pmod(eid, F.lit(COMMENT_MOD)) == 0, F.concat(F.lit("# marker "), eid.cast("string")))
             .when(F.pmod(eid, F.lit(MALFORMED_MOD)) == 0, seven)
             .otherwise(F.concat_ws("\t", seven, flags)))
@@ -110,9 +118,15 @@ def customer_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_cents"))
 
 
+def last_octet(ip: str = "client_ip") -> F.Column:
+    """Last number of a dotted address."""
+    return F.element_at(F.split(F.col(ip), r"\."), -1).cast("int")
+
+
 def access_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The access log as raw CSV text with dirt: every 101st timestamp is
-    not a time, every 103rd length, 107th port and 109th agent are absent;
+    not a time, every 103rd length, 107th port and 109th agent are absent, every
+    41st length has decimals;
     even ids write ISO ``T`` with microseconds, odd ids whole seconds."""
     a = access_log(spark, sf_dir)
     rid = F.col("request_id")
@@ -124,6 +138,7 @@ def access_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(rid, F.lit(107)) == 0, F.lit(None)).otherwise(F.col("src_port")).alias("src_port"),
         "method", "path",
         F.when(F.pmod(rid, F.lit(103)) == 0, F.lit(None))
+        .when(F.pmod(rid, F.lit(41)) == 0, F.concat(F.pmod(rid, F.lit(1000)).cast("string"), F.lit(".25")))
         .otherwise(F.round(F.col("http_body_length") * 100).cast("long").cast("string")).alias("http_body_length"),
         F.when(F.pmod(rid, F.lit(109)) == 0, F.lit(None)).otherwise(F.lit("agent/1")).alias("user_agent"),
         F.lit(None).cast("string").alias("referer"),
@@ -140,4 +155,6 @@ def decoded_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(eid.alias("packet_id"), proto.alias("proto"),
                     (F.lit(1024) + F.pmod(eid, F.lit(60000))).cast("int").alias("src_port"),
                     F.lit(443).alias("dst_port"), F.pmod(eid, F.lit(64)).cast("int").alias("flag_mask"),
-                    F.lit("").alias("flags"))
+                    F.lit("").alias("flags"),
+                    F.when(F.pmod(eid, F.lit(13)) == 0, 6).otherwise(4).alias("ip_version"),
+                    F.when(F.pmod(eid, F.lit(17)) == 0, 4).otherwise(5).alias("ihl"))

@@ -23,22 +23,6 @@ PACKET_TSV_COLUMNS = ["Timestamp", "SrcIP", "DstIP", "Proto", "SrcPort",
 # The slim packet CSV (what the converter keeps).
 SLIM_PACKET_COLUMNS = ["timestamp", "src_ip", "pkt_len"]
 
-# Raw text as it sits on disk; typing happens in the cleaning step with
-# try_* functions so one bad value never fails a job (ANSI mode).
-ACCESS_LOG_RAW_SCHEMA = StructType([StructField(c, StringType()) for c in ACCESS_LOG_COLUMNS])
-SLIM_PACKET_RAW_SCHEMA = StructType([StructField(c, StringType()) for c in SLIM_PACKET_COLUMNS])
-
-PACKET_SCHEMA = StructType([
-    StructField("timestamp", StringType()),
-    StructField("src_ip", StringType()),
-    StructField("dst_ip", StringType()),
-    StructField("proto", IntegerType()),
-    StructField("src_port", IntegerType()),
-    StructField("dst_port", IntegerType()),
-    StructField("length", LongType()),
-    StructField("flags", StringType()),
-])
-
 RFM_RAW_SCHEMA = StructType([
     StructField("client_ip", StringType()),
     StructField("recency_days", DoubleType()),
@@ -53,8 +37,8 @@ SCORES_SCHEMA = StructType([
     StructField("r_score", IntegerType(), nullable=False),
     StructField("f_score", IntegerType(), nullable=False),
     StructField("m_score", IntegerType(), nullable=False),
-    StructField("composite_score", FloatType(), nullable=False),
-    StructField("last_updated", StringType()),
+    StructField("composite_score", FloatType()),
+    StructField("last_updated", StringType(), nullable=False),
 ])
 
 # Column types for the JDBC table (primary key src_ip, float scores).
@@ -75,4 +59,3 @@ class ColumnRoles:
 
 
 ACCESS_ROLES = ColumnRoles()
-PACKET_ROLES = ColumnRoles(ts_col="timestamp", key_col="src_ip", monetary_col="pkt_len")

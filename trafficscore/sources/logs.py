@@ -8,19 +8,25 @@ becomes NULL rather than a failed job.
 
 from __future__ import annotations
 
+import csv
+import logging
 import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from trafficscore.functions.scalars import PACKET_TS_PATTERN, parse_timestamp, strip_whitespace
-from trafficscore.schemas import (ACCESS_LOG_RAW_SCHEMA, PACKET_TSV_COLUMNS, RFM_RAW_SCHEMA,
-                                  SLIM_PACKET_RAW_SCHEMA)
+from trafficscore.functions.scalars import PACKET_TS_PATTERN, parse_timestamp, strip_whitespace, whole_number
+from trafficscore.schemas import ACCESS_LOG_COLUMNS, PACKET_TSV_COLUMNS, RFM_RAW_SCHEMA, SLIM_PACKET_COLUMNS
 
-# Options shared by every CSV log scan.  ``ignoreCorruptFiles`` skips a file
-# that cannot be read, as the directory scan of the access-log job does.
-CSV_LOG_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "ignoreCorruptFiles": "true"}
+log = logging.getLogger(__name__)
+
+# Options shared by every CSV log scan.  An unreadable file fails the scan.
+CSV_LOG_OPTIONS = {"header": "true", "mode": "PERMISSIVE"}
+
+# Fixed value: folders that the rotating sinks write below the log folder.
+ROTATION_FOLDERS = "rotation=*"
 
 
 def require_columns(df: DataFrame, columns) -> DataFrame:
@@ -42,7 +48,7 @@ def union_logs(frames) -> DataFrame:
 def read_logs(spark: SparkSession, path, fmt: str = "csv", schema=None, **options) -> DataFrame:
     """Format-parameterised scan (csv, json, parquet, orc, text ...).
 
-    CSV gets a header and the lenient options of the log scans; a schema is
+    CSV gets a header and the options of the log scans; a schema is
     applied when given (needed for CSV/JSON streams, optional otherwise).
     """
     reader = spark.read.format(fmt)
@@ -53,17 +59,106 @@ def read_logs(spark: SparkSession, path, fmt: str = "csv", schema=None, **option
     return reader.options(**options).load(path)
 
 
-def read_access_log(spark: SparkSession, path, schema=ACCESS_LOG_RAW_SCHEMA) -> DataFrame:
-    """Web access log CSV (a file, a directory or a glob; every file is read).
+def list_log_files(spark: SparkSession, path) -> list[str]:
+    """Data files under files, folders or globs, by the path's own file system.
+    A glob ``folder/*.csv`` also takes the files of rotation folders below."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: list[str] = []
+
+    def add(status) -> None:
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            return
+        if status.isDirectory():
+            own = status.getPath().getFileSystem(conf)
+            for child in own.listStatus(status.getPath()):
+                add(child)
+        elif status.getLen():
+            found.append(status.getPath().toString())
+
+    for one in [path] if isinstance(path, str) else list(path):
+        folder, _, last = one.rpartition("/")
+        globs = [one, f"{folder or '.'}/{ROTATION_FOLDERS}/{last}"] if last.startswith("*.") else [one]
+        known = False
+        for glob in globs:
+            place = jvm.org.apache.hadoop.fs.Path(glob)
+            matched = place.getFileSystem(conf).globStatus(place)
+            known = known or bool(matched)
+            for status in matched or []:
+                add(status)
+        if not known:
+            raise FileNotFoundError(f"no log files at {one!r}")
+    return sorted(set(found))
+
+
+def file_header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names in the first line of a CSV file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        plain = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+    return tuple(c.strip() for c in next(csv.reader([line.lstrip("\ufeff")]), []))
+
+
+def read_csv_by_name(spark: SparkSession, path, columns, required, skip_unreadable: bool = False,
+                     options: dict | None = None) -> DataFrame:
+    """CSV files with possibly different headers, aligned by column name.
+
+    Files are grouped by their header line (only first lines are read here),
+    each group is scanned with its own header as schema, checked against the
+    file, and the groups are united by name.  All columns are text.  Of ``columns``, those
+    that any file has are returned; a column that a file lacks is NULL in its
+    rows.  A file that has none of ``required`` (or an unnamed header) is an error: it is
+    no such log.  ``skip_unreadable`` leaves out files whose header can't be
+    read, with an error log line for each, and skips corrupt blocks.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for one in list_log_files(spark, path):
+        try:
+            groups.setdefault(file_header(spark, one), []).append(one)
+        except Exception:
+            if not skip_unreadable:
+                raise
+            log.exception("unreadable log file skipped: %s", one)
+    frames, columns = [], list(columns)
+    for header, files in groups.items():
+        if not set(header) & set(required):
+            raise ValueError(f"{files[0]} is no such log: its columns are {list(header)}, expected some of {list(required)}")
+        reader = spark.read.options(**CSV_LOG_OPTIONS, **(options or {}), enforceSchema="false")
+        if skip_unreadable:
+            reader = reader.option("ignoreCorruptFiles", "true")
+        schema = StructType([StructField(c, StringType()) for c in header])
+        frames.append(reader.schema(schema).csv(files).select(*[F.col(f"`{c}`") for c in columns if c in header]))
+    if not frames:
+        return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
+    out = union_logs(frames)
+    return out.select(*[c for c in columns if c in out.columns])
+
+
+def read_access_log(spark: SparkSession, path, columns=tuple(ACCESS_LOG_COLUMNS), required=("timestamp", "client_ip"),
+                    skip_unreadable: bool = False) -> DataFrame:
+    """Web access log CSV (a file, a directory or a glob; every file is read),
+    aligned by column name.
 
     Columns stay text here; ``operators.clean.conform_access_log`` types them.
+    A measure that no file has is left out, so RFM does without it.
     """
-    return spark.read.options(**CSV_LOG_OPTIONS).schema(schema).csv(path)
+    return read_csv_by_name(spark, path, columns, required, skip_unreadable)
 
 
-def read_packet_csv(spark: SparkSession, path, schema=SLIM_PACKET_RAW_SCHEMA) -> DataFrame:
-    """Slim packet CSV ``timestamp,src_ip,pkt_len`` (text; typed by ``clean_packets``)."""
-    return spark.read.options(**CSV_LOG_OPTIONS).schema(schema).csv(path)
+def read_packet_csv(spark: SparkSession, path, columns=tuple(SLIM_PACKET_COLUMNS),
+                    required=("timestamp", "src_ip", "pkt_len")) -> DataFrame:
+    """Slim packet CSV ``timestamp,src_ip,pkt_len`` (text; typed by
+    ``clean_packets``), aligned by column name; other logs in the folder give
+    rows without address or length, which cleaning drops."""
+    out = read_csv_by_name(spark, path, columns, required)
+    absent = {c: F.lit(None).cast("string") for c in columns if c not in out.columns}
+    return out.withColumns(absent).select(*columns) if absent else out
 
 
 def parse_packet_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -113,7 +208,7 @@ def read_packet_tsv(lines: DataFrame, line_col: str = "value") -> DataFrame:
         F.col("Proto").try_cast("int").alias("proto"),
         F.col("SrcPort").try_cast("int").alias("src_port"),
         F.col("DstPort").try_cast("int").alias("dst_port"),
-        F.col("Length").try_cast("long").alias("length"),
+        whole_number("Length").alias("length"),
         F.col("Flags").alias("flags"),
     )
 

@@ -23,9 +23,12 @@ def _writer(df: DataFrame, fmt: str, mode: str, single_file: bool):
     return w
 
 
-def write_rfm_table(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False) -> None:
-    """Overwrite the raw RFM table (header row, no index column)."""
-    _writer(df, fmt, "overwrite", single_file).save(path)
+def write_rfm_table(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False,
+                    sort: bool = True) -> None:
+    """Overwrite the raw RFM table (header row, no index column), ordered by
+    client key, its first column (a distributed range sort), unless it is
+    so already."""
+    _writer(df.orderBy(df.columns[0]) if sort else df, fmt, "overwrite", single_file).save(path)
 
 
 def snapshot_path(out_dir: str, run_time: dt.datetime) -> str:
@@ -71,7 +74,7 @@ def write_scores_jdbc(scores: DataFrame, options: dict, mode: str = "overwrite",
 def rotation_bucket(ts_col: str = "timestamp", seconds: int = 3600) -> F.Column:
     """Rotation bucket name ``netlog_YYYYmmdd_HHMMSS`` (start of the bucket)."""
     start = F.timestamp_seconds(F.floor(F.unix_seconds(F.col(ts_col).cast("timestamp")) / seconds) * seconds)
-    return F.concat(F.lit("netlog_"), F.date_format(start, "yyyyMMdd_HHmmss"))
+    return F.coalesce(F.concat(F.lit("netlog_"), F.date_format(start, "yyyyMMdd_HHmmss")), F.lit("netlog_unknown"))
 
 
 def sink_rotating_csv(df: DataFrame, path: str, ts_col: str = "timestamp", rotate_seconds: int = 3600,
