@@ -16,12 +16,12 @@ document with a smaller doc_id, judged on the input.
    window.  Anchors are dealt out by their hash; every task sorts the anchors of
    its hashes and merges the shards' lists by binary search.  Anchors with the same
    surroundings (all windows that have the anchor) settle each other's windows: all go
-   but those of the smallest doc_id.  Where one anchor has different
-   surroundings, the surroundings of each kind are fetched from the smallest
-   doc_id's text, and step 1 runs over them.
+   but those of the smallest doc_id.  Where the surroundings of one anchor agree
+   only in part, each kind of them is fetched from the smallest doc_id's text,
+   and step 1 runs over them.
 
 Hot passages: copies within a shard are settled there, so a passage reaches
-the merge once per shard, not once per document.  Texts are shuffled once.
+the merge once per shard, not once per document.  Texts are shuffled compressed.
 
 Null text counts as empty.  Rows that repeat a doc_id don't remove each other's
 bytes.  Rows without doc_id stand after all others.  Empty table: empty result.
@@ -32,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficscore.llm.common import cut, map_arrow, partitions
@@ -139,14 +139,6 @@ def marked(buf: np.ndarray, sizes: np.ndarray, owner: np.ndarray, words: np.ndar
     return out
 
 
-def spans_of(starts: np.ndarray) -> np.ndarray:
-    """Bytes covered by windows at sorted ``starts``, as flat (start, end) pairs."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.int64)
-    cuts = np.flatnonzero(np.diff(starts) > MATCH)
-    return np.stack([starts[np.r_[0, cuts + 1]], starts[np.r_[cuts, len(starts) - 1]] + MATCH], axis=1).ravel()
-
-
 def merged(pairs: np.ndarray) -> np.ndarray:
     """Union of (start, end) pairs: sorted, disjoint, not touching; shape (n, 2)."""
     if not len(pairs):
@@ -191,31 +183,83 @@ def anchors(words: np.ndarray, n: int, windows: np.ndarray) -> tuple[np.ndarray,
 
 #: Bytes before an anchor that its windows can reach.
 BEFORE = MATCH - ANCHOR
-_ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("place", "<u4"), ("row", "<u4")])
-#: Bytes of each that are sent.  Hashes of 48 bits, within one bucket, and of surroundings 48 more.
-_SENT = {"h": 6, "c": 6, "place": 4, "row": 4}
-_DOC = np.dtype([("did", "<i8"), ("th", "<i8"), ("size", "<i8")])
-SCHEMA = ("bucket int, did long, th long, spans array<int>, places array<int>, keys array<long>, "
-          "docs binary, blob binary")
-_ARROW = pa.schema([("bucket", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("spans", pa.list_(pa.int32())),
-                    ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("docs", pa.binary()),
-                    ("blob", pa.binary())])
-
-
-def _surroundings(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Hash of the bytes low..high around each anchor, and of where it stands in them."""
-    size = high - low
-    c = _mix((at - low).astype(np.uint64) * _A + size.astype(np.uint64))
-    for j in range(0, MATCH + BEFORE, 8):
-        take = np.maximum(np.minimum(size - j, 8), 0).astype(np.uint64)
+HALF = BEFORE // 2
+#: An anchor: its hash, hashes of the HALF bytes on its left and right and of all
+#: surroundings, its place, the bytes of the text from there on (MATCH at most), and its text.
+ANCHORS = np.dtype([("h", "<u8"), ("left", "u1"), ("right", "u1"), ("all", "<u8"), ("place", "<u4"), ("tail", "u1"),
+                    ("did", "<i8"), ("rep", "<u4")])
+#: A span a..b to remove, or (ask) a place a to fetch for the anchor hash b.
+RECORDS = np.dtype([("did", "<i8"), ("rep", "<u4"), ("a", "<u4"), ("b", "<i8"), ("ask", "u1")])
+#: Surroundings fetched for an anchor hash: from which place of which text, how many bytes.
+PIECES = np.dtype([("key", "<i8"), ("did", "<i8"), ("rep", "<u4"), ("low", "<u4"), ("size", "u1")])
+#: Bytes that are sent of the hashes: 40 bits of an anchor's (in its bucket), 48 + 16 of its surroundings.
+SENT = {"h": 5, "all": 6}
+SCHEMA = "bucket int, kind int, blob binary"
+_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+OF_ANCHORS, OF_RECORDS, OF_PIECES = range(3)
+
+
+def pack(rows: np.ndarray) -> bytes:
+    """Byte by byte of each column, which compresses well."""
+    planes = (np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1)[:, :SENT.get(c, 8)]
+              for c in rows.dtype.names)
+    return b"".join(x.T.tobytes() for x in planes)
+
+
+def unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
+    widths = {c: min(kind[c].itemsize, SENT.get(c, 8)) for c in kind.names}
+    total = sum(widths.values())
+    out, at = np.zeros(sum(len(x) // total for x in blobs), dtype=kind), 0
+    for blob in blobs:
+        n, byte = len(blob) // total, 0
+        for c, k in widths.items():
+            whole = np.zeros((n, kind[c].itemsize), dtype=np.uint8)
+            whole[:, :k] = np.frombuffer(blob, dtype=np.uint8, count=k * n, offset=byte).reshape(k, n).T
+            out[c][at:at + n] = whole.view(kind[c]).ravel()
+            byte += k * n
+        at += n
+    return out
+
+
+def _dealt(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[dict]:
+    """One packed row per bucket."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cuts = np.flatnonzero(_heads(bucket))
+    parts = np.split(rows, cuts[1:]) if len(cuts) else []
+    return [{"bucket": int(b), "kind": kind, "blob": pack(x)} for b, x in zip(bucket[cuts].tolist(), parts, strict=True)]
+
+
+def _doc_bucket(did: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mix(did.view(np.uint64) * _A) % np.uint64(buckets)).astype(np.int64)
+
+
+def _hash_of(words: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """Hash of the bytes low..high (at most ``most``) and of their number."""
+    size = np.maximum(high - low, 0)
+    h = _mix(size.astype(np.uint64) + _A)
+    for j in range(0, most, 8):
+        take = np.clip(size - j, 0, 8).astype(np.uint64)
         word = words[np.minimum(low + j, len(words) - 1)]
-        shift = (np.uint64(8) - take) * np.uint64(8)
-        word = np.where(take == 0, np.uint64(0), word >> np.minimum(shift, np.uint64(63)))
-        c = _mix(c * _A + word)
-    return c
+        word = np.where(take == 0, np.uint64(0), word >> np.minimum((np.uint64(8) - take) * np.uint64(8), np.uint64(63)))
+        h = _mix(h * _A + word)
+    return h
+
+
+def _spans(did: np.ndarray, rep: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Records of the union of spans, text by text."""
+    order = np.lexsort((low, rep, did))
+    did, rep, low, high = did[order], rep[order], low[order], high[order]
+    text = np.cumsum(_heads(did) | _heads(rep)) - 1
+    pairs = merged(np.stack([(text << 33) + low, (text << 33) + high], axis=1))
+    out = np.zeros(len(pairs), dtype=RECORDS)
+    first = np.flatnonzero(_heads(text))[pairs[:, 0] >> 33] if len(pairs) else np.zeros(0, dtype=np.int64)
+    out["did"], out["rep"] = did[first], rep[first]
+    out["a"], out["b"] = pairs[:, 0] & (1 << 33) - 1, pairs[:, 1] & (1 << 33) - 1
+    return out
 
 
-def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _pack_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The last column's texts, compressed, since they are shuffled and kept."""
     press = zstandard.ZstdCompressor(level=3).compress
     raw = [press(t) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
@@ -227,206 +271,196 @@ def _texts(column: pa.Array) -> list[bytes]:
     return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
 
 
-def _shards(batch: pa.RecordBatch, buckets: int) -> pa.Table | None:
-    """Shards of about ``SHARD`` bytes from the texts of a batch."""
+def _shards(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """Shards of about ``SHARD`` bytes from the texts of a batch: their own
+    spans, and the anchors of windows that they can't settle."""
     sizes = batch.column(2).to_numpy()
     cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SHARD, prepend=-1)).tolist() + [len(sizes)]
-    out = [_shard(batch.slice(a, b - a), buckets) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.Table.from_batches(out) if out else None
+    rows = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        rows += _shard(batch.slice(a, b - a), buckets)
+    return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def _shard(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
-    """A shard's own marks, one row per text that has any, and its anchors, one row per bucket."""
-    did, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+def _shard(batch: pa.RecordBatch, buckets: int) -> list[dict]:
+    did, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
     texts = _texts(batch.column(3))
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n, ends = len(buf), np.cumsum(sizes)
+    if n < MATCH:
+        return []
     starts = ends - sizes
     words = words8(buf)
     own = marked(buf, sizes, did, words)
-    rows: list[dict] = []
-    where = np.flatnonzero(own)
-    for i, part in enumerate(np.split(where, np.searchsorted(where, ends[:-1]))):
-        if len(part):
-            rows.append({"bucket": int(th[i] % buckets), "did": int(did[i]), "th": int(th[i]),
-                         "spans": spans_of(part - starts[i]).astype(np.int32)})
-    if n >= MATCH:
-        segment = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-        windows = ~own & (np.arange(n) + MATCH <= ends[segment])
-        at, h = anchors(words, n, windows)
-        k = segment[at]
-        found = np.zeros(len(at), dtype=_ROW)
-        found["h"], found["place"], found["row"] = h, at - starts[k], k
-        found["c"] = _surroundings(words, at, np.maximum(at - BEFORE, starts[k]), np.minimum(at + MATCH, ends[k]))
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        found, bucket = found[order], bucket[order]
-        cuts = np.flatnonzero(_heads(bucket))
-        for b, part in zip(bucket[cuts].tolist(), np.split(found, cuts[1:]) if len(cuts) else [], strict=True):
-            rows_in, part_row = np.unique(part["row"], return_inverse=True)
-            docs = np.zeros(len(rows_in), dtype=_DOC)
-            docs["did"], docs["th"], docs["size"] = did[rows_in], th[rows_in], sizes[rows_in]
-            part = part.copy()
-            part["row"] = part_row
-            # byte by byte of each column, which compresses better
-            planes = (np.ascontiguousarray(part[c]).view(np.uint8).reshape(len(part), -1)[:, :k] for c, k in _SENT.items())
-            rows.append({"bucket": b, "docs": docs.tobytes(), "blob": b"".join(p.T.tobytes() for p in planes)})
-    return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-
-def _unpack(blob: bytes) -> np.ndarray:
-    n, at = len(blob) // sum(_SENT.values()), 0
-    out = np.zeros(n, dtype=_ROW)
-    for name, k in _SENT.items():
-        whole = np.zeros((n, _ROW[name].itemsize), dtype=np.uint8)
-        whole[:, :k] = np.frombuffer(blob, dtype=np.uint8, count=k * n, offset=at).reshape(k, n).T
-        out[name] = whole.view(_ROW[name]).ravel()
-        at += k * n
-    return out
-
-
-def _by_doc(did: np.ndarray, th: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, cuts): rows of one text together."""
-    order = np.lexsort((th, did))
-    return order, np.flatnonzero(_heads(did[order]) | _heads(th[order])) if len(order) else np.zeros(0, dtype=int)
-
-
-def _merge(batches):
+    segment = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    at = np.flatnonzero(own)
+    k = segment[at]
+    spans = _spans(did[k], rep[k], at - starts[k], at - starts[k] + MATCH)
+    rows = _dealt(spans, _doc_bucket(spans["did"], buckets), OF_RECORDS)
+    at, h = anchors(words, n, ~own & (np.arange(n) + MATCH <= ends[segment]))
+    k = segment[at]
+    low, high = np.maximum(at - BEFORE, starts[k]), np.minimum(at + MATCH, ends[k])
+    found = np.zeros(len(at), dtype=ANCHORS)
+    found["h"], found["place"], found["did"], found["rep"] = h, at - starts[k], did[k], rep[k]
+    found["tail"] = high - at
+    found["left"] = _hash_of(words, np.maximum(at - HALF, low), at, HALF) >> np.uint64(56)
+    found["right"] = _hash_of(words, at + ANCHOR, np.minimum(at + ANCHOR + HALF, high), HALF) >> np.uint64(56)
+    found["all"] = _hash_of(words, low, high, MATCH + BEFORE)
+    return rows + _dealt(found, (h >> np.uint64(40)).astype(np.int64) % buckets, OF_ANCHORS)
+
+
+def _merge(batches, buckets: int):
     """Merges the shards' anchors of this task's buckets: settled spans and, of
-    anchors with different surroundings, where to fetch each kind."""
-    docs, found, base = [], [], 0
+    anchors whose surroundings partly agree, where to fetch each kind."""
+    blobs, of = [], []
     for batch in batches:
-        blobs = batch.column(7)
-        plain = batch.filter(blobs.is_null())
-        if plain.num_rows:
-            yield plain
-        for d, b in zip(batch.column(6).to_pylist(), blobs.to_pylist(), strict=True):
-            if b:
-                rows = _unpack(b)
-                rows["row"] += base
-                table = np.frombuffer(d, dtype=_DOC)
-                docs.append(table)
-                found.append(rows)
-                base += len(table)
-    if not found:
+        kinds = batch.column(1).to_numpy()
+        if (kinds == OF_RECORDS).any():
+            yield batch.filter(pa.array(kinds == OF_RECORDS))
+        mine = batch.filter(pa.array(kinds == OF_ANCHORS))
+        blobs += mine.column(2).to_pylist()
+        of += mine.column(0).to_pylist()
+    if not blobs:
         return
-    docs, found = np.concatenate(docs), np.concatenate(found)
-    did = docs["did"]
-    # binary search: of all distinct hashes, those that more than one document has
-    hashes, group = np.unique(found["h"], return_inverse=True)
-    least, most = np.full(len(hashes), LAST), np.full(len(hashes), -LAST - 1)
-    np.minimum.at(least, group, did[found["row"]])
-    np.maximum.at(most, group, did[found["row"]])
-    keep = (least != most)[group]
-    found, group = found[keep], group[keep]
-    order = np.lexsort((did[found["row"]], found["c"], group))
-    found, group = found[order], group[order]
+    # buckets apart, since a hash is only whole together with its bucket
+    total = sum(min(ANCHORS[c].itemsize, SENT.get(c, 8)) for c in ANCHORS.names)
+    found = unpack(blobs, ANCHORS)
+    bucket = np.repeat(np.array(of), [len(x) // total for x in blobs])
+    blobs.clear()
+    found["h"] += bucket.astype(np.uint64) << np.uint64(40)
+    # sorted once, the shards' lists are merged by binary search: a hash's anchors are the
+    # rows between its first and last place
+    order = np.argsort(found["h"])
+    found = found[order]
+    at = np.flatnonzero(_heads(found["h"]))
+    size = np.searchsorted(found["h"], found["h"][at], side="right") - at
+    least, most = np.minimum.reduceat(found["did"], at), np.maximum.reduceat(found["did"], at)
+    found = found[np.repeat(least != most, size)]
     if not len(found):
         return
-    new_hash = _heads(group)
-    new_kind = new_hash | _heads(found["c"])
-    kinds = np.add.reduceat(new_kind.astype(np.int64), np.flatnonzero(new_hash))
-    several = np.repeat(kinds > 1, np.diff(np.flatnonzero(new_hash), append=len(found)))
-    own = docs[found["row"]]
-    first = own["did"][np.flatnonzero(new_kind)][np.cumsum(new_kind) - 1]
-    settled, asked = own["did"] > first, new_kind & several
+    found = found[np.lexsort((found["did"], found["all"], found["right"], found["left"], found["h"]))]
+    new_hash = _heads(found["h"])
+    new_kind = new_hash | _heads(found["left"]) | _heads(found["right"]) | _heads(found["all"])
+    first = np.flatnonzero(new_kind)
+    kind = np.cumsum(new_kind) - 1
+    settled = found["did"] > found["did"][first][kind]
+    # kinds that share a window agree in the bytes on their left or on their right
+    group = np.cumsum(new_hash)[first]
+    asked = np.zeros(len(first), dtype=bool)
+    for side in ("left", "right"):
+        _, back, count = np.unique(group * 256 + found[side][first], return_inverse=True, return_counts=True)
+        asked |= count[back] > 1
     place = found["place"].astype(np.int64)
-    low, high = np.maximum(place - BEFORE, 0), np.minimum(place + MATCH, own["size"])
-    use = np.flatnonzero(settled | asked)
-    order, cuts = _by_doc(own["did"][use], own["th"][use])
-    rows = []
-    for part in np.split(use[order], cuts[1:]):
-        gone, ask = part[settled[part]], part[asked[part]]
-        spans = merged(np.stack([low[gone], high[gone]], axis=1))
-        rows.append({"bucket": 0, "did": int(own["did"][part[0]]), "th": int(own["th"][part[0]]),
-                     "spans": spans.ravel().astype(np.int32), "places": place[ask].astype(np.int32),
-                     "keys": found["h"][ask].view(np.int64)})
-        if len(rows) >= 2000:
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-            rows = []
-    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-
-_PIECE = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("low", pa.int32()),
-                    ("bytes", pa.binary())])
-
-
-def _fetch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The surroundings of the places asked for in each text."""
-    rows = []
-    did, th, asked = (batch.column(i).to_pylist() for i in (0, 1, 3))
-    for did, th, raw, asked in zip(did, th, _texts(batch.column(2)), asked, strict=True):
-        for x in asked:
-            low = max(0, x["place"] - BEFORE)
-            rows.append((x["key"], did, th, low, raw[low:x["place"] + MATCH]))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE, strict=True)], schema=_PIECE)
-
-
-def _settle(batches):
-    """Step 1 over fetched surroundings, sorted by anchor: a part at a time, anchors whole."""
-    held, size = [], 0
-
-    def part(tables):
-        t = pa.Table.from_batches(tables)
-        did, th, low = (t.column(c).to_numpy() for c in ("did", "th", "low"))
-        pieces = t.column("bytes").to_pylist()
-        sizes = np.array([len(x) for x in pieces], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        hit = np.flatnonzero(marked(np.frombuffer(b"".join(pieces), dtype=np.uint8), sizes, did))
-        k = np.searchsorted(starts, hit, side="right") - 1
-        at = hit - starts[k] + low[k]
-        order, cuts = _by_doc(did[k], th[k])
-        rows = []
-        for own in np.split(order, cuts[1:]) if len(order) else []:
-            i = k[own[0]]
-            rows.append({"did": int(did[i]), "th": int(th[i]), "spans": spans_of(np.unique(at[own])).astype(np.int32)})
-        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([_ARROW.field(c) for c in ("did", "th", "spans")]))
-
+    gone = np.flatnonzero(settled)
+    spans = _spans(found["did"][gone], found["rep"][gone], np.maximum(place[gone] - BEFORE, 0),
+                   place[gone] + found["tail"][gone])
+    ask = first[asked]
+    records = np.zeros(len(ask), dtype=RECORDS)
+    records["did"], records["rep"], records["a"] = found["did"][ask], found["rep"][ask], place[ask]
+    records["b"], records["ask"] = found["h"][ask].view(np.int64), 1
+    records = np.concatenate([spans, records])
+    yield pa.RecordBatch.from_pylist(_dealt(records, _doc_bucket(records["did"], buckets), OF_RECORDS), schema=_ARROW)
+
+
+_FOUND = "did long, rep int, spans array<int>, places array<int>, keys array<long>"
+
+
+def _collect(batches):
+    """One row per text of this task's buckets: its spans, and what to fetch of it."""
+    blobs = [x for batch in batches for x in batch.column(2).to_pylist()]
+    rows = unpack(blobs, RECORDS)
+    rows = rows[np.lexsort((rows["a"], rows["rep"], rows["did"]))]
+    head = _heads(rows["did"]) | _heads(rows["rep"])
+    text, first = np.cumsum(head) - 1, np.flatnonzero(head) if len(rows) else np.zeros(0, dtype=int)
+
+    def lists(mask, values, width, kind):
+        counts = np.bincount(text[mask], minlength=len(first)) * width
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+    span, ask = rows["ask"] == 0, rows["ask"] == 1
+    pairs = np.stack([rows["a"][span].astype(np.int64), rows["b"][span]], axis=1).ravel()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(rows["did"][first]), pa.array(rows["rep"][first].astype(np.int32)),
+         lists(span, pairs, 2, pa.int32()), lists(ask, rows["a"][ask], 1, pa.int32()),
+         lists(ask, rows["b"][ask], 1, pa.int64())], names=["did", "rep", "spans", "places", "keys"])
+
+
+def _fetch(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """The surroundings of the places asked for in each text, dealt by anchor hash."""
+    did, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    rows, parts = [], []
+    for i, (raw, places, keys) in enumerate(zip(_texts(batch.column(2)), batch.column(3), batch.column(4), strict=True)):
+        place = places.values.to_numpy().astype(np.int64)
+        own = np.zeros(len(place), dtype=PIECES)
+        low, high = np.maximum(place - BEFORE, 0), np.minimum(place + MATCH, len(raw))
+        own["key"], own["did"], own["rep"], own["low"], own["size"] = keys.values.to_numpy(), did[i], rep[i], low, high - low
+        rows.append(own)
+        parts += [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+    rows = np.concatenate(rows)
+    bucket = (_mix(rows["key"].view(np.uint64) * _A) % np.uint64(buckets)).astype(np.int64)
+    out = []
+    order = np.argsort(bucket, kind="stable")
+    for own in np.split(order, np.flatnonzero(_heads(bucket[order]))[1:]):
+        head = pack(rows[own])
+        blob = len(own).to_bytes(8, "little") + head + b"".join(parts[i] for i in own.tolist())
+        out.append({"bucket": int(bucket[own[0]]), "kind": OF_PIECES, "blob": blob})
+    return pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+
+def _settle(batches, buckets: int):
+    """Step 1 over fetched surroundings, about ``SHARD`` bytes at a time, an anchor's all together."""
+    width = sum(min(PIECES[c].itemsize, SENT.get(c, 8)) for c in PIECES.names)
+    heads, texts = [], []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(_heads(keys)).tolist() + [len(keys)]
-        if held and held[-1].column(0)[-1].as_py() != keys[0] and size >= SHARD:
-            yield part(held)
-            held, size = [], 0
-        begin = 0
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            grown = batch.slice(begin, b - begin).nbytes
-            if size + grown >= SHARD and a > begin:
-                held.append(batch.slice(begin, a - begin))
-                yield part(held)
-                held, size, begin = [], 0, a
-        held.append(batch.slice(begin))
-        size += held[-1].nbytes
-    if held:
-        yield part(held)
-
-
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the texts (id, did, th, size, packed) dealt out by (did, th), and the
-    spans (did, th, spans) to remove, as flat (start, end) pairs that may overlap."""
+        for blob in batch.column(2).to_pylist():
+            n = int.from_bytes(blob[:8], "little")
+            heads.append(blob[8:8 + n * width])
+            texts.append(blob[8 + n * width:])
+    rows = unpack(heads, PIECES)
+    if not len(rows):
+        return
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    texts.clear()
+    sizes = rows["size"].astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(rows["key"], kind="stable")
+    anchor = np.flatnonzero(_heads(rows["key"][order]))
+    before = (np.cumsum(sizes[order]) - sizes[order])[anchor]
+    cuts = anchor[np.flatnonzero(np.diff(before // SHARD, prepend=-1) != 0)]
+    for own in np.split(order, cuts[1:]):
+        size = sizes[own]
+        ends = np.cumsum(size)
+        part = buf[np.repeat(starts[own] - (ends - size), size) + np.arange(ends[-1])]
+        hit = np.flatnonzero(marked(part, size, rows["did"][own]))
+        k = np.searchsorted(ends, hit, side="right")
+        at = hit - (ends - size)[k] + rows["low"][own][k]
+        spans = _spans(rows["did"][own][k], rows["rep"][own][k], at, at + MATCH)
+        yield pa.RecordBatch.from_pylist(_dealt(spans, _doc_bucket(spans["did"], buckets), OF_RECORDS), schema=_ARROW)
+
+
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """(texts, spans): the texts (id, did, rep, size, packed), dealt out by did, and
+    tables (did, rep, spans) of what to remove, as flat (start, end) pairs that may overlap."""
     n = partitions(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"),
                       F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
-    texts = map_arrow(texts, _pack, f"{id_col} {kind}, did long, th long, size long, packed binary")
-    texts = materialize(texts.repartition(n, "did", "th"))
-    shards = map_arrow(texts.select("did", "th", "size", "packed"), lambda batch: _shards(batch, 8 * n), SCHEMA, SHARD)
-    found = cut(shards.repartition(n, "bucket").mapInArrow(_merge, SCHEMA)
-                .select("did", "th", "spans", F.arrays_zip("places", "keys").alias("asked")))
-    asked = (found.where(F.size("asked") > 0).groupBy("did", "th").agg(F.flatten(F.collect_list("asked")).alias("asked"))
-             .select("did", "th", F.transform("asked", lambda x: F.struct(
-                 x["places"].alias("place"), x["keys"].alias("key"))).alias("asked")))
-    pieces = map_arrow(texts.dropDuplicates(["did", "th"]).join(asked, ["did", "th"]).select("did", "th", "packed", "asked"),
-                       _fetch, "key long, did long, th long, low int, bytes binary")
-    settled = (pieces.repartition(n, "key").sortWithinPartitions("key")
-               .mapInArrow(_settle, "did long, th long, spans array<int>"))
-    spans = found.where(F.size("spans") > 0).select("did", "th", "spans").unionByName(settled)
-    return texts, spans.groupBy("did", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    texts = map_arrow(texts, _pack_texts, f"{id_col} {kind}, did long, th long, size long, packed binary")
+    # different texts of one doc_id are told apart by their number
+    number = F.dense_rank().over(Window.partitionBy("did").orderBy("th"))
+    texts = materialize(texts.repartition(n, "did").withColumn("rep", number).drop("th"))
+    shards = map_arrow(texts.select("did", "rep", "size", "packed"), lambda batch: _shards(batch, n), SCHEMA, SHARD)
+    found = shards.repartition(n, "bucket").mapInArrow(lambda batches: _merge(batches, n), SCHEMA)
+    found = cut(found.repartition(n, "bucket").mapInArrow(_collect, _FOUND))
+    asked = found.where(F.size("places") > 0).select("did", "rep", "places", "keys")
+    pieces = map_arrow(texts.select("did", "rep", "packed").dropDuplicates(["did", "rep"]).join(asked, ["did", "rep"]),
+                       lambda batch: _fetch(batch, n), SCHEMA, SHARD)
+    settled = pieces.repartition(n, "bucket").mapInArrow(lambda batches: _settle(batches, n), SCHEMA)
+    settled = settled.repartition(n, "bucket").mapInArrow(_collect, _FOUND)
+    return texts, [x.select("did", "rep", "spans").where(F.size("spans") > 0) for x in (found, settled)]
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -437,8 +471,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, kept = [], [], []
-        for raw, own in zip(_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            gone = merged(np.array(own or [], dtype=np.int64).reshape(-1, 2)).tolist()
+        for raw, own, more in zip(_texts(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+            gone = merged(np.array([*(own or ()), *(more or ())], dtype=np.int64).reshape(-1, 2)).tolist()
             at, parts = 0, []
             for a, b in gone:
                 parts.append(raw[at:a])
@@ -449,8 +483,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pair)),
                                            pa.array(kept, pa.binary())], names=[id_col, "n_bytes", "removed", "kept"])
 
-    rows = texts.join(spans, ["did", "th"], "left").select(id_col, "packed", "spans")
-    return map_arrow(rows, run, f"{id_col} {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
+    rows = texts
+    for i, own in enumerate(spans):
+        rows = rows.join(own.withColumnRenamed("spans", f"spans{i}"), ["did", "rep"], "left")
+    return map_arrow(rows.select(id_col, "packed", "spans0", "spans1"), run,
+                     f"{id_col} {kind}, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")
 
 
 def report(df: DataFrame) -> DataFrame:
