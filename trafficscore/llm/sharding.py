@@ -6,8 +6,10 @@ nodes that would cut fewer links elsewhere ask to move, and quotas decide how
 many may: from shard i to j as many as come the other way, and beyond that as
 many as j has nodes without links to send back ("fillers").  So every round
 keeps the counts as they were, at most one apart, whatever the links.  Movers of
-highest gain go first.  Only half of the nodes, by a hash that changes every
-round, may ask at a time; else two linked nodes would swap shards for ever.
+highest gain go first.  A node only follows neighbours of higher degree (of equal
+degree, of smaller id), so that linked nodes don't chase each other: the one that
+others gather around stays, its leaves ask at every turn, and nodes in between at half
+of the turns, by a hash that changes every round.
 
 A shard's count is its quota, so of a group larger than a shard the rest stays
 where it is.  What reaches the driver is one number per pair of shards.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from trafficscore.llm.common import cut, number_rows
 
 SHARDS = 8
-ROUNDS = 8
+ROUNDS = 5
 ENOUGH = 0.002       # stop when fewer than this share of the linked nodes moved
 
 
@@ -45,58 +47,62 @@ def quotas(asked: dict[tuple[int, int], int], fillers: dict[int, int], shards: i
     return {k: v for k, v in moved.items() if v}, {k: v for k, v in filled.items() if v}
 
 
-def _pairs(table: dict[tuple[int, int], int]):
-    """Shard pairs to numbers, as a map column of fixed size."""
-    return F.create_map(*[F.lit(x) for (i, j), n in table.items() for x in (f"{i}-{j}", n)]) if table else \
-        F.create_map().cast("map<string,int>")
+def _ranges(moved: dict, filled: dict) -> list[tuple[int, int, int, int, int]]:
+    """(from, asked, first, last, to): of those in ``from`` that asked for shard
+    ``asked`` (-1: fillers), the places first to last move to ``to``."""
+    rows = [(i, j, 0, n - 1, j) for (i, j), n in moved.items()]
+    ends: dict[int, int] = {}
+    for (i, j), n in sorted(filled.items()):
+        rows.append((i, -1, ends.get(i, 0), ends.get(i, 0) + n - 1, j))
+        ends[i] = ends.get(i, 0) + n
+    return rows
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(id, shard) for ``nodes`` (id long, each once), given ``links`` (a, b, weight)."""
+    """(id, shard) for ``nodes`` (id: 0 to n - 1, each once), given ``links`` (a, b, weight)."""
+    spark = nodes.sparkSession
     both = cut(links.where("a <> b").select("a", "b", "weight")
                .unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
                .groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    linked = both.select(F.col("a").alias("id"), F.lit(True).alias("linked")).distinct()
-    labels = cut(number_rows(nodes.select("id"), [], "id", "rank").join(linked, "id", "left")
-                 .select("id", (F.col("rank") % shards).cast("int").alias("shard"),
-                         F.coalesce("linked", F.lit(False)).alias("linked")))
+    degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    # a node follows neighbours of higher degree (or equal degree and smaller id); one that has none stays
+    met = (both.join(degrees, "a").join(degrees.select(F.col("a").alias("b"), F.col("degree").alias("other")), "b")
+           .groupBy("a").agg(F.max((F.col("other") > F.col("degree"))
+                                   | (F.col("other") == F.col("degree")) & (F.col("b") < F.col("a"))).alias("follows"),
+                             F.max("degree").alias("degree")))
+    linked = met.select(F.col("a").alias("id"), F.lit(True).alias("linked"), "follows",
+                        (F.col("degree") == 1).alias("leaf"))
+    labels = cut(nodes.select("id").join(linked, "id", "left")
+                 .select("id", F.pmod("id", F.lit(shards)).cast("int").alias("shard"),
+                         *(F.coalesce(c, F.lit(False)).alias(c) for c in ("linked", "follows", "leaf"))))
     n_linked = labels.where("linked").count()
     if not n_linked or shards < 2:
         return labels.select("id", "shard")
     for turn in range(rounds):
         tally = (both.join(labels.select(F.col("id").alias("b"), "shard"), "b")
                  .groupBy("a", "shard").agg(F.sum("weight").alias("weight")))
-        wish = (tally.join(labels.select(F.col("id").alias("a"), F.col("shard").alias("own")), "a")
-                .groupBy("a", "own").agg(F.max(F.struct("weight", (-F.col("shard")).alias("minus"))).alias("best"),
-                                         F.max(F.when(F.col("shard") == F.col("own"), F.col("weight"))).alias("stay")))
+        # leaves ask at every turn, others at half of the turns, or two of them could swap shards for ever
+        may = labels.where("follows").where(F.col("leaf") | (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0))
+        wish = (tally.join(may.select(F.col("id").alias("a"), F.col("shard").alias("from")), "a")
+                .groupBy("a", "from").agg(F.max(F.struct("weight", (-F.col("shard")).alias("minus"))).alias("best"),
+                                          F.max(F.when(F.col("shard") == F.col("from"), F.col("weight"))).alias("stay")))
         gain = F.col("best.weight") - F.coalesce("stay", F.lit(0))
-        movers = (wish.select(F.col("a").alias("id"), F.col("own").alias("from"),
-                              (-F.col("best.minus")).cast("int").alias("to"), gain.alias("gain"))
-                  .where("gain > 0 and from <> to").where(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
-                  .withColumn("low", (-F.least(F.floor(F.log2("gain")), F.lit(15))).cast("int")))
-        movers = cut(number_rows(movers, ["from", "to"], "id", "place", ["low"]))
-        asked = {(r["from"], r["to"]): r["n"] for r in
-                 movers.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
-        free = labels.where("not linked")
-        counts = {r["shard"]: r["n"] for r in free.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-        moved, filled = quotas(asked, counts, shards)
-        let = (movers.where(F.col("place") < F.coalesce(
-            _pairs(moved)[F.concat_ws("-", "from", "to")], F.lit(0))).select("id", "to"))
-        if filled:
-            # the fillers of a shard, in their numbered order, go to the shards that need them one after the other
-            ends, place = F.lit(None).cast("int"), F.col("place")
-            for shard in range(shards):
-                at = 0
-                for (i, j), n in sorted(filled.items()):
-                    if i == shard:
-                        ends = F.when((F.col("shard") == shard) & (place >= at) & (place < at + n), j).otherwise(ends)
-                        at += n
-            numbered = number_rows(free.select("id", "shard"), ["shard"], "id", "place")
-            let = let.unionByName(numbered.select("id", ends.cast("int").alias("to")).where("to is not null"))
-        if sum(moved.values()) == 0:
+        movers = (wish.select(F.col("a").alias("id"), "from", (-F.col("best.minus")).cast("int").alias("asked"),
+                              gain.alias("gain"))
+                  .where("gain > 0 and from <> asked")
+                  .select("id", "from", "asked", (-F.least(F.floor(F.log2("gain")), F.lit(15))).cast("int").alias("low")))
+        free = labels.where("not linked").select("id", F.col("shard").alias("from"), F.lit(-1).alias("asked"),
+                                                 F.lit(0).alias("low"))
+        queue = cut(number_rows(movers.unionByName(free), ["from", "asked"], "id", "place", ["low"]))
+        counts = {(r["from"], r["asked"]): r["n"] for r in          # a number per pair of shards
+                  queue.groupBy("from", "asked").agg(F.count(F.lit(1)).alias("n")).collect()}
+        moved, filled = quotas({k: n for k, n in counts.items() if k[1] >= 0},
+                               {i: n for (i, j), n in counts.items() if j < 0}, shards)
+        if not moved:
             break
-        labels = cut(labels.join(let, "id", "left")
-                     .select("id", F.coalesce("to", "shard").alias("shard"), "linked"))
+        let = spark.createDataFrame(_ranges(moved, filled), "`from` int, asked int, first long, last long, `to` int")
+        let = (queue.join(F.broadcast(let), ["from", "asked"]).where("place between first and last").select("id", "to"))
+        labels = cut(labels.join(let, "id", "left").select("id", F.coalesce("to", "shard").alias("shard"), "linked", "follows", "leaf"))
         if sum(moved.values()) < ENOUGH * n_linked:
             break
     return labels.select("id", "shard")
@@ -108,8 +114,8 @@ def documents(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     rows = df.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
                      F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("text_id"))
     # numbered in an order that depends on the rows alone; equal rows are alike, so theirs may be any
-    rows = cut(rows.withColumn("key", F.xxhash64("doc_id", "text_id")))
-    rows = cut(number_rows(rows, [], "key", "id").drop("key"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text_id"))
+    rows = cut(number_rows(cut(rows), [], "key", "id").drop("key"))
     hubs = (rows.groupBy("text_id").agg(F.min(F.struct("doc_id", "id")).alias("hub"), F.count(F.lit(1)).alias("n"))
             .where("n > 1").select("text_id", F.col("hub.id").alias("b")))
     links = rows.join(hubs, "text_id").select(F.col("id").alias("a"), "b", F.lit(1).cast("long").alias("weight"))
