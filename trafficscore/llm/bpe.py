@@ -36,9 +36,9 @@ NONE = 0x7FFFFFFF                # "this pair has no rank"
 SHELF = 6                        # the index is kept by shelves of 2**SHELF neighbouring ranks
 STEP = 40_000                    # positions taken from the index at a time
 LONG = 128                       # bytes; longer words are merged alone, by a heap
-CHUNK = 6 << 20                  # bytes of text, or of ids, that a worker takes at a time
-BLOCK_WORDS = 100_000            # words replayed together; bounds the memory of the index
-WORDS_KEPT = 250_000             # distinct words whose ids a worker keeps between chunks
+CHUNK = 4 << 20                  # bytes of text, or of ids, that a worker takes at a time
+BLOCK_WORDS = 60_000             # words replayed together; bounds the memory of the index
+WORDS_KEPT = 100_000             # distinct words whose ids a worker keeps between chunks
 _LOADED: dict = {}
 
 
