@@ -38,6 +38,17 @@ def test_large_group_fills_a_shard(documents):
     assert most >= 45                      # a shard holds 50
 
 
+def test_small_groups_stay_whole_beside_a_hot_one(documents):
+    rows = [(i, "copy") for i in range(1333)]
+    rows += [(2000 + i, f"pair {i // 2}") for i in range(1600)] + [(5000 + i, f"own text {i}") for i in range(1067)]
+    got = sharding.documents(documents(rows)).collect()
+    check(rows, got)
+    text, shards = dict(rows), {}
+    for r in got:
+        shards.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert sum(len(s) > 1 for t, s in shards.items() if t.startswith("pair")) <= 8     # of 800; hubs that stay leave 8-9%
+
+
 def test_odd_rows(documents, odd_texts):
     rows = [*enumerate(odd_texts), (3, "a"), (3, "a"), (None, None)]
     check(rows, sharding.documents(documents(rows)).collect())

@@ -6,10 +6,12 @@ nodes that would cut fewer links elsewhere ask to move, and quotas decide how
 many may: from shard i to j as many as come the other way, and beyond that as
 many as j has nodes without links to send back ("fillers").  So every round
 keeps the counts as they were, at most one apart, whatever the links.  Movers of
-highest gain go first.  A node only follows neighbours of higher degree (of equal
-degree, of smaller id), so that linked nodes don't chase each other: the one that
-others gather around stays, its leaves ask at every turn, and nodes in between at half
-of the turns, by a hash that changes every round.
+highest gain go first.  Every linked node may ask, but two linked nodes shouldn't at
+the same turn, or they would swap shards for ever: a coin per node and turn decides.  A leaf
+(one neighbour) asks on the tails of its neighbour's coin, all others on the heads of
+their own.  So in a star either the hub asks or its leaves do, and every
+move leaves fewer links cut.  Rounds end when the quotas could let none in even if all that
+wish to move asked, or none was let in for ``QUIET`` turns (so other coins came up too).
 
 A shard's count is its quota, so of a group larger than a shard the rest stays
 where it is.  What reaches the driver is one number per pair of shards.
@@ -27,8 +29,7 @@ from pyspark.sql import functions as F
 from trafficscore.llm.common import cut, number_rows
 
 SHARDS = 8
-ROUNDS = 5
-ENOUGH = 0.002       # stop when fewer than this share of the linked nodes moved
+QUIET = 6            # turns in a row without a move, after which none is expected
 
 
 def quotas(asked: dict[tuple[int, int], int], fillers: dict[int, int], shards: int) \
@@ -58,57 +59,69 @@ def _ranges(moved: dict, filled: dict) -> list[tuple[int, int, int, int, int]]:
     return rows
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(id, shard) for ``nodes`` (id: 0 to n - 1, each once), given ``links`` (a, b, weight)."""
+def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
+    """(id, shard) for ``nodes`` (id: 0 to n - 1, each once), given ``links`` (a, b, weight).
+
+    ``rounds``: at most so many; by default until settled, which stars always come to."""
     spark = nodes.sparkSession
     both = cut(links.where("a <> b").select("a", "b", "weight")
                .unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
                .groupBy("a", "b").agg(F.sum("weight").alias("weight")))
     degrees = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-    # a node follows neighbours of higher degree (or equal degree and smaller id); one that has none stays
+    # of two that have only each other, the larger id is the leaf
     met = (both.join(degrees, "a").join(degrees.select(F.col("a").alias("b"), F.col("degree").alias("other")), "b")
-           .groupBy("a").agg(F.max((F.col("other") > F.col("degree"))
-                                   | (F.col("other") == F.col("degree")) & (F.col("b") < F.col("a"))).alias("follows"),
-                             F.max("degree").alias("degree")))
-    linked = met.select(F.col("a").alias("id"), F.lit(True).alias("linked"), "follows",
-                        (F.col("degree") == 1).alias("leaf"))
+           .groupBy("a").agg((F.max("degree") == 1).alias("alone"), F.max("other").alias("other"), F.max("b").alias("b")))
+    leaf = F.col("alone") & ((F.col("other") > 1) | (F.col("b") < F.col("a")))
+    linked = met.select(F.col("a").alias("id"), F.lit(True).alias("linked"), leaf.alias("leaf"),
+                        F.xxhash64(F.when(leaf, F.col("b")).otherwise(F.col("a"))).alias("coin"))
     labels = cut(nodes.select("id").join(linked, "id", "left")
                  .select("id", F.pmod("id", F.lit(shards)).cast("int").alias("shard"),
-                         *(F.coalesce(c, F.lit(False)).alias(c) for c in ("linked", "follows", "leaf"))))
-    n_linked = labels.where("linked").count()
-    if not n_linked or shards < 2:
+                         *(F.coalesce(c, F.lit(False)).alias(c) for c in ("linked", "leaf")), "coin"))
+    if shards < 2 or both.isEmpty():
         return labels.select("id", "shard")
-    for turn in range(rounds):
-        tally = (both.join(labels.select(F.col("id").alias("b"), "shard"), "b")
+    turn = quiet = 0
+    while quiet < QUIET and (rounds is None or turn < rounds):
+        turn += 1
+        # merge joins: tables of nodes would else be collected by the driver, anew every turn
+        tally = (both.join(labels.select(F.col("id").alias("b"), "shard").hint("merge"), "b")
                  .groupBy("a", "shard").agg(F.sum("weight").alias("weight")))
-        # leaves ask at every turn, others at half of the turns, or two of them could swap shards for ever
-        may = labels.where("follows").where(F.col("leaf") | (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0))
-        wish = (tally.join(may.select(F.col("id").alias("a"), F.col("shard").alias("from")), "a")
-                .groupBy("a", "from").agg(F.max(F.struct("weight", (-F.col("shard")).alias("minus"))).alias("best"),
-                                          F.max(F.when(F.col("shard") == F.col("from"), F.col("weight"))).alias("stay")))
+        # the coins are data, hashed anew every turn, so that all turns share their compiled code
+        own = labels.where("linked").select(F.col("id").alias("a"), F.col("shard").alias("from"),
+                                            ((F.pmod("coin", F.lit(2)) == 1) == F.col("leaf")).alias("asks"))
+        wish = (tally.join(own.hint("merge"), "a").groupBy("a", "from", "asks")
+                .agg(F.max(F.struct("weight", (-F.col("shard")).alias("minus"))).alias("best"),
+                     F.max(F.when(F.col("shard") == F.col("from"), F.col("weight"))).alias("stay")))
         gain = F.col("best.weight") - F.coalesce("stay", F.lit(0))
         movers = (wish.select(F.col("a").alias("id"), "from", (-F.col("best.minus")).cast("int").alias("asked"),
-                              gain.alias("gain"))
+                              gain.alias("gain"), "asks")
                   .where("gain > 0 and from <> asked")
-                  .select("id", "from", "asked", (-F.least(F.floor(F.log2("gain")), F.lit(15))).cast("int").alias("low")))
+                  .select("id", "from", F.when(F.col("asks"), F.col("asked")).otherwise(-2 - F.col("asked")).alias("asked"),
+                          (-F.least(F.floor(F.log2("gain")), F.lit(15))).cast("int").alias("low")))
         free = labels.where("not linked").select("id", F.col("shard").alias("from"), F.lit(-1).alias("asked"),
                                                  F.lit(0).alias("low"))
         queue = cut(number_rows(movers.unionByName(free), ["from", "asked"], "id", "place", ["low"]))
         counts = {(r["from"], r["asked"]): r["n"] for r in          # a number per pair of shards
                   queue.groupBy("from", "asked").agg(F.count(F.lit(1)).alias("n")).collect()}
-        moved, filled = quotas({k: n for k, n in counts.items() if k[1] >= 0},
-                               {i: n for (i, j), n in counts.items() if j < 0}, shards)
-        if not moved:
+        free_of = {i: n for (i, j), n in counts.items() if j == -1}
+        moved, filled = quotas({k: n for k, n in counts.items() if k[1] >= 0}, free_of, shards)
+        wished: dict[tuple[int, int], int] = {}                     # -2 - j: wishes for j, but its coin is against it
+        for (i, j), n in counts.items():
+            if j != -1:
+                wished[i, max(j, -2 - j)] = wished.get((i, max(j, -2 - j)), 0) + n
+        if not quotas(wished, free_of, shards)[0]:                  # whatever the coins
             break
+        quiet = 0 if moved else quiet + 1
+        labels = labels.withColumn("coin", F.xxhash64("coin"))
+        if not moved:
+            continue
         let = spark.createDataFrame(_ranges(moved, filled), "`from` int, asked int, first long, last long, `to` int")
         let = (queue.join(F.broadcast(let), ["from", "asked"]).where("place between first and last").select("id", "to"))
-        labels = cut(labels.join(let, "id", "left").select("id", F.coalesce("to", "shard").alias("shard"), "linked", "follows", "leaf"))
-        if sum(moved.values()) < ENOUGH * n_linked:
-            break
+        labels = cut(labels.join(let.hint("merge"), "id", "left").select("id", F.coalesce("to", "shard").alias("shard"), "linked", "leaf", "coin"))
+        spark.sparkContext._jvm.System.gc()         # the last turn's checkpoints and broadcasts are let go of when collected
     return labels.select("id", "shard")
 
 
-def documents(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def documents(df: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce("text", F.lit(""))
     rows = df.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
