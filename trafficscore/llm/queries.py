@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trafficscore.llm import bpe, decontam, pages, pii, quality, secrets, sharding, simhash, suffixes, syncmers
+from trafficscore.llm import (bpe, decontam, lexical, licenses, pages, pii, quality, secrets, sharding, simhash, suffixes,
+                              syncmers, variants)
 from trafficscore.llm.common import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,5 +63,47 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_syncmers, op3_sharding, op4_secrets, op5_pii, op6_bpe, op7_suffixes, op8_quality, op9_pages, op10_simhash)}
-SQL: dict[str, str] = {}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of every whole text."""
+    return licenses.report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their near words, form and root."""
+    return variants.variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontam, op2_syncmers, op3_sharding, op4_secrets, op5_pii, op6_bpe, op7_suffixes, op8_quality, op9_pages,
+    op10_simhash, op11_licenses, op12_variants, op13_lexical)}
+
+SQL: dict[str, str] = {
+    "op13_lexical": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'),
+                        lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts
+  FROM documents),
+i AS (
+  SELECT row_number() OVER () AS i, item_id,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'),
+                        lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts
+  FROM benchmark),
+c AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_all FROM d),
+m AS (SELECT d, doc_id, 100 - 75 + ((75 * len(ts) * n_docs) // n_all)::BIGINT AS m FROM d, c WHERE len(ts) > 0),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ts) AS t FROM d) GROUP BY d, t),
+it AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT i, item_id, unnest(ts) AS t FROM i) GROUP BY i, item_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, c GROUP BY t, n_docs),
+s AS (SELECT i, item_id, d, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM it JOIN tf USING (t) JOIN w USING (t) JOIN m USING (d) GROUP BY i, item_id, d, doc_id),
+r AS (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+}
