@@ -1,21 +1,21 @@
-"""Global percentile ranks without a single-partition window.
+"""Global percentile ranks without a single-partition window and without joins on values.
 
 ``F.percent_rank().over(Window.orderBy(v))`` has no partition key, so Spark
-moves every row into one task.  A rank only depends on how many rows have a
-smaller value, so ranks are computed from the *histograms* of the ranked columns, all
-columns in the same pass:
-
-1. rows are stacked as (column, value) and counted per distinct value (partial
-   aggregation: ties collapse map-side, a value shared by a third of the rows
-   costs one row per map task);
-2. ``less(v)`` = rows with a smaller value - a prefix sum over the distinct
-   values.  One small job per call gives each column's counts and the bounds of value
-   buckets (``percentile_approx``; as many as the cluster has partitions, more
-   if a bucket would hold over ``BUCKET_VALUES`` values).  Per-bucket totals
-   (one row per column and bucket, broadcast) give each bucket's offset, and a window
-   partitioned by column and bucket adds the running sum inside it;
-3. the rank tables (one row per value) are joined back on the value with a
-   size-checked join.
+moves every row into one task.  Here the ranked columns are sorted by sampling, all
+of them in the same exchange:
+
+1. one job gives each column's counts and quantiles; the quantiles are the
+   bounds of value buckets, as many as the cluster has partitions.  A value that is a bound
+   has a bucket of its own, those between two bounds share one;
+2. rows are stacked as (column, value), the row itself riding in its first entry,
+   and dealt by (column, bucket).  Rows per bucket (pre-aggregated; one line per
+   column and bucket, broadcast) give each bucket's offset, a rank inside it
+   the rest: ``less(v)`` = rows with a smaller value;
+3. a value that many rows share (most clients have frequency 1) fills a bucket of its
+   own, whose rows all have the same rank, the offset.  They need not meet, so they
+   are dealt over all partitions by a hash;
+4. several columns: the entries of a row come back together in one more exchange
+   by its key.
 
 There is one path at every size.  ``method="window"`` spells out the plain
 window, as the oracle of the tests.
@@ -23,100 +23,113 @@ window, as the oracle of the tests.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import (ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, MapType, ShortType)
 
-from trafficscore.plans.strategies import (BROADCAST_MAX_ROWS, bucket_index, materialize, shuffle_partitions,
-                                           size_checked_join)
+from trafficscore.plans.strategies import bucket_text, materialize, shuffle_partitions
 
-# Distinct values that one bucket's window is meant to hold.
-BUCKET_VALUES = 200_000
+# Whole numbers up to here are told apart as doubles.
+EXACT = 1 << 53
 
 
-class RankTables:
-    """Histograms of several columns with prefix counts.
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    ``table``: one row per column and distinct non-null value, with ``_peers`` (rows
-    with that value) and ``_less`` (rows with a smaller non-null value).
-    """
 
-    def __init__(self, df: DataFrame, columns: list[str], n_buckets: int | None = None):
-        self.columns = list(dict.fromkeys(columns))
-        names = [f"_v{i}" for i in range(len(self.columns))]
+def _told_apart(kind: DataType, column: str) -> str:
+    """Whether values of that type that are equal as doubles are equal."""
+    if isinstance(kind, (ByteType, ShortType, IntegerType, FloatType, DoubleType)):
+        return "true"
+    return f"({column} > -{EXACT} AND {column} < {EXACT})" if isinstance(kind, LongType) else "false"
+
 
-        def entry(i: int) -> Column:
-            # every column keeps its own type: only its own slot is filled
-            slots = [(F.col(c) if i == j else F.lit(None).cast(df.schema[c].dataType)).alias(names[j])
-                     for j, c in enumerate(self.columns)]
-            return F.struct(F.lit(i).alias("_c"), F.col(self.columns[i]).isNotNull().alias("_known"), *slots)
+class Ranked:
+    """Entries of ``columns`` of ``df``, ranked.
 
-        stacked = df.select(F.inline(F.array(*map(entry, range(len(self.columns))))))
-        hist = materialize(stacked.groupBy("_c", "_known", *names).agg(F.count(F.lit(1)).alias("_peers")))
+    ``entries``: per row and column ``_c`` (the column's number), ``_less`` (rows with a
+    smaller value, NULLs being smallest), ``_peers`` (rows with the same value) and ``_row``
+    (all of the row's columns in its entry of column 0, else NULL), and the row's ``id`` columns.
+    """
+
+    def __init__(self, df: DataFrame, columns: list[str], ids: list[str], n_buckets: int | None = None):
         parts = shuffle_partitions(df)
-        value = F.coalesce(*[F.col(n).cast("double") for n in names])
-        # one job: counts, and a sketch of the values that yields the bucket bounds
         cuts = n_buckets or max(parts, 1)
-        stats = {r["_c"]: r for r in hist.groupBy("_c").agg(
-            F.coalesce(F.sum(F.when(F.col("_known"), F.col("_peers"))), F.lit(0)).alias("n"),
-            F.coalesce(F.sum(F.when(~F.col("_known"), F.col("_peers"))), F.lit(0)).alias("nulls"),
-            F.count(F.when(F.col("_known"), F.lit(1))).alias("d"),
-            F.percentile_approx(value, [i / cuts for i in range(1, max(cuts, 2))], max(10_000, 4 * cuts)).alias("b")).collect()}
-        more = max([r["d"] for r in stats.values()], default=0) // BUCKET_VALUES
-        if n_buckets is None and more > cuts:
-            sketch = F.percentile_approx(value, [i / more for i in range(1, more)], 4 * more).alias("b")
-            bounds = {r["_c"]: r["b"] for r in hist.groupBy("_c").agg(sketch).collect()}
-        else:
-            bounds = {c: r["b"] for c, r in stats.items()}
-        self.n_nonnull = {c: int(stats[i]["n"]) if i in stats else 0 for i, c in enumerate(self.columns)}
-        self.n_null = {c: int(stats[i]["nulls"]) if i in stats else 0 for i, c in enumerate(self.columns)}
-        self.n_distinct = {c: int(stats[i]["d"]) if i in stats else 0 for i, c in enumerate(self.columns)}
-        bucket = F.lit(0)
-        for i in range(len(self.columns)):
-            own = sorted({float(b) for b in bounds.get(i) or []})
-            bucket = F.when(F.col("_c") == i, bucket_index(value, own)).otherwise(bucket)
-        known = hist.where("_known").withColumn("_b", bucket)
+        own = [_quoted(c) for c in columns]
+        shares = [i / cuts for i in range(1, max(cuts, 2))]
+        stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"k{i}") for i, c in enumerate(own)],
+                       *[F.percentile_approx(F.col(c).cast("double"), shares, max(10_000, 4 * cuts)).alias(f"b{i}")
+                         for i, c in enumerate(own)]).first()
+        self.n = int(stats["n"])
+        self.n_null = [self.n - int(stats[f"k{i}"]) for i in range(len(columns))]
+        slots = [f"_v{i}" for i in range(len(columns))]
+        keys = [f"_id{i}" for i in range(len(ids))]
+        whole = ", ".join(_quoted(f.name) for f in df.schema.fields)
+        hashed = ", ".join(_quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, MapType))
+        spread = f"1 + cast(pmod(xxhash64({hashed}), {parts}) as int)"
+
+        def entry(i: int) -> str:
+            value = f"cast({own[i]} as double)"
+            bounds = sorted({float(b) for b in stats[f"b{i}"] or [] if b == b})
+            at, bound = bucket_text(value, bounds)
+            # the value of a bound is alone in its bucket, and so is NaN
+            alone = f"(isnan({value}) OR {bound} AND {_told_apart(df.schema[columns[i]].dataType, own[i])})"
+            fields = {
+                "_c": str(i),
+                "_b": f"CASE WHEN {own[i]} IS NULL THEN -1 WHEN isnan({value}) THEN {2 * len(bounds) + 1} ELSE 2 * {at} - CASE WHEN {bound} THEN 1 ELSE 0 END END",
+                "_s": f"CASE WHEN {own[i]} IS NULL OR {alone} THEN {spread} ELSE 0 END",
+                **{slot: c if i == j else f"CASE WHEN false THEN {c} END" for j, (slot, c) in enumerate(zip(slots, own, strict=True))},
+                **dict(zip(keys, map(_quoted, ids), strict=True)),
+                "_row": f"struct({whole})" if i == 0 else f"CASE WHEN false THEN struct({whole}) END"}
+            return "named_struct(" + ", ".join(f"'{name}', {text}" for name, text in fields.items()) + ")"
+
+        stacked = df.selectExpr(f"inline(array({', '.join(map(entry, range(len(columns))))}))")
+        # one line per column and bucket: the proven-small side of a broadcast join
         before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        # one row per column and bucket: the proven-small side of a broadcast join
-        offsets = (known.groupBy("_c", "_b").agg(F.sum("_peers").alias("_bt"))
-                   .select("_c", "_b", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_off")))
-        inside = Window.partitionBy("_c", "_b").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-        self.table = materialize(
-            known.join(F.broadcast(offsets), ["_c", "_b"])
-            .withColumn("_less", F.col("_off") + F.coalesce(F.sum("_peers").over(inside), F.lit(0)))
-            .select("_c", *names, "_peers", "_less"))
-
-    def join_back(self, df: DataFrame, column: str, value_col: Column, out: str, broadcast_max_rows: int) -> DataFrame:
-        """Attach ``value_col`` (an expression over the table) to every row of
-        ``df`` by the column's value; NULL values get NULL."""
-        i = self.columns.index(column)
-        ranks = (self.table.where(F.col("_c") == i).select(F.col(f"_v{i}").alias(column), value_col.alias(out)))
-        kind = df.schema[column].dataType.simpleString()
-        # numbers take 32 bytes a row in a hash table at most; other values are measured
-        n = self.n_distinct[column]
-        size = None if kind in ("string", "binary") else (n, 32 * n)
-        return size_checked_join(df, ranks, [column], how="left", broadcast_max_rows=broadcast_max_rows, size=size)
+        offsets = (stacked.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_total"))
+                   .select("_c", "_b", "_total", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_off")))
+        inside = Window.partitionBy("_c", "_b", "_s")
+        peers = F.count(F.lit(1)).over(Window.partitionBy("_c", "_b", "_s", *slots))
+        self.entries = (stacked.join(F.broadcast(offsets), ["_c", "_b"])
+                        .withColumn("_less", F.col("_off") + F.rank().over(inside.orderBy(*slots)) - 1)
+                        .withColumn("_peers", F.when(F.col("_s") > 0, F.col("_total")).otherwise(peers)))
+        self.keys, self.slots = keys, slots
 
 
 def add_percent_ranks(df: DataFrame, specs: dict, method: str = "histogram", materialize_input: str = "persist",
-                      n_buckets: int | None = None, broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                      n_buckets: int | None = None, key: str | None = None) -> DataFrame:
     """Several global percent ranks, e.g. ``{"r_rank": "recency_raw", ...}``:
     ``percent_rank()`` over each column ascending (NULLs first, rank 0), equal
-    to Spark's window function for every input."""
+    to Spark's window function for every input.
+
+    ``key``: a column that few rows share (one row per client, say); by it the
+    ranks of a row come back together.  Without one, and with several columns,
+    rows are numbered on a checkpointed copy."""
     if method == "window":
         for out, v in specs.items():
             df = df.withColumn(out, F.percent_rank().over(Window.orderBy(F.col(v).asc())))
         return df
     if method != "histogram":
         raise ValueError(f"unknown rank method {method!r}")
-    base = materialize(df, materialize_input) if not df.is_cached else df
-    tables = RankTables(base, list(specs.values()), n_buckets)
-    joined = base
-    for out, v in specs.items():
-        n = tables.n_nonnull[v] + tables.n_null[v]
-        rank = (F.col("_less") + F.lit(tables.n_null[v])).cast("double") / F.lit(float(max(n - 1, 1)))
-        joined = tables.join_back(joined, v, rank, out, broadcast_max_rows)
-    return joined.withColumns({out: F.when(F.col(v).isNull(), F.lit(0.0)).otherwise(F.col(out))
-                               for out, v in specs.items()})
+    columns = list(dict.fromkeys(specs.values()))
+    names = df.columns
+    if key is None and len(columns) > 1:
+        # numbers must not change if a task runs again
+        base = materialize(df.withColumn("_rid", F.monotonically_increasing_id()), "checkpoint")
+        ids = ["_rid"]
+    else:
+        base = df if df.is_cached else materialize(df, materialize_input)
+        ids = [key, *columns] if len(columns) > 1 else []
+    ranked = Ranked(base, columns, ids, n_buckets)
+    rank = F.col("_less").cast("double") / F.lit(float(max(ranked.n - 1, 1)))
+    if len(columns) == 1:
+        return ranked.entries.select(*[F.col("_row")[c].alias(c) for c in names], *[rank.alias(out) for out in specs])
+    # rows that share the key and all ranked values share their ranks
+    back = ranked.entries.groupBy(*ranked.keys).agg(
+        F.collect_list("_row").alias("_rows"), *[F.max(F.when(F.col("_c") == i, rank)).alias(f"_r{i}") for i in range(len(columns))])
+    row = back.select(F.explode("_rows").alias("_row"), *[f"_r{i}" for i in range(len(columns))])
+    return row.select(*[F.col("_row")[c].alias(c) for c in names],
+                      *[F.col(f"_r{columns.index(v)}").alias(out) for out, v in specs.items()])
 
 
 def percent_rank_column(df: DataFrame, v: str, out: str, method: str = "histogram", **kw) -> DataFrame:
@@ -125,7 +138,6 @@ def percent_rank_column(df: DataFrame, v: str, out: str, method: str = "histogra
 
 
 def average_percentile(df: DataFrame, v: str, out: str | None = None, method: str = "histogram",
-                       broadcast_max_rows: int = BROADCAST_MAX_ROWS,
                        n_buckets: int | None = None) -> DataFrame:
     """Average-rank percentile of ``v`` in percent (ties share the mean of
     their ranks; NULL stays NULL and is not counted), i.e. pandas'
@@ -141,8 +153,10 @@ def average_percentile(df: DataFrame, v: str, out: str | None = None, method: st
         avg_rank = (F.rank().over(w_ord) - 1) + (F.count(F.lit(1)).over(Window.partitionBy(v)) + 1) / 2.0
         pct = avg_rank / F.count(v).over(w_all) * 100.0
         return df.withColumn(out, F.when(F.col(v).isNull(), F.lit(None).cast("double")).otherwise(pct))
-    df = materialize(df)   # read by the histogram and by the join back
-    tables = RankTables(df, [v], n_buckets)
-    pct = (F.col("_less") + (F.col("_peers") + 1) / 2.0) / F.lit(float(max(tables.n_nonnull[v], 1))) * 100.0
-    joined = tables.join_back(df, v, pct, "_pct", broadcast_max_rows)
-    return joined.withColumn(out, F.col("_pct")).drop("_pct")
+    # read by the quantiles and by the exchange
+    ranked = Ranked(df if df.is_cached else materialize(df), [v], [], n_buckets)
+    known = max(ranked.n - ranked.n_null[0], 1)
+    pct = (F.col("_less") - ranked.n_null[0] + (F.col("_peers") + 1) / 2.0) / F.lit(float(known)) * 100.0
+    value = F.when(F.col("_row")[v].isNotNull(), pct)
+    columns = [value.alias(out) if c == out else F.col("_row")[c].alias(c) for c in df.columns]
+    return ranked.entries.select(*columns, *([value.alias(out)] if out not in df.columns else []))

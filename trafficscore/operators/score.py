@@ -30,7 +30,7 @@ def score_rfm(raw: DataFrame, last_updated: str | dt.datetime | None = None, key
     ``last_updated`` is the run time as ISO text (a constant column).
     """
     ranked = add_percent_ranks(raw, {"r_rank": recency_col, "f_rank": frequency_col,
-                                     "m_rank": monetary_col}, method=rank_method, **rank_kw)
+                                     "m_rank": monetary_col}, method=rank_method, key=key_col, **rank_kw)
     wr, wf, wm = COMPOSITE_WEIGHTS
     scored = ranked.select(
         F.col(key_col).alias("src_ip"),

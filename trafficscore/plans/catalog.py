@@ -112,7 +112,7 @@ SUBNET_WINDOW_S, SUBNET_N = 3_600, 20
 def q_rate_limit_subnet(spark, sf):
     """The limiter keyed by /24 network instead of address.  Few networks
     carry all traffic (at sf0.01 a single one holds every row), so this runs
-    the sliced parallel fold for hot keys."""
+    the time slices of hot keys."""
     acc = V.access_log(spark, sf).withColumn(
         "subnet", F.concat(F.regexp_extract("client_ip", r"^(\d+\.\d+\.\d+)\.", 1), F.lit(".0/24")))
     # slices of 2,000 rows: the hot-network path runs at every scale and
@@ -278,12 +278,13 @@ _RANKS = {"r_rank": "recency_raw", "f_rank": "frequency_raw", "m_rank": "monetar
 
 
 def q_percent_ranks(spark, sf):
-    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS)
+    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, key="src_ip")
     return out.select("src_ip", *[_round(c, 9) for c in _RANKS])
 
 
 def q_percent_ranks_histogram(spark, sf):
-    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, n_buckets=4, broadcast_max_rows=0)
+    """Few buckets, and rows told apart by number instead of by their key."""
+    out = ranks.add_percent_ranks(_raw(spark, sf), _RANKS, n_buckets=4)
     return out.select("src_ip", *[_round(c, 9) for c in _RANKS])
 
 

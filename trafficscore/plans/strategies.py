@@ -131,20 +131,21 @@ def size_checked_join(big: DataFrame, small: DataFrame, keys, how: str = "left",
             .drop("_spread"))
 
 
-def bucket_index(value, bounds: list[float]):
-    """Index of the bucket of ``value`` among sorted ``bounds``: the number of
-    bounds <= value, looked up among every k-th bound and then among k."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    fine = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-
+def bucket_text(value: str, bounds: list[float]) -> tuple[str, str]:
+    """SQL texts of the number of sorted ``bounds`` <= ``value`` and of whether ``value`` is
+    one of them, looked up among every k-th bound and then among k.  Texts, because a
+    column object of thousands of literals takes as many calls to build."""
     def array(values):
-        return F.array(*[F.lit(float(v)) for v in values])
+        return "array(" + ", ".join(f"double('{b!r}')" if not math.isfinite(b) else f"{b!r}D" for b in values) + ")"
 
-    def below(values):
-        return F.size(F.filter(values, lambda b: b <= value))
-
-    coarse = below(array([f[0] for f in fine]))
-    inner = F.transform(F.array(coarse), lambda c: (c - 1) * step + below(F.array(*map(array, fine))[c - 1]))[0]
-    return F.when((coarse == 0) | value.isNull(), F.lit(0)).otherwise(inner).cast("int")
+    if not bounds:
+        return "0", "false"
+    if len(bounds) <= 16:
+        return f"size(filter({array(bounds)}, _bound_ -> _bound_ <= {value}))", f"array_contains({array(bounds)}, {value})"
+    step = math.isqrt(len(bounds))
+    fine = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    coarse = f"size(filter({array([f[0] for f in fine])}, _bound_ -> _bound_ <= {value}))"
+    parts = "array(" + ", ".join(map(array, fine)) + ")"
+    at = (f"transform(array({coarse}), _at_ -> CASE WHEN _at_ = 0 THEN 0 ELSE (_at_ - 1) * {step}"
+          f" + size(filter({parts}[_at_ - 1], _bound_ -> _bound_ <= {value})) END)[0]")
+    return at, f"transform(array({coarse}), _at_ -> _at_ > 0 AND array_contains({parts}[greatest(_at_, 1) - 1], {value}))[0]"
