@@ -7,7 +7,7 @@ from trafficscore.operators.ratelimit import rate_limit_batch
 from trafficscore.operators import rfm
 from trafficscore.plans import views as V
 from trafficscore.streaming.packets import stream_packet_tsv
-from trafficscore.streaming.ratelimit import rate_limit_stream
+from trafficscore.streaming.ratelimit import limiter_state, rate_limit_stream
 from trafficscore.streaming.rfm import stream_rfm_raw, write_rfm_stream
 from trafficscore.streaming.runner import drain
 from conftest import SF001
@@ -64,13 +64,46 @@ def test_arrival_mode_in_order_equals_batch(spark, scratch):
     lim = rate_limit_stream(_stream(spark, os.path.join(scratch, "in")), tie_col="request_id",
                             window_seconds=86_400, limit=3, mode="arrival")
     out = os.path.join(scratch, "out")
-    drain(lim.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck"))
-          .trigger(availableNow=True).start(out))
+    with limiter_state(spark, drained=True):
+        query = (lim.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck"))
+                 .trigger(availableNow=True).start(out))
+    drain(query)
     got = {r.request_id: (r.request_count, r.over_limit)
            for r in spark.read.parquet(out).where("request_id >= 0").collect()}
     assert got == _batch(acc)
 
 
+def test_arrival_state_goes_on_over_restarts_and_ends(spark, scratch):
+    """The window of a client goes on in the next run; state of clients not seen for its time to live is
+    removed by the next batch.  NULL keys, and longs that differ beyond 2**53, are clients of their own."""
+    import time
+    big = 2**53
+    landed, ck, out = (os.path.join(scratch, x) for x in ("in", "ck", "out"))
+
+    def run(rows, **kw):
+        (spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), i) for k, s, i in rows],
+                               "user_id long, timestamp timestamp, rid long").coalesce(1).write.mode("append").parquet(landed))
+        lim = rate_limit_stream(spark.readStream.schema("user_id long, timestamp timestamp, rid long").parquet(landed),
+                                key_col="user_id", tie_col="rid", window_seconds=60, limit=1, **kw)
+        with limiter_state(spark, drained=True):
+            q = lim.writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out)
+        drain(q)
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    run([(None, 0, 1), (big, 0, 2), (big + 1, 1, 3), (big, 5, 4)])
+    assert run([(big, 30, 5), (None, 40, 6), (big, 61, 7)]) == 3
+    got = {r.rid: (r.user_id, r.request_count, r.over_limit) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (None, 1, False), 2: (big, 1, False), 3: (big + 1, 1, False), 4: (big, 2, True), 5: (big, 3, True),
+                   6: (None, 2, True), 7: (big, 1, False)}
+    # a time to live of one second of processing time: after it, one client's state is left
+    landed, ck, out = (os.path.join(scratch, x) for x in ("in2", "ck2", "out2"))
+    assert run([(1, 0, 1), (2, 0, 2), (3, 1, 3)], lag_seconds=-59) == 3
+    time.sleep(2)
+    assert run([(7, 90, 8)], lag_seconds=-59) == 1
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+
+
 def test_event_time_holds_back_until_watermark(spark, scratch):
     """Without the flush row the newest day of data stays buffered."""
     folder = os.path.join(scratch, "in")
@@ -154,8 +187,10 @@ def test_event_time_reports_rows_later_than_the_watermark(spark, scratch):
     # arrival mode keeps every row
     lim2 = rate_limit_stream(_stream(spark, folder), tie_col="request_id", window_seconds=60, limit=10)
     out2 = os.path.join(scratch, "out2")
-    drain(lim2.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck2"))
-          .trigger(availableNow=True).start(out2))
+    with limiter_state(spark, drained=True):
+        q2 = (lim2.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck2"))
+              .trigger(availableNow=True).start(out2))
+    drain(q2)
     assert spark.read.parquet(out2).count() == 5
 
 

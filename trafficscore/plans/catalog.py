@@ -429,6 +429,30 @@ def q_stream_rate_limit(spark, sf):
                     "request_count", "over_limit")
 
 
+def q_stream_rate_limit_arrival(spark, sf):
+    """The limiter in arrival mode: requests landed in four parts in time order, the query
+    run after each from where it stopped, so windows go on over its restarts."""
+    from trafficscore.streaming.ratelimit import limiter_state, rate_limit_stream
+    from trafficscore.streaming.runner import drain, scratch_paths
+    out, ck = scratch_paths(spark, "rate_limit_arrival")
+    landed, _ = scratch_paths(spark, "arrivals")
+    log = V.access_log(spark, sf).select("request_id", "timestamp", "client_ip")
+    span = log.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    step = (span["b"] - span["a"]) / 4
+    for k in range(4):
+        part = log.where(F.col("timestamp") >= F.lit(span["a"] + k * step)) if k else log
+        part = part.where(F.col("timestamp") < F.lit(span["a"] + (k + 1) * step)) if k < 3 else part
+        part.write.mode("append").parquet(landed)
+        limited = rate_limit_stream(spark.readStream.schema(log.schema).parquet(landed), tie_col="request_id",
+                                    window_seconds=LIMIT_WINDOW_S, limit=LIMIT_N)
+        with limiter_state(spark, drained=True):
+            query = (limited.writeStream.format("parquet").option("checkpointLocation", ck)
+                     .trigger(availableNow=True).start(out))
+        drain(query)
+    return spark.read.parquet(out).select("request_id", "client_ip", X.to_ntz("window_start").alias("window_start"),
+                                          "request_count", "over_limit")
+
+
 def q_stream_decide(spark, sf):
     from trafficscore.streaming.decide import decide_stream
     from trafficscore.streaming.runner import drain, scratch_paths
@@ -483,5 +507,6 @@ QUERIES = {
     "stream_packet_tsv": q_stream_packet_tsv,
     "stream_rfm_raw": q_stream_rfm_raw,
     "stream_rate_limit": q_stream_rate_limit,
+    "stream_rate_limit_arrival": q_stream_rate_limit_arrival,
     "stream_decide": q_stream_decide,
 }

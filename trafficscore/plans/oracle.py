@@ -367,5 +367,5 @@ SQL["read_packet_csv_mixed"] = _with(PACKET_LINES) + """
 SELECT "timestamp", src_ip, pkt_len, count(*) AS n FROM clean GROUP BY 1, 2, 3"""
 SQL["refresh_rfm_job"] = SQL["compute_rfm"]
 SQL["run_incremental_job"] = SQL["score_rfm"]
-SQL["stream_rate_limit"] = SQL["rate_limit"]
+SQL["stream_rate_limit"] = SQL["stream_rate_limit_arrival"] = SQL["rate_limit"]
 SQL["stream_decide"] = SQL["decide_requests"]

@@ -1,9 +1,14 @@
 """Anchored per-client rate limiter over a stream, with keyed state.
 
 ``mode="arrival"`` (default): every micro-batch is folded as it comes (rows
-of one batch in time order), with ``(window_start, count)`` per client in the
-state store - the request-time behaviour of the original limiter.  No row
-is ever dropped and state per client is constant.
+of one batch in time order), by ``transformWithState`` with the open window
+``(start, count)`` of a client as its value state - the request-time behaviour of
+the original limiter.  No row is ever dropped.  The state has a time to live: a client
+not seen for ``window_seconds`` + ``lag_seconds`` of processing time has no open window any
+more (rows reach the stream at most ``lag_seconds`` after their timestamp), so its state ends and
+the next batch removes it.  A call reads its client's rows chunk by chunk, keeps 16 bytes of
+each (time and tie) to sort them, and hands the result out in chunks.  The operator needs the
+RocksDB state store; start the query inside ``limiter_state``.
 
 ``mode="event_time"``: rows are ordered by their own timestamps, not by
 arrival, so files delivered out of order give the same counts as the batch
@@ -18,18 +23,21 @@ delay must cover the disorder of the source; the buffer holds one delay of
 each client's traffic.  A drained (``availableNow``) run keeps the last
 delay of data buffered until newer data moves the watermark.
 
-State whose window has expired and whose buffer is empty is removed: an
-expired window behaves exactly like no window, so eviction changes nothing.
+In both modes state whose window has expired is removed: an expired window
+behaves exactly like no window, so eviction changes nothing.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import (ArrayType, BooleanType, LongType, StructField, StructType)
+from pyspark.sql.types import (ArrayType, BooleanType, LongType, StringType, StructField, StructType)
 
 from trafficscore.functions.scalars import epoch_micros
 from trafficscore.operators.ratelimit import MAX_REQUESTS, WINDOW_SECONDS, fold_run
@@ -38,17 +46,65 @@ STATE_SCHEMA = StructType([StructField("ws", LongType()), StructField("cnt", Lon
                            StructField("buf_us", ArrayType(LongType())), StructField("buf_tie", ArrayType(LongType()))])
 
 
+# Rows of a client that a call hands out at a time.
+ROWS_AT_ONCE = 100_000
+# Rows reach the stream at most this long after their timestamp.
+LAG_SECONDS = 600
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def limiter_state(spark: SparkSession, drained: bool = False):
+    """Settings of queries started inside: state in RocksDB, and for ``drained``
+    (``availableNow``) runs no batches without data, which the time to live would ask for
+    without end.  A query keeps the settings it was started with; the session gets its own back."""
+    own = {_STORE: _ROCKS, **({_IDLE: "false"} if drained else {})}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class ArrivalLimiter(StatefulProcessor):
+    """Folds a client's rows of a micro-batch onto its open window."""
+
+    def __init__(self, window_us: int, limit: int, ttl_ms: int):
+        self.window_us, self.limit, self.ttl_ms = window_us, limit, ttl_ms
+
+    def init(self, handle) -> None:
+        self.window = handle.getValueState("window", "ws long, cnt long", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        parts = [(p["ts_us"].to_numpy(dtype=np.int64), p["tie"].to_numpy(dtype=np.int64)) for p in rows if len(p)]
+        us, tie = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.lexsort((tie, us))
+        us, tie = us[order], tie[order]
+        ws, cnt = self.window.get() if self.window.exists() else (int(us[0]) - self.window_us - 1, 0)
+        for at in range(0, len(us), ROWS_AT_ONCE):
+            own = slice(at, at + ROWS_AT_ONCE)
+            starts, counts, ws, cnt = fold_run(us[own], int(ws), int(cnt), self.window_us)
+            yield pd.DataFrame({"_key": pd.Series([key[0]] * len(starts), dtype=object), "_tie": tie[own], "_ts_us": us[own],
+                                "_ws_us": starts, "request_count": counts, "over_limit": counts > self.limit})
+        self.window.update((int(ws), int(cnt)))
+
+    def close(self) -> None:
+        pass
+
+
 def _output_schema(key_field: StructField) -> StructType:
     return StructType([key_field, StructField("_tie", LongType()), StructField("_ts_us", LongType()),
                        StructField("_ws_us", LongType()), StructField("request_count", LongType()),
                        StructField("over_limit", BooleanType())])
 
 
-def _make_func(key_name: str, window_us: int, limit: int, event_time: bool):
-    def emit(key, us, tie, ws, cnt):
-        return pd.DataFrame({key_name: [key] * len(us), "_tie": tie, "_ts_us": us, "_ws_us": ws,
-                             "request_count": cnt, "over_limit": cnt > limit})
-
+def _make_func(key_name: str, window_us: int, limit: int):
     def func(key, pdfs, state):
         if state.exists:
             ws, cnt, buf_us, buf_tie = state.get
@@ -63,19 +119,14 @@ def _make_func(key_name: str, window_us: int, limit: int, event_time: bool):
         tie = np.concatenate([buf_tie] + [p["_tie"].to_numpy(dtype=np.int64) for p in new])
         order = np.lexsort((tie, us))
         us, tie = us[order], tie[order]
-        if event_time:
-            wm_us = state.getCurrentWatermarkMs() * 1000
-            n_rel = int(np.searchsorted(us, wm_us, side="right"))
-        else:
-            wm_us, n_rel = None, len(us)
+        wm_us = state.getCurrentWatermarkMs() * 1000
+        n_rel = int(np.searchsorted(us, wm_us, side="right"))
         rel_us, rel_tie = us[:n_rel], tie[:n_rel]
         keep_us, keep_tie = us[n_rel:], tie[n_rel:]
         if n_rel:
             w, c, ws, cnt = fold_run(rel_us, int(ws), int(cnt), window_us)
-            yield emit(key[0], rel_us, rel_tie, w, c)
-        if not event_time:
-            state.update((int(ws), int(cnt), [], []))
-            return
+            yield pd.DataFrame({key_name: [key[0]] * n_rel, "_tie": rel_tie, "_ts_us": rel_us, "_ws_us": w,
+                                "request_count": c, "over_limit": c > limit})
         if len(keep_us):
             state.update((int(ws), int(cnt), keep_us.tolist(), keep_tie.tolist()))
             state.setTimeoutTimestamp(max(int(keep_us[0]) // 1000, state.getCurrentWatermarkMs()))
@@ -90,7 +141,7 @@ def _make_func(key_name: str, window_us: int, limit: int, event_time: bool):
 def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
                       tie_col: str | None = None, window_seconds: float = WINDOW_SECONDS,
                       limit: int = MAX_REQUESTS, mode: str = "arrival",
-                      delay: str = "10 minutes") -> DataFrame:
+                      delay: str = "10 minutes", lag_seconds: float = LAG_SECONDS) -> DataFrame:
     """Streaming limiter.  Output (append mode): ``key, <tie_col>, timestamp,
     window_start, request_count, over_limit`` per request."""
     from trafficscore.session import ship_package
@@ -99,18 +150,23 @@ def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str
     # without a tie column, a hash of the row orders equal times deterministically
     tie = F.col(tie_col).cast("long") if tie_col else F.xxhash64(*[F.col(c) for c in stream.columns])
     s = stream.where(F.col(ts_col).isNotNull())
+    rows = [key_col, ts_col, tie.alias("_tie"), epoch_micros(ts_col).alias("_ts_us")]
     if mode == "event_time":
-        s = s.withWatermark(ts_col, delay)
-        timeout = GroupStateTimeout.EventTimeTimeout
+        s = s.withWatermark(ts_col, delay).select(*rows)
+        out = s.groupBy(key_col).applyInPandasWithState(
+            _make_func(key_col, window_us, limit), _output_schema(s.schema[key_col]), STATE_SCHEMA, "append",
+            GroupStateTimeout.EventTimeTimeout)
     elif mode == "arrival":
-        timeout = GroupStateTimeout.NoTimeout
+        # grouped by the key's text, which pandas keeps as it is (NULL keys, longs beyond 2**53);
+        # Spark hands rows over as named tuples, whose names can't begin with "_"
+        key = s.schema[key_col]
+        s = s.select(F.col(key_col).cast("string").alias("_key"), tie.alias("tie"), epoch_micros(ts_col).alias("ts_us"))
+        ttl_ms = int((window_seconds + lag_seconds) * 1000)
+        out = s.groupBy("_key").transformWithStateInPandas(
+            ArrivalLimiter(window_us, limit, ttl_ms), _output_schema(StructField("_key", StringType())), "Append",
+            "ProcessingTime").withColumn(key_col, F.col("_key").cast(key.dataType))
     else:
         raise ValueError("mode must be 'event_time' or 'arrival'")
-    s = s.select(key_col, ts_col, tie.alias("_tie"), epoch_micros(ts_col).alias("_ts_us"))
-    key_field = s.schema[key_col]
-    out = s.groupBy(key_col).applyInPandasWithState(
-        _make_func(key_col, window_us, limit, mode == "event_time"), _output_schema(key_field), STATE_SCHEMA,
-        "append", timeout)
     return out.select(key_col, F.col("_tie").alias(tie_col or "tie"),
                       F.timestamp_micros("_ts_us").alias(ts_col), F.timestamp_micros("_ws_us").alias("window_start"),
                       "request_count", "over_limit")
