@@ -299,6 +299,16 @@ def _incoming(rows: DataFrame, hot: Hot, window_us: int, parts: int) -> DataFram
             .select(_HOT, F.col("_at").alias(_SLICE), F.col("exit").alias("_in"), F.col("tail").alias("_carried")))
 
 
+def slice_sizes(df: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
+                window_seconds: float = WINDOW_SECONDS, partitions: int | None = None, hot_rows: int | None = None,
+                min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """(key, slice, rows): the requests that one task of ``rate_limit_batch`` would read together."""
+    window_us = int(round(window_seconds * 1_000_000))
+    base = df.where(F.col(ts_col).isNotNull()).withColumn(_TS, epoch_micros(ts_col))
+    hot = _hot_clients(base, key_col, partitions or shuffle_partitions(df), hot_rows, min_hot_rows, window_us)
+    return _sliced(base, key_col, hot).groupBy(key_col, F.col(_SLICE).alias("slice")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def rate_limit_batch(df: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
                      tie_col: str | None = None, window_seconds: float = WINDOW_SECONDS,
                      limit: int = MAX_REQUESTS, partitions: int | None = None,

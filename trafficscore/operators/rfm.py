@@ -53,15 +53,26 @@ def compute_rfm(df: DataFrame, now, ts_col: str = "timestamp", key_col: str = "c
     return g.select(*cols)
 
 
+def packet_measures(logs: DataFrame, ts_col: str = "timestamp", key_col: str = "src_ip",
+                    length_col: str = "pkt_len") -> DataFrame:
+    """Packet-path measures that merge: ``last_seen``, ``frequency_raw`` (all rows) and
+    ``monetary_raw`` (byte sum) per client."""
+    return logs.groupBy(key_col).agg(F.max(F.col(ts_col)).alias("last_seen"),
+                                     F.count(F.lit(1)).alias("frequency_raw"),
+                                     F.sum(F.col(length_col)).alias("monetary_raw"))
+
+
+def raw_from_measures(measures: DataFrame, now) -> DataFrame:
+    """``measures`` with ``recency_raw`` in whole seconds."""
+    recency = F.unix_seconds(as_timestamp_lit(now)) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
+    return measures.withColumn("recency_raw", recency)
+
+
 def rfm_raw_packets(logs: DataFrame, now, ts_col: str = "timestamp", key_col: str = "src_ip",
                     length_col: str = "pkt_len") -> DataFrame:
     """Packet-path raw measures: ``last_seen``, ``frequency_raw`` (all rows),
     ``monetary_raw`` (byte sum) and ``recency_raw`` in whole seconds."""
-    g = logs.groupBy(key_col).agg(F.max(F.col(ts_col)).alias("last_seen"),
-                                  F.count(F.lit(1)).alias("frequency_raw"),
-                                  F.sum(F.col(length_col)).alias("monetary_raw"))
-    recency = F.unix_seconds(as_timestamp_lit(now)) - F.unix_seconds(F.col("last_seen").cast("timestamp"))
-    return g.withColumn("recency_raw", recency)
+    return raw_from_measures(packet_measures(logs, ts_col, key_col, length_col), now)
 
 
 def traffic_totals(df: DataFrame, key_cols=None, length_col: str | None = "length") -> DataFrame:

@@ -371,6 +371,25 @@ def q_run_incremental_job(spark, sf):
     return back.withColumn("last_updated", F.regexp_replace("last_updated", "T", " "))
 
 
+def q_run_merged_job(spark, sf):
+    """The merged job over three landings: rows up to the mark but for a tenth, then that tenth (stamped
+    before the first run, landed after it) with the rest, then nothing.  The last snapshot's scores are over all rows."""
+    from trafficscore.plans.jobs import run_merged
+    from trafficscore.sources.sinks import sink_rotating_csv
+    logs, out = _folder(spark, "merged_logs"), _folder(spark, "merged_out")
+    ok = S.parse_packet_lines(_lines(spark, sf)).where(F.col("kind") == "ok")
+    slim = clean.slim_packets(ok).withColumn("at", X.parse_timestamp("timestamp"))
+    first = (F.col("at") <= F.lit(HWM).cast("timestamp")) & (F.pmod(F.col("line_id"), F.lit(10)) != 3)
+    path = None
+    for part, now in ((slim.where(first), HWM), (slim.where(~F.coalesce(first, F.lit(False))), V.EVENTS_NOW), (None, V.EVENTS_NOW)):
+        if part is not None:
+            # a few files a landing, not one per hour of the log
+            sink_rotating_csv(part.select("timestamp", "src_ip", "pkt_len", "at"), logs, ts_col="at", rotate_seconds=10 * 86_400)
+        path = run_merged(spark, logs, out, f"{out}-state", now=dt.datetime.fromisoformat(now)) or path
+    back = spark.read.option("header", "true").schema(SCORES_SCHEMA).csv(path)
+    return back.withColumn("last_updated", F.regexp_replace("last_updated", "T", " "))
+
+
 # ---- streaming forms (drained with availableNow, compared with batch) ------
 
 def q_stream_packet_tsv(spark, sf):
@@ -393,6 +412,34 @@ def q_stream_rfm_raw(spark, sf):
     return r.select("client_ip", _round("recency_days", 9), "frequency", _round("monetary", 4))
 
 
+def q_stream_rfm_upsert(spark, sf):
+    """The running table kept by upserts: a few events, then all others, with a restart between; the newest version."""
+    from trafficscore.sources.versions import VersionedTable
+    from trafficscore.streaming.rfm import read_rfm_versions, stream_rfm_raw, upsert_rfm_stream
+    from trafficscore.streaming.runner import drain, scratch_paths
+    out, ck = scratch_paths(spark, "rfm_upsert")
+    landed, _ = scratch_paths(spark, "rfm_landed")
+    events = V.table(spark, sf, "events")
+    few = F.pmod(F.col("event_id"), F.lit(50)) == 7
+    for part in (events.where(~few), events.where(few)):
+        part.write.mode("append").parquet(landed)
+        logs = clean.exclude_static(V.access_log_from(spark.readStream.schema(events.schema).parquet(landed)))
+        drain(upsert_rfm_stream(stream_rfm_raw(logs), out, ck, trigger={"availableNow": True}, n_buckets=16))
+    r = read_rfm_versions(VersionedTable(spark, out, "client_ip"), V.EVENTS_NOW)
+    return r.select("client_ip", _round("recency_days", 9), "frequency", _round("monetary", 4))
+
+
+def q_rate_limit_slices(spark, sf):
+    """Whether each network's requests stand in slices of about ``hot_rows`` at most, and its over-limit requests."""
+    from trafficscore.operators.ratelimit import slice_sizes
+    acc = V.access_log(spark, sf).withColumn(
+        "subnet", F.concat(F.regexp_extract("client_ip", r"^(\d+\.\d+\.\d+)\.", 1), F.lit(".0/24")))
+    sizes = slice_sizes(acc, "subnet", window_seconds=SUBNET_WINDOW_S, hot_rows=2_000)
+    spread = sizes.groupBy("subnet").agg(F.sum("rows").alias("requests"), (F.max("rows") <= 3_000).alias("sliced"))
+    over = q_rate_limit_subnet(spark, sf).groupBy("subnet").agg(F.sum(F.col("over_limit").cast("long")).alias("over"))
+    return spread.join(over, "subnet")
+
+
 def _events_with_flush(spark, sf):
     """Events as a stream plus one derived far-future row (event id -1) that
     moves the watermark past every real event when the stream is drained."""
@@ -475,6 +522,7 @@ QUERIES = {
     "lookup_point": q_lookup_point,
     "rate_limit": q_rate_limit,
     "rate_limit_subnet": q_rate_limit_subnet,
+    "rate_limit_slices": q_rate_limit_slices,
     "decide_requests": q_decide_requests,
     "conform_access_log": q_conform_access_log,
     "parse_timestamp": q_parse_timestamp,
@@ -504,8 +552,10 @@ QUERIES = {
     "read_packet_csv_mixed": q_read_packet_csv_mixed,
     "refresh_rfm_job": q_refresh_rfm_job,
     "run_incremental_job": q_run_incremental_job,
+    "run_merged_job": q_run_merged_job,
     "stream_packet_tsv": q_stream_packet_tsv,
     "stream_rfm_raw": q_stream_rfm_raw,
+    "stream_rfm_upsert": q_stream_rfm_upsert,
     "stream_rate_limit": q_stream_rate_limit,
     "stream_rate_limit_arrival": q_stream_rate_limit_arrival,
     "stream_decide": q_stream_decide,

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trafficscore.operators.clean import clean_packets, conform_access_log, exclude_static
-from trafficscore.operators.rfm import compute_rfm, rfm_raw_packets
+from trafficscore.operators.rfm import compute_rfm, packet_measures, raw_from_measures, rfm_raw_packets
 from trafficscore.operators.score import RFM_BINS, score_rfm
 from trafficscore.plans.strategies import materialize, released_after
 from trafficscore.schemas import ACCESS_LOG_COLUMNS, ACCESS_ROLES, SLIM_PACKET_COLUMNS, ColumnRoles
 from trafficscore.session import ensure_utc
 from trafficscore.sources.hwm import load_high_water_mark, save_high_water_mark
 from trafficscore.sources.logs import read_access_log, read_packet_csv, require_columns
-from trafficscore.sources.sinks import write_rfm_table, write_scores_snapshot
+from trafficscore.sources.sinks import snapshot_path, write_rfm_table, write_scores_snapshot
 
 log = logging.getLogger(__name__)
 
@@ -117,6 +117,42 @@ def run_incremental(spark: SparkSession, log_path: str | DataFrame, output_dir:
     return path
 
 
+def run_merged(spark: SparkSession, log_path: str | list[str], output_dir: str, state_path: str, now: dt.datetime | None = None,
+               settle_seconds: float = 0, bins: int = RFM_BINS, single_file: bool = False, fmt: str = "csv",
+               source_tz: str | None = None) -> str | None:
+    """Score all clients after adding the packet files that no earlier run has read.
+
+    The measures of each client (last request, requests, bytes) stand in a versioned table under
+    ``state_path``.  A run aggregates the new files, merges the result into the buckets it
+    touches, and scores the whole table, so ranks are over all of history although old logs
+    aren't read again: the scores after any number of runs are those of one run over all files.
+    Files and measures are committed by one manifest, each file counts once.  A run that
+    died before its snapshot was whole is made up for by the next one, for the time it ran.
+    Returns the snapshot's path, or None when there was nothing to do.
+    """
+    from trafficscore.sources.ledger import LEDGER, unread_files
+    from trafficscore.sources.versions import VersionedTable, path_exists
+
+    ensure_utc(spark)
+    now = now or _utcnow()
+    table = VersionedTable(spark, state_path, "src_ip")
+    with released_after():
+        files = materialize(unread_files(table, log_path, settle_seconds, now))
+        paths = [r["path"] for r in files.select("path").collect()]     # the reader lists them in the driver anyway
+        if paths:
+            logs = clean_packets(read_packet_csv(spark, paths), source_tz=source_tz)
+            table.upsert(packet_measures(logs), combine={"last_seen": "max", "frequency_raw": "sum", "monetary_raw": "sum"},
+                         tag=now.isoformat(), notes={LEDGER: files})
+        else:
+            last = table.tag()
+            if last is None or path_exists(spark, snapshot_path(output_dir, dt.datetime.fromisoformat(last)) + "/_SUCCESS"):
+                log.info("no new files")
+                return None
+            now = dt.datetime.fromisoformat(last)
+        scores = score_rfm(raw_from_measures(table.read(), now), last_updated=now.isoformat(), bins=bins)
+        return write_scores_snapshot(scores, output_dir, now, single_file=single_file, fmt=fmt)
+
+
 def refresh_from_config(spark: SparkSession, cfg=None, now: dt.datetime | None = None) -> int:
     """``refresh_rfm`` with the deployment's settings (``config.from_env()``)."""
     from trafficscore.config import from_env

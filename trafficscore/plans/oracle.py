@@ -357,7 +357,7 @@ UNION ALL SELECT * FROM new"""
 
 # ---- streaming forms: same results as their batch twins -------------------------
 SQL["stream_packet_tsv"] = SQL["slim_packets"]
-SQL["stream_rfm_raw"] = SQL["compute_rfm"]
+SQL["stream_rfm_raw"] = SQL["stream_rfm_upsert"] = SQL["compute_rfm"]
 
 # ---- logs written to files, read back, and jobs over them ---------------------
 SQL["read_access_log_mixed"] = _with(ACCESS_LOG) + """
@@ -366,6 +366,9 @@ SELECT request_id, "timestamp", client_ip, CASE WHEN request_id % 3 = 1 THEN 0 E
 SQL["read_packet_csv_mixed"] = _with(PACKET_LINES) + """
 SELECT "timestamp", src_ip, pkt_len, count(*) AS n FROM clean GROUP BY 1, 2, 3"""
 SQL["refresh_rfm_job"] = SQL["compute_rfm"]
-SQL["run_incremental_job"] = SQL["score_rfm"]
+SQL["run_incremental_job"] = SQL["run_merged_job"] = SQL["score_rfm"]
 SQL["stream_rate_limit"] = SQL["stream_rate_limit_arrival"] = SQL["rate_limit"]
+SQL["rate_limit_slices"] = f"""
+SELECT subnet, count(*) AS requests, true AS sliced, CAST(sum(CAST(over_limit AS INTEGER)) AS BIGINT) AS "over"
+FROM ({SQL["rate_limit_subnet"]}) GROUP BY subnet"""
 SQL["stream_decide"] = SQL["decide_requests"]

@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trafficscore.functions.scalars import epoch_micros
 from trafficscore.operators.rfm import SECONDS_PER_DAY, as_timestamp_lit
+from trafficscore.plans.strategies import released_after
+from trafficscore.sources.versions import N_BUCKETS, VersionedTable
 
 
 def stream_rfm_raw(logs: DataFrame, ts_col: str = "timestamp", key_col: str = "client_ip",
@@ -43,3 +45,25 @@ def write_rfm_stream(agg: DataFrame, path: str, checkpoint: str, now=None, key_c
 
     return (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
             .foreachBatch(write).trigger(**(trigger or {"processingTime": "1 hour"})).start())
+
+
+def upsert_rfm_stream(agg: DataFrame, path: str, checkpoint: str, key_col: str = "client_ip",
+                      trigger: dict | None = None, n_buckets: int = N_BUCKETS) -> StreamingQuery:
+    """Keep the running aggregates in a versioned table: every micro-batch upserts the clients
+    that it changed (update mode) and rewrites only their buckets.  Readers see whole versions; a batch
+    replayed after a failure is told by its number and left out.  Recency depends on the time of
+    reading: ``read_rfm_versions``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = VersionedTable(batch.sparkSession, path, key_col, n_buckets)
+        if table.tag() != str(batch_id):
+            with released_after():
+                table.upsert(batch, tag=str(batch_id))
+
+    return (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(**(trigger or {"processingTime": "1 hour"})).start())
+
+
+def read_rfm_versions(table: VersionedTable, now=None, version: int | None = None) -> DataFrame | None:
+    """Raw RFM table of a version (the newest) kept by ``upsert_rfm_stream``, None before the first rows."""
+    rows = table.read(version)
+    return None if rows is None else rfm_table_from_state(rows, now, table.key)
