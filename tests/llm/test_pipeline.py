@@ -89,3 +89,14 @@ def test_odd_documents(spark, documents, odd_texts):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() <= docs.count(), name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_filters_with_clashing_names(spark):
+    """Columns named like the helpers of the filtering stages come back as they were."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"_m": F.lit("own"), "_quality_score": F.lit(-1.0)})
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    for got in (decontam.keep_clean(docs, items), quality.keep_good(docs, labels)):
+        assert got.columns == docs.columns
+        rows = got.select("_m", "_quality_score").distinct().collect()
+        assert [tuple(r) for r in rows] == [("own", -1.0)]

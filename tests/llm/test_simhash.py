@@ -83,6 +83,24 @@ def test_keep_one(documents):
     assert sorted((r.doc_id or -1) for r in got.collect()) == [-1, 3, 8, 9]
 
 
+def test_keep_one_loses_no_text_of_a_repeated_id(documents):
+    """(7, A), (7, B), (9, B): A and B each keep one row; equal rows keep one."""
+    a, b = "alpha beta gamma delta", "one two three four five"
+    rows = [(7, a), (7, b), (9, b), (9, b), (11, a), (7, None), (7, "")]
+    got = sorted((r.doc_id, r.text or "") for r in simhash.keep_one(documents(rows)).collect())
+    assert got == [(7, ""), (7, a), (7, b)]
+
+
+def test_keep_one_with_clashing_names(documents):
+    from pyspark.sql import functions as F
+    df = documents([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "x y z w")])
+    names = ["_digest", "_kept_id", "_kept_digest", "key", "fp", "rep", "node", "component", "digest", "id"]
+    df = df.withColumns({c: F.lit(c) for c in names})
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert all(r[c] == c for r in got.collect() for c in names)
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     df = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")

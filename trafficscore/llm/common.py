@@ -1,6 +1,7 @@
 """Helpers shared by the corpus operators.
 
 * ``read_table`` - a table of a data folder, by Spark's own reader.
+* ``unused`` - a helper column's name that a table doesn't have.
 * ``cut`` - reliable checkpoint in the cluster's shared folder.
 * ``map_arrow`` - ``mapInArrow`` over a column pruned table, fed in chunks of
   bounded text size.
@@ -25,6 +26,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column (whatever the case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so a lost
     executor costs no recomputation of what stands before."""

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficscore.llm.common import cut, map_arrow, number_rows
+from trafficscore.llm.common import cut, map_arrow, number_rows, unused
 
 SIMILARITY = 0.8
 REPEATS = 32             # random walks
@@ -267,7 +267,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """The documents that hold no item, with their columns as they were."""
+    """The documents that hold no item, with their columns as they were, whatever their names."""
+    own = unused(docs, "_m")
     for index in blocks(benchmark, similarity=similarity):
-        docs = _with_matches(docs, index, similarity, text_col, "_m").where(F.size("_m") == 0).drop("_m")
+        docs = _with_matches(docs, index, similarity, text_col, own).where(F.size(own) == 0).drop(own)
     return docs

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficscore.llm.common import map_arrow
+from trafficscore.llm.common import map_arrow, unused
 
 SAMPLE_ROWS = 20_000     # labelled rows that a model is fitted on, at most
 BINS = 64                # of a feature
@@ -248,7 +248,7 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that the classifier accepts, with their columns as they were."""
+    """The documents that the classifier accepts, with their columns as they were, whatever their names."""
     model = model or fit(docs, labels)
-    own = "_quality_score"
+    own = unused(docs, "_quality_score")
     return score(docs, model, out=own).where(F.col(own) >= ACCEPT).drop(own)

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficscore.llm.common import components, cut, map_arrow
+from trafficscore.llm.common import components, cut, map_arrow, unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -134,10 +134,21 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
             .select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """One document of each group: the one with the smallest id (one row of
-    those that repeat that id).  Rows without an id stay as they are."""
-    groups = near_duplicates(df, text_col, id_col, **params)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = df.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS,
+             max_bits: int = MAX_BITS) -> DataFrame:
+    """One document of each group: the one with the smallest id, of those that share that id the one whose
+    text has the smallest digest (one of equal rows).  A repeated id with texts of different groups thus
+    leaves one row of each.  Rows without an id stay as they are.  All columns stay, whatever their names."""
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    known = df.where(F.col(id_col).isNotNull())
+    keyed = known.select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    # a group of copies of any size is one fingerprint from here on
+    fps = cut(fingerprints(keyed, "text", "key", shingle).groupBy("fp").agg(F.min("key").alias("key")))
+    found = components(linked(fps.select("fp", F.col("fp").alias("rep")), max_bits))
+    least = (fps.join(found, F.col("fp") == F.col("node"), "left")
+             .groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("key").alias("key")))
+    own, kept_id, kept_digest = (unused(df, name) for name in ("_digest", "_kept_id", "_kept_digest"))
+    keep = least.select(F.col("key.id").alias(kept_id), F.col("key.digest").alias(kept_digest))
+    rows = known.withColumn(own, digest)
+    kept = rows.join(keep, (F.col(id_col) == F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).drop(own).unionByName(df.where(F.col(id_col).isNull()))
