@@ -189,3 +189,41 @@ def test_numeric_client_key_with_hot_split(spark):
     out = rate_limit_batch(df, key_col="user_id", tie_col="rid", window_seconds=60, limit=10, hot_rows=25)
     got = {r.rid: (r.request_count, r.over_limit) for r in out.collect()}
     assert got == {k: (c, o) for k, (_, c, o) in brute(rows, 60_000_000, 10).items()}
+
+
+def test_transfer_function_equals_the_fold():
+    """For every incoming start, a slice's step gives the last window start in it and that window's rows."""
+    import bisect
+    import numpy as np
+    from trafficscore.operators.ratelimit import _NEVER, transfer
+    rnd = random.Random(11)
+    for _ in range(200):
+        window = rnd.randint(1, 30)
+        times = sorted(rnd.sample(range(100, 300), rnd.randint(1, 60)))
+        counts = [rnd.randint(1, 3) for _ in times]
+        low, exits, tail = (x.tolist() for x in transfer(np.array(times), np.array(counts), window))
+        assert low[0] == _NEVER and low == sorted(set(low))
+        for s in [_NEVER, *range(times[0] - window - 3, times[0])]:
+            ws = s
+            for t in times:
+                if t - ws > window:
+                    ws = t
+            k = bisect.bisect_right(low, s) - 1
+            if ws == s:
+                assert (exits[k], tail[k]) == (_NEVER, 0)
+            else:
+                assert (exits[k], tail[k]) == (ws, sum(c for t, c in zip(times, counts) if t >= ws))
+
+
+def test_hot_client_is_dealt_to_slices(spark):
+    """A client with most rows: no (client, slice) holds much over the threshold, and the result is the fold's."""
+    from trafficscore.operators.ratelimit import slice_sizes
+    rows = [("hot", i * 900_000 + i % 7, i) for i in range(4000)] + [("b", i * 30_000_000, 9000 + i) for i in range(300)]
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(microseconds=us), rid) for k, us, rid in rows],
+                               "client_ip string, timestamp timestamp, rid long")
+    sizes = {(r.client_ip, r.slice): r["rows"] for r in slice_sizes(df, hot_rows=400).collect()}
+    hot = [n for (k, _), n in sizes.items() if k == "hot"]
+    assert len(hot) >= 9 and max(hot) <= 600 and sum(hot) == 4000 and sizes["b", 0] == 300
+    want = brute(rows, 60_000_000, 10)
+    got = _run(spark, rows, hot_rows=400)
+    assert {k: (v.request_count, v.over_limit) for k, v in got.items()} == {k: (c, o) for k, (_, c, o) in want.items()}

@@ -1,2 +1 @@
-"""Physical-plan helpers (size-checked broadcast, salted joins, materialize)
-and the end-to-end jobs built from the operators."""
+"""Join, cache and checkpoint strategies, jobs, views and registered queries."""
