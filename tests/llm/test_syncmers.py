@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
@@ -26,22 +27,21 @@ def plain_marks(text):
         return []
     codes = [0] * 4 + codes + [0] * 4
     s = [signed(chain(a, b)) for a, b in zip(codes, codes[1:], strict=False)]
-    found = [(signed(chain(s[i], s[i + 2], s[i + 3])) % (1 << 48), i - 4) for i in range(len(s) - 3)
-             if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])]
-    least = {}
-    for h, p in sorted(found):
-        least.setdefault(h, p)
-    return sorted(least.items())[:64]
+    return [(signed(chain(s[i], s[i + 2], s[i + 3])) % (1 << 48), i - 4) for i in range(len(s) - 3)
+            if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])]
 
 
 def plain_print(marks):
-    return ",".join(f"{h:012x}:{p}" for p, h in sorted((p, h) for h, p in marks))
+    return ",".join(f"{h:012x}:{p}" for h, p in marks)
 
 
 def plain_likeness(a, b):
-    a, b = {h for h, _ in a}, {h for h, _ in b}
-    both = set(sorted(a | b)[:64])
-    return len(a & b & both) / len(both) if both else 1.0
+    def links(marks):
+        own = [(h, g, q - p) for (h, p), (g, q) in zip(marks, marks[1:], strict=False)]
+        return Counter(own + [marks[-1][:1]] if marks else [])
+
+    a, b = links(a), links(b)
+    return (a & b).total() / (a | b).total() if a or b else 1.0
 
 
 def check(rows, got):
@@ -93,3 +93,26 @@ def test_moved_passage_keeps_its_anchors(documents):
     a, b = ({x.hash: x.pos for x in r.a if 0 <= x.pos} for r in df.orderBy("doc_id").collect())
     inner = {h: p for h, p in a.items() if 4 <= p <= 55}
     assert inner and all(b[h] == p + 3 for h, p in inner.items())
+
+
+def test_one_passage_of_a_long_text_shows(documents):
+    long = [f"w{i * 7919 % 20011}" for i in range(20_000)]
+    other = long[:10_000] + [f"v{i}" for i in range(50)] + long[10_050:]
+    first, last = syncmers.edited_fingerprints(documents([(1, " ".join(long)), (2, " ".join(other))])).orderBy("doc_id").collect()
+    assert first.fingerprint != last.fingerprint and 0.98 < first.near_next < 1.0 and first.near_next == last.near_next
+    assert first.fingerprint.count(":") > 9_000
+    assert set(x[:12] for x in first.fingerprint.split(",")) - set(x[:12] for x in last.fingerprint.split(","))
+
+
+def test_repeats_and_order_count(documents):
+    rows = [(4, "a b c d e f g h " * 40), (3, "a b c d e f g h " * 20), (2, "t u v w x y z " * 9), (1, "z y x w v u t " * 9)]
+    got = {r.doc_id: r.near_next for r in syncmers.edited_fingerprints(documents(rows)).collect()}
+    assert 0.4 < got[4] < 0.6 and got[3] == 0 and got[2] < 0.2
+
+
+def test_ranges_are_dealt_evenly(spark, documents):
+    df = documents([(i, f"text of document number {i}") for i in range(800)])
+    sizes = [r["n"] for r in syncmers.with_next(df.select("doc_id", "text")).groupBy(F.spark_partition_id())
+             .agg(F.count(F.lit(1)).alias("n")).collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == 800 and max(sizes) <= 3 * 800 / parts

@@ -7,19 +7,21 @@ An s-mer is ``S`` = 2 consecutive symbols, hashed with XXH64.  A k-mer of
 of their hashes stands first or last.  Whether a k-mer is chosen depends on
 the k-mer alone, so an unchanged passage keeps its anchors wherever it moves.
 
-A text's fingerprint is the list of its ``SKETCH`` anchors of smallest hash (a
-uniform sample of all anchors of the whole text, the same for equal
-passages), written as ``hash:position`` in text order, the position in
-symbols.  ``likeness`` of two fingerprints is the Jaccard estimate over the
-smallest hashes of both: 1 for equal texts, 1 for two texts without words, 0
-if just one has words.   The positions in
-the fingerprint let a reader align two texts by their shared anchors.
+A text's fingerprint is the list of all its anchors, written as
+``hash:position`` in text order, the position in symbols.  ``likeness`` of two
+fingerprints chains shared anchors by position: an anchor counts with the one
+after it and the distance between them (its link; the last counts alone), so
+a link is shared where both texts hold two successive anchors equally far
+apart, wherever that passage stands.  The likeness is the links that both hold
+over those that either holds, repeats included: 1 for equal texts, 1 for two
+texts without words, 0 if just one has words.
 
 ``edited_fingerprints`` needs each document's successor in descending doc_id
 (after the last: the first).  Documents are dealt into ranges of doc_id by
-approximate quantiles and a window looks ahead inside a range; the first rows
-of each range also go, as guests, to the end of the range before.  So whole
-texts are shuffled once, and no task sees more than its range.
+approximate quantiles, one range a task, and a window looks ahead inside a
+range; the first rows of each range also go, as guests, to the end of the
+range before.  So whole texts are shuffled once (anchors are found behind the
+shuffle), and no task sees more than its range.
 
 Null text counts as empty (fingerprint "").  Rows that repeat a doc_id follow
 each other in descending order of the text; null doc_ids come last.  A table
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from trafficscore.llm.common import partitions
 
 K, S = 5, 2
-SKETCH = 64
 HEX = 12                # hex digits of an anchor's hash that are kept
 SPACES = "[ \\t-\\r]+"
 
@@ -71,35 +72,44 @@ def anchors(text: Column) -> Column:
         let(F.concat(pad, codes, pad), lambda padded: let(smers(padded), chosen))))
 
 
-def sketch(found: Column) -> Column:
-    """The ``SKETCH`` anchors of smallest hash, each hash once (at its first place)."""
-    firsts = F.sort_array(found)                             # by hash, then position
-
-    def once(a: Column) -> Column:
-        return F.filter(a, lambda x, i: (i == 0) | (x["hash"] != a[F.greatest(i - 1, F.lit(0))]["hash"]))
-
-    return F.slice(let(firsts, once), 1, SKETCH)
-
-
 def fingerprint(marks: Column) -> Column:
     """``hash:position`` in text order; no anchors: empty."""
-    placed = F.sort_array(F.transform(marks, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"))))
-    written = F.transform(placed, lambda x: F.concat(
+    written = F.transform(marks, lambda x: F.concat(
         F.lower(F.lpad(F.hex(x["hash"]), HEX, "0")), F.lit(":"), x["pos"].cast("string")))
     return F.coalesce(F.array_join(written, ","), F.lit(""))
 
 
+def links(marks: Column) -> Column:
+    """array<long>: each anchor hashed with the next one and the distance to it; the last by itself."""
+    def of(a: Column) -> Column:
+        return F.zip_with(a, F.slice(a, 2, F.size(a)), lambda x, y: F.xxhash64(x["hash"], y["hash"], y["pos"] - x["pos"]))
+
+    return F.coalesce(of(marks), F.array().cast("array<bigint>"))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard estimate of two sketches from the smallest ``SKETCH`` hashes of both."""
-    def codes(x: Column) -> Column:
-        return F.coalesce(F.transform(x, lambda m: m["hash"]), F.array().cast("array<bigint>"))
+    """Links of both over links of either, repeats included.
+
+    Both lists are sorted together, the lowest bit telling them apart; runs of
+    equal values are counted, and neighbouring runs of one link are shared."""
+    either = F.sort_array(F.concat(F.transform(links(a), lambda x: x.bitwiseAND(F.lit(-2))),
+                                   F.transform(links(b), lambda x: x.bitwiseOR(F.lit(1)))))
+
+    def runs(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (m[i] != m[F.greatest(i - 1, F.lit(0))]))
+        return F.zip_with(starts, F.concat(F.slice(starts, 2, F.size(m)), F.array(F.size(m))), lambda i, end: F.struct(
+            m[i].alias("link"), (end - i).alias("n")))
+
+    def shared(r: Column) -> Column:
+        pairs = F.zip_with(r, F.slice(r, 2, F.size(r)), lambda x, y: F.when(
+            x["link"].bitwiseOR(F.lit(1)) == y["link"], F.least(x["n"], y["n"])).otherwise(F.lit(0)))
+        return F.aggregate(pairs, F.lit(0), lambda total, n: total + F.coalesce(n, F.lit(0)))
 
-    def of(pair: Column) -> Column:
-        both = F.slice(F.sort_array(F.array_union(pair["a"], pair["b"])), 1, SKETCH)
-        shared = F.array_intersect(F.array_intersect(pair["a"], pair["b"]), both)
-        return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(shared) / F.size(both))
+    def of(m: Column) -> Column:
+        return F.when(F.size(m) == 0, F.lit(1.0)).otherwise(
+            let(let(runs(m), shared), lambda both: both / (F.size(m) - both)))
 
-    return let(F.struct(codes(a).alias("a"), codes(b).alias("b")), of)
+    return let(either, of)
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
@@ -138,6 +148,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ext
     places = F.when(hosts[F.col("_key")].isNotNull(), F.array(own, guest)).otherwise(F.array(own)) if host else F.array(own)
     dealt = ranged.select("*", F.inline(places))
     # guests stand after the rows of the range; among themselves like their own rows
+    dealt = dealt.repartitionByRange(parts, "_at")           # neighbouring ranges, about one a task
     window = Window.partitionBy("_at").orderBy("_guest", F.desc("_key"), F.desc_nulls_last(text_col))
     ahead = F.struct(F.col(text_col).alias("text"), *(F.col(c) for c in extra or []))
     return (dealt.withColumn("next", F.lead(ahead).over(window)).where("not _guest")
@@ -150,13 +161,13 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     next document's."""
     docs = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    docs = docs.withColumn("marks", sketch(anchors(F.col("text"))))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    rows = with_next(docs, id_col, "text", ["marks"])
+    rows = with_next(docs, id_col, "text")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")),
                       F.substring(F.col("next.text"), F.lit(1), third))
-    rows = rows.select(id_col, "n_chars", "marks", F.col("next.marks").alias("next_marks"), edited.alias("edited"))
-    rows = rows.withColumn("edited_marks", sketch(anchors(F.col("edited"))))
+    rows = rows.select(id_col, "n_chars", edited.alias("edited"), anchors(F.col("text")).alias("marks"),
+                       anchors(F.col("next.text")).alias("next_marks"))
+    rows = rows.withColumn("edited_marks", anchors(F.col("edited")))
     return rows.select(
         id_col, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("marks")).alias("fingerprint"),
