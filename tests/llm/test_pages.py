@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from trafficscore.llm import pages, queries
 
@@ -28,6 +29,24 @@ def test_odd_pages():
     assert text("x " * 50_000) == ("x " * 50_000).strip()
 
 
+def test_all_articles_stay():
+    assert text("<main><p>Intro</p><article>First</article><article>Second</article></main>") == "Intro\nFirst\nSecond"
+    assert text("<div><article><p>One</p></article><p>between</p><article><p>Two</p></article></div>") == "One\nTwo"
+    assert text("<aside><article>teaser</article></aside><article></article><p>body</p>") == "body"
+    assert text("<article>a<article class=comment>said</article></article>") == "a"
+    assert text("<article>a</article><article class=comment>said</article>") == "a"
+    assert text("<main><article class='post has-sidebar'>a</article></main>") == "a"
+
+
+def test_tags_that_never_end():
+    assert text('<p title="abc>text</p>') == "text"
+    assert text("<p>1 < 2 <b") == "1 < 2 <b"
+    for page in ("<a " * 350_000, "<a \"" * 250_001, "<a \">\" " * 150_000, "<a " + "x" * 1_000_000 + "=1>t", "<!-- " * 200_000):
+        start = time.time()
+        text(page)
+        assert time.time() - start < 20
+
+
 def plain(page):
     """Generated pages only: all blocks of the article."""
     body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
@@ -72,3 +91,30 @@ def test_shuffled_templates_equal_broadcast_ones(spark, monkeypatch):
 
 def test_empty(spark):
     assert pages.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_running_text_of_a_template_goes_by_different_contents(spark):
+    """The counts alone decide here: no name or tag tells the notice from the story."""
+    def page(i, story):
+        shared = "<p>Told in three stories of ten</p>" if i % 10 < 3 else ""
+        return f"<main><p>Part of the city gazette</p><h1>Title {story}</h1><p>Story {story} as it went</p>{shared}</main>"
+
+    rows = [(i, f"http://a.example/{i}", page(i, i)) for i in range(20)]
+    rows += [(100 + i, f"http://b.example/{i}", page(0, 7)) for i in range(20)]
+    rows += [(200 + i, f"http://c.example/{i}", page(i, i)) for i in range(4)]
+    got = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    lines = {i: [x for x in re.split(r"<[^>]*>", h) if x] for i, _, h in rows}
+    for i, url, _ in rows:                                    # brute force: contents of the host that have the line
+        contents = {tuple(lines[j]) for j, u, _ in rows if u.split("/")[2] == url.split("/")[2]}
+        often = {x for x in lines[i] if sum(x in c for c in contents) >= max(5, len(contents) / 2)}
+        assert got[i] == "\n".join(x for x in lines[i] if x not in often)
+    assert got[1] == "Title 1\nStory 1 as it went\nTold in three stories of ten"
+    assert got[101].startswith("Part of the city gazette") and got[201].startswith("Part of the city gazette")
+
+
+def test_columns_named_like_helpers(spark):
+    rows = [(1, "http://a/", "<p>x</p>", "h", "t", "o")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _html string, _template string, _host string")
+    got = pages.extract(df).collect()[0]
+    assert (got.text, got._html, got._template, got._host) == ("x", "h", "t", "o")

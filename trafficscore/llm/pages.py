@@ -9,18 +9,25 @@ deleted.  Elements whose tag, class, id or role says that they aren't content
 (``DROPPED_TAGS``, ``DROPPED_NAMES``) are deleted on every page, also on hosts
 with too few pages to tell a template.
 
-If the page has an article (or else a main element), only that is read.  What a
-template may not delete: the article itself, what holds it, and running text
-(paragraphs, headings, list items, quotes, ...) inside it, since the same
-article may stand under many addresses.  Without an article, nothing is deleted
+If the page has articles or main elements, all outermost ones are read, in page
+order (its content).  A template may not delete these, nor what holds them.
+Running text inside them (paragraphs, headings, list items, quotes, ...) goes
+only if it recurs in at least ``MIN_PAGES`` different contents and in
+``RUNNING_SHARE`` of the host's different contents, so an article that stands
+under many addresses stays whole.  Without content elements, nothing is deleted
 that holds more than half of the page's text.
 
+Tags are found in one pass.  From a tag on that never ends by its quotes,
+quotes no longer hide ">"; a "<" with no ">" after it is text.
+
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one line feed in page order; empty
 blocks vanish.
 
 Null html gives empty text, null or odd urls count as one host "".  Repeated rows
-count once for each repeat.  Empty table: empty result.
+count once for each repeat in page counts, once in all in counts of contents.
+Other columns pass, whatever their names; a column named like the result is
+replaced.  Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -34,10 +41,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficscore.llm.common import cut, map_arrow
+from trafficscore.llm.common import cut, map_arrow, unused
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+RUNNING_SHARE = 0.5
+RUNNING = 0x5BD1E995        # turns a subtree's key into its key as running text
 BROADCAST_KEYS = 100_000      # template subtrees (8 bytes each) that are broadcast; above, a shuffle join
 
 # Tags and names that mark what isn't main text.
@@ -61,26 +70,31 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
           "th": ("td", "th"), "option": ("option",)}
 BOUNDS = frozenset("table ul ol dl select menu html body article main section div".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_NAME = re.compile(r"[a-z]+(?:-bar)?")
+_TAG = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_TAG_REST = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'])([^\s=/"']++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
 class Element:
     """A node of the tree; ``inside`` has text (str) and elements in order."""
 
-    __slots__ = ("tag", "marks", "up", "inside", "key", "size")
+    __slots__ = ("tag", "marks", "up", "inside", "key", "size", "away")
 
     def __init__(self, tag: str, marks: str, up: Element | None):
         self.tag, self.marks, self.up = tag, marks, up
         self.inside: list[str | Element] = []
         self.key = self.size = 0
+        self.away = False
 
     def dropped(self) -> bool:
-        if self.tag in DROPPED_TAGS:
+        if self.tag in DROPPED_TAGS or self.away:
             return True
         if self.tag in ("html", "body", "article", "main"):     # their class tells of the page, not of a part
             return False
+        return self.named()
+
+    def named(self) -> bool:
+        """Whether class, id or role say that this isn't main text."""
         return bool(self.marks) and any(
             w in DROPPED_NAMES if a else w in DROPPED_ROLES
             for a, part in zip((True, False), self.marks.split("|"), strict=False) for w in _words(part))
@@ -94,17 +108,31 @@ def _words(marks: str) -> set[str]:
 def parse(page: str) -> Element:
     """The page's tree under a root element."""
     root = here = Element("#root", "", None)
-    at, n = 0, len(page)
+    at, n, quotes = 0, len(page), True
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
             here.inside.append(page[at:])
             break
-        if m.start() > at:
-            here.inside.append(page[at:m.start()])
-        at = m.end()
+        start, inner = m.span()
+        if m[0] == "<!--":
+            end = page.find("-->", inner)
+            after = n if end < 0 else end + 3
+        else:
+            end = _TAG_REST.match(page, inner).end() if m[2] and quotes else page.find(">", inner)
+            if m[2] and quotes and page[end:end + 1] != ">":
+                quotes, end = False, page.find(">", inner)
+            if end < 0:                                       # no tag ends from here on; a comment may still stand
+                end = page.find("<!--", start)
+                here.inside.append(page[at:n if end < 0 else end])
+                break
+            after = end + 1
+        if start > at:
+            here.inside.append(page[at:start])
+        at = after
         if m[2] is None:
             continue
+        rest = page[inner:end]
         tag = m[2].lower()
         if m[1]:                                              # end tag: close the nearest open one, if any
             up = here
@@ -128,13 +156,13 @@ def parse(page: str) -> Element:
             if last is not None:
                 here = last.up
         marks = ""
-        if m[3] and "=" in m[3]:
-            own = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3])}
+        if "=" in rest:
+            own = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(rest)}
             names = f"{own.get('class', '')} {own.get('id', '')}".strip()
             marks = f"{names}|{own.get('role', '')}" if names or "role" in own else ""
         new = Element(tag, marks, here)
         here.inside.append(new)
-        if tag in VOID_TAGS or m[3].endswith("/") and tag not in BLOCK_TAGS:
+        if tag in VOID_TAGS or rest.endswith("/") and tag not in BLOCK_TAGS:
             continue
         if tag in RAW_TAGS:                                   # up to its own end tag, whatever stands between
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -170,13 +198,29 @@ def hash_subtrees(found: list[Element]) -> None:
         e.key = xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def content_root(found: list[Element]) -> Element | None:
-    """The article with the most text, or else the main element."""
-    for tag in ("article", "main"):
-        own = [e for e in found if e.tag == tag and not any(u.dropped() for u in above(e))]
-        if own:
-            return max(own, key=lambda e: e.size)
-    return None
+def read(page: str) -> list[Element]:
+    """The page's elements, hashed.  Of its articles, those whose names say comment, advert, ... are away,
+    unless all are named so."""
+    found = elements(parse(page))
+    hash_subtrees(found)
+    articles = [e for e in found if e.tag == "article" and e.size]
+    apart = [e for e in articles if e.named()]
+    if len(apart) < len(articles):
+        for e in apart:
+            e.away = True
+    return found
+
+
+def content_roots(found: list[Element]) -> list[Element]:
+    """The outermost articles and main elements that hold text, in page order."""
+    roots, shut = [], set()                                   # shut: inside a root or a dropped element
+    for e in found:
+        if id(e.up) in shut or e.dropped():
+            shut.add(id(e))
+        elif e.tag in ("article", "main") and e.size:
+            roots.append(e)
+            shut.add(id(e))
+    return roots
 
 
 def above(e: Element) -> list[Element]:
@@ -188,32 +232,35 @@ def above(e: Element) -> list[Element]:
     return out
 
 
-def removable(found: list[Element]) -> list[Element]:
-    """The elements that a template may delete."""
-    root = content_root(found)
-    if root is not None:
-        holds = set(map(id, above(root)))
-        inside = set(map(id, elements(root)))
-        return [e for e in found if id(e) not in holds and not (id(e) in inside and e.tag in RUNNING_TEXT)
-                and e.tag in BLOCK_TAGS]
-    return [e for e in found if e.up is not None and e.tag in BLOCK_TAGS and 2 * e.size <= found[0].size]
+def recurring(found: list[Element], roots: list[Element]) -> tuple[list[Element], list[Element]]:
+    """The elements that a template may delete: by their pages, and running text by its contents."""
+    if not roots:
+        return [e for e in found if e.up is not None and e.tag in BLOCK_TAGS and 2 * e.size <= found[0].size], []
+    holds = {id(x) for r in roots for x in above(r)}
+    inside = {id(x) for r in roots for x in elements(r)}
+    free = [e for e in found if e.tag in BLOCK_TAGS and id(e) not in holds]
+    running = [id(e) in inside and e.tag in RUNNING_TEXT for e in free]
+    return ([e for e, r in zip(free, running, strict=True) if not r], [e for e, r in zip(free, running, strict=True) if r])
 
 
 def text_of(page: str, template: frozenset) -> str:
     """Main text of a page whose host's template is the subtrees of these keys."""
-    found = elements(parse(page))
-    hash_subtrees(found)
-    gone = {id(e) for e in removable(found) if e.key in template} if template else set()
-    root = content_root(found)
+    found = read(page)
+    roots = content_roots(found)
+    gone = set()
+    if template:
+        parts, running = recurring(found, roots)
+        gone = {id(e) for e in parts if e.key in template} | {id(e) for e in running if e.key ^ RUNNING in template}
+    starts = set(map(id, roots))
     blocks: list[list[str]] = [[]]
-    stack: list[tuple[str, object]] = [("open", root if root is not None else found[0])]
+    stack: list[tuple[str, object]] = [("open", r) for r in reversed(roots or found[:1])]
     while stack:
         what, x = stack.pop()
         if what == "break":
             blocks.append([])
         elif isinstance(x, str):
             blocks[-1].append(x)
-        elif x is root or not (x.dropped() or id(x) in gone):
+        elif id(x) in starts or not (x.dropped() or id(x) in gone):
             if x.tag in ("br", "wbr"):
                 blocks[-1].append(" " * (x.tag == "br"))
                 continue
@@ -230,36 +277,53 @@ def host_of(df: DataFrame, url_col: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(df: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template: array<long>) of ``df`` (host, html): the subtrees that recur across pages of a host."""
+def templates(df: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+              running_share: float = RUNNING_SHARE) -> DataFrame:
+    """(host, template: array<long>) of ``df`` (host, html): the subtrees that recur across pages of a host,
+    and, by keys of their own, the running text that recurs across its different contents."""
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = []
+        own, running, contents = [], [], []
         for page in batch.column(1).to_pylist():
-            found = elements(parse(page or ""))
-            hash_subtrees(found)
-            own.append(np.unique(np.array([e.key for e in removable(found) if e.inside], dtype=np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["host", "keys"])
-
-    read = cut(map_arrow(df.select("host", "html"), keys, "host string, keys array<long>"))
-    pages = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    counts = (read.select("host", F.explode("keys").alias("key")).groupBy("host", "key")
-              .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
-    # a key of this share is on every fifth page: a host has at most five times as many as a page has subtrees
-    return (counts.join(pages, "host").where(F.col("n") >= min_share * F.col("pages"))
-            .groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("template")))
+            found = read(page or "")
+            roots = content_roots(found)
+            a, b = recurring(found, roots)
+            own.append(np.unique(np.array([e.key for e in a if e.inside], dtype=np.int64)))
+            running.append(np.unique(np.array([e.key ^ RUNNING for e in b if e.inside], dtype=np.int64)))
+            told = ",".join(str(e.key) for e in roots)
+            contents.append(xxhash.xxh64_intdigest(told.encode()) - (1 << 63) if roots else None)
+        lists = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(own, lists), pa.array(running, lists), pa.array(contents, pa.int64())],
+            names=["host", "keys", "running", "content"])
+
+    held = cut(map_arrow(df.select("host", "html"), keys, "host string, keys array<long>, running array<long>, content long"))
+
+    def often(rows: DataFrame, of: DataFrame, share: float) -> DataFrame:
+        """Keys of ``rows`` that stand in this share of their host's rows of ``of``."""
+        all_of = of.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+        counts = rows.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+        return counts.join(all_of, "host").where(F.col("n") >= share * F.col("pages")).select("host", "key")
+
+    different = held.where("content is not null")
+    by_page = often(held.select("host", F.explode("keys").alias("key")), held, min_share)
+    by_content = often(different.select("host", "content", F.explode("running").alias("key")).distinct(),
+                       different.select("host", "content").distinct(), running_share)
+    # a key of these shares is on every fifth page: a host has a few times as many as a page has subtrees
+    return by_page.unionByName(by_content).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("template"))
 
 
 def extract(df: DataFrame, html_col: str = "html", url_col: str = "url", out: str = "text", **limits) -> DataFrame:
     """All columns of ``df`` but the html, and ``out``: the main text."""
     kept = [f for f in df.schema.fields if f.name not in (html_col, out)]
     names = [f.name for f in kept]
-    rows = df.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{html_col}`").alias("_html"),
-                     host_of(df, url_col).alias("_host"))
-    found = cut(templates(rows.select(F.col("_host").alias("host"), F.col("_html").alias("html")), **limits))
+    html, host, template = (unused(df, x) for x in ("_html", "_host", "_template"))
+    rows = df.select(*(F.col(f"`{n}`") for n in names), F.col(f"`{html_col}`").alias(html),
+                     host_of(df, url_col).alias(host))
+    found = cut(templates(rows.select(F.col(host).alias("host"), F.col(html).alias("html")), **limits))
     size = found.agg(F.coalesce(F.sum(F.size("template") + F.lit(4)), F.lit(0))).first()[0]
-    found = found.withColumnRenamed("host", "_host").withColumnRenamed("template", "_template")
-    rows = rows.join(F.broadcast(found) if size <= BROADCAST_KEYS else found, "_host", "left").drop("_host")
+    found = found.withColumnRenamed("host", host).withColumnRenamed("template", template)
+    rows = rows.join(F.broadcast(found) if size <= BROADCAST_KEYS else found, host, "left").drop(host)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{out}` string"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -272,7 +336,7 @@ def extract(df: DataFrame, html_col: str = "html", url_col: str = "url", out: st
             texts.append(text_of(page or "", sets[key]))
         return pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(texts, pa.string())], names=[*names, out])
 
-    return map_arrow(rows.select(*(F.col(f"`{n}`") for n in names), "_html", "_template"), run, schema)
+    return map_arrow(rows.select(*(F.col(f"`{n}`") for n in names), html, template), run, schema)
 
 
 def main_texts(df: DataFrame) -> DataFrame:
