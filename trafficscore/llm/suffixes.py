@@ -21,10 +21,13 @@ document with a smaller doc_id, judged on the input.
    and step 1 runs over them.
 
 Hot passages: copies within a shard are settled there, so a passage reaches
-the merge once per shard, not once per document.  Texts are shuffled compressed.
+the merge once per shard, not once per document.  Texts are shuffled once, compressed,
+by doc_id and the hash of the text, which is also how what is found comes back to
+them; so texts without doc_id, or of one doc_id, are dealt over all tasks.
 
 Null text counts as empty.  Rows that repeat a doc_id don't remove each other's
 bytes.  Rows without doc_id stand after all others.  Empty table: empty result.
+Only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficscore.llm.common import cut, map_arrow, partitions
@@ -187,38 +190,58 @@ HALF = BEFORE // 2
 #: An anchor: its hash, hashes of the HALF bytes on its left and right and of all
 #: surroundings, its place, the bytes of the text from there on (MATCH at most), and its text.
 ANCHORS = np.dtype([("h", "<u8"), ("left", "u1"), ("right", "u1"), ("all", "<u8"), ("place", "<u4"), ("tail", "u1"),
-                    ("did", "<i8"), ("rep", "<u4")])
+                    ("did", "<i8"), ("rep", "<i8")])
 #: A span a..b to remove, or (ask) a place a to fetch for the anchor hash b.
-RECORDS = np.dtype([("did", "<i8"), ("rep", "<u4"), ("a", "<u4"), ("b", "<i8"), ("ask", "u1")])
+RECORDS = np.dtype([("did", "<i8"), ("rep", "<i8"), ("a", "<u4"), ("b", "<i8"), ("ask", "u1")])
 #: Surroundings fetched for an anchor hash: from which place of which text, how many bytes.
-PIECES = np.dtype([("key", "<i8"), ("did", "<i8"), ("rep", "<u4"), ("low", "<u4"), ("size", "u1")])
+PIECES = np.dtype([("key", "<i8"), ("did", "<i8"), ("rep", "<i8"), ("low", "<u4"), ("size", "u1")])
 #: Bytes that are sent of the hashes: 40 bits of an anchor's (in its bucket), 48 + 16 of its surroundings.
 SENT = {"h": 5, "all": 6}
+#: Columns sent as differences, since rows are sent in the order of their texts.
+STEPS = ("did", "rep", "place", "a", "low")
 SCHEMA = "bucket int, kind int, blob binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 OF_ANCHORS, OF_RECORDS, OF_PIECES = range(3)
 
 
-def pack(rows: np.ndarray) -> bytes:
-    """Byte by byte of each column, which compresses well."""
-    planes = (np.ascontiguousarray(rows[c]).view(np.uint8).reshape(len(rows), -1)[:, :SENT.get(c, 8)]
-              for c in rows.dtype.names)
-    return b"".join(x.T.tobytes() for x in planes)
+def _sent(kind: np.dtype) -> dict[str, int]:
+    return {c: min(kind[c].itemsize, SENT.get(c, 8)) for c in kind.names}
+
+
+def _unsigned(column: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(column).view(f"<u{column.dtype.itemsize}")
 
 
-def unpack(blobs: list[bytes], kind: np.dtype) -> np.ndarray:
-    widths = {c: min(kind[c].itemsize, SENT.get(c, 8)) for c in kind.names}
+def pack(rows: np.ndarray) -> bytes:
+    """Rows byte by byte of each column, compressed."""
+    planes = []
+    for c, k in _sent(rows.dtype).items():
+        column = _unsigned(rows[c])
+        if c in STEPS:
+            column = np.diff(column, prepend=column.dtype.type(0))
+        planes.append(column.view(np.uint8).reshape(len(rows), -1)[:, :k].T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, list[int]]:
+    """(rows, number of rows of each blob)."""
+    widths = _sent(kind)
     total = sum(widths.values())
-    out, at = np.zeros(sum(len(x) // total for x in blobs), dtype=kind), 0
-    for blob in blobs:
-        n, byte = len(blob) // total, 0
+    counts = [zstandard.frame_content_size(x) // total for x in blobs]
+    out, at = np.zeros(sum(counts), dtype=kind), 0
+    open_up = zstandard.ZstdDecompressor().decompress
+    for blob, n in zip(blobs, counts, strict=True):
+        raw, byte = open_up(blob), 0
         for c, k in widths.items():
             whole = np.zeros((n, kind[c].itemsize), dtype=np.uint8)
-            whole[:, :k] = np.frombuffer(blob, dtype=np.uint8, count=k * n, offset=byte).reshape(k, n).T
-            out[c][at:at + n] = whole.view(kind[c]).ravel()
+            whole[:, :k] = np.frombuffer(raw, dtype=np.uint8, count=k * n, offset=byte).reshape(k, n).T
+            column = whole.view(f"<u{kind[c].itemsize}").ravel()
+            if c in STEPS:
+                column = np.cumsum(column, dtype=column.dtype)
+            out[c][at:at + n] = column.view(kind[c])
             byte += k * n
         at += n
-    return out
+    return out, counts
 
 
 def _dealt(rows: np.ndarray, bucket: np.ndarray, kind: int) -> list[dict]:
@@ -324,9 +347,8 @@ def _merge(batches, buckets: int):
     if not blobs:
         return
     # buckets apart, since a hash is only whole together with its bucket
-    total = sum(min(ANCHORS[c].itemsize, SENT.get(c, 8)) for c in ANCHORS.names)
-    found = unpack(blobs, ANCHORS)
-    bucket = np.repeat(np.array(of), [len(x) // total for x in blobs])
+    found, counts = unpack(blobs, ANCHORS)
+    bucket = np.repeat(np.array(of), counts)
     blobs.clear()
     found["h"] += bucket.astype(np.uint64) << np.uint64(40)
     # sorted once, the shards' lists are merged by binary search: a hash's anchors are the
@@ -363,13 +385,13 @@ def _merge(batches, buckets: int):
     yield pa.RecordBatch.from_pylist(_dealt(records, _doc_bucket(records["did"], buckets), OF_RECORDS), schema=_ARROW)
 
 
-_FOUND = "did long, rep int, spans array<int>, places array<int>, keys array<long>"
+_FOUND = "did long, rep long, spans array<int>, places array<int>, keys array<long>"
 
 
 def _collect(batches):
     """One row per text of this task's buckets: its spans, and what to fetch of it."""
     blobs = [x for batch in batches for x in batch.column(2).to_pylist()]
-    rows = unpack(blobs, RECORDS)
+    rows, _ = unpack(blobs, RECORDS)
     rows = rows[np.lexsort((rows["a"], rows["rep"], rows["did"]))]
     head = _heads(rows["did"]) | _heads(rows["rep"])
     text, first = np.cumsum(head) - 1, np.flatnonzero(head) if len(rows) else np.zeros(0, dtype=int)
@@ -382,7 +404,7 @@ def _collect(batches):
     span, ask = rows["ask"] == 0, rows["ask"] == 1
     pairs = np.stack([rows["a"][span].astype(np.int64), rows["b"][span]], axis=1).ravel()
     yield pa.RecordBatch.from_arrays(
-        [pa.array(rows["did"][first]), pa.array(rows["rep"][first].astype(np.int32)),
+        [pa.array(rows["did"][first]), pa.array(rows["rep"][first]),
          lists(span, pairs, 2, pa.int32()), lists(ask, rows["a"][ask], 1, pa.int32()),
          lists(ask, rows["b"][ask], 1, pa.int64())], names=["did", "rep", "spans", "places", "keys"])
 
@@ -401,24 +423,25 @@ def _fetch(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
     rows = np.concatenate(rows)
     bucket = (_mix(rows["key"].view(np.uint64) * _A) % np.uint64(buckets)).astype(np.int64)
     out = []
+    press = zstandard.ZstdCompressor(level=1).compress
     order = np.argsort(bucket, kind="stable")
     for own in np.split(order, np.flatnonzero(_heads(bucket[order]))[1:]):
         head = pack(rows[own])
-        blob = len(own).to_bytes(8, "little") + head + b"".join(parts[i] for i in own.tolist())
+        blob = len(head).to_bytes(8, "little") + head + press(b"".join(parts[i] for i in own.tolist()))
         out.append({"bucket": int(bucket[own[0]]), "kind": OF_PIECES, "blob": blob})
     return pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
 
 def _settle(batches, buckets: int):
     """Step 1 over fetched surroundings, about ``SHARD`` bytes at a time, an anchor's all together."""
-    width = sum(min(PIECES[c].itemsize, SENT.get(c, 8)) for c in PIECES.names)
+    open_up = zstandard.ZstdDecompressor().decompress
     heads, texts = [], []
     for batch in batches:
         for blob in batch.column(2).to_pylist():
-            n = int.from_bytes(blob[:8], "little")
-            heads.append(blob[8:8 + n * width])
-            texts.append(blob[8 + n * width:])
-    rows = unpack(heads, PIECES)
+            end = 8 + int.from_bytes(blob[:8], "little")
+            heads.append(blob[8:end])
+            texts.append(open_up(blob[end:]))
+    rows, _ = unpack(heads, PIECES)
     if not len(rows):
         return
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -441,17 +464,16 @@ def _settle(batches, buckets: int):
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """(texts, spans): the texts (id, did, rep, size, packed), dealt out by did, and
+    """(texts, spans): the texts (id, did, rep, size, packed), dealt out by did and rep, and
     tables (did, rep, spans) of what to remove, as flat (start, end) pairs that may overlap."""
     n = partitions(df)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kind = df.schema[id_col].dataType.simpleString()
     texts = df.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"),
-                      F.xxhash64(text).alias("th"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
-    texts = map_arrow(texts, _pack_texts, f"{id_col} {kind}, did long, th long, size long, packed binary")
-    # different texts of one doc_id are told apart by their number
-    number = F.dense_rank().over(Window.partitionBy("did").orderBy("th"))
-    texts = materialize(texts.repartition(n, "did").withColumn("rep", number).drop("th"))
+                      F.xxhash64(text).alias("rep"), F.octet_length(text).cast("long").alias("size"), text.alias("text"))
+    texts = map_arrow(texts, _pack_texts, f"{id_col} {kind}, did long, rep long, size long, packed binary")
+    # rep, the hash of the text, tells different texts of one doc_id apart
+    texts = materialize(texts.repartition(n, "did", "rep"))
     shards = map_arrow(texts.select("did", "rep", "size", "packed"), lambda batch: _shards(batch, n), SCHEMA, SHARD)
     found = shards.repartition(n, "bucket").mapInArrow(lambda batches: _merge(batches, n), SCHEMA)
     found = cut(found.repartition(n, "bucket").mapInArrow(_collect, _FOUND))
