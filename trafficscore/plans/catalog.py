@@ -402,6 +402,58 @@ def q_stream_packet_tsv(spark, sf):
             .option("header", "true").csv(out).select("line_id", "timestamp", "src_ip", "pkt_len"))
 
 
+CAPTURE_FILES = 4
+
+
+def _write_capture(lines, folder, cut):
+    """Capture logs (``CAPTURE_FILES`` of them) as they stand after landings 0 .. of ``lines``: each
+    written anew beside its name and put in its place, so a task that runs twice does no harm.  ``cut``:
+    the last line isn't finished yet."""
+    def write(rows):
+        from trafficscore.sources.tail import open_filesystem
+        system, base = open_filesystem(folder)
+        system.create_dir(base, recursive=True)
+        name, out = None, None
+
+        def close():
+            if out is not None:
+                out.write(b"" if cut else b"\n")
+                out.close()
+                system.move(f"{base}/_{name}", f"{base}/{name}")
+
+        for row in rows:
+            if f"capture-{row.file}.tsv" != name:
+                close()
+                name = f"capture-{row.file}.tsv"
+                out = system.open_output_stream(f"{base}/_{name}")
+            else:
+                out.write(b"\n")
+            out.write(row.value.encode())
+        close()
+
+    (lines.withColumn("file", F.pmod(F.hash("line_id"), F.lit(CAPTURE_FILES))).repartition("file")
+     .sortWithinPartitions("file", "landing", "line_id").foreachPartition(write))
+
+
+def q_stream_packet_tail(spark, sf):
+    """The converter over growing capture logs, started anew after each of four landings: lines that stand
+    there at the first start aren't read, the last line of the second landing is finished by the third,
+    the fourth adds nothing."""
+    from trafficscore.sources.tail import tail_lines
+    from trafficscore.streaming.packets import stream_packet_tsv
+    from trafficscore.streaming.runner import drain, scratch_paths
+    out, ck = scratch_paths(spark, "packet_tail")
+    logs = _folder(spark, "capture")
+    lines = _lines(spark, sf).withColumn("landing", F.pmod(F.col("line_id"), F.lit(3)))
+    for k in range(4):
+        if k < 3:
+            _write_capture(lines.where(F.col("landing") <= k), logs, cut=k == 1)
+        drain(stream_packet_tsv(tail_lines(spark, logs), out, ck, trigger={"availableNow": True}))
+    back = (spark.read.schema("timestamp string, src_ip string, pkt_len string, rotation string")
+            .option("header", "true").csv(out))
+    return back.groupBy("timestamp", "src_ip", "pkt_len").agg(F.count(F.lit(1)).alias("n"))
+
+
 def q_stream_rfm_raw(spark, sf):
     from trafficscore.streaming.rfm import stream_rfm_raw, write_rfm_stream
     from trafficscore.streaming.runner import drain, scratch_paths
@@ -554,6 +606,7 @@ QUERIES = {
     "run_incremental_job": q_run_incremental_job,
     "run_merged_job": q_run_merged_job,
     "stream_packet_tsv": q_stream_packet_tsv,
+    "stream_packet_tail": q_stream_packet_tail,
     "stream_rfm_raw": q_stream_rfm_raw,
     "stream_rfm_upsert": q_stream_rfm_upsert,
     "stream_rate_limit": q_stream_rate_limit,

@@ -357,6 +357,8 @@ UNION ALL SELECT * FROM new"""
 
 # ---- streaming forms: same results as their batch twins -------------------------
 SQL["stream_packet_tsv"] = SQL["slim_packets"]
+SQL["stream_packet_tail"] = _with(PACKET_LINES) + """
+SELECT "timestamp", src_ip, pkt_len, count(*) AS n FROM slim WHERE line_id % 3 > 0 GROUP BY 1, 2, 3"""
 SQL["stream_rfm_raw"] = SQL["stream_rfm_upsert"] = SQL["compute_rfm"]
 
 # ---- logs written to files, read back, and jobs over them ---------------------

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the operators.
 
-File sources (text / CSV / Parquet folders) replace the reference's file
-tailing; checkpoints replace its offsets and in-memory state, so a restarted
+File sources (text / CSV / Parquet folders) read files that land whole, ``sources.tail``
+logs that grow; checkpoints hold the offsets and the state, so a restarted
 or re-scheduled query resumes exactly where it stopped.
 """
 

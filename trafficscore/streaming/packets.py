@@ -16,8 +16,9 @@ from trafficscore.sources.logs import parse_packet_lines
 def read_packet_tsv_stream(spark: SparkSession, input_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """New TSV files of a folder as a stream of lines (column ``value``).
 
-    A file source has no "start at the end"; use ``start_ts`` of
-    ``stream_packet_tsv`` to ignore packets older than the start.
+    Files are read once and whole, when they appear.  For logs that grow, and to start at
+    their end, use ``sources.tail.tail_lines``; ``start_ts`` of ``stream_packet_tsv``
+    ignores packets older than the start.
     """
     r = spark.readStream.format("text")
     if max_files_per_trigger:
