@@ -100,12 +100,21 @@ def lookup_rfm(requests: DataFrame, table: DataFrame, key_col: str = "client_ip"
     """Attach (recency_days, frequency, monetary) to each request; unknown
     clients get the -1 sentinel in all three.  A table without a monetary
     column yields NULL monetary for known clients."""
+    j = size_checked_join(requests, known_side(table, key_col), [key_col], how="left", broadcast_max_rows=broadcast_max_rows)
+    return unknown_as_sentinel(j)
+
+
+def known_side(table: DataFrame, key_col: str = "client_ip") -> DataFrame:
+    """The lookup table as a join's side: its measures, and ``_found``."""
     t = table if "monetary" in table.columns else table.withColumn("monetary", F.lit(None).cast("double"))
-    t = t.select(key_col, "recency_days", "frequency", "monetary", F.lit(True).alias("_found"))
-    j = size_checked_join(requests, t, [key_col], how="left", broadcast_max_rows=broadcast_max_rows)
+    return t.select(key_col, "recency_days", "frequency", "monetary", F.lit(True).alias("_found"))
+
+
+def unknown_as_sentinel(joined: DataFrame) -> DataFrame:
+    """-1 in all measures of rows that the join didn't find."""
     found = F.coalesce(F.col("_found"), F.lit(False))
-    return j.withColumns({c: F.when(found, F.col(c).cast("double")).otherwise(F.lit(float(UNKNOWN)))
-                          for c in ("recency_days", "frequency", "monetary")}).drop("_found")
+    return joined.withColumns({c: F.when(found, F.col(c).cast("double")).otherwise(F.lit(float(UNKNOWN)))
+                               for c in ("recency_days", "frequency", "monetary")}).drop("_found")
 
 
 def lookup_point(table: DataFrame, ip: str, key_col: str = "client_ip") -> DataFrame:

@@ -9,12 +9,13 @@ or divisions are rounded the same way on both sides.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficscore.functions import scalars as X
-from trafficscore.operators import clean, ranks, rfm, rules, score
+from trafficscore.operators import clean, lookup, ranks, rfm, rules, score
 from trafficscore.operators.ratelimit import rate_limit_batch
 from trafficscore.plans import views as V
 from trafficscore.schemas import SCORES_SCHEMA
@@ -78,12 +79,29 @@ def q_suspicion_verdict(spark, sf):
     return rules.suspicion_verdict(t, **VERDICT_KW).select("client_ip", "suspicious")
 
 
-def q_lookup_rfm(spark, sf):
-    """The table lacks some clients and holds others twice; both are unknown."""
+def _lookup_sides(spark, sf):
+    """Requests, and a table that lacks some clients and holds others twice; both are unknown."""
     one = rfm.compute_rfm(_access(spark, sf), V.EVENTS_NOW).where(F.pmod(V.last_octet(), F.lit(11)) != 0)
     table = rules.build_lookup_table(one.unionByName(one.where(F.pmod(V.last_octet(), F.lit(7)) == 0)))
-    req = clean.protected_requests(V.access_log(spark, sf)).select("request_id", "client_ip")
-    out = rules.lookup_rfm(req, table)
+    return clean.protected_requests(V.access_log(spark, sf)).select("request_id", "client_ip"), table
+
+
+def q_lookup_rfm(spark, sf):
+    out = rules.lookup_rfm(*_lookup_sides(spark, sf))
+    return out.select("request_id", "client_ip", _round("recency_days", 9), _round("frequency", 9),
+                      _round("monetary", 4))
+
+
+LOOKUP_BUCKETS = 16
+
+
+def q_lookup_bucketed(spark, sf):
+    """Requests and table landed in buckets by client, then looked up without a shuffle; a client
+    with over 30 requests and a bucket's share of them counts as hot."""
+    requests, table = (
+        lookup.save_bucketed(df, f"{kind}_{uuid.uuid4().hex}", _folder(spark, kind), n_buckets=LOOKUP_BUCKETS)
+        for kind, df in zip(("requests", "rfm"), _lookup_sides(spark, sf), strict=True))
+    out = lookup.lookup_bucketed(requests, table, LOOKUP_BUCKETS, min_hot_rows=30)
     return out.select("request_id", "client_ip", _round("recency_days", 9), _round("frequency", 9),
                       _round("monetary", 4))
 
@@ -571,6 +589,7 @@ QUERIES = {
     "average_percentile": q_average_percentile,
     "suspicion_verdict": q_suspicion_verdict,
     "lookup_rfm": q_lookup_rfm,
+    "lookup_bucketed": q_lookup_bucketed,
     "lookup_point": q_lookup_point,
     "rate_limit": q_rate_limit,
     "rate_limit_subnet": q_rate_limit_subnet,

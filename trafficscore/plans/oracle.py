@@ -117,6 +117,8 @@ SELECT q.request_id, q.client_ip,
 FROM access_log q LEFT JOIN lookup l ON q.client_ip = l.client_ip
 WHERE q.path IN ('/sensitive-data', '/sensitive-data/')"""
 
+SQL["lookup_bucketed"] = SQL["lookup_rfm"]
+
 SQL["lookup_point"] = _with(ACCESS_LOG, ACCESS, _rfm_cte("rfm_all", "access", V.EVENTS_NOW), LOOKUP) + f"""
 , one AS (SELECT count(*) AS n, any_value(recency_days) AS r, any_value(frequency) AS f, any_value(monetary) AS m
           FROM lookup WHERE client_ip = '{C.POINT_IP}'),
