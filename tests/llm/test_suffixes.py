@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trafficscore.llm import queries, suffixes
 from trafficscore.llm.suffixes import LAST, MATCH
@@ -76,6 +77,18 @@ def test_suffix_groups_and_common_prefixes():
         assert lcp[k] == (true if group[k] == group[k - 1] else 0)
 
 
+def test_rows_without_id_or_of_one_id_are_dealt_over_all_tasks(documents):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(90))
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(20, 90))) for _ in range(120)]
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, t + (passage if k % 4 < 2 else "")) for k, t in enumerate(texts)]
+    df = documents(rows)
+    dealt, _ = suffixes.repeated_spans(df)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(n for _, n in sizes) < 40
+    check(rows, suffixes.report(df).collect())
+
+
 def test_empty(documents):
     assert suffixes.report(documents([])).collect() == []
     check([(1, None)], suffixes.report(documents([(1, None)])).collect())
