@@ -89,6 +89,27 @@ def test_rows_without_id_or_of_one_id_are_dealt_over_all_tasks(documents):
     check(rows, suffixes.report(df).collect())
 
 
+def test_windows_of_zero_bytes_across_shards(documents):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("abcdefgh") for _ in range(20)) + "\0" * (40 + k) + "z" * 20) for k in range(30)]
+    check(rows, suffixes.report(documents(rows)).collect())
+
+
+def test_all_places_of_a_document_with_the_same_surroundings(documents):
+    """A passage that a text holds twice, or two texts of one doc_id once each, among the same neighbours;
+    other texts have it among others."""
+    rng = random.Random(5)
+
+    def some(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    passage, rows = some(60), []
+    for k in range(40):
+        own = some(40) + passage + some(40)
+        rows += [(k, own + some(20) + own)] if k % 2 else [(k, own + "1"), (k, own + "2")]
+    check(rows, suffixes.report(documents(rows)).collect())
+
+
 def test_empty(documents):
     assert suffixes.report(documents([])).collect() == []
     check([(1, None)], suffixes.report(documents([(1, None)])).collect())
