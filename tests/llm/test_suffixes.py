@@ -77,6 +77,22 @@ def test_suffix_groups_and_common_prefixes():
         assert lcp[k] == (true if group[k] == group[k - 1] else 0)
 
 
+def test_only_suffixes_that_may_have_an_equal_are_sorted():
+    rng = np.random.default_rng(4)
+    part = rng.integers(97, 123, 400).astype(np.uint8)
+    buf = np.concatenate([part, rng.integers(97, 123, 60_000).astype(np.uint8), part[100:300], part[:200]])
+    words, n = suffixes.words8(buf), len(buf)
+    raw, by = buf.tobytes(), {}
+    for i in range(n - MATCH + 1):
+        by.setdefault(raw[i:i + MATCH], []).append(i)
+    want = sorted(i for group in by.values() if len(group) > 1 for i in group)
+    found = suffixes._repeated(words, np.arange(n - MATCH + 1)).tolist()
+    assert set(want) <= set(found) and len(found) < len(want) + 20
+    places, _ = suffixes.suffix_groups(words, n, np.arange(n) + MATCH <= n)
+    assert sorted(places.tolist()) == want
+    assert not len(suffixes._repeated(words, np.zeros(0, dtype=np.int64)))
+
+
 def test_rows_without_id_or_of_one_id_are_dealt_over_all_tasks(documents):
     rng = random.Random(11)
     passage = "".join(rng.choice("abcdefgh") for _ in range(90))

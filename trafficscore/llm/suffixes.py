@@ -62,18 +62,54 @@ def _heads(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_groups(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes, group): suffixes that share their first ``MATCH`` bytes with
-    another, in sorted order, groups ascending; by Larsson-Sadakane refinement."""
-    order = np.argsort(words[:n])
+def _repeated(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of the places ``at`` whose ``MATCH`` bytes may stand at another as well: all that do,
+    and hardly others.  By hashes, sorted with the place's number in the low bits."""
+    if not len(at):
+        return at
+    h, depth = words, 8
+    while depth < MATCH:
+        step = min(depth, MATCH - depth)
+        h = h[:len(h) - step] * _A + h[step:]
+        depth += step
+    bits = np.uint64(len(at).bit_length())
+    key = (h[:at[-1] + 1] * _B)[at] >> bits << bits
+    key |= np.arange(len(at), dtype=np.uint64)
+    key.sort()
+    own = key >> bits
+    same = np.zeros(len(at), dtype=bool)
+    same[1:] = own[1:] == own[:-1]
+    same[:-1] |= same[1:]
+    number = (key[same] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    number.sort()
+    return at[number]
+
+
+def _shifted(places: np.ndarray, steps: tuple[int, ...], size: int) -> np.ndarray:
+    """True at the places and at each of the steps from them."""
+    out = np.zeros(size, dtype=bool)
+    for step in steps:
+        out[places + step] = True
+    return out
+
+
+def suffix_groups(words: np.ndarray, n: int, windows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes, group): suffixes (of those at True in ``windows``) that share their first
+    ``MATCH`` bytes with another, in sorted order, groups ascending; by Larsson-Sadakane
+    refinement of those that may have an equal and of the suffixes that tell them apart."""
+    places = _repeated(words, np.arange(n) if windows is None else np.flatnonzero(windows[:n]))
+    order = np.flatnonzero(_shifted(places, (0, 8, 16, 24, 18, 26, 34, 42), len(words))[:n])
+    order = order[np.argsort(words[order])]
     heads = _heads(words[order])
     at = np.flatnonzero(heads)
-    sizes = np.diff(at, append=n)
+    sizes = np.diff(at, append=len(order))
     rank = np.zeros(len(words), dtype=np.int64)
     rank[order] = np.repeat(at, sizes) + 1            # 0 stands for the end of the buffer
     tied = order[np.repeat(sizes > 1, sizes)]
     depth = 8
-    while depth < MATCH:
+    # suffixes whose rank to the depth that a round reaches is read later on
+    for read in ((0, 16, 18, 34), (0, 18), (0,)):
+        tied = tied[_shifted(places, read, len(words))[tied]]
         step = min(depth, MATCH - depth)
         key = rank[tied] << 32 | rank[tied + step]
         key_order = np.argsort(key)
@@ -128,11 +164,8 @@ def marked(buf: np.ndarray, sizes: np.ndarray, owner: np.ndarray, words: np.ndar
     if n < MATCH or len(sizes) < 2:
         return out
     words = words8(buf) if words is None else words
-    suffixes, group = suffix_groups(words, n)
     segment = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    ends = np.cumsum(sizes)
-    whole = suffixes + MATCH <= ends[segment[suffixes]]
-    suffixes, group = suffixes[whole], group[whole]
+    suffixes, group = suffix_groups(words, n, np.arange(n) + MATCH <= np.cumsum(sizes)[segment])
     if not len(suffixes):
         return out
     first = np.flatnonzero(common_prefixes(words, n, suffixes, group) < MATCH)
