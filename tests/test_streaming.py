@@ -59,6 +59,35 @@ def test_event_time_out_of_order_equals_batch(spark, scratch):
     assert sum(o for _, o in got.values()) == 218
 
 
+def test_groups_of_clients_share_calls_and_keep_their_windows(spark, scratch):
+    """With ``groups`` there are as many states at most; NULL keys, and longs that differ beyond 2**53,
+    are clients of their own; windows go on over batches."""
+    acc = _write_files(spark, os.path.join(scratch, "in"), reverse=True)
+    out = os.path.join(scratch, "out")
+    lim = rate_limit_stream(_stream(spark, os.path.join(scratch, "in")), tie_col="request_id",
+                            window_seconds=86_400, limit=3, mode="event_time", delay="40 days", groups=5)
+    query = (lim.writeStream.format("parquet").option("checkpointLocation", os.path.join(scratch, "ck"))
+             .trigger(availableNow=True).start(out))
+    drain(query)
+    got = {r.request_id: (r.request_count, r.over_limit)
+           for r in spark.read.parquet(out).where("request_id >= 0").collect()}
+    assert got == _batch(acc)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 5
+
+    big, landed, ck, out = 2**53, *(os.path.join(scratch, x) for x in ("in2", "ck2", "out2"))
+    rows = [(None, 0, 1), (big, 0, 2), (big + 1, 1, 3), (big, 5, 4)], [(big, 30, 5), (None, 40, 6), (big, 61, 7)], [(0, 9999, -1)]
+    for part in rows:
+        (spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s), i) for k, s, i in part],
+                               "user_id long, timestamp timestamp, rid long").coalesce(1).write.mode("append").parquet(landed))
+        lim = rate_limit_stream(spark.readStream.schema("user_id long, timestamp timestamp, rid long").parquet(landed),
+                                key_col="user_id", tie_col="rid", window_seconds=60, limit=1, mode="event_time",
+                                delay="10 seconds", groups=2)
+        drain(lim.writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out))
+    got = {r.rid: (r.user_id, r.request_count, r.over_limit) for r in spark.read.parquet(out).where("rid >= 0").collect()}
+    assert got == {1: (None, 1, False), 2: (big, 1, False), 3: (big + 1, 1, False), 4: (big, 2, True), 5: (big, 3, True),
+                   6: (None, 2, True), 7: (big, 1, False)}
+
+
 def test_arrival_mode_in_order_equals_batch(spark, scratch):
     acc = _write_files(spark, os.path.join(scratch, "in"), reverse=False)
     lim = rate_limit_stream(_stream(spark, os.path.join(scratch, "in")), tie_col="request_id",

@@ -526,13 +526,16 @@ def _events_with_flush(spark, sf):
     return V.stream_table(spark, sf, "events").unionByName(flush)
 
 
+STREAM_GROUPS = 4096
+
+
 def _limited_stream(spark, sf, protected_only=False):
     from trafficscore.streaming.ratelimit import rate_limit_stream
     acc = V.access_log_from(_events_with_flush(spark, sf))
     if protected_only:
         acc = clean.protected_requests(acc)
     return rate_limit_stream(acc, tie_col="request_id", window_seconds=LIMIT_WINDOW_S, limit=LIMIT_N,
-                             mode="event_time", delay="1 day")
+                             mode="event_time", delay="1 day", groups=STREAM_GROUPS)
 
 
 def q_stream_rate_limit(spark, sf):

@@ -20,7 +20,10 @@ Spark's stateful operator discards input rows that arrive later than the
 watermark before they reach the fold (reported as
 ``numRowsDroppedByWatermark``, see ``rows_dropped_by_watermark``), so the
 delay must cover the disorder of the source; the buffer holds one delay of
-each client's traffic.  A drained (``availableNow``) run keeps the last
+each client's traffic.  A call costs milliseconds whatever its rows, so backlogs of many
+clients are folded with ``groups``: so many groups of clients (by hash) share a state and
+its calls, every client's windows apart.  Without it each client has its own state, which
+suits short batches, since a call writes its whole state again.  A drained (``availableNow``) run keeps the last
 delay of data buffered until newer data moves the watermark.
 
 In both modes state whose window has expired is removed: an expired window
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import (ArrayType, BooleanType, LongType, StringType, StructField, StructType)
+from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType)
 
 from trafficscore.functions.scalars import epoch_micros
 from trafficscore.operators.ratelimit import MAX_REQUESTS, WINDOW_SECONDS, fold_run
@@ -46,6 +49,11 @@ STATE_SCHEMA = StructType([StructField("ws", LongType()), StructField("cnt", Lon
                            StructField("buf_us", ArrayType(LongType())), StructField("buf_tie", ArrayType(LongType()))])
 
 
+# State of a group of clients: each client's open window, and the buffered rows with the
+# client's number; 64-bit numbers as bytes, since lists of them are slow to hand over.
+GROUP_STATE_SCHEMA = StructType([StructField("keys", ArrayType(StringType())),
+                                 *[StructField(c, BinaryType()) for c in ("ws", "cnt", "buf_of", "buf_us", "buf_tie")]])
+
 # Rows of a client that a call hands out at a time.
 ROWS_AT_ONCE = 100_000
 # Rows reach the stream at most this long after their timestamp.
@@ -138,10 +146,62 @@ def _make_func(key_name: str, window_us: int, limit: int):
     return func
 
 
+def _make_group_func(window_us: int, limit: int):
+    """``_make_func`` for the rows of many clients, told by their text ``_key``."""
+    def func(group, pdfs, state):
+        names, ws, cnt, of, us, tie = [], *[np.empty(0, dtype=np.int64)] * 5
+        if state.exists:
+            names, *numbers = state.get
+            names = list(names)
+            ws, cnt, of, us, tie = (np.frombuffer(bytes(x), dtype=np.int64) for x in numbers)
+        number = {name: i for i, name in enumerate(names)}
+        parts = [(of, us, tie)]
+        for p in pdfs:
+            if len(p):
+                codes, own = pd.factorize(p["_key"], use_na_sentinel=False)
+                places = [number.setdefault(None if pd.isna(name) else name, len(number)) for name in own]
+                parts.append((np.array(places, dtype=np.int64)[codes], p["_ts_us"].to_numpy(dtype=np.int64),
+                              p["_tie"].to_numpy(dtype=np.int64)))
+        of, us, tie = (np.concatenate(x) for x in zip(*parts, strict=True))
+        new = np.zeros(len(number) - len(names), dtype=np.int64)
+        ws, cnt = np.concatenate([ws, new]), np.concatenate([cnt, new])
+        names = np.array([*number, None], dtype=object)[:-1]
+        order = np.lexsort((tie, us, of))
+        of, us, tie = of[order], us[order], tie[order]
+        wm_ms = state.getCurrentWatermarkMs()
+        wm_us = wm_ms * 1000
+        final = us <= wm_us
+        rel_of, rel_us, rel_tie = of[final], us[final], tie[final]
+        if len(rel_of):
+            cuts = np.r_[0, np.flatnonzero(np.diff(rel_of)) + 1, len(rel_of)].tolist()
+            w, c = np.empty_like(rel_us), np.empty_like(rel_us)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                i = rel_of[a]
+                w[a:b], c[a:b], ws[i], cnt[i] = fold_run(rel_us[a:b], int(ws[i]), int(cnt[i]), window_us)
+            for at in range(0, len(rel_of), ROWS_AT_ONCE):
+                own = slice(at, at + ROWS_AT_ONCE)
+                yield pd.DataFrame({"_key": names[rel_of[own]], "_tie": rel_tie[own], "_ts_us": rel_us[own],
+                                    "_ws_us": w[own], "request_count": c[own], "over_limit": c[own] > limit})
+        of, us, tie = of[~final], us[~final], tie[~final]
+        stays = ws + window_us > wm_us
+        due = np.where(stays, (ws + window_us) // 1000 + 1, np.iinfo(np.int64).max)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        stays[of] = True
+        due[of[first]] = us[first] // 1000
+        if stays.any():
+            of = (np.cumsum(stays) - 1)[of]
+            state.update((names[stays].tolist(), *[x.tobytes() for x in (ws[stays], cnt[stays], of, us, tie)]))
+            state.setTimeoutTimestamp(max(int(due.min()), wm_ms))
+        else:
+            state.remove()
+    return func
+
+
 def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str = "timestamp",
                       tie_col: str | None = None, window_seconds: float = WINDOW_SECONDS,
                       limit: int = MAX_REQUESTS, mode: str = "arrival",
-                      delay: str = "10 minutes", lag_seconds: float = LAG_SECONDS) -> DataFrame:
+                      delay: str = "10 minutes", lag_seconds: float = LAG_SECONDS,
+                      groups: int | None = None) -> DataFrame:
     """Streaming limiter.  Output (append mode): ``key, <tie_col>, timestamp,
     window_start, request_count, over_limit`` per request."""
     from trafficscore.session import ship_package
@@ -153,6 +213,15 @@ def rate_limit_stream(stream: DataFrame, key_col: str = "client_ip", ts_col: str
     rows = [key_col, ts_col, tie.alias("_tie"), epoch_micros(ts_col).alias("_ts_us")]
     if mode == "event_time":
         s = s.withWatermark(ts_col, delay).select(*rows)
+    if mode == "event_time" and groups:
+        # the key as text, as below
+        key = s.schema[key_col]
+        text = F.col(key_col).cast("string")
+        s = s.select(F.pmod(F.xxhash64(text), F.lit(groups)).alias("_group"), text.alias("_key"), ts_col, "_tie", "_ts_us")
+        out = s.groupBy("_group").applyInPandasWithState(
+            _make_group_func(window_us, limit), _output_schema(StructField("_key", StringType())), GROUP_STATE_SCHEMA,
+            "append", GroupStateTimeout.EventTimeTimeout).withColumn(key_col, F.col("_key").cast(key.dataType))
+    elif mode == "event_time":
         out = s.groupBy(key_col).applyInPandasWithState(
             _make_func(key_col, window_us, limit), _output_schema(s.schema[key_col]), STATE_SCHEMA, "append",
             GroupStateTimeout.EventTimeTimeout)
